@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import byte_bpe, exact_dedup, packing, token_count
 
-QUERIES = {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
+QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_token_counts": token_count.op3_token_counts,
+    "op8_packing": packing.op8_packing,
+    "op9_byte_bpe": byte_bpe.op9_byte_bpe,
+}
 SQL = {"op1_exact_dedup": exact_dedup.SQL}
