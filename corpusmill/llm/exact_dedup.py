@@ -70,10 +70,13 @@ def groups_of(rows: DataFrame) -> DataFrame:
 
 
 def checked(docs: DataFrame, matches: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Those digests of matches (digest, one doc_id of each snapshot) whose texts are the same bytes."""
+    """Those digests of matches (digest, one doc_id of each snapshot) whose texts are the same bytes.
+
+    The texts are dealt out by doc_id once, at every size alike.
+    """
     wanted = stored(matches.select("digest", "doc_id").distinct(), "dedup-wanted")
     mine = wanted.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(mine, "_id").select("_digest", normalised("_text").alias("_text"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(mine.hint("merge"), "_id").select("_digest", normalised("_text").alias("_text"))
     texts = texts.where(F.unhex(F.sha2("_text", 256)) == F.col("_digest"))
     same = texts.groupBy("_digest").agg(F.min("_text").alias("a"), F.max("_text").alias("b"))
     return same.where(F.col("a") == F.col("b")).select(F.col("_digest").alias("digest"))
@@ -114,7 +117,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "dedup-gone",
     )
     digest = F.unhex(F.sha2(normalised(docs[text_col]), 256))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (digest == gone["_digest"]), "left_anti")
+    return docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(gone["_gone"]) & (digest == gone["_digest"]), "left_anti")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
