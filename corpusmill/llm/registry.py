@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, packing, token_count
+from . import byte_bpe, exact_dedup, language_id, packing, quality, simhash, token_count
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_language_id": language_id.op2_language_id,
     "op3_token_counts": token_count.op3_token_counts,
+    "op5_simhash": simhash.op5_simhash,
     "op8_packing": packing.op8_packing,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
+    "op10_quality": quality.op10_quality,
 }
 SQL = {"op1_exact_dedup": exact_dedup.SQL}
