@@ -244,10 +244,11 @@ def odd_even_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("pair_id").agg(F.max(F.when(F.col("vec_id") % 2 == 0, F.col("label"))).alias("even_label"), F.max(F.when(F.col("vec_id") % 2 == 1, F.col("label"))).alias("odd_label"))
 
 
-@query("SELECT CAST(floor(n_chars / 500.0) AS BIGINT) AS bin, count(*) AS n FROM documents WHERE n_chars < 25000 GROUP BY 1")
+@query("SELECT least(CAST(floor(n_chars / 500.0) AS BIGINT), 50) AS bin, count(*) AS n FROM documents GROUP BY 1")
 def histogram_bins(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("n_chars < 25000")
-    return docs.groupBy((F.width_bucket(F.col("n_chars").cast("double"), F.lit(0.0), F.lit(25000.0), F.lit(50)) - 1).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    """50 bins of 500 characters and one for what lies above."""
+    bucket = F.width_bucket(F.col("n_chars").cast("double"), F.lit(0.0), F.lit(25000.0), F.lit(50)) - 1
+    return table(spark, d, "documents").groupBy(bucket.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

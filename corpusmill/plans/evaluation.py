@@ -130,12 +130,12 @@ def ppl_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""WITH w AS (SELECT conv_id AS item, role AS cond, turn, unnest(ws) AS token, generate_subscripts(ws, 1) - 1 AS i FROM (SELECT conv_id, role, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM conversations WHERE turn < 2)),
+    r"""WITH w AS (SELECT conv_id * 1024 + turn AS item, role AS cond, unnest(ws) AS token, generate_subscripts(ws, 1) - 1 AS i FROM (SELECT conv_id, role, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM conversations)),
 t AS (SELECT *, count(*) OVER (PARTITION BY item, cond) AS length FROM w)
 SELECT cond, length, i AS tok_pos, count(*) AS n, round(avg(length(token)), 6) AS mean, round(stddev_pop(length(token)), 6) AS std, min_by(token, item) AS token FROM t GROUP BY cond, length, i"""
 )
 def token_position_profile(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").where("turn < 2").select(F.col("conv_id").alias("item"), F.col("role").alias("cond"), F.posexplode(T.words("text")).alias("tok_pos", "token"))
+    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1024 + F.col("turn")).alias("item"), F.col("role").alias("cond"), F.posexplode(T.words("text")).alias("tok_pos", "token"))
     got = factorial.token_profile(rows.withColumn("surprisal", F.length("token").cast("double")))
     return number(_rounded(got, "mean", "std"), "tok_pos")
 

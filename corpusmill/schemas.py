@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-_DDL = {
+#: In Spark's DDL.
+SCHEMAS: dict[str, str] = {
     "corpus": "source STRING, pos BIGINT, text STRING",
     "quadruplets": "sentence STRING, quadruplet_id INT, filler INT, gap INT, pre_gap_text STRING, post_gap_text STRING, filler_word STRING",
     "transitivity": "sentence STRING, pre_gap_text STRING, moved_np STRING, verb STRING, verb_type STRING, relativizer STRING, moved_np_animacy STRING",
@@ -20,12 +21,11 @@ _DDL = {
     "scalars": "run STRING, tag STRING, step BIGINT, value DOUBLE",
     "activations": "pair_id BIGINT, src ARRAY<FLOAT>, orc ARRAY<FLOAT>",
 }
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
     """df with the columns of the schema, in its order and types; a missing column is an error."""
-    want = SCHEMAS[name]
+    want = StructType.fromDDL(SCHEMAS[name])
     if missing := [f.name for f in want if f.name not in df.columns]:
         raise ValueError(f"{name} lacks {', '.join(missing)}")
     return df.select(*(df[f.name].cast(f.dataType).alias(f.name) for f in want))
