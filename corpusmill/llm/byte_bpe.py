@@ -14,7 +14,6 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -23,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_WORDS, Codes, blocks, spread, table
+from .common import MEMO_WORDS, Codes, blocks, remembered, spread, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 NONE = np.int32(2**31 - 1)
@@ -208,9 +207,8 @@ class Encoder:
         return b"".join(map(self.ranks.token.__getitem__, ids.tolist()))
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return remembered(("byte-bpe", path), lambda: Encoder(path))
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that a Python worker handles as one block.
-BLOCK_CHARS = 16_000_000
+#: Bytes of text that a Python worker handles as one block.
+BLOCK_CHARS = 8_000_000
 #: Distinct words that a worker remembers from block to block.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 #: White space of the text contracts: space and U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -72,17 +74,28 @@ class Codes(dict):
 def blocks(batches: Iterator, text: str = "text", size: int = BLOCK_CHARS) -> Iterator[tuple]:
     """Record batches, cut to about size bytes of text: (batch, its texts with null as empty)."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+        column = batch.column(batch.schema.get_field_index(text))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars < size):
-                chars += len(texts[end] or "")
-                end += 1
-            yield batch.slice(at, end - at), [t or "" for t in texts[at:end]]
+        while at < len(ends):
+            before = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield batch.slice(at, end - at), [t or "" for t in column.slice(at, end - at).to_pylist()]
             at = end
 
 
+_T = TypeVar("_T")
+_slot: dict = {}
+
+
+def remembered(key: tuple, make: Callable[[], _T]) -> _T:
+    """The Python worker's one memo: what make() gave for the key; another key's memo goes, so that they don't add up."""
+    if key not in _slot:
+        _slot.clear()
+        _slot[key] = make()
+    return _slot[key]
+
+
 def by_hash(column: str, seed: str) -> F.Column:
     """A number of 0 to 2^31-1, even over the values of column and alike at every run."""
     return F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(1 << 31))

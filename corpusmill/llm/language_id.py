@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_CHARS, MEMO_WORDS, Codes, blocks, by_hash, spread, table
+from .common import BLOCK_CHARS, MEMO_WORDS, Codes, blocks, by_hash, remembered, spread, table
 
 #: Labelled documents of each language that a model is fitted on, about.
 FIT_ROWS = 3000
@@ -103,15 +103,8 @@ class Words:
         self.score, self.letters = np.concatenate([self.score, score.astype(np.float32)]), np.concatenate([self.letters, letters])
 
 
-_known: dict[str, Words] = {}
-
-
 def _words(model: Model) -> Words:
-    """The worker's memo for the model; an older model's goes."""
-    if model.key not in _known:
-        _known.clear()
-        _known[model.key] = Words(model)
-    return _known[model.key]
+    return remembered(("language", model.key), lambda: Words(model))
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:

@@ -12,7 +12,6 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import blocks, spread, table
+from .common import blocks, remembered, spread, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The same vocabulary as ranks.
@@ -52,9 +51,8 @@ class Ids:
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
 
-@cache
 def _ids(vocabulary: str, ranks: str) -> Ids:
-    return Ids(vocabulary, ranks)
+    return remembered(("ids", vocabulary, ranks), lambda: Ids(vocabulary, ranks))
 
 
 def piece_lengths(n: int, longest: int = LENGTH) -> list[int]:

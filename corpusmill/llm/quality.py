@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_WORDS, Codes, blocks, by_hash, spread, stored, table
+from .common import MEMO_WORDS, Codes, blocks, by_hash, remembered, spread, stored, table
 
 #: Labelled documents of each class that a model is fitted on, at most.
 FIT_ROWS = 2000
@@ -83,14 +83,14 @@ def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the whole text's features with how often each stands there."""
     words = text.split()
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     codes = Codes()
     at = codes.of(words)
     rows, whose, hashes = word_features(list(codes))
     times = np.bincount(at, minlength=len(codes))
     every = np.bincount(np.append(rows, pair_rows(hashes[at])), weights=np.append(times[whose], np.ones(len(at) - 1)))
     kept = np.flatnonzero(every)
-    return kept, every[kept]
+    return kept.astype(np.int32), every[kept].astype(np.float32)
 
 
 def train(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +105,7 @@ def train(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             rows, times = docs[i]
             rate = RATE * (1 - step / steps)
             step += 1
-            share = (times / times.sum()).astype(np.float32) if len(rows) else np.zeros(0, np.float32)
+            share = times / times.sum() if len(rows) else np.zeros(0, np.float32)
             mean = share @ vectors[rows] if len(rows) else np.zeros(DIM, np.float32)
             z = weights @ mean + offset
             p = np.exp(z - z.max())
@@ -136,12 +136,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: in
     sample = texts.join(F.broadcast(chosen), "_id").select("_id", "_label", F.coalesce("_text", F.lit("")).alias("_text"))
 
     def fitted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        remembered(("quality", "fit"), int)  # frees another memo
         got = pd.concat([*frames, pd.DataFrame({"_id": [], "_label": [], "_text": []})]).sort_values(["_id", "_text"], kind="stable")
-        y = got["_label"].to_numpy().astype(int)
+        y, texts = got["_label"].to_numpy().astype(int), got["_text"].tolist()
+        del got
         if len(set(y)) < 2:
             yield pd.DataFrame({"logits": [b""], "offset": [float(y.mean() * 8 - 4) if len(y) else 0.0]})
             return
-        vectors, weights, offset = train(got["_text"].tolist(), y)
+        vectors, weights, offset = train(texts, y)
         logits = vectors @ (weights[1] - weights[0])
         yield pd.DataFrame({"logits": [logits.astype("<f4").tobytes()], "offset": [float(offset[1] - offset[0])]})
 
@@ -178,14 +180,8 @@ class Scorer:
         return 1 / (1 + np.exp(-z))
 
 
-_known: dict[str, Scorer] = {}
-
-
 def _scorer(model: Model) -> Scorer:
-    if model.key not in _known:
-        _known.clear()
-        _known[model.key] = Scorer(model)
-    return _known[model.key]
+    return remembered(("quality", model.key), lambda: Scorer(model))
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_WORDS, Codes, blocks, spread, table
+from .common import MEMO_WORDS, Codes, blocks, remembered, spread, table
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -84,9 +84,8 @@ class Counter:
         return np.array([int(self.pieces[w].sum()) for w in words], np.int64)
 
 
-@cache
 def _counter(path: str) -> Counter:
-    return Counter(path)
+    return remembered(("pieces", path), lambda: Counter(path))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
