@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import MEMO_WORDS, Codes, blocks, by_hash, remembered, spread, stored, table
 
 #: Labelled documents of each class that a model is fitted on, at most.
-FIT_ROWS = 2000
+FIT_ROWS = 1500
 DIM, BITS, EPOCHS, RATE, SEED = 8, 18, 6, 0.5, 1
 GRAMS = (2, 3, 4)
 #: Times the rate for the vectors, whose gradients are spread over hundreds of features.
@@ -93,19 +93,25 @@ def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return kept.astype(np.int32), every[kept].astype(np.float32)
 
 
+def _shares(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The features' rows and their shares of the text, in half precision as thousands of texts are held."""
+    rows, times = document_features(text)
+    return rows, (times / max(1, times.sum()) if len(rows) else times).astype(np.float16)
+
+
 def train(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vectors (rows x DIM), softmax weights (2 x DIM) and offsets (2), by gradient descent one document at a time."""
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     weights, offset = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-    docs = [document_features(t) for t in texts]
+    docs = [_shares(t) for t in texts]
     steps, step = max(1, EPOCHS * len(docs)), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(docs)):
-            rows, times = docs[i]
+            rows, share = docs[i]
             rate = RATE * (1 - step / steps)
             step += 1
-            share = times / times.sum() if len(rows) else np.zeros(0, np.float32)
+            share = share.astype(np.float32)
             mean = share @ vectors[rows] if len(rows) else np.zeros(DIM, np.float32)
             z = weights @ mean + offset
             p = np.exp(z - z.max())
