@@ -26,6 +26,8 @@ from .common import MEMO_WORDS, Codes, blocks, by_hash, remembered, spread, stor
 #: Labelled documents of each class that a model is fitted on, at most.
 FIT_ROWS = 1500
 DIM, BITS, EPOCHS, RATE, SEED = 8, 18, 6, 0.5, 1
+#: Steps of the training at least: a small sample is gone through more often.
+STEPS = 6000
 GRAMS = (2, 3, 4)
 #: Times the rate for the vectors, whose gradients are spread over hundreds of features.
 SPEED = 20.0
@@ -105,8 +107,9 @@ def train(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     weights, offset = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
     docs = [_shares(t) for t in texts]
-    steps, step = max(1, EPOCHS * len(docs)), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS // max(1, len(docs))))
+    steps, step = max(1, epochs * len(docs)), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(docs)):
             rows, share = docs[i]
             rate = RATE * (1 - step / steps)
