@@ -106,11 +106,11 @@ def _rows(*columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], list(names[: len(columns)]))
 
 
-def keyed(distinct: DataFrame) -> DataFrame:
+def keyed(distinct: DataFrame, cap: int = CAP) -> DataFrame:
     """The keys of distinct fingerprints: key, fp, mark.
 
-    Where a block of fingerprints has a key over CAP times, those fingerprints are marked at once:
-    CAP rows of the key go on at most, the first with mark 1, and the fingerprints of the others come
+    Where a block of fingerprints has a key over cap times, those fingerprints are marked at once:
+    cap rows of the key go on at most, the first with mark 1, and the fingerprints of the others come
     with negative keys of their own. So a key shared by a large part of all fingerprints is cut before it is dealt out.
     """
 
@@ -123,9 +123,9 @@ def keyed(distinct: DataFrame) -> DataFrame:
                 mark = np.zeros(len(keys), np.int8)
                 order = np.argsort(keys, kind="stable")
                 starts, lengths = _runs(keys[order])
-                for s, n in zip(starts[lengths > CAP].tolist(), lengths[lengths > CAP].tolist(), strict=True):
+                for s, n in zip(starts[lengths > cap].tolist(), lengths[lengths > cap].tolist(), strict=True):
                     mark[order[s]] = 1
-                    keys[order[s + CAP : s + n]] = -1
+                    keys[order[s + cap : s + n]] = -1
                 if (extra := np.flatnonzero(keys == -1)).size:
                     hot = np.unique(owner[extra])
                     yield _rows(-1 - (part[hot] & 0x7FFFFFFF), part[hot], np.ones(len(hot), np.int8))
@@ -164,8 +164,8 @@ def _links(fps: np.ndarray, starts: np.ndarray, lengths: np.ndarray, bits: int)
     return fps[linked], fps[label[linked]]
 
 
-def met(keys: DataFrame, bits: int = BITS) -> DataFrame:
-    """Links among the fingerprints of each key as (u, v), and (u, u, hot) for those of a key of over CAP."""
+def met(keys: DataFrame, bits: int = BITS, cap: int = CAP) -> DataFrame:
+    """Links among the fingerprints of each key as (u, v), and (u, u, hot) for those of a key of over cap."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_f, held_m = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
@@ -174,7 +174,7 @@ def met(keys: DataFrame, bits: int = BITS) -> DataFrame:
         def close(k: np.ndarray, f: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
             starts, lengths = _runs(k)
             marked = np.bitwise_or.reduceat(m, starts) > 0 if len(starts) else np.zeros(0, bool)
-            hot = (lengths > CAP) | marked
+            hot = (lengths > cap) | marked
             if hot.any():
                 yield hot_rows(f[np.repeat(hot, lengths)])
             fine = np.repeat(~hot & (lengths > 1), lengths)
@@ -209,7 +209,7 @@ def met(keys: DataFrame, bits: int = BITS) -> DataFrame:
             cut = int(np.searchsorted(k, k[-1], side="left"))
             yield from close(k[:cut], f[:cut], m[:cut])
             held_k, held_f, held_m = k[cut:], f[cut:], m[cut:]
-            if len(held_k) > CAP or held_m.any():
+            if len(held_k) > cap or held_m.any():
                 yield hot_rows(held_f)
                 hot_key, held_k, held_f, held_m = int(held_k[-1]), held_k[:0], held_f[:0], held_m[:0]
         yield from close(held_k, held_f, held_m)
@@ -257,9 +257,9 @@ def hot_links(hot: DataFrame, bits: int = BITS) -> DataFrame:
     return words.repartition("word").sortWithinPartitions("word", "fp").mapInArrow(linked, "u long, v long")
 
 
-def linked_fingerprints(distinct: DataFrame, bits: int = BITS) -> DataFrame:
+def linked_fingerprints(distinct: DataFrame, bits: int = BITS, cap: int = CAP) -> DataFrame:
     """Edges between different fingerprints (fp) that give the same components as all pairs within bits bits."""
-    found = stored(met(keyed(distinct), bits), "simhash-met")
+    found = stored(met(keyed(distinct, cap), bits, cap), "simhash-met")
     hot = found.where("hot").select(F.col("u").alias("fp")).distinct()
     return found.where("not hot").select("u", "v").unionByName(hot_links(hot, bits))
 
