@@ -305,25 +305,23 @@ def _table(node: Node) -> list[str]:
         elif child.tag != "tr":
             loose.children += [c for c in child.children if not child.hidden and (isinstance(c, str) or c.tag != "tr")]
     grid: list[list[tuple[int, list[str]]]] = []
+    width: dict[int, int] = {}
     for row in _rows(node):
-        at, cells = 0, []
-        outside = Node("div")
+        at, cells, outside = 0, [], Node("div")
         for cell in row.children:
             if isinstance(cell, Node) and cell.tag in ("td", "th"):
                 if not cell.hidden:
-                    cells.append((at, lines_of(cell)))
-                    at += _span(cell)
+                    lines, span = lines_of(cell), _span(cell)
+                    cells.append((at, lines))
+                    if span == 1:
+                        width[at] = max(width.get(at, 0), max(map(len, lines), default=0))
+                    at += span
             else:
                 outside.children.append(cell)
         if lines := lines_of(outside):
             cells.append((at, lines))
         if any(lines for _, lines in cells):
             grid.append(cells)
-    width: dict[int, int] = {}
-    for cells in grid:
-        for (at, lines), after in zip(cells, [*[c[0] for c in cells[1:]], None], strict=False):
-            if after is None or after == at + 1:
-                width[at] = max(width.get(at, 0), max(map(len, lines), default=0))
     columns = max((cells[-1][0] for cells in grid if cells), default=0) + 1
     starts = [0]
     for i in range(columns):
