@@ -12,31 +12,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _between(key: Column, cuts: list, first: int = 0) -> Column:
+    """How many of the sorted cuts lie below key, by bisection."""
+    if not cuts:
+        return F.lit(first)
+    mid = len(cuts) // 2
+    return F.when(key > cuts[mid], _between(key, cuts[mid + 1 :], first + mid + 1)).otherwise(_between(key, cuts[:mid], first))
+
+
 def _ranged(df: DataFrame, key: str, ranges: int | None) -> DataFrame:
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = df.select(F.approx_percentile(F.col(key), [i / n for i in range(1, n)], F.lit(1000))).first()[0] if n > 1 else None
-    at: Column = F.lit(0)
-    for cut in sorted(set(cuts or [])):
-        at = at + (F.col(key) > cut).cast("int")
-    return df.withColumn("_range", at)
+    return df.withColumn("_range", _between(F.col(key), sorted(set(cuts or []))))
 
 
-def _with_base(df: DataFrame, totals: dict[str, Column]) -> DataFrame:
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = df.groupBy("_range").agg(*(t.alias(f"_{name}") for name, t in totals.items()))
-    base = sizes.select("_range", *(F.coalesce(F.sum(f"_{name}").over(before), F.lit(0)).alias(f"_{name}") for name in totals))
-    return df.join(F.broadcast(base), "_range")  # a row for each range
+def _with_base(df: DataFrame, total: Column, name: str | None) -> DataFrame:
+    """df with _before, the total of the ranges before the row's, and under name the total of all."""
+    every = Window.partitionBy().orderBy("_range")
+    sizes = df.groupBy("_range").agg(total.alias("_t"))
+    base = [F.coalesce(F.sum("_t").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base")]
+    if name:
+        base.append(F.sum("_t").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(name))
+    return df.join(F.broadcast(sizes.select("_range", *base)), "_range")  # a row for each range
 
 
-def numbered(df: DataFrame, key: str, name: str, ties: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
-    """df with name, the running number from 0 in order of key (a number), then ties."""
-    rows = _with_base(_ranged(df, key, ranges), {"n": F.count(F.lit(1))})
+def numbered(df: DataFrame, key: str, name: str, ties: tuple[str, ...] = (), ranges: int | None = None, total: str | None = None) -> DataFrame:
+    """df with name, the running number from 0 in order of key (a number), then ties; under total the number of rows."""
+    rows = _with_base(_ranged(df, key, ranges), F.count(F.lit(1)), total)
     here = Window.partitionBy("_range").orderBy(key, *ties)
-    return rows.withColumn(name, F.col("_n") + F.row_number().over(here) - 1).drop("_range", "_n")
+    return rows.withColumn(name, F.col("_base") + F.row_number().over(here) - 1).drop("_range", "_base")
 
 
-def running_sum(df: DataFrame, key: str, value: str, name: str, ties: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
-    """df with name, the sum of value over all rows before the row in order of key (a number), then ties."""
-    rows = _with_base(_ranged(df, key, ranges), {"s": F.sum(value)})
+def running_sum(df: DataFrame, key: str, value: str, name: str, ties: tuple[str, ...] = (), ranges: int | None = None, total: str | None = None) -> DataFrame:
+    """df with name, the sum of value over all rows before the row in order of key (a number), then ties; under total the whole sum."""
+    rows = _with_base(_ranged(df, key, ranges), F.sum(value), total)
     here = Window.partitionBy("_range").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(name, F.col("_s") + F.coalesce(F.sum(value).over(here), F.lit(0))).drop("_range", "_s")
+    return rows.withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(here), F.lit(0))).drop("_range", "_base")

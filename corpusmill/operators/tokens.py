@@ -24,18 +24,15 @@ def segments(tokens: DataFrame, stream: str, order: list[str], is_end: Column) -
 
 
 def positions(rows: DataFrame, tokens: str = "words") -> DataFrame:
-    """g, pos, token_no and token of the stream that the rows' token arrays make in order of pos."""
-    sized = running_sum(rows.withColumn("_n", F.size(tokens)), "pos", "_n", "_before")
-    return sized.select("pos", "_before", F.posexplode(tokens).alias("token_no", "token")).select((F.col("_before") + F.col("token_no")).alias("g"), "pos", "token_no", "token")
+    """g, pos, token_no, token and n_stream (tokens in all) of the stream that the rows' token arrays make in order of pos."""
+    sized = running_sum(rows.withColumn("_n", F.size(tokens)), "pos", "_n", "_before", total="n_stream")
+    return sized.select("pos", "_before", "n_stream", F.posexplode(tokens).alias("token_no", "token")).select((F.col("_before") + F.col("token_no")).alias("g"), "pos", "token_no", "token", "n_stream")
 
 
 def blocks(stream: DataFrame, size: int, keep_rest: bool = False) -> DataFrame:
     """stream with block_id; what doesn't fill a block is dropped unless keep_rest."""
     out = stream.withColumn("block_id", F.floor(F.col("g") / size).cast("long"))
-    if keep_rest:
-        return out
-    whole = stream.agg(F.floor(F.count(F.lit(1)) / size).alias("_whole"))
-    return out.join(F.broadcast(whole)).where("block_id < _whole").drop("_whole")
+    return out if keep_rest else out.where(F.col("block_id") < F.floor(F.col("n_stream") / size))
 
 
 def packed(stream: DataFrame, size: int, masked: str | None = None) -> DataFrame:
@@ -59,8 +56,8 @@ def packed_in_batches(rows: DataFrame, size: int, batch_rows: int = 1000, tokens
 
 def lanes(stream: DataFrame, n_lanes: int) -> DataFrame:
     """stream cut into n_lanes equal lanes, lane and t (place in it); the rest at the end is dropped."""
-    size = stream.agg(F.floor(F.count(F.lit(1)) / n_lanes).alias("_len"))
-    rows = stream.join(F.broadcast(size)).where(F.col("g") < F.col("_len") * n_lanes)
+    length = F.floor(F.col("n_stream") / n_lanes)
+    rows = stream.withColumn("_len", length).where(F.col("g") < F.col("_len") * n_lanes)
     return rows.select("g", "token", F.floor(F.col("g") / F.col("_len")).alias("lane"), (F.col("g") % F.col("_len")).alias("t"))
 
 

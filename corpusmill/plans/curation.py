@@ -195,9 +195,10 @@ def eos_segments(spark: SparkSession, d: str) -> DataFrame:
 )
 def pack_blocks(spark: SparkSession, d: str) -> DataFrame:
     rows = tokens.blocks(tokens.positions(doc_words(spark, d)), 1024)
-    inside = F.array_sort(F.collect_list(F.struct("g", "token")))
-    digest = F.md5(F.array_join(F.transform(inside, lambda t: t["token"]), " "))
-    return rows.groupBy("block_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_distinct("pos").alias("n_docs"), digest.alias("digest"))
+    inside = rows.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("g", "token", "pos"))).alias("t"))
+    digest = F.md5(F.array_join(F.transform("t", lambda t: t["token"]), " "))
+    docs = F.size(F.array_distinct(F.transform("t", lambda t: t["pos"])))
+    return inside.select("block_id", F.size("t").cast("long").alias("n_tokens"), docs.cast("long").alias("n_docs"), digest.alias("digest"))
 
 
 @query(
