@@ -233,3 +233,24 @@ def test_streams_resume(spark, tmp_path):
     assert out().count() == 1
     docs.where("pos >= 6").coalesce(1).write.parquet(str(tmp_path / "in" / "b"))
     assert sorted(r["block_no"] for r in out().collect()) == [0, 1, 2]  # 60 words: the rest of the first run is kept
+
+
+def test_experiments(spark):
+    from corpusmill.operators import experiments
+
+    quads = generate.factorial_questions(spark, "iv")
+    pairs = experiments.intervention_pairs(quads, labels=("noun", "verb"))
+    assert pairs.count() == 2 * 1250
+    assert experiments.intervention_pairs(quads.where("not (quadruplet_id = 3 and filler = 0 and gap = 1)")).where("quadruplet_id = 3").count() == 0
+    corpora = spark.range(5).selectExpr("id as pos", "id * 2 as a")
+    assert experiments.aligned(corpora, corpora.withColumnRenamed("a", "b")).count() == 5
+    with pytest.raises(ValueError):
+        experiments.aligned(corpora, corpora.where("pos < 4").withColumnRenamed("a", "b"))
+    rows = spark.createDataFrame([(1, "the cat sat", "cat"), (2, "no match", "cat"), (3, "c.t a c.t", "c.t")], "id long, text string, anchor string")
+    got = {r["id"]: r["token_no"] for r in experiments.anchor_tokens(rows.where("id < 3"), "id", "text", "anchor").collect()}
+    assert got == {1: 1, 2: None}
+    assert experiments.anchor_tokens(rows, "id", "text", "anchor", strict=False).where("id = 3").first()["token_no"] == 0
+    with pytest.raises(Exception, match="ambiguous"):
+        experiments.anchor_tokens(rows, "id", "text", "anchor").collect()
+    name = lambda s: one(spark, experiments.train_tag(F.lit(s)))
+    assert [name(s) for s in ("train_a_augmented", "orc_baseline_wh_7", "x_baseline", "train_")] == ["a", "wh_7", "x", "train"]
