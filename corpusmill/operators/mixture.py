@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import numbered, running_sum
 from .sampling import uniform
 
 
@@ -33,7 +34,7 @@ def _draws(df: DataFrame, n: int, name: str, weights: dict[str, float], seed: in
     """n numbered draws of a source, and which one of its source each is."""
     rows = df.sparkSession.range(n).select(F.col("id").alias(name))
     rows = rows.withColumn("source", drawn(uniform(name, seed), weights))
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy("source").orderBy(name)) - 1)
+    return numbered(rows, name, "_k", by="source")
 
 
 def per_block(docs: DataFrame, weights: dict[str, float], n_blocks: int, size: int, seed: int | str) -> DataFrame:
@@ -44,8 +45,7 @@ def per_block(docs: DataFrame, weights: dict[str, float], n_blocks: int, size: i
     """
     sources = [name for name, _ in normalized(weights)]
     rows = docs.where(F.col("source").isin(sources)).withColumn("_n", F.size("words"))
-    before = Window.partitionBy("source").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    flat = rows.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    flat = running_sum(rows, "pos", "_n", "_before", by="source")
     stream = flat.select("source", "_before", F.posexplode("words").alias("_i", "token")).withColumn("g", F.col("_before") + F.col("_i"))
     sizes = rows.groupBy("source").agg(F.floor(F.sum("_n") / size).alias("_blocks"))
     draws = _draws(docs, n_blocks, "block_no", weights, seed).join(F.broadcast(sizes), "source")
@@ -57,7 +57,7 @@ def per_document(docs: DataFrame, weights: dict[str, float], n_docs: int, seed:
     """n_docs documents, each of a source drawn by weight; a source that runs out starts again. Adds doc_no."""
     sources = [name for name, _ in normalized(weights)]
     rows = docs.where(F.col("source").isin(sources))
-    here = rows.withColumn("_at", F.row_number().over(Window.partitionBy("source").orderBy("pos")) - 1)
+    here = numbered(rows, "pos", "_at", by="source")
     sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("_docs"))
     draws = _draws(docs, n_docs, "doc_no", weights, seed).join(F.broadcast(sizes), "source")
     return draws.withColumn("_at", F.col("_k") % F.col("_docs")).join(here, ["source", "_at"]).drop("_k", "_docs", "_at")

@@ -26,25 +26,31 @@ def _ranged(df: DataFrame, key: str, ranges: int | None) -> DataFrame:
     return df.withColumn("_range", _between(F.col(key), sorted(set(cuts or []))))
 
 
-def _with_base(df: DataFrame, total: Column, name: str | None) -> DataFrame:
-    """df with _before, the total of the ranges before the row's, and under name the total of all."""
-    every = Window.partitionBy().orderBy("_range")
-    sizes = df.groupBy("_range").agg(total.alias("_t"))
+def _with_base(df: DataFrame, total: Column, name: str | None, by: list[str]) -> DataFrame:
+    """df with _base, the total of the ranges before the row's, and under name the total of all; each value of by apart."""
+    every = Window.partitionBy(*by).orderBy("_range")
+    sizes = df.groupBy(*by, "_range").agg(total.alias("_t"))
     base = [F.coalesce(F.sum("_t").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base")]
     if name:
         base.append(F.sum("_t").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(name))
-    return df.join(F.broadcast(sizes.select("_range", *base)), "_range")  # a row for each range
+    table = sizes.select(*by, "_range", *base)
+    return df.join(table if by else F.broadcast(table), [*by, "_range"])  # without by a row for each range
 
 
-def numbered(df: DataFrame, key: str, name: str, ties: tuple[str, ...] = (), ranges: int | None = None, total: str | None = None) -> DataFrame:
-    """df with name, the running number from 0 in order of key (a number), then ties; under total the number of rows."""
-    rows = _with_base(_ranged(df, key, ranges), F.count(F.lit(1)), total)
-    here = Window.partitionBy("_range").orderBy(key, *ties)
+def numbered(df: DataFrame, key: str, name: str, ties: tuple[str, ...] = (), ranges: int | None = None, total: str | None = None, by: str | None = None) -> DataFrame:
+    """df with name, the running number from 0 in order of key (a number), then ties; under total the number of rows.
+
+    With by, the rows of each of its values are numbered apart; a frequent value is still cut into ranges.
+    """
+    apart = [by] if by else []
+    rows = _with_base(_ranged(df, key, ranges), F.count(F.lit(1)), total, apart)
+    here = Window.partitionBy(*apart, "_range").orderBy(key, *ties)
     return rows.withColumn(name, F.col("_base") + F.row_number().over(here) - 1).drop("_range", "_base")
 
 
-def running_sum(df: DataFrame, key: str, value: str, name: str, ties: tuple[str, ...] = (), ranges: int | None = None, total: str | None = None) -> DataFrame:
-    """df with name, the sum of value over all rows before the row in order of key (a number), then ties; under total the whole sum."""
-    rows = _with_base(_ranged(df, key, ranges), F.sum(value), total)
-    here = Window.partitionBy("_range").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
+def running_sum(df: DataFrame, key: str, value: str, name: str, ties: tuple[str, ...] = (), ranges: int | None = None, total: str | None = None, by: str | None = None) -> DataFrame:
+    """df with name, the sum of value over all rows before the row in order of key (a number), then ties; under total the whole sum. by as in numbered()."""
+    apart = [by] if by else []
+    rows = _with_base(_ranged(df, key, ranges), F.sum(value), total, apart)
+    here = Window.partitionBy(*apart, "_range").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(here), F.lit(0))).drop("_range", "_base")

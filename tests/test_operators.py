@@ -254,3 +254,13 @@ def test_experiments(spark):
         experiments.anchor_tokens(rows, "id", "text", "anchor").collect()
     name = lambda s: one(spark, experiments.train_tag(F.lit(s)))
     assert [name(s) for s in ("train_a_augmented", "orc_baseline_wh_7", "x_baseline", "train_")] == ["a", "wh_7", "x", "train"]
+
+
+def test_numbers_within_groups(spark):
+    rows = spark.range(600).select(F.when(F.col("id") % 3 == 0, "rare").otherwise("often").alias("s"), ((F.col("id") * 7919) % 600).alias("k"))
+    got = order.running_sum(order.numbered(rows, "k", "n", ranges=5, total="all", by="s"), "k", "k", "before", ranges=7, by="s").orderBy("s", "k").collect()
+    at, total, last = 0, 0, None
+    for r in got:
+        at, total = (0, 0) if r["s"] != last else (at, total)
+        assert (r["n"], r["before"], r["all"]) == (at, total, 200 if r["s"] == "rare" else 400)
+        at, total, last = at + 1, total + r["k"], r["s"]
