@@ -55,6 +55,10 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, F.xxhash64(key))
 
 
+#: New words whose features are worked out at a time.
+LEARN_WORDS = 1 << 14
+
+
 class Codes(dict):
     """Numbers words in order of first sight: codes[word]."""
 
@@ -71,6 +75,11 @@ class Codes(dict):
         return words[n:]
 
 
+def parts(words: list, size: int = LEARN_WORDS) -> Iterator[list]:
+    for at in range(0, len(words), size):
+        yield words[at : at + size]
+
+
 def blocks(batches: Iterator, text: str = "text", size: int = BLOCK_CHARS) -> Iterator[tuple]:
     """Record batches, cut to about size bytes of text: (batch, its texts with null as empty)."""
     for batch in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_CHARS, MEMO_WORDS, Codes, blocks, by_hash, remembered, spread, table
+from .common import BLOCK_CHARS, MEMO_WORDS, Codes, blocks, by_hash, parts, remembered, spread, table
 
 #: Labelled documents of each language that a model is fitted on, about.
 FIT_ROWS = 3000
@@ -85,12 +85,16 @@ class Words:
             self.forget()
         find, of = _WORD.findall, self.codes.of
         got = [of(find(t.lower())) for t in texts]
-        self.learn(self.codes.since(len(self.score)))
+        scores, letters = [self.score], [self.letters]
+        for new in parts(self.codes.since(len(self.score))):
+            score, n = self.scored(new)
+            scores.append(score)
+            letters.append(n)
+        self.score, self.letters = np.concatenate(scores), np.concatenate(letters)
         return got
 
-    def learn(self, new: list[str]) -> None:
-        if not new:
-            return
+    def scored(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and number of letters of words."""
         grams, owner, script = trigrams(new)
         rows = self.model.scores[grams]
         starts = np.searchsorted(owner, np.arange(len(new)))
@@ -100,7 +104,7 @@ class Words:
         score = np.where(may, score, score.min(axis=1, keepdims=True) - np.float32(1000))
         letters = np.fromiter((len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in new), np.int64, len(new))
         score[letters == 0] = 0
-        self.score, self.letters = np.concatenate([self.score, score.astype(np.float32)]), np.concatenate([self.letters, letters])
+        return score.astype(np.float32), letters
 
 
 def _words(model: Model) -> Words:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_WORDS, Codes, blocks, by_hash, remembered, spread, stored, table
+from .common import MEMO_WORDS, Codes, blocks, by_hash, parts, remembered, spread, stored, table
 
 #: Labelled documents of each class that a model is fitted on, at most.
 FIT_ROWS = 1500
@@ -176,11 +176,13 @@ class Scorer:
         if len(self.codes) > MEMO_WORDS:
             self.forget()
         codes = [self.codes.of(t.split()) for t in texts]
-        if new := self.codes.since(len(self.sum)):
+        sums, counts, hashed = [self.sum], [self.count], [self.hash]
+        for new in parts(self.codes.since(len(self.sum))):
             rows, whose, hashes = word_features(new)
-            self.sum = np.append(self.sum, np.bincount(whose, weights=self.model.logits[rows], minlength=len(new)))
-            self.count = np.append(self.count, np.bincount(whose, minlength=len(new)))
-            self.hash = np.append(self.hash, hashes)
+            sums.append(np.bincount(whose, weights=self.model.logits[rows], minlength=len(new)))
+            counts.append(np.bincount(whose, minlength=len(new)))
+            hashed.append(hashes)
+        self.sum, self.count, self.hash = np.concatenate(sums), np.concatenate(counts), np.concatenate(hashed)
         z = np.full(len(texts), self.model.offset)
         for i, c in enumerate(codes):
             if len(c):
