@@ -37,7 +37,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/corpusmill/{uuid.uuid4().hex}-{name}"
+    return f"{shared_folder(spark)}/corpusmill/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Deletes all tables and archives that this application has stored; results that still read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/corpusmill/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

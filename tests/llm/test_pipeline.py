@@ -82,3 +82,14 @@ def test_queries_over_empty_tables(spark, sf, tmp_path, name):
     for t in ("documents", "labels", "pages", "embeddings"):
         spark.read.parquet(f"{sf}/{t}.parquet").where("false").write.parquet(str(tmp_path / f"{t}.parquet"))
     assert __spark_entry__.queries()[name](spark, str(tmp_path)).count() == 0
+
+
+def test_stored_tables_can_be_dropped(spark):
+    from corpusmill.llm.common import drop_stored, new_folder
+
+    rows = stored(spark.range(3), "x")
+    assert rows.count() == 3 and rows.sparkSession.sparkContext.applicationId in new_folder(spark, "y")
+    drop_stored(spark)
+    drop_stored(spark)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|not exist"):
+        rows.count()
