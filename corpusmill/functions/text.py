@@ -230,3 +230,8 @@ VERB_SEEDS = (
 
 def ends_like(c: Column | str, endings: Sequence[str]) -> Column:
     return F.lower(col(c)).rlike("(" + "|".join(endings) + ")$")
+
+
+def utc_now() -> Column:
+    """The time of the query in UTC as ISO text."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

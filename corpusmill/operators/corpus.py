@@ -67,3 +67,25 @@ def coverage(words: DataFrame, vocab: DataFrame) -> DataFrame:
 def structure_frequency(corpus: DataFrame, marked: Column) -> Column:
     """Aggregate: percentage of rows that are marked, 0 without rows."""
     return F.coalesce(100 * F.avg(marked.cast("double")), F.lit(0.0))
+
+
+def all_known(rows: DataFrame, key: str, words: str, vocab: DataFrame) -> DataFrame:
+    """The rows all of whose words (an array) the vocabulary holds; rows without words pass."""
+    seen = rows.select(key, F.explode(words).alias("word"))
+    bad = seen.join(vocab.select("word").distinct(), "word", "left_anti").select(key).distinct()
+    return rows.join(bad, key, "left_anti")
+
+
+def lexicons(vocab: DataFrame) -> DataFrame:
+    """word and kind (noun, verb) of a vocabulary by endings and verb seeds.
+
+    Without any noun, all words that are no verbs by seed or ending are nouns. An error if either kind stays empty.
+    """
+    ws = vocab.select(F.lower("word").alias("word")).distinct()
+    seed, ended = F.col("word").isin(*T.VERB_SEEDS), T.ends_like("word", T.VERB_ENDINGS)
+    nouns, verbs = ws.where(T.ends_like("word", T.NOUN_ENDINGS)), ws.where(seed | ended)
+    if nouns.isEmpty():
+        nouns = ws.where(~seed & ~ended)
+    if nouns.isEmpty() or verbs.isEmpty():
+        raise ValueError("the vocabulary gives no nouns or no verbs")
+    return nouns.withColumn("kind", F.lit("noun")).unionByName(verbs.withColumn("kind", F.lit("verb")))

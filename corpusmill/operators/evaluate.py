@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..functions import text as T
 from ..functions.text import number_after
+from . import scoring
 
 
 def pair_accuracy(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -162,3 +164,39 @@ def evaluation_steps(spark, every: int, last: int) -> DataFrame:
     """The multiples of every up to last, and last."""
     steps = F.array_union(F.sequence(F.lit(every), F.lit(last), F.lit(every)), F.array(F.lit(last))) if last >= every else F.array(F.lit(last))
     return spark.range(1).select(F.explode(steps).alias("step"))
+
+
+def latest(paths: DataFrame, by: list[str], path: str = "path", step: str = "step") -> DataFrame:
+    """The path of the largest step of each group."""
+    return paths.groupBy(*by).agg(F.max_by(path, step).alias(path), F.max(step).alias(step))
+
+
+def cloze_accuracy(examples: DataFrame, scored: DataFrame) -> DataFrame:
+    """n, n_correct and accuracy by category and over all ('ALL').
+
+    examples has item, category and target_scores; scored has item, cand and logp. An example counts if all its candidates
+    are scored; it is right if its best candidate, the first of equal ones, is a gold one.
+    """
+    cands = examples.select("item", "category", gold_keys("target_scores").alias("gold"), F.posexplode(F.map_keys("target_scores")).alias("at", "cand"))
+    rows = cands.join(scored.select("item", "cand", "logp"), ["item", "cand"], "left")
+    best = rows.groupBy("item", "category").agg(F.count_if(F.col("logp").isNull()).alias("lost"), F.max_by(F.struct("cand", "gold"), F.struct("logp", -F.col("at"))).alias("b"))
+    right = best.where("lost = 0").select("category", F.array_contains("b.gold", F.col("b.cand")).cast("int").alias("ok"))
+    got = right.rollup("category").agg(F.count(F.lit(1)).alias("n"), F.sum("ok").alias("n_correct"), F.grouping("category").alias("_all"))
+    return got.select(F.when(F.col("_all") == 1, "ALL").otherwise(F.col("category")).alias("category"), "n", "n_correct", (F.col("n_correct") / F.col("n")).alias("accuracy"))
+
+
+def candidate_masses(contexts: DataFrame, candidates: DataFrame, scorer: scoring.CountScorer) -> DataFrame:
+    """slot, n_items and mean_mass: the mean over contexts of the mean over a slot's candidates of their geometric mean probability.
+
+    contexts has item_id and text, candidates slot and cand. A candidate's first word is scored after the context's
+    last one, the others after the one before.
+    """
+    last = contexts.select("item_id", T.last_word("text").alias("last"))
+    rows = last.crossJoin(F.broadcast(candidates.select("slot", "cand", T.words("cand").alias("ws"))))  # candidate lists are fixed
+    rows = rows.select("item_id", "slot", "cand", "last", "ws", F.posexplode("ws").alias("tok_pos", "token"))
+    rows = rows.withColumn("prev", F.when(F.col("tok_pos") == 0, F.col("last")).otherwise(F.try_element_at("ws", F.col("tok_pos"))))
+    distinct = rows.select("prev", "token").distinct()  # each pair is scored once
+    scored = rows.join(scorer.score(distinct), ["prev", "token"])
+    per_cand = scored.groupBy("slot", "item_id", "cand").agg(scoring.geometric_mean().alias("p"))
+    per_item = per_cand.groupBy("slot", "item_id").agg(F.avg("p").alias("p"))
+    return per_item.groupBy("slot").agg(F.count(F.lit(1)).alias("n_items"), F.avg("p").alias("mean_mass"))

@@ -31,7 +31,7 @@ class CountScorer:
         self.k = k
         self.pairs = pairs.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n_pair"))
         self.prevs = self.pairs.groupBy("prev").agg(F.sum("n_pair").alias("n_prev"))
-        self.size = self.pairs.agg(F.count_distinct("token").alias("n_vocab"))
+        self.size = self.pairs.agg(F.greatest(F.count_distinct("token"), F.lit(1)).alias("n_vocab"))
 
     def score(self, rows: DataFrame) -> DataFrame:
         """rows (with prev and token) and logp."""

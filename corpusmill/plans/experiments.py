@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as T
-from ..operators import evaluate, experiments, factorial, scoring
+from ..operators import corpus, evaluate, experiments, factorial, scoring
 from ..operators import generate as G
 from . import generation as gen
 from .base import SQL_BARE, bare, number, table
@@ -160,8 +160,30 @@ def set_operations(spark: SparkSession, d: str) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@query("SELECT lang, count(*) AS n, count(*) FILTER (WHERE ok) AS n_known FROM (SELECT lang, list_bool_and(list_transform(string_split(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' ')[:3], lambda w: length(w) <= 6)) AS ok FROM documents) GROUP BY lang")
-def all_words_short(spark: SparkSession, d: str) -> DataFrame:
-    """Rows whose first three words all pass a test, as with words that a vocabulary must hold."""
-    first = F.slice(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]", "")), " "), 1, 3)
-    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.forall(first, lambda w: F.length(w) <= 6)).alias("n_known"))
+@query(r"WITH w AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS word FROM benchmark), v AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '\s+')) AS word FROM documents) SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM w WHERE word NOT IN (SELECT word FROM v))")
+def rows_of_known_words(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "benchmark").select("item_id", T.words("text").alias("words"))
+    vocab = table(spark, d, "documents").select(F.explode(T.words("text")).alias("word"))
+    return corpus.all_known(rows, "item_id", "words", vocab).select("item_id")
+
+
+@query(r"WITH v AS (SELECT DISTINCT lower(unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))) AS word FROM documents) SELECT word, 'noun' AS kind FROM v WHERE regexp_matches(word, '(tion|ment|ness|ity|er|or|ist|ship|age)$') UNION ALL SELECT word, 'verb' FROM v WHERE regexp_matches(word, '(ed|ing)$') OR word IN (" + ", ".join(f"'{w}'" for w in T.VERB_SEEDS) + ")")
+def suffix_lexicons(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.lexicons(table(spark, d, "documents").select(F.explode(T.words("text")).alias("word")))
+
+
+@query(
+    f"WITH quads AS ({gen._clause_quads('iv')}), w AS (SELECT string_split(regexp_replace(sentence, '[.]$', ''), ' ') AS ws FROM quads), b AS (SELECT unnest(ws[:-2]) AS prev, unnest(ws[2:]) AS token FROM w), "
+    "p AS (SELECT prev, token, count(*) AS n_pair FROM b GROUP BY prev, token), q AS (SELECT prev, sum(n_pair) AS n_prev FROM p GROUP BY prev), v AS (SELECT count(DISTINCT token) AS n FROM p), "
+    f"x AS (SELECT DISTINCT pre_gap_text AS item_id, string_split(pre_gap_text, ' ')[-1] AS last FROM quads), c AS (SELECT slot, cand, string_split(cand, ' ') AS ws FROM ({gen._candidates('clause', 'iv')})), "
+    "r AS (SELECT item_id, slot, cand, i, token, CASE WHEN i = 1 THEN last ELSE ws[i - 1] END AS prev FROM (SELECT item_id, last, slot, cand, ws, unnest(ws) AS token, generate_subscripts(ws, 1) AS i FROM x, c)), "
+    "s AS (SELECT item_id, slot, cand, exp(avg(ln((coalesce(n_pair, 0) + 0.5::DOUBLE) / (coalesce(n_prev, 0) + 0.5::DOUBLE * v.n)))) AS g FROM r LEFT JOIN p ON p.prev = r.prev AND p.token = r.token LEFT JOIN q ON q.prev = r.prev, v GROUP BY item_id, slot, cand), "
+    "m AS (SELECT slot, item_id, avg(g) AS g FROM s GROUP BY slot, item_id) SELECT slot, count(*) AS n_items, round(avg(g), 9) AS mean_mass FROM m GROUP BY slot"
+)
+def context_candidate_masses(spark: SparkSession, d: str) -> DataFrame:
+    """Probability masses of noun phrases, verb phrases and the question mark after the contexts of the quadruplets."""
+    quads = G.factorial_clauses(spark, "iv")
+    words = quads.select((F.col("quadruplet_id") * 4 + F.col("filler") * 2 + F.col("gap")).alias("pos"), F.posexplode(T.words(F.regexp_replace("sentence", "[.]$", ""))).alias("word_no", "word"))
+    contexts = quads.select(F.col("pre_gap_text").alias("item_id"), F.col("pre_gap_text").alias("text")).distinct()
+    got = evaluate.candidate_masses(contexts, G.candidates(spark, "clause", "iv"), scoring.CountScorer(scoring.bigrams(words), k=0.5))
+    return got.withColumn("mean_mass", F.round("mean_mass", 9))

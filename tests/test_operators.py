@@ -264,3 +264,21 @@ def test_numbers_within_groups(spark):
         at, total = (0, 0) if r["s"] != last else (at, total)
         assert (r["n"], r["before"], r["all"]) == (at, total, 200 if r["s"] == "rare" else 400)
         at, total, last = at + 1, total + r["k"], r["s"]
+
+
+def test_cloze_and_lexicons(spark):
+    ex = spark.createDataFrame([(0, "a", {"x": 1.0, "y": 0.0}), (1, "a", {"x": 0.0, "y": 1.0}), (2, "b", {"x": 1.0, "y": 0.0}), (3, "b", {"x": 1.0, "y": 0.0})], "item long, category string, target_scores map<string,double>")
+    scored = spark.createDataFrame([(0, "x", -1.0), (0, "y", -1.0), (1, "x", -1.0), (1, "y", -2.0), (2, "x", -1.0), (2, "y", -2.0), (3, "x", -1.0)], "item long, cand string, logp double")
+    got = {r["category"]: (r["n"], r["n_correct"]) for r in evaluate.cloze_accuracy(ex, scored).collect()}
+    assert got == {"a": (2, 1), "b": (1, 1), "ALL": (3, 2)}  # a tie goes to the first, an unscored example doesn't count
+    words = lambda *w: spark.createDataFrame([(x,) for x in w], "word string")
+    kinds = lambda rows: {(r["word"], r["kind"]) for r in corpus.lexicons(rows).collect()}
+    assert kinds(words("Nation", "walked", "see")) == {("nation", "noun"), ("walked", "verb"), ("see", "verb")}
+    assert kinds(words("dog", "see")) == {("dog", "noun"), ("see", "verb")}
+    with pytest.raises(ValueError):
+        corpus.lexicons(words("dog"))
+    rows = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "z"]), (3, [])], "id long, ws array<string>")
+    assert {r["id"] for r in corpus.all_known(rows, "id", "ws", words("a", "b")).collect()} == {1, 3}
+    paths = spark.createDataFrame([("r", "p1", 1), ("r", "p10", 10)], "run string, path string, step long")
+    assert evaluate.latest(paths, ["run"]).first()["path"] == "p10"
+    assert len(one(spark, T.utc_now())) == 20
