@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .order import numbered, running_sum
+from .order import even_cuts, numbered, running_sum
 from .sampling import uniform
 
 
@@ -34,7 +34,7 @@ def _draws(df: DataFrame, n: int, name: str, weights: dict[str, float], seed: in
     """n numbered draws of a source, and which one of its source each is."""
     rows = df.sparkSession.range(n).select(F.col("id").alias(name))
     rows = rows.withColumn("source", drawn(uniform(name, seed), weights))
-    return numbered(rows, name, "_k", by="source")
+    return numbered(rows, name, "_k", by="source", cuts=even_cuts(rows, n))
 
 
 def per_block(docs: DataFrame, weights: dict[str, float], n_blocks: int, size: int, seed: int | str) -> DataFrame:

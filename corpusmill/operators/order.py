@@ -20,9 +20,16 @@ def _between(key: Column, cuts: list, first: int = 0) -> Column:
     return F.when(key > cuts[mid], _between(key, cuts[mid + 1 :], first + mid + 1)).otherwise(_between(key, cuts[:mid], first))
 
 
-def _ranged(df: DataFrame, key: str, ranges: int | None) -> DataFrame:
+def even_cuts(df: DataFrame, end: int, ranges: int | None = None) -> list[int]:
+    """Cuts for a key that is spread evenly over 0 to end."""
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.select(F.approx_percentile(F.col(key), [i / n for i in range(1, n)], F.lit(1000))).first()[0] if n > 1 else None
+    return [end * i // n for i in range(1, n)]
+
+
+def _ranged(df: DataFrame, key: str, ranges: int | None, cuts: list | None) -> DataFrame:
+    if cuts is None:
+        n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cuts = df.select(F.approx_percentile(F.col(key), [i / n for i in range(1, n)], F.lit(1000))).first()[0] if n > 1 else []
     return df.withColumn("_range", _between(F.col(key), sorted(set(cuts or []))))
 
 
@@ -37,13 +44,14 @@ def _with_base(df: DataFrame, total: Column, name: str | None, by: list[str]) ->
     return df.join(table if by else F.broadcast(table), [*by, "_range"])  # without by a row for each range
 
 
-def numbered(df: DataFrame, key: str, name: str, ties: tuple[str, ...] = (), ranges: int | None = None, total: str | None = None, by: str | None = None) -> DataFrame:
+def numbered(df: DataFrame, key: str, name: str, ties: tuple[str, ...] = (), ranges: int | None = None, total: str | None = None, by: str | None = None, cuts: list | None = None) -> DataFrame:
     """df with name, the running number from 0 in order of key (a number), then ties; under total the number of rows.
 
     With by, the rows of each of its values are numbered apart; a frequent value is still cut into ranges.
+    cuts are the ranges' bounds, where they are known; otherwise they are looked for.
     """
     apart = [by] if by else []
-    rows = _with_base(_ranged(df, key, ranges), F.count(F.lit(1)), total, apart)
+    rows = _with_base(_ranged(df, key, ranges, cuts), F.count(F.lit(1)), total, apart)
     here = Window.partitionBy(*apart, "_range").orderBy(key, *ties)
     return rows.withColumn(name, F.col("_base") + F.row_number().over(here) - 1).drop("_range", "_base")
 
@@ -51,6 +59,6 @@ def numbered(df: DataFrame, key: str, name: str, ties: tuple[str, ...] = (), ran
 def running_sum(df: DataFrame, key: str, value: str, name: str, ties: tuple[str, ...] = (), ranges: int | None = None, total: str | None = None, by: str | None = None) -> DataFrame:
     """df with name, the sum of value over all rows before the row in order of key (a number), then ties; under total the whole sum. by as in numbered()."""
     apart = [by] if by else []
-    rows = _with_base(_ranged(df, key, ranges), F.sum(value), total, apart)
+    rows = _with_base(_ranged(df, key, ranges, None), F.sum(value), total, apart)
     here = Window.partitionBy(*apart, "_range").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(here), F.lit(0))).drop("_range", "_base")

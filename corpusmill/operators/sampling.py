@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .order import numbered
+from .order import even_cuts, numbered
 
 
 def draw(key: Column | str, seed: int | str) -> Column:
@@ -34,7 +34,7 @@ def choose(pool: list[str], key: Column | str, seed: int | str) -> Column:
 def ranked(df: DataFrame, key: str, seed: int | str, name: str = "_rank") -> DataFrame:
     """df with the row's place from 0 in random order."""
     spot = df.withColumn("_draw", F.conv(F.substring(draw(key, seed), 1, 15), 16, 10).cast("long"))
-    return numbered(spot, "_draw", name, (key,)).drop("_draw")
+    return numbered(spot, "_draw", name, (key,), cuts=even_cuts(df, 1 << 60)).drop("_draw")
 
 
 def shuffled(df: DataFrame, key: str, seed: int | str) -> DataFrame:
