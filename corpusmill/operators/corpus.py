@@ -47,10 +47,13 @@ def words_of(corpus: DataFrame) -> DataFrame:
 
 
 def vocabulary(words: DataFrame) -> DataFrame:
-    """word, idx by first occurrence and freq, from words with pos and word_no."""
-    seen = words.groupBy("word").agg(F.min(F.struct("pos", "word_no")).alias("at"), F.count(F.lit(1)).alias("freq"))
-    flat = seen.select("word", "freq", F.col("at.pos").alias("pos"), F.col("at.word_no").alias("word_no"))
-    return numbered(flat, "pos", "idx", ("word_no",)).select("word", "idx", "freq")
+    """word, idx by first occurrence and freq, from words with pos and word_no (under 2^31).
+
+    Both make one decimal, so that the smallest is found by a hash aggregate.
+    """
+    at = F.col("pos").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("word_no").cast("decimal(10,0)")
+    seen = words.groupBy("word").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("freq"))
+    return numbered(seen, "at", "idx").select("word", "idx", "freq")
 
 
 def encoded(words: DataFrame, vocab: DataFrame, unknown: int = -1) -> DataFrame:

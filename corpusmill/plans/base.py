@@ -25,8 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents over as many partitions as there are cores at least: a table of fewer splits is dealt out, as splitting texts takes long."""
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.select("doc_id", "text").repartition(cores, "doc_id")
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.lines(table(spark, sf_dir, "documents"))
+    return corpus.lines(documents(spark, sf_dir))
 
 
 def bare(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +42,7 @@ def bare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pos (the document's id) and words."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "doc_id", T.words("text").alias("words"))
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("pos"), "doc_id", T.words("text").alias("words"))
 
 
 def number(df: DataFrame, *columns: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions import text as T
 from ..operators import corpus, evaluate, factorial, scoring
-from .base import SQL_DOC_WORDS, number, table
+from .base import SQL_DOC_WORDS, documents, number, table
 from .catalog import query
 
 _ITEMS = """items AS (SELECT l_suppkey AS item, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS filler, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS gap, avg(l_quantity) AS y FROM lineitem GROUP BY ALL)"""
@@ -104,7 +104,7 @@ scored AS (SELECT b.doc_id, b.tok_pos, b.token, ln((n_pair + 0.1::DOUBLE) / (n_p
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").select("doc_id", F.posexplode(T.words("text")).alias("word_no", "word"))
+    words = documents(spark, d).select("doc_id", F.posexplode(T.words("text")).alias("word_no", "word"))
     rows = scoring.bigrams(words, "doc_id")
     return scoring.CountScorer(rows, k=0.1).score(rows)
 
