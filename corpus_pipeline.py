@@ -11,7 +11,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import exact_dedup, language_id, packing, quality, simhash
+from corpusmill.llm import exact_dedup, language_id, packing, quality, similar
 from corpusmill.llm.common import stored, table
 
 
@@ -32,8 +32,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops all but one of each group of near-duplicates."""
-    return simhash.without_near_copies(docs)
+    """Drops all but one of each group of near-duplicates: 5-word similarity 0.8 or more."""
+    return similar.without_similar(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
