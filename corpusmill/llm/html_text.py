@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +49,6 @@ IMPLIED = {
     "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
     "body": (frozenset(["head"]), frozenset()),
 }
-#: Elements nested deeper become siblings.
-DEPTH = 150
 
 
 class Node:
@@ -82,7 +81,7 @@ def _hidden(tag: str, attributes: str) -> bool:
 def tree(text: str) -> Node:
     """The element tree of a page, with implied end tags; whatever is still open at the end is closed."""
     root = Node("html")
-    stack, at = [root], 0
+    stack, opened, at = [root], Counter(), 0
     match = _TOKEN.match
     while at < len(text):
         m = match(text, at)
@@ -94,14 +93,14 @@ def tree(text: str) -> Node:
             continue
         tag = tag.lower()
         if end:
-            _close(stack, tag)
+            _close(stack, opened, tag)
             continue
         if tag in CLOSES_P:
-            _close_open(stack, frozenset(["p"]), frozenset(["td", "th", "table", "button", "caption"]))
+            _close_open(stack, opened, frozenset(["p"]), frozenset(["td", "th", "table", "button", "caption"]))
         if tag in IMPLIED:
-            _close_open(stack, *IMPLIED[tag])
+            _close_open(stack, opened, *IMPLIED[tag])
         elif stack[-1].tag == "head" and tag not in NEVER:
-            stack.pop()
+            _pop(stack, opened, len(stack) - 1)
         if tag in ("html", "body") and len(stack) >= 1:
             if not _hidden(tag, attributes):
                 continue
@@ -112,16 +111,22 @@ def tree(text: str) -> Node:
             if not node.hidden:
                 node.children.append(text[at : close.start() if close else len(text)])
             at = close.end() if close else len(text)
-        elif tag not in VOID and len(stack) < DEPTH:
+        elif tag not in VOID:
             stack.append(node)
+            opened[tag] += 1
     return root
 
 
-def _close(stack: list[Node], tag: str) -> None:
+def _pop(stack: list[Node], opened: Counter, at: int) -> None:
+    opened.subtract(node.tag for node in stack[at:])
+    del stack[at:]
+
+
+def _close(stack: list[Node], opened: Counter, tag: str) -> None:
     """Ends the innermost open element of that tag with all inside it; a stray end tag does nothing, but </p> and </br>."""
-    for i in range(len(stack) - 1, 0, -1):
+    for i in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
         if stack[i].tag == tag:
-            del stack[i:]
+            _pop(stack, opened, i)
             return
         if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "thead", "tbody", "tfoot", "td", "th", "body", "html"):
             break
@@ -129,8 +134,10 @@ def _close(stack: list[Node], tag: str) -> None:
         stack[-1].children.append(Node(tag))
 
 
-def _close_open(stack: list[Node], ends: frozenset, stops: frozenset) -> None:
+def _close_open(stack: list[Node], opened: Counter, ends: frozenset, stops: frozenset) -> None:
     """Ends the outermost open element of ends that no element of stops lies above."""
+    if not any(opened[tag] > 0 for tag in ends):
+        return
     found = 0
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in stops:
@@ -138,7 +145,7 @@ def _close_open(stack: list[Node], ends: frozenset, stops: frozenset) -> None:
         if stack[i].tag in ends:
             found = i
     if found:
-        del stack[found:]
+        _pop(stack, opened, found)
 
 
 class _Lines:
@@ -192,7 +199,22 @@ class _Lines:
             self.lines += lines
 
 
-def _render(node: Node, out: _Lines, pre: bool = False) -> None:
+def _run(step: Generator):
+    """The result of a generator that yields generators and gets their results: recursion as deep as memory goes."""
+    stack, value = [step], None
+    while stack:
+        try:
+            below = stack[-1].send(value)
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+        else:
+            stack.append(below)
+            value = None
+    return value
+
+
+def _render(node: Node, out: _Lines, pre: bool = False) -> Generator:
     for child in node.children:
         if isinstance(child, str):
             part = html.unescape(child) if "&" in child else child
@@ -219,31 +241,36 @@ def _render(node: Node, out: _Lines, pre: bool = False) -> None:
         elif tag in ("ul", "ol", "menu", "dir"):
             inside = out.__class__ is _Lines and node.tag == "li"
             out.end(gap=not inside)
-            out.whole(_list(child))
+            out.whole((yield _list(child)))
             out.end(gap=not inside)
         elif tag == "table":
             out.end(gap=True)
-            out.whole(_table(child))
+            out.whole((yield _table(child)))
             out.end(gap=True)
         elif tag in ("blockquote", "dd"):
             out.end(gap=tag in SPACED)
-            out.whole(["  " + x if x else "" for x in lines_of(child)])
+            inner = yield _lines_of(child)
+            out.whole(["  " + x if x else "" for x in inner])
             out.end(gap=tag in SPACED)
         elif tag in BLOCK:
             out.end(gap=tag in SPACED)
-            _render(child, out, pre or tag in ("pre", "listing", "xmp", "plaintext"))
+            yield _render(child, out, pre or tag in ("pre", "listing", "xmp", "plaintext"))
             out.end(gap=tag in SPACED)
         elif tag in ("td", "th"):
             out.space = True
-            _render(child, out, pre)
+            yield _render(child, out, pre)
             out.space = True
         else:
-            _render(child, out, pre or tag == "textarea")
+            yield _render(child, out, pre or tag == "textarea")
 
 
 def lines_of(node: Node, pre: bool = False) -> list[str]:
+    return _run(_lines_of(node, pre))
+
+
+def _lines_of(node: Node, pre: bool = False) -> Generator:
     out = _Lines()
-    _render(node, out, pre)
+    yield _render(node, out, pre)
     out.end()
     lines = out.lines
     while lines and not lines[-1].strip():
@@ -253,7 +280,7 @@ def lines_of(node: Node, pre: bool = False) -> list[str]:
     return lines
 
 
-def _list(node: Node) -> list[str]:
+def _list(node: Node) -> Generator:
     """Items behind a dash or their number, what follows in an item under its first line."""
     got, number = [], 1
     start = node.attribute("start") if node.tag == "ol" else None
@@ -263,7 +290,7 @@ def _list(node: Node) -> list[str]:
     for child in [*node.children, None]:
         if child is None or isinstance(child, Node) and child.tag == "li":
             if any(isinstance(c, Node) or not c.isspace() for c in loose.children):
-                got += lines_of(loose)
+                got += yield _lines_of(loose)
             loose = Node(node.tag)
             if child is None or child.hidden:
                 continue
@@ -274,7 +301,7 @@ def _list(node: Node) -> list[str]:
                     number = int(value)
                 mark = f"{number}. "
                 number += 1
-            first, *rest = lines_of(child) or [""]
+            first, *rest = (yield _lines_of(child)) or [""]
             got.append((mark + first).rstrip())
             got += [" " * len(mark) + x if x else "" for x in rest]
         else:
@@ -296,7 +323,7 @@ def _span(cell: Node) -> int:
     return min(1000, max(1, int(value))) if re.fullmatch(r"\s*\d{1,6}\s*", value) else 1
 
 
-def _table(node: Node) -> list[str]:
+def _table(node: Node) -> Generator:
     """The caption and what stands outside of rows, then the rows, their cells in columns two spaces apart."""
     loose = Node("div")
     for child in node.children:
@@ -311,14 +338,14 @@ def _table(node: Node) -> list[str]:
         for cell in row.children:
             if isinstance(cell, Node) and cell.tag in ("td", "th"):
                 if not cell.hidden:
-                    lines, span = lines_of(cell), _span(cell)
+                    lines, span = (yield _lines_of(cell)), _span(cell)
                     cells.append((at, lines))
                     if span == 1:
                         width[at] = max(width.get(at, 0), max(map(len, lines), default=0))
                     at += span
             else:
                 outside.children.append(cell)
-        if lines := lines_of(outside):
+        if lines := (yield _lines_of(outside)):
             cells.append((at, lines))
         if any(lines for _, lines in cells):
             grid.append(cells)
@@ -326,7 +353,7 @@ def _table(node: Node) -> list[str]:
     starts = [0]
     for i in range(columns):
         starts.append(starts[-1] + (width.get(i, 0) + 2 if i in width else 0))
-    got = lines_of(loose)
+    got = yield _lines_of(loose)
     for cells in grid:
         for k in range(max((len(lines) for _, lines in cells), default=0)):
             line = ""

@@ -110,3 +110,16 @@ def test_damage_is_found():
 
 def test_warc_query(spark, sf, duck):
     same(warc.op6_warc(spark, sf).toPandas(), duck.sql(warc.SQL).df())
+
+
+@pytest.mark.parametrize("depth", [160, 5000, 50_000])
+def test_depth_changes_nothing(depth):
+    """Behind many open elements hidden text stays hidden, lists and tables keep their form, end tags close their own."""
+    inner = "<div hidden>no<b>no</b></div><noscript>no</noscript><ul><li>a</ul><table><tr><td>b<td>c</table><blockquote>q</blockquote>"
+    for opened in ("<b>", "<span>", "<font>"):
+        assert html_text.visible_text(opened * depth + inner) == "- a\n\nb  c\n\n  q"
+    assert html_text.visible_text("<div hidden>" + "<i>" * depth + "</i>" * depth + "no</div>yes") == "yes"
+
+
+def test_deep_tables():
+    assert html_text.visible_text("<table><tr><td>" * 500 + "x") == "x"
