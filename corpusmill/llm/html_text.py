@@ -1,6 +1,7 @@
 """HTML to text as it is laid out.
 
 A tree builder reads the tags, adds the end tags that HTML leaves out and drops what is never shown.
+select, math and svg are dropped too, though browsers show them: their text isn't running text.
 A renderer then writes the tree: block elements on lines of their own with blank lines around
 paragraphs, items of lists behind their marks, cells of tables in aligned columns.
 """
@@ -25,7 +26,7 @@ _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
-# Fixed values of the HTML standard: which elements are void, hold raw text, are never shown, stand in blocks.
+# Fixed values of the HTML standard: which elements are void, hold raw text, are never shown (besides select, math and svg, left out by choice), stand in blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 NEVER = frozenset("head script style template title noscript noembed noframes iframe object audio video canvas datalist svg math select area base link meta param source track".split())
