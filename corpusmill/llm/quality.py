@@ -136,6 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: in
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
+    known = known.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi")
     chosen = None
     for label in (0, 1):
         one = known.where(F.col("_label") == label).withColumn("_hash", by_hash("_id", "quality-fit")).orderBy("_hash", "_id").limit(rows)

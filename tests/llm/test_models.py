@@ -160,3 +160,12 @@ def test_top_k_over_many_blocks(spark, monkeypatch):
 
 def test_top_k_query(spark, sf, duck):
     same(vector_search.op7_top_k(spark, sf).toPandas(), duck.sql(vector_search.SQL).df())
+
+
+def test_labels_without_a_document_use_up_no_bound(spark):
+    """With a bound of three a class, the few documents that are there are learnt from among many labels."""
+    docs = spark.createDataFrame([(i, "good words" if i % 2 else "bad junk") for i in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, rows=3)
+    score = {r["doc_id"]: r["score"] for r in quality.scored(docs, model).collect()}
+    assert min(score[i] for i in (1, 3, 5)) > max(score[i] for i in (0, 2, 4))
