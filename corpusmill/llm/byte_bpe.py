@@ -1,11 +1,10 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The distinct pre-tokens of a block of texts are laid out as one array of symbols. An inverted index
+The distinct pre-tokens of the corpus (words.py) are laid out as arrays of symbols. An inverted index
 leads from the rank of a token pair to the positions where the pair stands. Ranks are taken in
 rising order; a merge is applied at all its positions with array operations and then looks only at
-the two neighbours of each, whose new pairs enter the index. Every distinct pre-token is encoded
-once; documents are put together from pre-token numbers, and a worker remembers pre-tokens from
-block to block.
+the two neighbours of each, whose new pairs enter the index. Every distinct pre-token of the corpus is encoded
+once; its ids are joined back to the documents.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -22,7 +21,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_WORDS, Codes, blocks, remembered, spread, table
+from .common import Codes, remembered, table
+from .words import joined, numbers, split_blocks, worked
 
 RANKS = "byte_bpe_50k.tiktoken"
 NONE = np.int32(2**31 - 1)
@@ -86,12 +86,19 @@ class Ranks:
         return got
 
 
+def _merged(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Of the sorted positions of one pair those that merge from left to right: of a chain of overlapping ones every other."""
+    chained = np.zeros(len(at), bool)
+    chained[1:] = after[at[:-1]] == at[1:]
+    first = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+    return at[(np.arange(len(at)) - first) % 2 == 0]
+
+
 def replay(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
     """The token ids of all words in a row, and where each word's ids start (one more for the end).
 
-    As the library does it, a word that is itself a token is that token. Of the pairs of one rank
-    in one word, the leftmost is merged first and the others wait in the index, since the merge
-    may bring up a pair of lower rank.
+    As the library does it, a word that is itself a token is that token. All positions of a rank are merged at once. If one of these
+    merges brings up a pair of lower rank, that word's positions to its right wait until the lower pair has had its turn.
     """
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths)
@@ -141,15 +148,33 @@ def replay(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
             continue
         if len(at) > 1:
             at = at[np.append(True, at[1:] != at[:-1])]
-            first = np.ones(len(at), bool)
-            first[1:] = word[at[1:]] != word[at[:-1]]
-            if not first.all():
-                index[r] = [at[~first]]
-                heapq.heappush(heap, r)
-                at = at[first]
+        every = at
+        at = _merged(at, after)
         right = after[at]
-        beyond = after[right]
-        symbol[at], alive[right], rank[right], rank[at] = r, False, NONE, NONE
+        beyond, behind = after[right], before[at]
+        old = symbol[at].copy()
+        # The pair to the right as it is when its turn comes: what follows isn't merged yet.
+        follows = np.full(len(at), NONE, np.int32)
+        there = np.flatnonzero(beyond >= 0)
+        follows[there] = ranks.pair(np.full(len(there), r, np.int32), symbol[beyond[there]])
+        symbol[at] = r
+        beside = behind.copy()
+        beside[1:] = np.where(behind[1:] == right[:-1], at[:-1], behind[1:])  # merged just before
+        leads = np.full(len(at), NONE, np.int32)
+        there = np.flatnonzero(beside >= 0)
+        leads[there] = ranks.pair(symbol[beside[there]], np.full(len(there), r, np.int32))
+        lower = np.flatnonzero((follows < r) | (leads < r))
+        if len(lower):
+            w = word[at]
+            hit, first = np.unique(w[lower], return_index=True)
+            stop = np.full(len(words), len(at))
+            stop[hit] = lower[first]
+            now = np.arange(len(at)) <= stop[w]
+            symbol[at[~now]] = old[~now]
+            index[r] = [every]  # those merged now lose the rank
+            heapq.heappush(heap, r)
+            at, right, beyond, behind = at[now], right[now], beyond[now], behind[now]
+        alive[right], rank[right], rank[at] = False, NONE, NONE
         after[at] = beyond
         there = beyond >= 0
         before[beyond[there]] = at[there]
@@ -157,6 +182,7 @@ def replay(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
         p = before[at]
         p = p[p >= 0]
         near = np.concatenate([a, p])
+        near = near[after[near] >= 0]
         got = ranks.pair(symbol[near], symbol[after[near]])
         rank[near] = got
         new = got != NONE
@@ -166,62 +192,61 @@ def replay(words: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Encodes texts from remembered pre-tokens."""
+    """Encodes pre-tokens and decodes ids."""
 
     def __init__(self, path: str):
-        self.ranks, self.pattern = Ranks(path), pretokens()
+        self.ranks = Ranks(path)
         self.text = [str(i) for i in range(len(self.ranks.token))]
-        self.forget()
-
-    def forget(self) -> None:
-        #: By number of pre-token: its ids as little-endian 32-bit numbers, and how many.
-        self.codes, self.ids, self.counts = Codes(), [], np.zeros(0, np.int64)
-        self.spelled: list[str] = []
-        self.back: list[bytes] = []
-
-    def codes_of(self, texts: list[str]) -> list[np.ndarray]:
-        """The numbers of each text's pre-tokens, all of them encoded."""
-        if len(self.codes) > MEMO_WORDS:
-            self.forget()
-        find, of = self.pattern.findall, self.codes.of
-        got = [of(find(t)) for t in texts]
-        new = [w.encode() for w in self.codes.since(len(self.ids))]
-        if new:
-            ids, starts = replay(new, self.ranks)
-            raw, at = ids.astype("<u4").tobytes(), (4 * starts).tolist()
-            self.ids += [raw[i:j] for i, j in zip(at, at[1:])]
-            self.counts = np.concatenate([self.counts, np.diff(starts)])
-        return got
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Each word's ids as little-endian 32-bit numbers."""
+        found, starts = replay([w.encode() for w in words], self.ranks)
+        raw, at = found.astype("<u4").tobytes(), (4 * starts).tolist()
+        return [raw[i:j] for i, j in zip(at, at[1:])]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(b"".join(map(self.ids.__getitem__, c.tolist())), "<u4").astype(np.int32) for c in self.codes_of(texts)]
+        """The ids of texts at hand, each of their distinct pre-tokens encoded once."""
+        codes, find = Codes(), pretokens().findall
+        held = [codes.of(find(t)).tolist() for t in texts]
+        raws = self.ids(list(codes)) if codes else []
+        return [np.frombuffer(b"".join(map(raws.__getitem__, c)), "<u4").astype(np.int32) for c in held]
 
-    def spell(self) -> None:
-        """Fills spelled (decimal ids joined by a space) and back (decoded bytes) for all pre-tokens."""
-        for raw in self.ids[len(self.spelled) :]:
-            ids = np.frombuffer(raw, "<u4").tolist()
-            self.spelled.append(" ".join(map(self.text.__getitem__, ids)))
-            self.back.append(b"".join(map(self.ranks.token.__getitem__, ids)))
+    def spelled(self, raw: bytes) -> str:
+        """The decimal ids joined by one space."""
+        return " ".join(map(self.text.__getitem__, np.frombuffer(raw, "<u4").tolist()))
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.ranks.token.__getitem__, ids.tolist()))
+    def decoded(self, raw: bytes | np.ndarray) -> bytes:
+        return b"".join(map(self.ranks.token.__getitem__, np.frombuffer(raw, "<u4").tolist()))
 
 
 def encoder(path: str) -> Encoder:
     return remembered(("byte-bpe", path), lambda: Encoder(path))
 
 
+def _split() -> Callable[[str], list[str]]:
+    return pretokens().findall
+
+
+def _joined(docs: DataFrame, path: str, finisher: Callable, schema: str, id_col: str, text_col: str) -> DataFrame:
+    table = split_blocks(docs, _split, False, id_col, text_col)
+    values = worked(table, lambda: lambda words: pa.array(encoder(path).ids(words), pa.binary()), "binary")
+    return joined(table, values, lambda: finisher, schema)
+
+
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the token ids (array of int) of each row of docs; null texts count as empty."""
+    """doc_id and the token ids (array of int) of each row of docs.
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
-        for batch, texts in blocks(batches):
-            ids = pa.array([x.astype(np.int32) for x in coder.encode(texts)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+    Null texts count as empty, rows that repeat are encoded each by itself, a null doc_id is passed on, columns other than the
+    two named ones are not read, an empty table gives no rows.
+    """
+
+    def finish(rows: pa.Table, values: pa.Array) -> pa.Table:
+        raws, out = values.to_pylist(), []
+        for raw, width in zip(rows.column("codes").to_pylist(), rows.column("width").to_pylist(), strict=True):
+            out.append(np.frombuffer(b"".join(map(raws.__getitem__, numbers(raw, width).tolist())), "<i4"))
+        return pa.table({"doc_id": rows.column("doc_id"), "ids": pa.array(out, pa.list_(pa.int32()))})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return spread(rows, "doc_id").mapInArrow(encode, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>")
+    return _joined(docs, path, finish, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>", id_col, text_col)
 
 
 def decoded(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -230,7 +255,7 @@ def decoded(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            got = [coder.decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()]
+            got = [coder.decoded(np.array(x or [], "<u4")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["doc_id", "bytes"])
 
     rows = tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
@@ -245,26 +270,24 @@ def encoding_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     are encoded each by itself, a null doc_id is passed on, other columns are not read.
     """
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(rows: pa.Table, values: pa.Array) -> pa.Table:
         coder = encoder(path)
-        for batch, texts in blocks(batches):
-            codes = coder.codes_of(texts)
-            coder.spell()
-            n, written, bytes_ = [], [], []
-            for c in codes:
-                at = c.tolist()
-                n.append(int(coder.counts[c].sum()))
-                written.append(hashlib.sha256(" ".join(map(coder.spelled.__getitem__, at)).encode()).hexdigest())
-                bytes_.append(hashlib.sha256(b"".join(map(coder.back.__getitem__, at))).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(written, pa.string()), pa.array(bytes_, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-    return spread(rows, "doc_id").mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        raws = values.to_pylist()
+        spelled, back = list(map(coder.spelled, raws)), list(map(coder.decoded, raws))
+        size = np.fromiter((len(r) // 4 for r in raws), np.int64, len(raws))
+        n, written, bytes_ = [], [], []
+        for raw, width in zip(rows.column("codes").to_pylist(), rows.column("width").to_pylist(), strict=True):
+            of = numbers(raw, width)
+            at = of.tolist()
+            n.append(int(size[of].sum()))
+            written.append(hashlib.sha256(" ".join(map(spelled.__getitem__, at)).encode()).hexdigest())
+            bytes_.append(hashlib.sha256(b"".join(map(back.__getitem__, at))).hexdigest())
+        return pa.table({"doc_id": rows.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(written, pa.string()), "decoded_sha256": pa.array(bytes_, pa.string())})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return _joined(docs, path, finish, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text of documents, as counts and digests; see encoding_digests() for nulls and repeats."""
     return encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))

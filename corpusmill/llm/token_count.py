@@ -2,16 +2,12 @@
 
 No piece of the model spans a boundary between a character and a following run of spaces, so a
 text's count is the sum of the counts of its pre-tokens. Pieces are counted once for each distinct
-pre-token and joined to the pre-token frequencies of each document. The distinct pre-tokens are
-those of a block of documents, joined by number inside the task, with a memo that a worker carries
-from block to block: a join over the whole corpus would shuffle a row for each word of each text,
-several times the input.
+pre-token of the corpus and joined to the pre-token frequencies of each document (words.py).
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -19,9 +15,9 @@ import public_tokenizers
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import MEMO_WORDS, Codes, blocks, remembered, spread, table
+from .common import remembered, table
+from .words import joined, numbers, split_blocks, worked
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -45,43 +41,37 @@ def _model(path: str) -> tuple[sentencepiece.SentencePieceProcessor, re.Pattern]
 
 
 class Counter:
-    """Counts the pieces of texts, each distinct pre-token once."""
+    """Counts the pieces of pre-tokens."""
 
     def __init__(self, path: str):
         self.model, self.pattern = _model(path)
-        self.mark = len(self.model.encode("\n")) - len("\n".encode()) if self.pattern.pattern != "(?s).+" else 0
-        self.forget()
+        self.whole = self.pattern.pattern == "(?s).+"
+        self.mark = 0 if self.whole else len(self.model.encode("\n")) - len("\n".encode())
 
-    def forget(self) -> None:
-        self.codes, self.pieces = Codes(), np.zeros(0, np.int64)
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text that isn't empty."""
+        return [text] if self.whole else self.pattern.findall(" " + text)
 
-    def learn(self) -> None:
-        """Counts the pre-tokens that are new since the last call.
+    def pieces(self, words: list[str]) -> np.ndarray:
+        """The number of pieces of each pre-token.
 
         The model sets a space mark before any text that it encodes. It stands for a pre-token's
         first space; before a line feed it is a piece by itself, which is taken off.
         """
-        new = self.codes.since(len(self.pieces))
-        if not new:
-            return
-        spaced = [w[0] in " ▁" for w in new]
-        got = np.fromiter((len(ids) for ids in self.model.encode([w[1:] if s else w for w, s in zip(new, spaced, strict=True)], num_threads=1)), np.int64, len(new))
-        for i, w in enumerate(new):
+        if self.whole:
+            return np.array([len(x) for x in self.model.encode(words, num_threads=1)], np.int64)
+        spaced = [w[0] in " ▁" for w in words]
+        got = np.fromiter((len(ids) for ids in self.model.encode([w[1:] if s else w for w, s in zip(words, spaced, strict=True)], num_threads=1)), np.int64, len(words))
+        for i, w in enumerate(words):
             if not spaced[i]:
                 got[i] -= self.mark
             elif len(w) == 1:
                 got[i] = 1
-        self.pieces = np.concatenate([self.pieces, got])
+        return got
 
     def counts(self, texts: list[str]) -> np.ndarray:
-        if self.pattern.pattern == "(?s).+":
-            return np.array([len(x) for x in self.model.encode(texts, num_threads=1)], np.int64)
-        if len(self.codes) > MEMO_WORDS:
-            self.forget()
-        find, of = self.pattern.findall, self.codes.of
-        words = [of(find(" " + t)) if t else np.zeros(0, np.int32) for t in texts]
-        self.learn()
-        return np.array([int(self.pieces[w].sum()) for w in words], np.int64)
+        """The number of tokens of texts at hand."""
+        return np.array([int(self.pieces(self.split(t)).sum()) if t else 0 for t in texts], np.int64)
 
 
 def _counter(path: str) -> Counter:
@@ -96,17 +86,18 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     whole; an empty table gives no rows. path must name the model's file on every executor.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(path)
-        for batch, texts in blocks(batches):
-            n = counter.counts(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+    def finish(rows: pa.Table, values: pa.Array) -> pa.Table:
+        pieces = values.to_numpy(zero_copy_only=False)
+        parts = zip(rows.column("codes").to_pylist(), rows.column("times").to_pylist(), rows.column("width").to_pylist(), strict=True)
+        n = np.array([int(pieces[numbers(c, w)] @ numbers(t, w).astype(np.int64)) if c else 0 for c, t, w in parts], np.int64)
+        return pa.table({"doc_id": rows.column("doc_id"), "n_bytes": rows.column("n_bytes"), "n_tokens": pa.array(n), "over_limit": pa.array(n > limit)})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = spread(rows, "doc_id").withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    table = split_blocks(docs, lambda: _counter(path).split, True, id_col, text_col)
+    values = worked(table, lambda: lambda words: pa.array(_counter(path).pieces(words)), "long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return joined(table, values, lambda: finish, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole text of documents; see token_counts() for nulls and repeats."""
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL))
