@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Codes, remembered, table
-from .words import joined, numbers, split_blocks, worked
+from .words import joined, split_blocks, worked
 
 RANKS = "byte_bpe_50k.tiktoken"
 NONE = np.int32(2**31 - 1)
@@ -198,9 +198,9 @@ class Encoder:
         self.ranks = Ranks(path)
         self.text = [str(i) for i in range(len(self.ranks.token))]
 
-    def ids(self, words: list[str]) -> list[bytes]:
+    def ids(self, words: list[bytes]) -> list[bytes]:
         """Each word's ids as little-endian 32-bit numbers."""
-        found, starts = replay([w.encode() for w in words], self.ranks)
+        found, starts = replay(words, self.ranks)
         raw, at = found.astype("<u4").tobytes(), (4 * starts).tolist()
         return [raw[i:j] for i, j in zip(at, at[1:])]
 
@@ -208,7 +208,7 @@ class Encoder:
         """The ids of texts at hand, each of their distinct pre-tokens encoded once."""
         codes, find = Codes(), pretokens().findall
         held = [codes.of(find(t)).tolist() for t in texts]
-        raws = self.ids(list(codes)) if codes else []
+        raws = self.ids([w.encode() for w in codes]) if codes else []
         return [np.frombuffer(b"".join(map(raws.__getitem__, c)), "<u4").astype(np.int32) for c in held]
 
     def spelled(self, raw: bytes) -> str:
@@ -229,8 +229,7 @@ def _split() -> Callable[[str], list[str]]:
 
 def _joined(docs: DataFrame, path: str, finisher: Callable, schema: str, id_col: str, text_col: str) -> DataFrame:
     table = split_blocks(docs, _split, False, id_col, text_col)
-    values = worked(table, lambda: lambda words: pa.array(encoder(path).ids(words), pa.binary()), "binary")
-    return joined(table, values, lambda: finisher, schema)
+    return joined(worked(table, lambda: encoder(path).ids), False, finisher, schema)
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,11 +239,9 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     two named ones are not read, an empty table gives no rows.
     """
 
-    def finish(rows: pa.Table, values: pa.Array) -> pa.Table:
-        raws, out = values.to_pylist(), []
-        for raw, width in zip(rows.column("codes").to_pylist(), rows.column("width").to_pylist(), strict=True):
-            out.append(np.frombuffer(b"".join(map(raws.__getitem__, numbers(raw, width).tolist())), "<i4"))
-        return pa.table({"doc_id": rows.column("doc_id"), "ids": pa.array(out, pa.list_(pa.int32()))})
+    def finish(doc_ids: pa.Array, n_bytes: pa.Array, codes: list[np.ndarray], times: list, raws: list[bytes]) -> pa.Table:
+        out = [np.frombuffer(b"".join(map(raws.__getitem__, of.tolist())), "<i4") for of in codes]
+        return pa.table({"doc_id": doc_ids, "ids": pa.array(out, pa.list_(pa.int32()))})
 
     return _joined(docs, path, finish, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>", id_col, text_col)
 
@@ -270,19 +267,17 @@ def encoding_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     are encoded each by itself, a null doc_id is passed on, other columns are not read.
     """
 
-    def finish(rows: pa.Table, values: pa.Array) -> pa.Table:
+    def finish(doc_ids: pa.Array, n_bytes: pa.Array, codes: list[np.ndarray], times: list, raws: list[bytes]) -> pa.Table:
         coder = encoder(path)
-        raws = values.to_pylist()
         spelled, back = list(map(coder.spelled, raws)), list(map(coder.decoded, raws))
         size = np.fromiter((len(r) // 4 for r in raws), np.int64, len(raws))
         n, written, bytes_ = [], [], []
-        for raw, width in zip(rows.column("codes").to_pylist(), rows.column("width").to_pylist(), strict=True):
-            of = numbers(raw, width)
+        for of in codes:
             at = of.tolist()
             n.append(int(size[of].sum()))
             written.append(hashlib.sha256(" ".join(map(spelled.__getitem__, at)).encode()).hexdigest())
             bytes_.append(hashlib.sha256(b"".join(map(back.__getitem__, at))).hexdigest())
-        return pa.table({"doc_id": rows.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(written, pa.string()), "decoded_sha256": pa.array(bytes_, pa.string())})
+        return pa.table({"doc_id": doc_ids, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(written, pa.string()), "decoded_sha256": pa.array(bytes_, pa.string())})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return _joined(docs, path, finish, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)

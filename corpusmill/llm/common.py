@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 import numpy as np
+import pandas as pd
 import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without it gets a folder of its own; on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         there = spark.sparkContext._jsc.sc().getCheckpointDir()
         if there.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusmill-"))
             there = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = there.get()
@@ -53,12 +58,72 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def opened(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system and path of a file in the shared folder, for tasks that read or write files themselves."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """df over at least as many partitions as there are cores; only a table of fewer input splits is dealt out anew."""
+    """df over as many partitions as there are cores at least: a table that the reader cuts into fewer splits is dealt out anew. No row hangs on it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= min(cores, 4):
-        return df
-    return df.repartition(cores, F.xxhash64(key))
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, F.xxhash64(key))
+
+
+#: A key that more than one in so many rows have is hot; there can't be more hot keys than this.
+HOT = 1000
+
+
+def joined_hot(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int, left: bool = False) -> DataFrame:
+    """rows joined with groups, which has each key once and in size how many of the total rows have it; the size goes. With left, rows without a group stay.
+
+    Hot keys are broadcast, at most HOT rows whatever the input, so that their rows stay where they are; all other keys have under a
+    thousandth of the rows and are joined by a shuffle.
+    """
+    hot = F.col(size) * HOT > total
+    extra = [c for c in groups.columns if c not in on and c != size]
+    names = {c: f"_hot_{c}" for c in extra}
+    few = groups.where(hot).select(*on, F.lit(True).alias("_hot"), *(F.col(c).alias(n) for c, n in names.items()))
+    marked = rows.join(F.broadcast(few), on, "left")
+    here = marked.where("_hot").select(*rows.columns, *(F.col(n).alias(c) for c, n in names.items()))
+    rest = marked.where("_hot is null").select(*rows.columns).join(groups.where(~hot).select(*on, *extra).hint("merge"), on, "left" if left else "inner")
+    return here.unionByName(rest.select(*here.columns))
+
+
+#: Bits of a screen, as a power of two: 16 MB whatever the input.
+SCREEN_BITS = 27
+
+
+def screen(hashes: DataFrame) -> Callable[[F.Column], F.Column]:
+    """A test that says no only to hashes (long) that the one column of hashes lacks; it lets most of the others through only if there are too many.
+
+    The bits are set by an aggregation in slices of 4 kB and broadcast. The fuller the screen, the less it saves; it decides nothing.
+    """
+    spark, bits = hashes.sparkSession, np.zeros(1 << SCREEN_BITS - 3, np.uint8)
+    place = lambda h: F.pmod(h, F.lit(1 << SCREEN_BITS)).cast("long")
+    at = place(F.col(hashes.columns[0])) + 1
+    for number, raw in hashes.groupBy(F.bitmap_bucket_number(at)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at))).collect():
+        bits[(number - 1) * 4096 : number * 4096] = np.frombuffer(raw, np.uint8)
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def held(place: pd.Series) -> pd.Series:
+        i = place.to_numpy()
+        return pd.Series((shared.value[i >> 3] >> (i & 7).astype(np.uint8) & 1).astype(bool))
+
+    return lambda h: held(place(h))
+
+
+def without(df: DataFrame, gone: DataFrame, keys: dict[str, F.Column]) -> DataFrame:
+    """df without the rows whose keys (by column of gone) are in gone. Rows that a screen of gone's keys knows to stay aren't moved."""
+    names = {c: f"_gone_{c}" for c in keys}
+    gone = stored(gone.select(*(F.col(c).alias(n) for c, n in names.items())).distinct(), "gone")
+    maybe = screen(gone.select(F.xxhash64(*names.values())))
+    lost = None
+    for c, key in keys.items():
+        same = key == F.col(names[c])
+        lost = same if lost is None else lost & same
+    doubt = maybe(F.xxhash64(*keys.values()))
+    return df.where(~doubt).unionByName(df.where(doubt).join(gone.hint("merge"), lost, "left_anti"))
 
 
 #: New words whose features are worked out at a time.

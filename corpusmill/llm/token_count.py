@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import remembered, table
-from .words import joined, numbers, split_blocks, worked
+from .words import joined, split_blocks, worked
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -86,16 +86,18 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     whole; an empty table gives no rows. path must name the model's file on every executor.
     """
 
-    def finish(rows: pa.Table, values: pa.Array) -> pa.Table:
-        pieces = values.to_numpy(zero_copy_only=False)
-        parts = zip(rows.column("codes").to_pylist(), rows.column("times").to_pylist(), rows.column("width").to_pylist(), strict=True)
-        n = np.array([int(pieces[numbers(c, w)] @ numbers(t, w).astype(np.int64)) if c else 0 for c, t, w in parts], np.int64)
-        return pa.table({"doc_id": rows.column("doc_id"), "n_bytes": rows.column("n_bytes"), "n_tokens": pa.array(n), "over_limit": pa.array(n > limit)})
+    def count(words: list[bytes]) -> list[bytes]:
+        raw = _counter(path).pieces([w.decode() for w in words]).astype("<u8").tobytes()
+        return [raw[i : i + 8] for i in range(0, len(raw), 8)]
+
+    def finish(doc_ids: pa.Array, n_bytes: pa.Array, codes: list[np.ndarray], times: list[np.ndarray], values: list[bytes]) -> pa.Table:
+        pieces = np.frombuffer(b"".join(values), "<i8")
+        n = np.array([int(pieces[c] @ t.astype(np.int64)) for c, t in zip(codes, times, strict=True)], np.int64)
+        return pa.table({"doc_id": doc_ids, "n_bytes": n_bytes, "n_tokens": pa.array(n), "over_limit": pa.array(n > limit)})
 
     table = split_blocks(docs, lambda: _counter(path).split, True, id_col, text_col)
-    values = worked(table, lambda: lambda words: pa.array(_counter(path).pieces(words)), "long")
     kind = docs.schema[id_col].dataType.simpleString()
-    return joined(table, values, lambda: finish, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return joined(worked(table, lambda: count), True, finish, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,7 +71,7 @@ def test_merge_replay_where_ranks_fall(ranks):
 def test_merge_replay_of_a_long_word(ranks, word):
     """Words of a megabyte take seconds; the ids are the library's."""
     began = time.time()
-    got = ranks[1].ids([word])[0]
+    got = ranks[1].ids([word.encode()])[0]
     assert time.time() - began < 60
     assert np.frombuffer(got, "<u4").tolist() == ranks[0]._encode_single_piece(word)
 
