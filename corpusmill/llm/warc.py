@@ -1,6 +1,6 @@
 """WARC archives compressed with a Zstandard dictionary of their own.
 
-An archive starts with a skippable frame that holds a dictionary, built from the archive's first
+An archive starts with a skippable frame that holds a dictionary, built from the archive's
 records; every record is a frame by itself, compressed with it. A page whose payload another
 page has too becomes a revisit record, without payload, that refers to that page's record.
 
@@ -18,13 +18,12 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, stored, table
+from .common import joined_hot, new_folder, opened, screen, stored, table
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 1000
@@ -32,6 +31,8 @@ LEAST_BYTES = 1000
 DICTIONARY, SAMPLE, ARCHIVE = 32 << 10, 1 << 20, 64 << 20
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
+#: Records are cut into pieces of so many bytes for the dictionary's builder, which needs a number of samples.
+_PIECE = 1 << 13
 _SKIPPABLE = struct.Struct("<II")
 _MAGIC = 0x184D2A5D
 _NAME = "urn:corpusmill:page:"
@@ -71,12 +72,14 @@ def compressed(records: Iterator[bytes]) -> Iterator[tuple[bytes, int]]:
 
 def archive(records: list[bytes]) -> bytes:
     """One archive; without a dictionary if its records are too few or too small to build one."""
-    sample, size = [], 0
-    for r in records:
+    # From records all over the archive, of each at most a sixteenth of the sample, so that long records leave room for others.
+    step, sample, size = max(1, sum(map(len, records)) // SAMPLE), [], 0
+    for r in records[::step] if len(records) // step >= 16 else records:
         if size >= SAMPLE:
             break
-        sample.append(r)
-        size += len(r)
+        parts = [r[i : i + _PIECE] for i in range(0, min(len(r), SAMPLE // 16), _PIECE)]
+        sample += parts
+        size += sum(map(len, parts))
     try:
         words = zstandard.train_dictionary(min(DICTIONARY, max(1024, size // 8)), sample, level=LEVEL, k=256, d=8)
     except zstandard.ZstdError:
@@ -132,23 +135,27 @@ def page_of(headers: dict[str, str], block: bytes) -> tuple[int | None, int, str
 
 
 def with_references(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, html (null as empty) and refers_to, the page that a row revisits."""
+    """page_id, url, html (null as empty) and refers_to, the page that a row revisits.
+
+    Only pages whose digest a screen of the repeated ones lets through are moved, and of those not the ones of hot digests.
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("html", 256)))
     large = rows.where(F.octet_length("html") >= LEAST_BYTES)
     groups = large.groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1 and response is not null")
-    groups = stored(groups.select("digest", "response"), "warc-groups")
-    linked = rows.join(groups.hint("merge"), "digest", "left")
+    groups = stored(groups, "warc-groups")
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    maybe = screen(groups.select(F.xxhash64("digest")))(F.xxhash64("digest")) & (F.octet_length("html") >= LEAST_BYTES)
+    named = joined_hot(rows.where(maybe), groups.select("digest", "n", "response"), ["digest"], "n", total, left=True)
+    linked = rows.where(~maybe).withColumn("response", F.lit(None).cast("long")).unionByName(named)
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
     return linked.select("page_id", "url", "html", refers.alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes the pages to archives in folder, which every executor must reach; returns file, pages, bytes of each."""
-    at = re.sub(r"^file:/+", "file:///", folder)
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = pyarrow.fs.FileSystem.from_uri(at)
+        store, root = opened(folder)
         store.create_dir(root, recursive=True)
         task = TaskContext.get()
 
@@ -167,10 +174,11 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return stored(with_references(pages, id_col, url_col, html_col).mapInArrow(write, "file string, pages long, bytes long"), "warc-manifest")
 
 
-def read_archives(spark: SparkSession, files: list[str], payloads: bool = False) -> DataFrame:
-    """A row for each response and revisit record: page_id, payload_bytes, payload_digest, record_type, refers_to, and payload if asked for.
+def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
+    """A row for each response and revisit record of the archives (file): page_id, payload_bytes, payload_digest, record_type, refers_to, and payload if asked for.
 
-    A response's payload is checked against its digest and length; a revisit's are those that its record states.
+    Tasks open the archives that their rows of the manifest name, so the list isn't gathered anywhere. A response's payload is checked
+    against its digest and length; a revisit's are those that its record states.
     """
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
@@ -183,9 +191,12 @@ def read_archives(spark: SparkSession, files: list[str], payloads: bool = False)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
+            for file in batch.column(0).to_pylist():
+                store, path = opened(file)
+                with store.open_input_stream(path, compression=None) as f:
+                    content = f.read()
                 rows, size = [], 0
-                for headers, block in records_of(batch.column(0)[i].as_py()):
+                for headers, block in records_of(content):
                     if headers["warc-type"] in ("response", "revisit"):
                         rows.append(page_of(headers, block)[:n])
                         size += len(block) * payloads
@@ -194,9 +205,7 @@ def read_archives(spark: SparkSession, files: list[str], payloads: bool = False)
                             rows, size = [], 0
                 yield batch_of(rows)
 
-    if not files:
-        return spark.createDataFrame([], schema)
-    return spark.read.format("binaryFile").load(files).select("content").mapInArrow(read, schema)
+    return manifest.select("file").mapInArrow(read, schema)
 
 
 def archived(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -207,12 +216,11 @@ def archived(pages: DataFrame, folder: str | None = None, id_col: str = "page_id
     page of the group has an id, all are responses. A null url is written as the record's own name.
     An empty table gives no archive and no rows.
     """
-    spark = pages.sparkSession
-    files = [r["file"] for r in write_archives(pages, folder or new_folder(spark, "warc"), id_col, url_col, html_col).select("file").collect()]
-    return read_archives(spark, files)
+    return read_archives(write_archives(pages, folder or new_folder(pages.sparkSession, "warc"), id_col, url_col, html_col))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of the whole of pages, written and read back; see archived() for nulls and repeats."""
     return archived(table(spark, sf_dir, "pages"))
 
 

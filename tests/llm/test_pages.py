@@ -72,8 +72,8 @@ def test_archives(spark, pages, tmp_path):
     assert warc.archived(pages.where("false")).count() == 0
     manifest = warc.write_archives(pages, f"file://{tmp_path}/w").collect()
     assert sum(r["pages"] for r in manifest) == len(rows)
-    files = [r["file"] for r in manifest]
-    payloads = warc.read_archives(spark, files, payloads=True).where("record_type = 'response'").collect()
+    files = spark.createDataFrame([(r["file"],) for r in manifest], "file string")
+    payloads = warc.read_archives(files, payloads=True).where("record_type = 'response'").collect()
     assert {bytes(r["payload"]).decode() for r in payloads} == {h for _, h in rows}
 
 
@@ -94,6 +94,15 @@ def test_archive_has_its_dictionary():
     assert len(list(warc.records_of(few))) == 2
 
 
+def test_long_records_leave_a_dictionary():
+    """Archives of few and long records, or with a long one in front, have their dictionary too."""
+    page = lambda n: (f"<p>{'common words of a page ' * 9}{n}</p>" * (n // 200)).encode()
+    for sizes in ([1_500_000], [400_000] * 3, [250_000] * 5, [2_000_000, *[3000] * 50]):
+        content = warc.archive([warc.page_record(i, "u", page(n), None) for i, n in enumerate(sizes)])
+        assert warc._SKIPPABLE.unpack_from(content)[0] == warc._MAGIC
+        assert len(list(warc.records_of(content))) == len(sizes) + 1
+
+
 def test_archives_roll_over(monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE", 5000)
     records = [warc.page_record(i, "u", b"x" * 1000, None) for i in range(20)]
