@@ -5,7 +5,8 @@ with a static binary-fuse filter for each bucket. Digests of a batch are screene
 filters of the snapshots before it; those that pass join the exact buckets, and the texts behind
 each match are compared byte by byte. Copies inside a batch are grouped by themselves.
 
-Only digests are shuffled. Texts move for digests that two snapshots share, one text of each.
+Digests are shuffled. Texts move for digests that two snapshots share, one text of each; a screen of fixed size keeps
+most other texts where they are. Digests that a thousandth of the rows or more have are joined by broadcast, so that a hot one doesn't land in one task.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fuse
-from .common import SPACES, stored, table
+from .common import SPACES, joined_hot, screen, stored, table, without
 
 #: Digests in a bucket of a snapshot, about.
 BUCKET_KEYS = 1 << 15
@@ -72,11 +73,13 @@ def groups_of(rows: DataFrame) -> DataFrame:
 def checked(docs: DataFrame, matches: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Those digests of matches (digest, one doc_id of each snapshot) whose texts are the same bytes.
 
-    The texts are dealt out by doc_id once, at every size alike.
+    Only texts whose doc_id a screen of the wanted ones lets through are dealt out.
     """
     wanted = stored(matches.select("digest", "doc_id").distinct(), "dedup-wanted")
+    maybe = screen(wanted.select(F.xxhash64("doc_id")))
     mine = wanted.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(mine.hint("merge"), "_id").select("_digest", normalised("_text").alias("_text"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(maybe(F.xxhash64("_id"))).join(mine.hint("merge"), "_id")
+    texts = texts.select("_digest", normalised("_text").alias("_text"))
     texts = texts.where(F.unhex(F.sha2("_text", 256)) == F.col("_digest"))
     same = texts.groupBy("_digest").agg(F.min("_text").alias("a"), F.max("_text").alias("b"))
     return same.where(F.col("a") == F.col("b")).select(F.col("_digest").alias("digest"))
@@ -104,23 +107,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     known = known.withColumn("part", F.when(F.col("linked") | F.col("unnamed"), F.lit(-1)).otherwise(F.col("batch")))
     whole = known.groupBy("digest", "part").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.collect_set("batch").alias("batches"))
     whole = whole.select("digest", F.explode("batches").alias("batch"), "keep_id", "group_size")
+    sizes = groups.select("digest", "batch", F.col("group_size").alias("n_here"))
+    whole = stored(whole.join(sizes.hint("merge"), ["digest", "batch"]), "dedup-whole")
+    total = whole.agg(F.coalesce(F.sum("n_here"), F.lit(0))).first()[0]
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return rows.join(whole, ["digest", "batch"]).select(
+    return joined_hot(rows, whole, ["digest", "batch"], "n_here", total).select(
         "doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup() drops; all columns stay."""
-    gone = stored(
-        exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_digest")).distinct(),
-        "dedup-gone",
-    )
-    digest = F.unhex(F.sha2(normalised(docs[text_col]), 256))
-    return docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(gone["_gone"]) & (digest == gone["_digest"]), "left_anti")
+    """docs without the rows that exact_dedup() drops; all columns stay.
+
+    A row goes by doc_id and text together. Rows without a doc_id go if a row of their text has one. An empty table gives no rows.
+    """
+    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.unhex("text_sha256").alias("digest"))
+    return without(docs, gone, {"id": F.coalesce(docs[id_col].cast("string"), F.lit("")), "digest": F.unhex(F.sha2(normalised(docs[text_col]), 256))})
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts over the whole of documents; see exact_dedup() for nulls and repeats."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

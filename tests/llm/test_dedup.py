@@ -141,8 +141,62 @@ def test_near_copies_pass_columns(odd_docs, no_docs):
     assert got.schema == odd_docs.schema and simhash.without_near_copies(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("cap", [simhash.CAP, 40, 3])
-def test_no_link_is_lost(spark, cap):
+def test_keys_meet():
+    """Fingerprints within four bits share a key, whichever segments the bits fall into."""
+    rng = np.random.default_rng(8)
+    u = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    v = u.copy()
+    for i in range(len(v)):
+        for b in rng.choice(64, 1 + i % 4, replace=False):
+            v[i] ^= np.uint64(1 << int(b))
+    (ku, iu), (kv, iv) = (simhash.fuzzy_keys(x.view(np.int64)) for x in (u, v))
+    mine = [set() for _ in u]
+    for k, i in zip(ku.tolist(), iu.tolist()):
+        mine[i].add(k)
+    met = set(i for k, i in zip(kv.tolist(), iv.tolist()) if k in mine[i])
+    assert len(met) == len(u) and len(ku) < 115 * len(u)
+
+
+def test_other_distances_are_errors(spark):
+    frame = spark.createDataFrame([(1,)], "fp long")
+    for bits in (0, 5):
+        with pytest.raises(ValueError, match="bits"):
+            simhash.linked_fingerprints(frame, bits)
+
+
+def test_near_copies_of_a_repeated_id(spark):
+    """A row goes by its id and text together."""
+    a, b = "one two three four five six seven", "quite another text with other words in it"
+    rows = spark.createDataFrame([(5, a), (11, a), (11, b)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.without_near_copies(rows).collect())) == [(5, a), (11, b)]
+
+
+def test_hot_keys_keep_their_rows(spark):
+    """A join in which hot keys are broadcast gives the rows of a plain join."""
+    from corpusmill.llm.common import joined_hot
+
+    rows = spark.range(5000).selectExpr("if(id % 3 = 0, 0, id % 700) as k", "id as v")
+    groups = rows.groupBy("k").count().selectExpr("k", "count as size", "k * 2 as twice").where("k % 5 <> 1")
+    got = joined_hot(rows, groups, ["k"], "size", 5000)
+    want = rows.join(groups.drop("size"), "k").select("k", "v", "twice")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert joined_hot(rows, groups, ["k"], "size", 5000, left=True).count() == 5000
+
+
+def test_screens_say_no_only_to_strangers(spark):
+    from pyspark.sql import functions as F
+
+    from corpusmill.llm.common import screen
+
+    inside = spark.range(1000).select(F.xxhash64("id").alias("h"))
+    test = screen(inside)
+    got = spark.range(20_000).where(test(F.xxhash64("id")))
+    assert got.where("id < 1000").count() == 1000 and got.count() < 1100
+    assert spark.range(10).where(screen(inside.where("false"))(F.xxhash64("id"))).count() == 0
+
+
+@pytest.mark.parametrize(("cap", "bits"), [(cap, bits) for cap in (simhash.CAP, 40, 3, 1) for bits in (1, 2, 3, 4)])
+def test_no_link_is_lost(spark, cap, bits):
     """Chains, balls and pairs at up to five bits give the components of all pairs, also where keys run over."""
     rng = np.random.default_rng(cap)
     base = rng.integers(0, 2**64, 60, dtype=np.uint64)
@@ -158,9 +212,9 @@ def test_no_link_is_lost(spark, cap):
         for b in rng.choice(64, rng.integers(1, 4), replace=False):
             ball[i] ^= np.uint64(1 << int(b))
     prints = np.unique(np.concatenate([*parts, ball]))
-    want = brute_components(prints)
+    want = brute_components(prints, bits)
     frame = spark.createDataFrame(pd.DataFrame({"fp": prints.view(np.int64)}))
-    roots = components.components(simhash.linked_fingerprints(frame, cap=cap)).toPandas()
+    roots = components.components(simhash.linked_fingerprints(frame, bits, cap)).toPandas()
     root = dict(zip(roots.node, roots.root))
     found = {}
     for p in prints.view(np.int64).tolist():
