@@ -1,9 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
 A document's features are, for each white-space word, the word itself, its character n-grams with
-word ends, and the pair with the word before it. Each is hashed to a row of a table of learned
+word ends, and the word n-gram of two with the word before it. Each is hashed to a row of a table of learned
 vectors. The document is the mean of its features' vectors; a softmax layer on it gives the score.
-Table and layer are trained together by stochastic gradient descent in numpy.
+Table and layer are trained together by stochastic gradient descent in numpy. The sample has the classes in other proportions than the
+labels; the offset is corrected for that (log of the sampling rates), so scores are calibrated to the labels at every size.
 
 The output layer is linear, so a fitted model carries each row's two logits; the sum of a word's
 logits is worked out once for each distinct word of a block.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import MEMO_WORDS, Codes, blocks, by_hash, parts, remembered, spread, stored, table
 
 #: Labelled documents of each class that a model is fitted on, at most.
-FIT_ROWS = 1500
+FIT_ROWS = 2000
 DIM, BITS, EPOCHS, RATE, SEED = 8, 18, 6, 0.5, 1
 #: Steps of the training at least: a small sample is gone through more often.
 STEPS = 6000
@@ -101,12 +102,11 @@ def _shares(text: str) -> tuple[np.ndarray, np.ndarray]:
     return rows, (times / max(1, times.sum()) if len(rows) else times).astype(np.float16)
 
 
-def train(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vectors (rows x DIM), softmax weights (2 x DIM) and offsets (2), by gradient descent one document at a time."""
+def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors (rows x DIM), softmax weights (2 x DIM) and offsets (2) from documents' rows and shares, by gradient descent one document at a time."""
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     weights, offset = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-    docs = [_shares(t) for t in texts]
     epochs = max(EPOCHS, -(-STEPS // max(1, len(docs))))
     steps, step = max(1, epochs * len(docs)), 0
     for _ in range(epochs):
@@ -134,32 +134,42 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: in
     Labels that are null or neither 0 nor 1 are left out, as are labels without a document; of repeated labels
     of a document the smallest counts. Without documents of both classes the model gives every text the same score.
     """
-    spark = docs.sparkSession
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
-    known = known.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi")
+    known = stored(known.join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi"), "quality-labels")
     chosen = None
     for label in (0, 1):
         one = known.where(F.col("_label") == label).withColumn("_hash", by_hash("_id", "quality-fit")).orderBy("_hash", "_id").limit(rows)
         chosen = one if chosen is None else chosen.unionByName(one)
     chosen = stored(chosen.select("_id", "_label"), "quality-sample")  # at most 2 * rows rows
+    count = lambda df: {r["_label"]: r["count"] for r in df.groupBy("_label").count().collect()}
+    of_all, taken = count(known), count(chosen)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     sample = texts.join(F.broadcast(chosen), "_id").select("_id", "_label", F.coalesce("_text", F.lit("")).alias("_text"))
 
+    def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            made = [_shares(t) for t in f["_text"]]
+            yield pd.DataFrame({"_id": f["_id"], "_label": f["_label"], "rows": [r.astype("<i4").tobytes() for r, _ in made], "shares": [s.astype("<f2").tobytes() for _, s in made]})
+
     def fitted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         remembered(("quality", "fit"), int)  # frees another memo
-        got = pd.concat([*frames, pd.DataFrame({"_id": [], "_label": [], "_text": []})]).sort_values(["_id", "_text"], kind="stable")
-        y, texts = got["_label"].to_numpy().astype(int), got["_text"].tolist()
-        del got
+        got = pd.concat([*frames, pd.DataFrame({"_id": [], "_label": [], "rows": [], "shares": []})]).sort_values(["_id", "rows", "shares"], kind="stable")
+        y = got["_label"].to_numpy().astype(int)
+        held = [(np.frombuffer(r, "<i4"), np.frombuffer(s, "<f2")) for r, s in zip(got["rows"], got["shares"], strict=True)]
         if len(set(y)) < 2:
             yield pd.DataFrame({"logits": [b""], "offset": [float(y.mean() * 8 - 4) if len(y) else 0.0]})
             return
-        vectors, weights, offset = train(texts, y)
+        vectors, weights, offset = train(held, y)
         logits = vectors @ (weights[1] - weights[0])
         yield pd.DataFrame({"logits": [logits.astype("<f4").tobytes()], "offset": [float(offset[1] - offset[0])]})
 
-    row = sample.repartition(1).mapInPandas(fitted, "logits binary, offset double").first()
-    logits = np.frombuffer(row["logits"], "<f4") if row and row["logits"] else np.zeros(1 << BITS, np.float32)
-    return Model(logits, row["offset"] if row else 0.0)
+    # Texts become features where they are; a document's features are 2^18 at most, so the one task holds a bounded sample.
+    made = sample.mapInPandas(features, f"_id {dict(sample.dtypes)['_id']}, _label int, rows binary, shares binary")
+    row = made.repartition(1).mapInPandas(fitted, "logits binary, offset double").first()
+    if not row or not row["logits"]:
+        return Model(np.zeros(1 << BITS, np.float32), row["offset"] if row else 0.0)
+    rates = [of_all[label] / taken[label] for label in (0, 1)]
+    return Model(np.frombuffer(row["logits"], "<f4"), row["offset"] + float(np.log(rates[1] / rates[0])))
 
 
 class Scorer:
@@ -215,7 +225,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col:
 
 
 def of_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of docs that score threshold or more; all columns stay."""
+    """The rows of docs that score threshold or more; all columns stay. A null or empty text has the score of the offset alone; repeats go or stay alike."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,6 +241,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole text of documents; see scored() for nulls and repeats."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
     return scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -90,7 +90,7 @@ def test_training_separates():
     rng = np.random.default_rng(2)
     good = [" ".join(rng.choice(["house", "tree", "river", "stone"], 30)) for _ in range(60)]
     bad = [" ".join(w + "$$$" for w in rng.choice(["house", "tree", "river", "stone"], 30)) for _ in range(60)]
-    vectors, weights, offset = quality.train(good + bad, np.array([1] * 60 + [0] * 60))
+    vectors, weights, offset = quality.train([quality._shares(t) for t in good + bad], np.array([1] * 60 + [0] * 60))
     model = quality.Model(vectors @ (weights[1] - weights[0]), float(offset[1] - offset[0]))
     score = quality.Scorer(model).scores(["river house tree", "river$$$ lake$$$ moon$$$"])
     assert score[0] > 0.5 > score[1]
@@ -122,15 +122,14 @@ def test_quality_accuracy(spark):
 
 
 def brute_top(rows, every, k):
-    q = {}
+    q = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            ints = [int(np.floor(256 * float(np.float32(x)))) for x in v]
-            q[i] = min(ints, q.get(i, ints))
+            q.append((i, [int(np.floor(256 * float(np.float32(x)))) for x in v]))
     out = []
-    for i, v in q.items():
+    for a, (i, v) in enumerate(q):
         if i % every == 0:
-            others = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in q.items() if j != i)[:k]
+            others = sorted((-sum(x * y for x, y in zip(v, w)), j) for b, (j, w) in enumerate(q) if b != a)[:k]
             out += [(i, r, j, -s) for r, (s, j) in enumerate(others, 1)]
     return sorted(out)
 
@@ -150,14 +149,29 @@ def test_top_k_of_odd_vectors(spark):
 
 
 def test_top_k_over_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(vector_search, "CANDIDATES", 16)
-    monkeypatch.setattr(vector_search, "QUERIES", 3)
+    monkeypatch.setattr(vector_search, "CANDIDATES", 16 * 72)
+    monkeypatch.setattr(vector_search, "QUERIES", 3 * 72)
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 5) / 4]) for i in range(150)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert sorted(map(tuple, vector_search.top_k(frame, F.col("vec_id") % 7 == 0, k=4).collect())) == brute_top(rows, 7, 4)
 
 
+def test_top_k_of_huge_components(spark):
+    """Every finite vector takes part; scores are exact, and clipped to a long where it can't hold them."""
+    rows = [(10, [1.0, 2.0]), (20, [1e7, 1.0]), (3, [1e7, 1.0]), (4, [1e300, -1.0]), (5, [-1e300, 0.5]), (6, [1e300, 1.0]), (7, [0.5, 0.25]), (10, [3.0, -1.0]), (8, [1.7e308, 1.7e308])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vector_search.top_k(frame, F.col("vec_id") % 10 == 0, k=8).collect()
+    q = [(i, vector_search.integers(np.array(v))) for i, v in rows]
+    want = []
+    for a, (i, x) in enumerate(q):
+        if i % 10 == 0:
+            scores = sorted((-sum(s * t for s, t in zip(x, y)), j) for b, (j, y) in enumerate(q) if b != a)
+            want += [(i, r + 1, j, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for r, (s, j) in enumerate(scores[:8])]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert vector_search.integers(np.array([1.7e308, -0.001])) == [int(1.7e308) * 256, -1]
+
+
 def test_top_k_query(spark, sf, duck):
     same(vector_search.op7_top_k(spark, sf).toPandas(), duck.sql(vector_search.SQL).df())
 
