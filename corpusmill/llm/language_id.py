@@ -8,6 +8,7 @@ of language, labels its spans. Each distinct word is scored once for a block of
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,7 +36,23 @@ SCRIPTS = (
     ("Thai", 0x0E00, 0x0E7F), ("Georgian", 0x10A0, 0x10FF), ("Hangul", 0x1100, 0x11FF), ("Kana", 0x3040, 0x30FF), ("Han", 0x3400, 0x9FFF), ("Hangul", 0xAC00, 0xD7AF),
 )
 _NAMES = ["other", *dict.fromkeys(name for name, _, _ in SCRIPTS)]
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _marks() -> str:
+    """The combining marks as ranges of a character class."""
+    got, first = [], None
+    for c in range(0x300, 0xE01F1):
+        mark = c < 0xE01F0 and unicodedata.category(chr(c))[0] == "M"
+        if mark and first is None:
+            first = c
+        elif not mark and first is not None:
+            got.append(f"\\U{first:08x}-\\U{c - 1:08x}")
+            first = None
+    return "".join(got)
+
+
+#: A letter with the letters and combining marks after it.
+_WORD = re.compile(rf"[^\W\d_]+(?:[{_marks()}]+[^\W\d_]*)*")
 
 
 def _script_table() -> np.ndarray:
@@ -217,7 +234,7 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
 
 
 def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and spans (start, end, lang) of each row of docs, in characters; a span goes from its first word to its last."""
+    """doc_id and spans (start, end, lang) of each row of docs, in characters; a span goes from its first word to its last. Null texts and texts without a letter have none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +263,7 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def in_a_language(docs: DataFrame, model: Model, least: float = LEAST_SHARE, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose language has at least least of the letters; all columns stay."""
+    """The rows of docs whose language has at least least of the letters; all columns stay. Null texts and texts without a letter go; repeats go or stay alike."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,6 +280,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of documents; see predicted() for nulls and repeats."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out()))
     return predicted(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
