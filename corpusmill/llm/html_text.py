@@ -24,7 +24,8 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
-_HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 # Fixed values of the HTML standard: which elements are void, hold raw text, are never shown (besides select, math and svg, left out by choice), stand in blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,10 +54,12 @@ IMPLIED = {
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "hidden")
+    """hidden: not shown with all inside it; veiled: its own text isn't shown, which elements inside may undo."""
 
-    def __init__(self, tag: str, attributes: str = "", hidden: bool = False):
-        self.tag, self.attributes, self.hidden = tag, attributes, hidden
+    __slots__ = ("tag", "attributes", "children", "hidden", "veiled")
+
+    def __init__(self, tag: str, attributes: str = "", hidden: bool = False, veiled: bool = False):
+        self.tag, self.attributes, self.hidden, self.veiled = tag, attributes, hidden, veiled
         self.children: list[Node | str] = []
 
     def attribute(self, name: str) -> str | None:
@@ -70,13 +73,30 @@ def _hidden(tag: str, attributes: str) -> bool:
     if tag in NEVER:
         return True
     if not attributes or attributes.isspace():
-        return False
+        return tag == "dialog"
     low = attributes.lower()
-    if "hidden" not in low and "display" not in low and "collapse" not in low:
+    if tag != "dialog" and "hidden" not in low and "display" not in low:
         return False
     node = Node(tag, attributes)
     style = node.attribute("style")
-    return node.attribute("hidden") is not None or bool(style and _HIDDEN_STYLE.search(style)) or (tag == "input" and (node.attribute("type") or "").lower() == "hidden")
+    if tag == "dialog" and node.attribute("open") is None:
+        return True
+    return node.attribute("hidden") is not None or bool(style and _NO_DISPLAY.search(style)) or (tag == "input" and (node.attribute("type") or "").lower() == "hidden")
+
+
+def _veiled(attributes: str, above: bool) -> bool:
+    """Whether an element's visibility, its own or else that of the one above, keeps its text from being shown."""
+    if "visibility" not in attributes.lower():
+        return above
+    said = _VISIBILITY.findall(Node("", attributes).attribute("style") or "")
+    return said[-1].lower() != "visible" if said else above
+
+
+def _shown(node: Node) -> list[Node | str]:
+    """The children; of closed details only the first summary."""
+    if node.tag != "details" or node.attribute("open") is not None:
+        return node.children
+    return [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
 
 
 def tree(text: str) -> Node:
@@ -90,7 +110,7 @@ def tree(text: str) -> Node:
         end, tag, attributes = m.groups()
         if tag is None:
             if (part := m[0])[:1] != "<" or part == "<":
-                stack[-1].children.append(part)
+                stack[-1].children.append(" " if stack[-1].veiled else part)
             continue
         tag = tag.lower()
         if end:
@@ -103,13 +123,13 @@ def tree(text: str) -> Node:
         elif stack[-1].tag == "head" and tag not in NEVER:
             _pop(stack, opened, len(stack) - 1)
         if tag in ("html", "body") and len(stack) >= 1:
-            if not _hidden(tag, attributes):
+            if not _hidden(tag, attributes) and not _veiled(attributes, False):
                 continue
-        node = Node(tag, attributes, _hidden(tag, attributes))
+        node = Node(tag, attributes, _hidden(tag, attributes), _veiled(attributes, stack[-1].veiled))
         stack[-1].children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(text, at)
-            if not node.hidden:
+            if not node.hidden and not node.veiled:
                 node.children.append(text[at : close.start() if close else len(text)])
             at = close.end() if close else len(text)
         elif tag not in VOID:
@@ -216,7 +236,7 @@ def _run(step: Generator):
 
 
 def _render(node: Node, out: _Lines, pre: bool = False) -> Generator:
-    for child in node.children:
+    for child in _shown(node):
         if isinstance(child, str):
             part = html.unescape(child) if "&" in child else child
             if not pre:
@@ -302,7 +322,12 @@ def _list(node: Node) -> Generator:
                     number = int(value)
                 mark = f"{number}. "
                 number += 1
-            first, *rest = (yield _lines_of(child)) or [""]
+            lines = yield _lines_of(child)
+            if child.veiled:
+                if not lines:
+                    continue
+                mark = " " * len(mark)
+            first, *rest = lines or [""]
             got.append((mark + first).rstrip())
             got += [" " * len(mark) + x if x else "" for x in rest]
         else:
@@ -310,18 +335,22 @@ def _list(node: Node) -> Generator:
     return got
 
 
-def _rows(node: Node) -> Iterator[Node]:
+def _rows(node: Node) -> Iterator[tuple[Node, Node]]:
+    """The rows with the table or the part of it that they stand in."""
     for child in node.children:
         if isinstance(child, Node) and not child.hidden:
             if child.tag == "tr":
-                yield child
+                yield node, child
             elif child.tag in ("thead", "tbody", "tfoot"):
                 yield from _rows(child)
 
 
-def _span(cell: Node) -> int:
-    value = (cell.attribute("colspan") or "") if cell.attributes else ""
-    return min(1000, max(1, int(value))) if re.fullmatch(r"\s*\d{1,6}\s*", value) else 1
+def _span(cell: Node, name: str = "colspan", most: int = 1000) -> int:
+    """Columns that a cell takes, or rows: 0 there stands for all that follow in the part of the table."""
+    value = (cell.attribute(name) or "") if cell.attributes else ""
+    if not re.fullmatch(r"\s*\d{1,6}\s*", value):
+        return 1
+    return most if name == "rowspan" and int(value) == 0 else min(most, max(1, int(value)))
 
 
 def _table(node: Node) -> Generator:
@@ -334,18 +363,27 @@ def _table(node: Node) -> Generator:
             loose.children += [c for c in child.children if not child.hidden and (isinstance(c, str) or c.tag != "tr")]
     grid: list[list[tuple[int, list[str]]]] = []
     width: dict[int, int] = {}
-    for row in _rows(node):
-        at, cells, outside = 0, [], Node("div")
+    taken: dict[int, int] = {}  # by column the rows that cells of earlier rows still reach into
+    part: Node | None = None
+    for above, row in _rows(node):
+        if above is not part:  # cells don't reach out of a head, body or foot
+            taken, part = {}, above
+        at, cells, outside, lower = 0, [], Node("div"), {c: n - 1 for c, n in taken.items() if n > 1}
         for cell in row.children:
             if isinstance(cell, Node) and cell.tag in ("td", "th"):
                 if not cell.hidden:
-                    lines, span = (yield _lines_of(cell)), _span(cell)
+                    lines, span, rows = (yield _lines_of(cell)), _span(cell), _span(cell, "rowspan", 65_534)
+                    while at in taken:
+                        at += 1
+                    if rows > 1:
+                        lower |= dict.fromkeys(range(at, at + span), rows - 1)
                     cells.append((at, lines))
                     if span == 1:
                         width[at] = max(width.get(at, 0), max(map(len, lines), default=0))
                     at += span
             else:
                 outside.children.append(cell)
+        taken = lower
         if lines := (yield _lines_of(outside)):
             cells.append((at, lines))
         if any(lines for _, lines in cells):
@@ -389,4 +427,5 @@ def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every whole page of pages; see extracted() for nulls and repeats."""
     return extracted(table(spark, sf_dir, "pages"))
