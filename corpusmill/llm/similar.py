@@ -1,11 +1,16 @@
-"""Near copies by Jaccard similarity of their shingles: min-hash bands propose pairs, the shingles decide.
+"""Near copies by Jaccard similarity of their shingles: SimHash and min-hash bands propose pairs, the shingles decide.
 
-A text is the set of its 5-word shingles. Two texts of similarity s share a band's key with
-probability s^ROWS, and one of the BANDS with 1 - (1 - s^ROWS)^BANDS: at 0.8 all but 3 pairs of a million meet.
+A text is the set of its 5-word shingles. Pairs are proposed by
 
-The pairs of a key are compared in two rounds, so that a large group of copies isn't compared
-pair by pair: first each text with the smallest of its key, then all others of a key that the
-first round left in different components. A pair that isn't compared is in one component already.
+* their SimHash fingerprints of the same shingles, linked within four bits by fuzzy Golay keys (simhash.py). This finds tight copies; of
+  copies near the least similarity, whose fingerprints differ in ten bits and more, it finds few;
+* min-hash bands: two texts of similarity s share a band's key with probability s^ROWS, and one of the BANDS with
+  1 - (1 - s^ROWS)^BANDS: at 0.8 all but 3 pairs of a million meet.
+
+The sets of a key are compared in two rounds, so that a large group of copies isn't compared
+pair by pair: first each set with the smallest of its key, then those of a key that the
+first round left in different components, by their min-hash sketches, in chunks of bounded size; only pairs of similar sketches go on to
+the shingles. A pair that isn't compared is in one component already.
 """
 
 from __future__ import annotations
@@ -15,66 +20,83 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, spread, stored
+from .common import blocks, joined_hot, screen, spread, stored, without
 from .components import components
+from .simhash import linked_fingerprints, majority, shingle_hashes, text_hash
 
 WORDS = 5
 #: Least similarity of near copies, as a fraction.
 LEAST = (4, 5)
 BANDS, ROWS = 32, 5
 SEED = 42
+#: Least share of equal values of two sketches: 0.15 or five deviations below the least similarity.
+SKETCH = 0.65
+#: Sets of a key that are compared in one go, pairs of a set that are verified in one go.
+CHUNK, SALT = 1024, 256
 #: Shingles that are min-hashed at a time.
 _PART = 1 << 12
 _rng = np.random.default_rng(SEED)
-_XOR = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
-_TIMES = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+_XOR = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
+_TIMES = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
+_MIX = np.uint32(0x85EBCA6B)
 
 
 def shingles(text: str, k: int = WORDS) -> np.ndarray:
     """The hashes of the distinct shingles, in order; none for a text without words."""
-    words = text.encode().lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[i : i + k]), SEED) for i in range(max(1, len(words) - k + 1))], np.uint64))
+    return np.unique(shingle_hashes(text, k))
 
 
 def set_id(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), SEED)
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """A key for each band of a set of shingles."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), _PART):
-        h = (found[at : at + _PART, None] ^ _XOR) * _TIMES
-        h ^= h >> np.uint64(32)
+def sketch(found: np.ndarray) -> np.ndarray:
+    """The least value of the set under each of the BANDS * ROWS hash functions."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    short = (found >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), _PART):
+        h = (short[at : at + _PART, None] ^ _XOR) * _TIMES
+        h ^= h >> np.uint32(15)
+        h *= _MIX
         np.minimum(least, h.min(axis=0), out=least)
-    bands = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(bands)], np.uint64)
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A key for each band of a sketch."""
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, node (the set's id), n (its size) and keys of each row of docs that has an id."""
+    """doc_id, text_hash, node (the set's id), n (its size), fp (fingerprint), keys and sketch of each row of docs that has an id."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches):
-            sets = [shingles(t) for t in texts]
-            node = np.array([set_id(s) for s in sets], np.uint64).view(np.int64)
-            keys = pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            n = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), n, keys], ["doc_id", "text_hash", "node", "n", "keys"])
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return spread(rows, "doc_id").mapInArrow(sign, f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, node long, n int, keys array<long>")
+            node, fp, n, keys, drawn = [], [], [], [], []
+            for text in texts:
+                every = shingle_hashes(text, WORDS)
+                found = np.unique(every)
+                least = sketch(found)
+                node.append(set_id(found))
+                fp.append(majority(every))
+                n.append(len(found))
+                keys.append(band_keys(least).view(np.int64))
+                drawn.append(least.astype("<u4").tobytes())
+            long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), long(node), pa.array(n, pa.int32()), long(fp), pa.array(keys, pa.list_(pa.int64())), pa.array(drawn, pa.binary())],
+                ["doc_id", "text_hash", "node", "n", "fp", "keys", "sketch"],
+            )
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    return spread(rows, "doc_id").mapInArrow(sign, f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, node long, n int, fp long, keys array<long>, sketch binary")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node and shingles of the rows whose doc_id and text_hash are in ids."""
+    """node and shingles of the rows whose doc_id and text_hash are in ids; a screen keeps most other texts from being moved."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches):
@@ -82,47 +104,95 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Data
             node = np.array([set_id(s) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    chosen = rows.join(ids.hint("merge"), ["doc_id", "text_hash"], "left_semi").select("text")
+    maybe = screen(ids.select(F.xxhash64("doc_id", "text_hash")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    chosen = rows.where(maybe(F.xxhash64("doc_id", "text_hash"))).join(ids.hint("merge"), ["doc_id", "text_hash"], "left_semi").select("text")
     return chosen.mapInArrow(make, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("key", F.explode("keys")).drop("keys")
-
-
 def _fits(a: str, b: str) -> F.Column:
     """Sizes of which sets can be similar enough at all."""
     return F.least(a, b).cast("long") * LEAST[1] >= F.greatest(a, b).cast("long") * LEAST[0]
 
 
-def first_pairs(nodes: DataFrame) -> DataFrame:
-    """u, v: each set with the smallest one of each of its keys."""
-    of_key = Window.partitionBy("key")
-    led = _buckets(nodes).withColumn("lead", F.min(F.struct("node", "n")).over(of_key))
-    led = led.where((F.col("node") != F.col("lead.node")) & _fits("n", "lead.n"))
-    return led.select(F.col("lead.node").alias("u"), F.col("node").alias("v")).distinct()
+def met(nodes: DataFrame, total: int) -> DataFrame:
+    """key, node, n and lead, the smallest set (node, n) of the key, of each set and key that another set has too; total is the number of sets."""
+    buckets = nodes.select("node", "n", F.explode("keys").alias("key"))
+    shared = buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    return stored(joined_hot(buckets, stored(shared, "similar-keys"), ["key"], "size", total * BANDS), "similar-met")
 
 
-def other_pairs(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """u, v: the other pairs of each key whose sets have different roots as yet."""
-    of_key = Window.partitionBy("key")
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = _buckets(rooted).withColumns({"lead": F.min("node").over(of_key), "low": F.min("root").over(of_key), "high": F.max("root").over(of_key)})
-    mixed = stored(mixed.where("low <> high and node <> lead").select("key", "node", "n", "root"), "similar-mixed")
-    a, b = (mixed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root"))) for s in "ab")
-    pairs = a.join(b.hint("merge"), "key").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _fits("n_a", "n_b"))
-    return pairs.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
+def first_pairs(rows: DataFrame) -> DataFrame:
+    """u, v: each set with the smallest one of each of its keys."""
+    led = rows.where((F.col("node") != F.col("lead.node")) & _fits("n", "lead.n"))
+    return led.select(F.col("lead.node").alias("u"), F.col("node").alias("v"))
+
+
+def print_pairs(nodes: DataFrame, total: int) -> DataFrame:
+    """u, v: sets whose fingerprints simhash.py links, and each set with the smallest one of its fingerprint."""
+    prints = stored(nodes.groupBy("fp").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("size")), "similar-prints")
+    edges = linked_fingerprints(prints.select("fp"))
+    ends = [prints.select(F.col("fp").alias(c), F.col("lead").alias(f"node_{c}")) for c in ("u", "v")]
+    linked = edges.join(ends[0].hint("merge"), "u").join(ends[1].hint("merge"), "v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+    alike = joined_hot(nodes.select("fp", "node"), prints.where("size > 1"), ["fp"], "size", total).where("node <> lead")
+    return linked.unionByName(alike.select(F.col("lead").alias("u"), F.col("node").alias("v")))
+
+
+def _similar_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """u, v of the rows (grp, chunk, cross, node, root, sketch), sorted by group, that have similar sketches and different roots; across chunks if cross."""
+    held: list[np.ndarray] = []
+
+    def pairs(grp, chunk, cross, node, root, drawn) -> Iterator[pa.RecordBatch]:
+        at, step, n = np.arange(len(grp)), 1, len(grp)
+        while len(at):
+            at = at[at + step < n]
+            at = at[grp[at] == grp[at + step]]
+            to = at + step
+            asked = at[(root[at] != root[to]) & (~cross[at] | (chunk[at] != chunk[to]))]
+            for part in np.array_split(asked, max(1, -(-len(asked) // 4096))):
+                near = part[(drawn[part] == drawn[part + step]).mean(axis=1) >= SKETCH]
+                if len(near):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[near]), pa.array(node[near + step])], ["u", "v"])
+            step += 1
+
+    for batch in batches:
+        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        now.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), "<u4").reshape(-1, BANDS * ROWS))
+        held = [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)] if held else now
+        cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        yield from pairs(*(x[:cut] for x in held))
+        held = [x[cut:] for x in held]
+    if held:
+        yield from pairs(*held)
+
+
+def other_pairs(rows: DataFrame, roots: DataFrame, drawn: DataFrame, total: int) -> DataFrame:
+    """u, v: the other pairs of each key that have different roots as yet and similar sketches (drawn: node, sketch)."""
+    rooted = rows.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = stored(rooted.where("node <> lead.node").select("key", "node", "root"), "similar-rooted-keys")
+    keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    keys = stored(keys.select("key", "size", F.ceil(F.col("size") / CHUNK).alias("chunks")), "similar-mixed-keys")
+    mixed = joined_hot(rooted, keys, ["key"], "size", total * BANDS).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    mixed = stored(mixed, "similar-mixed")
+    mine = stored(drawn.join(mixed.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "similar-sketches")
+    each = mixed.select("key", "node", "root", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    each = each.select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("grp"), "chunk", (F.col("chunk") != F.col("other")).alias("cross"), "node", "root")
+    full = each.join(mine.hint("merge"), "node").select("grp", "chunk", "cross", "node", "root", "sketch")
+    return full.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(_similar_sketches, "u long, v long").distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (u, v) whose shingles are similar enough."""
-    met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    ids = nodes.join(met, "node", "left_semi").select("example.*")
+    """The pairs (u, v) whose shingles are similar enough. A set with many pairs goes to several places, so that none gets all of them."""
+    counts = stored(pairs.groupBy("u").agg(F.count(F.lit(1)).alias("size")).withColumn("copies", F.ceil(F.col("size") / SALT)), "similar-counts")
+    total = counts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    ids = stored(nodes.join(asked.hint("merge"), "node", "left_semi").select("example.*"), "similar-asked")
     sets = stored(sets_of(docs, ids, id_col, text_col), "similar-sets")
-    left = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")).hint("merge"), "u")
-    both = left.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")).hint("merge"), "v")
+    salted = joined_hot(pairs, counts, ["u"], "size", total).withColumn("salt", F.pmod(F.xxhash64("v"), F.col("copies")))
+    right = salted.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")).hint("merge"), "v")
+    spread_u = counts.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"))
+    left = spread_u.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")).hint("merge"), "u")
+    both = right.join(left.hint("merge"), ["u", "salt"])
     same = F.size(F.array_intersect("a", "b")).cast("long")
     return both.where(same * LEAST[1] >= (F.size("a") + F.size("b") - same) * LEAST[0]).select("u", "v")
 
@@ -131,21 +201,22 @@ def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs with one row of each group of near copies, that of the smallest doc_id; all columns stay.
 
     Groups are the components over pairs of similarity 0.8 or more; texts of equal shingles are one. Null and empty texts have
-    no shingles and are alike. A row goes by doc_id and text together, so other rows of its doc_id stay. Rows without an id stay
-    and link nothing.
+    no shingles and are alike. A row goes by doc_id and text together, so other rows of its doc_id stay; rows that repeat the smallest
+    doc_id in a group stay together. Rows without an id stay and link nothing. An empty table gives no rows.
     """
     rows = stored(signed(docs, id_col, text_col), "similar-rows")
     example = F.min(F.struct("doc_id", "text_hash"))
-    nodes = stored(rows.groupBy("node").agg(example.alias("example"), F.min("n").alias("n"), F.min("keys").alias("keys")), "similar-nodes")
-    first = stored(first_pairs(nodes), "similar-first")
+    nodes = rows.groupBy("node").agg(example.alias("example"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.count(F.lit(1)).alias("size"))
+    nodes = stored(nodes, "similar-nodes")
+    total, n_rows = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    keyed = met(nodes, total)
+    first = stored(first_pairs(keyed).unionByName(print_pairs(nodes, total)).distinct(), "similar-first")
     links = stored(verified(first, nodes, docs, id_col, text_col), "similar-links")
-    other = stored(other_pairs(nodes, components(links)), "similar-other")
+    other = stored(other_pairs(keyed, components(links), rows.select("node", "sketch"), total), "similar-other")
     roots = components(links.unionByName(verified(other, nodes, docs, id_col, text_col)))
-    rooted = nodes.select("node", F.col("example.doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = nodes.select("node", "size", F.col("example.doc_id").alias("least")).join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = stored(rooted, "similar-rooted")
-    kept = rooted.groupBy("root").agg(F.min("least").alias("kept"))
-    named = rooted.join(kept, "root").select("node", "kept")
-    gone = rows.select("doc_id", "text_hash", "node").join(named, "node").where("doc_id <> kept")
-    gone = stored(gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct(), "similar-gone")
-    mine = (docs[id_col] == gone["_gone"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == gone["_hash"])
-    return docs.join(gone.hint("merge"), mine, "left_anti")
+    kept = stored(rooted.groupBy("root").agg(F.min("least").alias("kept"), F.count(F.lit(1)).alias("n_root")), "similar-kept")
+    named = stored(joined_hot(rooted, kept, ["root"], "n_root", total).select("node", "size", "kept"), "similar-named")
+    gone = joined_hot(rows.select("doc_id", "text_hash", "node"), named, ["node"], "size", n_rows).where("doc_id <> kept")
+    return without(docs, gone, {"doc_id": docs[id_col], "text_hash": text_hash(docs[text_col])})

@@ -43,11 +43,60 @@ def test_near_stage_catches_looser_copies(spark, sf):
 
 
 def test_second_round_links_what_the_first_leaves(spark):
-    """With a key for all sets, what isn't like the smallest one is compared with the others."""
-    nodes = spark.createDataFrame([(1, 100, [7]), (2, 100, [7]), (3, 100, [7]), (4, 100, [7]), (5, 200, [7])], "node long, n int, keys array<long>")
-    assert sorted(map(tuple, similar.first_pairs(nodes).collect())) == [(1, 2), (1, 3), (1, 4)]
-    roots = spark.createDataFrame([(2, 1)], "node long, root long")
-    assert sorted(map(tuple, similar.other_pairs(nodes, roots).collect())) == [(2, 3), (2, 4), (3, 4)]
+    """Of a key's sets, those that the first round left in different components are compared by their sketches."""
+    rng = np.random.default_rng(1)
+    a, b, c = (rng.integers(0, 1 << 32, similar.BANDS * similar.ROWS, np.uint32) for _ in range(3))
+    near_b = np.where(rng.random(len(b)) < 0.8, b, c)
+    drawn = {1: a, 2: b, 3: near_b, 4: c, 5: b}
+    rows = spark.createDataFrame([(7, n, 100, (1, 100)) for n in drawn], "key long, node long, n int, lead struct<node:long,n:int>")
+    assert sorted(map(tuple, similar.first_pairs(rows).collect())) == [(1, 2), (1, 3), (1, 4), (1, 5)]
+    roots = spark.createDataFrame([(5, 2)], "node long, root long")
+    sketches = spark.createDataFrame([(n, x.astype("<u4").tobytes()) for n, x in drawn.items()], "node long, sketch binary")
+    for chunk in (similar.CHUNK, 2, 1):
+        similar.CHUNK, old = chunk, similar.CHUNK
+        got = sorted(map(tuple, similar.other_pairs(rows, roots, sketches, 5).collect()))
+        similar.CHUNK = old
+        assert sorted({tuple(sorted(p)) for p in got}) == [(2, 3), (3, 5)]
+
+
+def test_sketches_estimate_similarity():
+    """Shares of equal sketch values are near the sets' similarity."""
+    rng = np.random.default_rng(3)
+    for n in (20, 200, 3000):
+        every = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        for share in (0.5, 0.8, 0.95):
+            k = int(len(every) * share)
+            got = [(similar.sketch(every) == similar.sketch(rng.permutation(every)[:k])).mean() for _ in range(20)]
+            assert abs(np.mean(got) - k / len(every)) < 0.03
+
+
+def test_near_stage_on_documents(spark):
+    """All rows of sf0.01 that 5-word similarity links, against all pairs of shingle sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    sets = [similar.shingles(t or "") for _, t in rows]
+    words = np.unique(np.concatenate(sets))
+    held = [np.searchsorted(words, s) for s in sets]
+    label = np.arange(len(rows))
+    n_pairs = 0
+    by_word = {}
+    for i, h in enumerate(held):
+        seen = {}
+        for w in h.tolist():
+            for j in by_word.setdefault(w, []):
+                seen[j] = seen.get(j, 0) + 1
+            by_word[w].append(i)
+        for j, both in seen.items():
+            if 5 * both >= 4 * (len(held[i]) + len(held[j]) - both):
+                n_pairs += 1
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
+        if not len(h):
+            label[i] = min([k for k in range(i + 1) if not len(held[k])])
+    least = {}
+    for (d, _), k in zip(rows, label.tolist()):
+        least[k] = min(d, least.get(k, d))
+    kept = sorted(r["doc_id"] for r in similar.without_similar(docs).collect())
+    assert n_pairs > 20 and kept == sorted(set(least.values()))
 
 
 def test_rows_of_one_id(spark, odd_docs, no_docs):
