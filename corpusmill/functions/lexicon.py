@@ -128,3 +128,36 @@ CANDIDATES_QUESTION = {
 #: Learning rate, warm-up steps, batch size, weight decay, clip norm; and rate, warm-up ratio, decay, batch size.
 GRID = {"lr": [1e-5, 2e-5, 5e-5], "warmup": [500, 2116], "batch": [8, 16], "wd": [0.0, 0.01], "clip": [0.5, 1.0]}
 SEARCH_GRID = {"lr": [1e-5, 3e-5, 5e-5], "wu": [0.0, 0.05, 0.1], "wd": [0.0, 0.01], "bs": [8, 16, 32]}
+
+#: Weights of the sources c4, orc, wh and svo by run: nine runs on web text, five on child-directed speech.
+MIXTURES = {
+    "orc_05_ckpt": (0.97, 0.005, 0.0, 0.025),
+    "orc_1_ckpt": (0.97, 0.01, 0.0, 0.02),
+    "orc_3_ckpt": (0.97, 0.03, 0.0, 0.0),
+    "wh_05_ckpt": (0.97, 0.0, 0.005, 0.025),
+    "wh_1_ckpt": (0.97, 0.0, 0.01, 0.02),
+    "wh_3_ckpt": (0.97, 0.0, 0.03, 0.0),
+    "baseline_ckpt": (0.97, 0.0, 0.0, 0.03),
+    "orc_01_ckpt": (0.97, 0.001, 0.0, 0.029),
+    "wh_01_ckpt": (0.97, 0.0, 0.001, 0.029),
+    "childes_5_5": (0.0, 0.05, 0.05, 0.9),
+    "childes_4_6": (0.0, 0.04, 0.9, 0.06),
+    "childes_6_4": (0.0, 0.06, 0.04, 0.0),
+    "childes_wh": (0.0, 0.0, 0.1, 0.9),
+    "childes_orc": (0.0, 0.1, 0.0, 0.9),
+}
+
+#: Names in the step summary.
+TERMS = [
+    "anaphor_agreement", "argument_structure", "binding", "control_raising", "determiner_noun_agreement", "ellipsis", "filler_gap_dependency",
+    "irregular_forms", "island_effects", "npi_licensing", "quantifiers", "s-selection", "subject_verb_agreement",
+]
+AGREEMENTS = ["plural_plural", "plural_singular", "singular_plural", "singular_singular"]
+
+
+def summary_fields() -> list[str]:
+    """The metrics of a step in the summary's order."""
+    return [
+        "blimp_accuracy", *(f"blimp_{t}" for t in TERMS), "nested_inner_accuracy", "nested_outer_accuracy", *(f"nested_{s}_{c}" for s in ("inner", "outer") for c in AGREEMENTS),
+        *(f"filler_gap_{t}_{v}_interaction" for t in ("orc", "wh") for v in ("iv", "oov")), *(f"prob_mass_{t}_{v}_{k}" for t in ("orc", "wh") for v in ("iv", "oov") for k in ("NP", "VP", "qm")),
+    ]

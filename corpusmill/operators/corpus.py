@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .order import numbered
 
-#: Lines that a document can have in a position number.
-LINES = 1 << 20
+def pair(high: Column | str, low: Column | str) -> Column:
+    """Two numbers as one decimal that orders as they do: high * 2^32 + low, for low of under 2^32."""
+    high, low = (F.col(c) if isinstance(c, str) else c for c in (high, low))
+    return (high.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + low.cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, pos and text of each line; pos is the order over the whole table."""
+    """doc_id, pos and text of each line; pos is the order over the whole table, doc_id and line as one decimal (a text has under 2^32 lines)."""
     split = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("_line", "text"))
-    return split.select("doc_id", (F.col("doc_id") * LINES + F.col("_line")).alias("pos"), "text")
+    return split.select("doc_id", pair("doc_id", "_line").alias("pos"), "text")
 
 
 def nonempty(corpus: DataFrame, keep_spaces: bool = False) -> DataFrame:
@@ -51,7 +53,7 @@ def vocabulary(words: DataFrame) -> DataFrame:
 
     Both make one decimal, so that the smallest is found by a hash aggregate.
     """
-    at = F.col("pos").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("word_no").cast("decimal(10,0)")
+    at = (F.col("pos").cast("decimal(28,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("word_no").cast("decimal(10,0)")).cast("decimal(38,0)")
     seen = words.groupBy("word").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("freq"))
     return numbered(seen, "at", "idx").select("word", "idx", "freq")
 

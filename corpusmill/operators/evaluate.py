@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions import text as T
 from ..functions.text import number_after
+from ..sources.tables import stored
 from . import scoring
+from .order import numbered, quantiles
+from .tokens import word_spans
 
 
 def pair_accuracy(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,24 +61,26 @@ def with_p_values(tests: DataFrame) -> DataFrame:
 
 def top_percent(rows: DataFrame, by: str, percent: float, tie: str) -> DataFrame:
     """The max(1, ceil(percent / 100 * n)) rows of largest by."""
-    n = rows.count()
-    return rows.orderBy(F.desc(by), tie).limit(max(1, -(-n * percent // 100)) if isinstance(percent, int) else max(1, int(-(-n * percent / 100 // 1))))
+    ranked = numbered(rows.withColumn("_down", -F.col(by)), "_down", "_rank", (tie,), total="_rows")
+    return ranked.where(F.col("_rank") < F.greatest(F.lit(1), F.ceil(F.col("_rows") * F.lit(percent) / 100))).drop("_down", "_rank", "_rows")
 
 
 def rollup_summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """n, mean and median by the columns, with 'ALL' rows for each prefix of them."""
-    got = rows.rollup(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), *(F.grouping(c).alias(f"_{c}") for c in by))
-    return got.select(*(F.when(F.col(f"_{c}") == 1, "ALL").otherwise(F.col(c)).alias(c) for c in by), "n", "mean", "median")
+    """n, mean and median by the columns, with 'ALL' rows for each prefix of them. Medians are found by rank."""
+    levels = F.array(*(F.struct(*(F.col(c).cast("string").alias(c) if i < k else F.lit("ALL").alias(c) for i, c in enumerate(by)), F.lit(k).alias("_level")) for k in range(len(by) + 1)))
+    each = stored(rows.select(F.explode(levels).alias("_g"), F.col(value).cast("double").alias("_value")).withColumn("_group", F.to_json("_g", {"ignoreNullFields": "false"})), "rollup")
+    got = each.groupBy("_group").agg(F.first("_g").alias("_g"), F.count(F.lit(1)).alias("n"), F.avg("_value").alias("mean"))
+    return got.join(quantiles(each, "_value", {"median": 0.5}, "_group"), "_group", "left").select(*(F.col(f"_g.{c}").alias(c) for c in by), "n", "mean", "median")
 
 
 def distribution(rows: DataFrame, value: str) -> DataFrame:
-    """One row of statistics of the finite values, percentiles interpolated, and the mean of their logarithm."""
+    """One row of statistics of the finite values, percentiles interpolated and found by rank, and the mean of their logarithm."""
     v = F.col(value)
-    at = F.percentile(v, F.array(*map(F.lit, (0.25, 0.75, 0.95))))
-    got = rows.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"), at.alias("_p"), F.avg(F.ln(v)).alias("cross_entropy")
-    )
-    return got.select("n", "mean", "median", "std", "least", "most", *(F.col("_p")[i].alias(f"p{k}") for i, k in enumerate((25, 75, 95))), "cross_entropy")
+    some = stored(rows.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).select(v.cast("double").alias("_v"), F.lit(0).alias("_one")), "distribution")
+    got = some.agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"), F.min("_v").alias("least"), F.max("_v").alias("most"), F.avg(F.ln("_v")).alias("cross_entropy"))
+    cut = quantiles(some, "_v", {"median": 0.5, "p25": 0.25, "p75": 0.75, "p95": 0.95}, "_one")
+    both = got.withColumn("_one", F.lit(0)).join(cut, "_one", "left")  # a row each
+    return both.select("n", "mean", "median", "std", "least", "most", "p25", "p75", "p95", "cross_entropy")
 
 
 def last_values(scalars: DataFrame) -> DataFrame:
@@ -105,6 +112,24 @@ def wide(base: DataFrame, parts: dict[str, DataFrame], key: str) -> DataFrame:
     return base
 
 
+def summary(metrics: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """A row for each key with a column for each field from metrics (key, name, value); null where a metric is missing, the last of repeated ones counts."""
+    return metrics.where(F.col("name").isin(*fields)).groupBy(key).agg(*(F.max(F.when(F.col("name") == f, F.col("value"))).alias(f) for f in fields))
+
+
+def collected(configs: DataFrame, scalars: DataFrame, tags: dict[str, str]) -> DataFrame:
+    """configs (run and its settings) with the last value of each tag of the run's scalars under the tag's name; null where it has none."""
+    last = last_values(scalars.where(F.col("tag").isin(*tags)))
+    wide_ = last.groupBy("run").agg(*(F.max(F.when(F.col("tag") == t, F.col("last"))).alias(n) for t, n in tags.items()))
+    return configs.join(wide_, "run", "left")
+
+
+def best_by(rows: DataFrame, keys: list[str], by: str, order: list[str]) -> DataFrame:
+    """Of each group the row of largest by, the first in order of equal ones."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last(by), *order))
+    return rows.withColumn("_place", place).where("_place = 1").drop("_place")
+
+
 def hyper_parameters(name: Column) -> list[Column]:
     """lr, wd, warm and bs from a run's name, with points or p for decimals; null where the name lacks them."""
     plain = lambda pattern: F.replace(F.regexp_extract(name, pattern, 1), F.lit("p"), F.lit(".")).try_cast("double")
@@ -128,10 +153,7 @@ def best_row(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
 
 def char_spans(docs: DataFrame, key: str) -> DataFrame:
     """key, token_no, start, end of each word as if single spaces parted them."""
-    rows = docs.select(key, F.posexplode("words").alias("token_no", "word"))
-    before = Window.partitionBy(key).orderBy("token_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0))
-    return rows.select(key, "token_no", start.alias("start"), (start + F.length("word")).alias("end"))
+    return word_spans(docs, key=key).select(key, F.col("word_no").alias("token_no"), "start", "end")
 
 
 def overlaps(anchors: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
@@ -171,16 +193,20 @@ def latest(paths: DataFrame, by: list[str], path: str = "path", step: str = "ste
     return paths.groupBy(*by).agg(F.max_by(path, step).alias(path), F.max(step).alias(step))
 
 
-def cloze_accuracy(examples: DataFrame, scored: DataFrame) -> DataFrame:
-    """n, n_correct and accuracy by category and over all ('ALL').
+def cloze_best(examples: DataFrame, scored: DataFrame) -> DataFrame:
+    """item, category, lost (candidates without a score) and ok: 1 if the best candidate, the first of equal ones, is a gold one.
 
-    examples has item, category and target_scores; scored has item, cand and logp. An example counts if all its candidates
-    are scored; it is right if its best candidate, the first of equal ones, is a gold one.
+    examples has item, category and target_scores; scored has item, cand and logp.
     """
     cands = examples.select("item", "category", gold_keys("target_scores").alias("gold"), F.posexplode(F.map_keys("target_scores")).alias("at", "cand"))
     rows = cands.join(scored.select("item", "cand", "logp"), ["item", "cand"], "left")
     best = rows.groupBy("item", "category").agg(F.count_if(F.col("logp").isNull()).alias("lost"), F.max_by(F.struct("cand", "gold"), F.struct("logp", -F.col("at"))).alias("b"))
-    right = best.where("lost = 0").select("category", F.array_contains("b.gold", F.col("b.cand")).cast("int").alias("ok"))
+    return best.select("item", "category", "lost", F.array_contains("b.gold", F.col("b.cand")).cast("int").alias("ok"))
+
+
+def cloze_accuracy(examples: DataFrame, scored: DataFrame) -> DataFrame:
+    """n, n_correct and accuracy by category and over all ('ALL') of cloze_best(); examples that lack a score don't count."""
+    right = cloze_best(examples, scored).where("lost = 0")
     got = right.rollup("category").agg(F.count(F.lit(1)).alias("n"), F.sum("ok").alias("n_correct"), F.grouping("category").alias("_all"))
     return got.select(F.when(F.col("_all") == 1, "ALL").otherwise(F.col("category")).alias("category"), "n", "n_correct", (F.col("n_correct") / F.col("n")).alias("accuracy"))
 
@@ -200,3 +226,18 @@ def candidate_masses(contexts: DataFrame, candidates: DataFrame, scorer: scoring
     per_cand = scored.groupBy("slot", "item_id", "cand").agg(scoring.geometric_mean().alias("p"))
     per_item = per_cand.groupBy("slot", "item_id").agg(F.avg("p").alias("p"))
     return per_item.groupBy("slot").agg(F.count(F.lit(1)).alias("n_items"), F.avg("p").alias("mean_mass"))
+
+
+#: Evaluators by name: functions of a table of scores and keys that give keys and value.
+EVALUATORS: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {
+    "pair_accuracy": lambda rows, keys: pair_accuracy(rows, keys).withColumnRenamed("accuracy", "value"),
+    "perplexity": lambda rows, keys: rows.groupBy(*keys).agg(scoring.perplexity().alias("value")),
+    "geometric_mean": lambda rows, keys: rows.groupBy(*keys).agg(scoring.geometric_mean().alias("value")),
+}
+
+
+def run(name: str, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """evaluator, keys and value of an evaluator called by name; an unknown name is an error."""
+    if name not in EVALUATORS:
+        raise ValueError(f"no evaluator {name}; there are {', '.join(sorted(EVALUATORS))}")
+    return EVALUATORS[name](rows, keys).select(F.lit(name).alias("evaluator"), *keys, "value")

@@ -41,14 +41,11 @@ def anchor_tokens(texts: DataFrame, key: str, text: str, anchor: str, strict: bo
 
 
 def aligned(left: DataFrame, right: DataFrame, key: str = "pos") -> DataFrame:
-    """Rows of two corpora joined by position; an error if one has a position that the other lacks."""
-    lost = left.select(key).join(right.select(key), key, "full_outer").groupBy().agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    n, a, b = lost.first()["n"], left.count(), right.count()
-    if not n == a == b:
-        raise ValueError(f"the corpora have {a} and {b} rows, {n} positions in all")
-    return left.join(right, key)
+    """Rows of two corpora joined by position; when the result is read, an error if one has a position that the other lacks. One join, no count beforehand."""
+    both = left.withColumn("_l", F.lit(True)).join(right.withColumn("_r", F.lit(True)), key, "full_outer")
+    lacks = F.concat(F.lit("no partner at position "), F.col(key).cast("string"))
+    checked = both.where(F.when(F.col("_l") & F.col("_r"), F.lit(True)).otherwise(F.raise_error(lacks).cast("boolean")))
+    return checked.drop("_l", "_r")
 
 
 def dimensions(**catalogues: DataFrame) -> DataFrame:
@@ -78,6 +75,26 @@ def decay(spark: SparkSession, start: float, rate: float, steps: int, least: flo
     return spark.range(steps).select(F.col("id").alias("step"), F.greatest(F.lit(start) * F.pow(F.lit(rate), F.col("id")), F.lit(least)).alias("temperature"))
 
 
+def tasks(spark: SparkSession, models: list[str], evaluations: list[str]) -> DataFrame:
+    """Task numbers from 0 with the model, number divided by the evaluations, and the evaluation, the remainder."""
+    n = len(evaluations)
+    rows = spark.range(len(models) * n).select(F.col("id").alias("task"))
+    at = lambda words, i: F.element_at(F.array(*map(F.lit, words)), (i + 1).cast("int"))
+    return rows.select("task", at(models, F.floor(F.col("task") / n)).alias("model"), at(evaluations, F.col("task") % n).alias("evaluation"))
+
+
+def mixtures(spark: SparkSession, catalogue: dict[str, tuple[float, ...]], sources: tuple[str, ...]) -> DataFrame:
+    """run, source, weight and share (of the run's weights) of the sources of each run whose weight is over 0."""
+    rows = [(run, s, float(w), float(w) / sum(ws)) for run, ws in catalogue.items() for s, w in zip(sources, ws, strict=True) if w > 0]
+    return spark.createDataFrame(rows, "run string, source string, weight double, share double")
+
+
+def superseded(paths: DataFrame, run: str = "run", step: str = "step") -> DataFrame:
+    """paths with keep: whether it is the run's last checkpoint. What to do with the others is left to the caller."""
+    last = paths.groupBy(run).agg(F.max(step).alias("_last"))
+    return paths.join(last, run).withColumn("keep", F.col(step) == F.col("_last")).drop("_last")
+
+
 def train_tag(name: Column | str) -> Column:
     """The tag in a training file's name: without train_ and _augmented, what follows _baseline_, train if nothing is left."""
     tag = T.col(name)

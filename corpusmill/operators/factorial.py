@@ -51,10 +51,11 @@ def centred(rows: DataFrame, item: str = "item", y: str = "y") -> DataFrame:
     return rows.withColumn("y_centred", F.col(y) - F.avg(y).over(Window.partitionBy(item)))
 
 
-def accuracy(rows: DataFrame, item: str = "item", y: str = "y") -> DataFrame:
-    """One row: n items with all cells, how many have an interaction over 0, its mean and sample deviation, and the cells' means."""
+def accuracy(rows: DataFrame, item: str = "item", y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
+    """n items with all cells, how many have an interaction over 0, its mean and sample deviation, and the cells' means: one row, or one for each group of by."""
     score = interaction()
-    return complete(pivoted(rows, item, y)).agg(
+    wide = rows.where(valid(y)).groupBy(*by, item).agg(*(F.avg(F.when(_in(c), F.col(y))).alias(c) for c in CELLS))
+    return complete(wide).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg((score > 0).cast("double")).alias("accuracy"), F.avg(score).alias("mean_score"), F.stddev_samp(score).alias("std_score"),
         *(F.avg(c).alias(c) for c in CELLS),
     )

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .order import even_cuts, numbered, running_sum
+from ..sources.tables import stored
+from .order import numbered, running_sum
 from .sampling import uniform
+from .tokens import slices
 
 
 def normalized(weights: dict[str, float]) -> list[tuple[str, float]]:
@@ -34,7 +36,26 @@ def _draws(df: DataFrame, n: int, name: str, weights: dict[str, float], seed: in
     """n numbered draws of a source, and which one of its source each is."""
     rows = df.sparkSession.range(n).select(F.col("id").alias(name))
     rows = rows.withColumn("source", drawn(uniform(name, seed), weights))
-    return numbered(rows, name, "_k", by="source", cuts=even_cuts(rows, n))
+    return numbered(rows, name, "_k", by="source")
+
+
+def _streams(docs: DataFrame) -> DataFrame:
+    """source, pos, words, at and n_stream: the documents' places in their sources' streams of words."""
+    rows = docs.select("source", "pos", "words", F.size("words").cast("long").alias("_n"))
+    return running_sum(rows, "pos", "_n", "at", by="source", total="n_stream")
+
+
+def _slices(streams: DataFrame, size: int) -> DataFrame:
+    return slices(streams.withColumn("pos", F.struct("source", "pos")), size).select("pos.source", F.col("block_id").alias("source_block"), "at", "tokens")
+
+
+def source_blocks(docs: DataFrame, size: int) -> DataFrame:
+    """source, at (the block's number), n (full blocks of the source) and tokens of the blocks that each source's words make in order of pos."""
+    flat = stored(_streams(docs), "source-streams")
+    sizes = flat.groupBy("source").agg(F.floor(F.max("n_stream") / size).alias("n"))
+    whole = _slices(flat, size).groupBy("source", "source_block").agg(F.array_sort(F.collect_list(F.struct("at", "tokens"))).alias("_s"))  # size tokens
+    rows = whole.select("source", F.col("source_block").alias("at"), F.flatten(F.transform("_s", lambda s: s["tokens"])).alias("tokens"))
+    return rows.join(F.broadcast(sizes), "source")  # a row for each source
 
 
 def per_block(docs: DataFrame, weights: dict[str, float], n_blocks: int, size: int, seed: int | str) -> DataFrame:
@@ -44,23 +65,23 @@ def per_block(docs: DataFrame, weights: dict[str, float], n_blocks: int, size: i
     runs out starts again. Gives block_no, source, source_block, g and token.
     """
     sources = [name for name, _ in normalized(weights)]
-    rows = docs.where(F.col("source").isin(sources)).withColumn("_n", F.size("words"))
-    flat = running_sum(rows, "pos", "_n", "_before", by="source")
-    stream = flat.select("source", "_before", F.posexplode("words").alias("_i", "token")).withColumn("g", F.col("_before") + F.col("_i"))
-    sizes = rows.groupBy("source").agg(F.floor(F.sum("_n") / size).alias("_blocks"))
-    draws = _draws(docs, n_blocks, "block_no", weights, seed).join(F.broadcast(sizes), "source")
-    draws = draws.select("block_no", "source", (F.col("_k") % F.col("_blocks")).alias("source_block"))
-    return stream.withColumn("source_block", F.floor(F.col("g") / size)).join(draws, ["source", "source_block"]).select("block_no", "source", "source_block", "g", "token")
+    flat = _streams(docs.where(F.col("source").isin(sources)))
+    cut = _slices(flat, size)
+    sizes = flat.groupBy("source").agg(F.floor(F.max("n_stream") / size).alias("_blocks"))
+    draws = _draws(docs, n_blocks, "block_no", weights, seed).join(F.broadcast(sizes), "source")  # a row for each source
+    draws = draws.where("_blocks > 0").select("block_no", "source", (F.col("_k") % F.col("_blocks")).alias("source_block"))
+    rows = cut.join(draws, ["source", "source_block"])
+    return rows.select("block_no", "source", "source_block", "at", F.posexplode("tokens").alias("_i", "token")).select("block_no", "source", "source_block", (F.col("at") + F.col("_i")).alias("g"), "token")
 
 
 def per_document(docs: DataFrame, weights: dict[str, float], n_docs: int, seed: int | str) -> DataFrame:
     """n_docs documents, each of a source drawn by weight; a source that runs out starts again. Adds doc_no."""
     sources = [name for name, _ in normalized(weights)]
     rows = docs.where(F.col("source").isin(sources))
-    here = numbered(rows, "pos", "_at", by="source")
+    here = numbered(rows, "pos", "_place", by="source")
     sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("_docs"))
     draws = _draws(docs, n_docs, "doc_no", weights, seed).join(F.broadcast(sizes), "source")
-    return draws.withColumn("_at", F.col("_k") % F.col("_docs")).join(here, ["source", "_at"]).drop("_k", "_docs", "_at")
+    return draws.withColumn("_place", F.col("_k") % F.col("_docs")).join(here, ["source", "_place"]).drop("_k", "_docs", "_place")
 
 
 def cycled(rows: DataFrame, at: str, n: int) -> DataFrame:

@@ -1,64 +1,89 @@
-"""Row numbers and prefix sums over a whole table without a one-partition sort.
+"""Row numbers and prefix sums over a whole table without a window over it.
 
-Rows are cut into ranges of the order key at its approximate quantiles. A small table has the rows and
-sums of each range and, from a window over it, what lies before the range; inside a range a window
-goes on from there. Only that small table, of as many rows as there are ranges, sees a
-one-partition window.
+The table is written once, dealt to ranges of the order key and sorted there; each row gets its place in its range, or the sum before
+it there, as the range is written. What lies before a range comes from a table of one row for each range. So what gives
+the rows is worked out once, no row is sent twice, and the number of ranges is that of the session's shuffle partitions, whatever
+the keys look like. Equal keys are parted by ties, which should make rows distinct where keys repeat a lot.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
+from ..sources.tables import stored
 
-def _between(key: Column, cuts: list, first: int = 0) -> Column:
-    """How many of the sorted cuts lie below key, by bisection."""
-    if not cuts:
-        return F.lit(first)
-    mid = len(cuts) // 2
-    return F.when(key > cuts[mid], _between(key, cuts[mid + 1 :], first + mid + 1)).otherwise(_between(key, cuts[:mid], first))
+_IN_PART = (1 << 33) - 1
 
 
-def even_cuts(df: DataFrame, end: int, ranges: int | None = None) -> list[int]:
-    """Cuts for a key that is spread evenly over 0 to end."""
-    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return [end * i // n for i in range(1, n)]
+@F.pandas_udf(LongType())
+def _sum_before(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The sum of the partition's values before each one, in the order of its rows."""
+    total = 0
+    for part in values:
+        v = part.fillna(0).to_numpy().astype(np.int64)
+        ends = np.cumsum(v) + total
+        yield pd.Series(ends - v)
+        total = int(ends[-1]) if len(ends) else total
 
 
-def _ranged(df: DataFrame, key: str, ranges: int | None, cuts: list | None) -> DataFrame:
-    if cuts is None:
-        n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        cuts = df.select(F.approx_percentile(F.col(key), [i / n for i in range(1, n)], F.lit(1000))).first()[0] if n > 1 else []
-    return df.withColumn("_range", _between(F.col(key), sorted(set(cuts or []))))
+def _ranged(df: DataFrame, order: list[str], ranges: int | None, value: str | None) -> DataFrame:
+    """df with _part, the number of the row's range, _at, its place there, and _run, the sum of value before it there."""
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(df, "order-rows").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PART))})
+    return stored(rows if value is None else rows.withColumn("_run", _sum_before(F.col(value).cast("long"))), "order-ranges")
 
 
-def _with_base(df: DataFrame, total: Column, name: str | None, by: list[str]) -> DataFrame:
-    """df with _base, the total of the ranges before the row's, and under name the total of all; each value of by apart."""
-    every = Window.partitionBy(*by).orderBy("_range")
-    sizes = df.groupBy(*by, "_range").agg(total.alias("_t"))
-    base = [F.coalesce(F.sum("_t").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base")]
-    if name:
-        base.append(F.sum("_t").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(name))
-    table = sizes.select(*by, "_range", *base)
-    return df.join(table if by else F.broadcast(table), [*by, "_range"])  # without by a row for each range
+def _with_base(rows: DataFrame, size: Column, here: str, by: str | None, total: str | None) -> DataFrame:
+    """rows with _base, to be added to here, and under total the whole size; each value of by apart."""
+    apart = [by] if by else []
+    sizes = rows.groupBy(*apart, "_part").agg(size.alias("_t"), F.min_by(here, "_at").alias("_first"))
+    every = Window.partitionBy(*apart).orderBy("_part")
+    before = F.coalesce(F.sum("_t").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    columns = [(before - F.col("_first")).alias("_base")]
+    if total:
+        columns.append(F.sum("_t").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(total))
+    table = sizes.select(*apart, "_part", *columns)
+    return rows.join(table if by else F.broadcast(table), [*apart, "_part"])  # without by a row for each range
 
 
-def numbered(df: DataFrame, key: str, name: str, ties: tuple[str, ...] = (), ranges: int | None = None, total: str | None = None, by: str | None = None, cuts: list | None = None) -> DataFrame:
-    """df with name, the running number from 0 in order of key (a number), then ties; under total the number of rows.
+def numbered(df: DataFrame, key: str, name: str, ties: tuple[str, ...] = (), ranges: int | None = None, total: str | None = None, by: str | None = None) -> DataFrame:
+    """df with name, the running number from 0 in order of key, then ties; under total the number of rows.
 
-    With by, the rows of each of its values are numbered apart; a frequent value is still cut into ranges.
-    cuts are the ranges' bounds, where they are known; otherwise they are looked for.
+    With by, the rows of each of its values are numbered apart; a frequent value still lies in several ranges.
     """
-    apart = [by] if by else []
-    rows = _with_base(_ranged(df, key, ranges, cuts), F.count(F.lit(1)), total, apart)
-    here = Window.partitionBy(*apart, "_range").orderBy(key, *ties)
-    return rows.withColumn(name, F.col("_base") + F.row_number().over(here) - 1).drop("_range", "_base")
+    rows = _ranged(df, [*([by] if by else []), key, *ties], ranges, None)
+    rows = _with_base(rows, F.count(F.lit(1)), "_at", by, total)
+    return rows.withColumn(name, F.col("_base") + F.col("_at")).drop("_part", "_at", "_base")
 
 
 def running_sum(df: DataFrame, key: str, value: str, name: str, ties: tuple[str, ...] = (), ranges: int | None = None, total: str | None = None, by: str | None = None) -> DataFrame:
-    """df with name, the sum of value over all rows before the row in order of key (a number), then ties; under total the whole sum. by as in numbered()."""
-    apart = [by] if by else []
-    rows = _with_base(_ranged(df, key, ranges, None), F.sum(value), total, apart)
-    here = Window.partitionBy(*apart, "_range").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(here), F.lit(0))).drop("_range", "_base")
+    """df with name, the sum of value (integers) over all rows before the row in order of key, then ties; under total the whole sum. by as in numbered()."""
+    rows = _ranged(df, [*([by] if by else []), key, *ties], ranges, value)
+    rows = _with_base(rows, F.sum(value), "_run", by, total)
+    return rows.withColumn(name, F.col("_base") + F.col("_run")).drop("_part", "_at", "_run", "_base")
+
+
+def quantiles(rows: DataFrame, value: str, shares: dict[str, float], by: str) -> DataFrame:
+    """by and, under each name of shares, the quantile of value of that share, between neighbours in proportion; nulls don't count.
+
+    Equal values are counted first; the running sum of the counts finds the two values around each quantile, so that no group's values
+    come together anywhere.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_sum(counts, "_v", "_n", "_before", total="_all", by=by)
+    at = {name: F.lit(float(share)) * (F.col("_all") - 1) for name, share in shares.items()}
+    holds = lambda place: (place >= F.col("_before")) & (place < F.col("_before") + F.col("_n"))
+    sides = {}
+    for name, place in at.items():
+        sides[f"_{name}_low"] = F.max(F.when(holds(F.floor(place)), F.col("_v")))
+        sides[f"_{name}_high"] = F.max(F.when(holds(F.ceil(place)), F.col("_v")))
+    found = placed.groupBy(by).agg(F.first("_all").alias("_all"), *(c.alias(n) for n, c in sides.items()))
+    part = lambda name: at[name] - F.floor(at[name])
+    return found.select(by, *((F.col(f"_{n}_low") + (F.col(f"_{n}_high") - F.col(f"_{n}_low")) * part(n)).alias(n) for n in shares))

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .order import even_cuts, numbered
+from ..sources.tables import stored
+from .order import numbered
 
 
 def draw(key: Column | str, seed: int | str) -> Column:
@@ -34,7 +35,7 @@ def choose(pool: list[str], key: Column | str, seed: int | str) -> Column:
 def ranked(df: DataFrame, key: str, seed: int | str, name: str = "_rank") -> DataFrame:
     """df with the row's place from 0 in random order."""
     spot = df.withColumn("_draw", F.conv(F.substring(draw(key, seed), 1, 15), 16, 10).cast("long"))
-    return numbered(spot, "_draw", name, (key,), cuts=even_cuts(df, 1 << 60)).drop("_draw")
+    return numbered(spot, "_draw", name, (key,)).drop("_draw")
 
 
 def shuffled(df: DataFrame, key: str, seed: int | str) -> DataFrame:
@@ -94,70 +95,78 @@ def disjoint_picks(df: DataFrame, sizes: dict[str, int], key: str, seed: int | s
     return rows.withColumn(name, label).drop("_at")
 
 
-def _count(df: DataFrame, name: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias(name))
-
-
 def _trunc(c: Column) -> Column:
     return c.cast("long")
 
 
+class Parts:
+    """Rows of several origins, each ranked once in its own random order and stored, from which datasets of given sizes are cut."""
+
+    def __init__(self, parts: dict[str, DataFrame], key: str, seed: int | str):
+        rows = None
+        for origin, part in parts.items():
+            named = part.withColumn("origin", F.lit(origin))
+            rows = named if rows is None else rows.unionByName(named)
+        spot = rows.withColumn("_draw", F.conv(F.substring(draw(key, seed), 1, 15), 16, 10).cast("long"))
+        self.rows = stored(numbered(spot, "_draw", "_rank", (key,), by="origin").drop("_draw"), "ranked-parts")
+        self.sizes = self.rows.agg(*(F.count_if(F.col("origin") == o).alias(f"n_{o}") for o in parts))
+
+    def short(self, wanted: dict[str, Column], *context: Column) -> None:
+        """An error if an origin has fewer rows than are wanted of it."""
+        for origin, n in wanted.items():
+            row = self.sizes.select(n.alias("n"), F.col(f"n_{origin}").alias("there")).where("n > there").first()
+            if row:
+                raise ValueError(f"{row['n']} {origin} rows wanted, {row['there']} there")
+
+    def cut(self, limits: dict[str, dict[str, Column]]) -> DataFrame:
+        """The rows whose rank is under their origin's limit, with dataset: limits by dataset and origin, from columns n_ and the origin's name.
+
+        All datasets are cut in one pass by a join with a row for each dataset and origin.
+        """
+        wanted = [F.struct(F.lit(d).alias("dataset"), F.lit(o).alias("origin"), n.cast("long").alias("_limit")) for d, part in limits.items() for o, n in part.items()]
+        table = self.sizes.select(F.inline(F.array(*wanted)))
+        return self.rows.join(F.broadcast(table), "origin").where(F.col("_rank") < F.col("_limit")).drop("_rank", "_limit")
+
+
 def augment(base: DataFrame, target: DataFrame, fillers: DataFrame, n: int, start: float, goal: float, key: str, seed: int | str) -> DataFrame:
     """base and n more rows, so many of target that its frequency goes from start to goal, the rest fillers.
 
     Adds `origin`. The number of target rows is round((goal - start) * N + goal * n), half to even, held
     between 0 and what there is. An error if the fillers don't suffice.
     """
-    wanted = F.bround((F.lit(goal) - F.lit(start)) * F.col("_n") + F.lit(goal) * n).cast("long")
-    quota = _count(base, "_n").join(_count(target, "_t")).select(F.greatest(F.lit(0), F.least(wanted, F.col("_t"), F.lit(n))).alias("_quota"))
-    short = quota.join(_count(fillers, "_f")).where(F.lit(n) - F.col("_quota") > F.col("_f")).select(F.lit(n) - F.col("_quota"), "_f").first()
-    if short:
-        raise ValueError(f"{short[0]} filler rows wanted, {short[1]} there")
-    take = lambda df, limit: ranked(df, key, seed).join(F.broadcast(quota)).where(F.col("_rank") < limit).drop("_rank", "_quota")
-    parts = [
-        base.withColumn("origin", F.lit("base")),
-        take(target, F.col("_quota")).withColumn("origin", F.lit("target")),
-        take(fillers, n - F.col("_quota")).withColumn("origin", F.lit("filler")),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = Parts({"base": base, "target": target, "filler": fillers}, key, seed)
+    wanted = F.bround((F.lit(goal) - F.lit(start)) * F.col("n_base") + F.lit(goal) * n).cast("long")
+    quota = F.greatest(F.lit(0), F.least(wanted, F.col("n_target"), F.lit(n)))
+    parts.short({"filler": F.lit(n) - quota})
+    return parts.cut({"": {"base": F.col("n_base"), "target": quota, "filler": F.lit(n) - quota}}).drop("dataset")
 
 
 def replace_exact(base: DataFrame, target: DataFrame, start: float, goal: float, key: str, seed: int | str) -> DataFrame:
     """As many rows as base, int(N (goal - start) / (1 - start)) of them from target instead of random base rows. Adds `origin`."""
-    quota = _count(base, "_n").select("_n", _trunc(F.col("_n") * (F.lit(goal) - F.lit(start)) / (1 - F.lit(start))).alias("_k"))
-    short = quota.join(_count(target, "_t")).where("_k > _t").select("_k", "_t").first()
-    if short:
-        raise ValueError(f"{short[0]} target rows wanted, {short[1]} there")
-    kept = ranked(base, key, seed).join(F.broadcast(quota)).where(F.col("_rank") < F.col("_n") - F.col("_k"))
-    new = ranked(target, key, seed).join(F.broadcast(quota)).where(F.col("_rank") < F.col("_k"))
-    drop = ("_rank", "_n", "_k")
-    return kept.drop(*drop).withColumn("origin", F.lit("base")).unionByName(new.drop(*drop).withColumn("origin", F.lit("target")))
+    parts = Parts({"base": base, "target": target}, key, seed)
+    k = _trunc(F.col("n_base") * (F.lit(goal) - F.lit(start)) / (1 - F.lit(start)))
+    parts.short({"target": k})
+    return parts.cut({"": {"base": F.col("n_base") - k, "target": k}}).drop("dataset")
 
 
-def replace_two(base: DataFrame, first: DataFrame, second: DataFrame, starts: tuple[float, float], goals: tuple[float, float], key: str, seed: int | str) -> DataFrame:
-    """As many rows as base, with random base rows replaced by rows of two structures to reach both goal frequencies. Adds `origin`."""
+def _two(starts: tuple[float, float], goals: tuple[float, float]) -> dict[str, Column]:
     s1, s2 = starts
     t1, t2 = goals
-    k1 = _trunc((1 - F.lit(s2)) * F.col("_n") * F.lit(t1) / (1 - F.lit(s2) - F.lit(s2) * F.lit(s1)))
-    k2 = _trunc((1 - F.lit(s1)) * F.col("_n") * F.lit(t2) / (1 - F.lit(s1) - F.lit(s2) * F.lit(s1)))
-    sizes = _count(base, "_n").join(_count(first, "_a")).join(_count(second, "_b"))
-    quota = sizes.select("_n", F.least(k1, F.col("_a")).alias("_k1"), F.least(k2, F.col("_b")).alias("_k2"))
-    drop = ("_rank", "_n", "_k1", "_k2")
+    k1 = _trunc((1 - F.lit(s2)) * F.col("n_base") * F.lit(t1) / (1 - F.lit(s2) - F.lit(s2) * F.lit(s1)))
+    k2 = _trunc((1 - F.lit(s1)) * F.col("n_base") * F.lit(t2) / (1 - F.lit(s1) - F.lit(s2) * F.lit(s1)))
+    first, second = F.least(k1, F.col("n_first")), F.least(k2, F.col("n_second"))
+    return {"base": F.col("n_base") - first - second, "first": first, "second": second}
 
-    def take(df: DataFrame, limit: Column, origin: str) -> DataFrame:
-        return ranked(df, key, seed).join(F.broadcast(quota)).where(F.col("_rank") < limit).drop(*drop).withColumn("origin", F.lit(origin))
 
-    kept = take(base, F.col("_n") - F.col("_k1") - F.col("_k2"), "base")
-    return kept.unionByName(take(first, F.col("_k1"), "first")).unionByName(take(second, F.col("_k2"), "second"))
+def replace_two(base: DataFrame, first: DataFrame, second: DataFrame, starts: tuple[float, float], goals: tuple[float, float], key: str, seed: int | str) -> DataFrame:
+    """As many rows as base, with random base rows replaced by rows of two structures to reach both goal frequencies. Adds `origin`."""
+    return frequency_grid(base, first, second, starts, [goals], key, seed).drop("dataset")
 
 
 def frequency_grid(base: DataFrame, first: DataFrame, second: DataFrame, starts: tuple[float, float], goals: list[tuple[float, float]], key: str, seed: int | str) -> DataFrame:
-    """replace_two() for each pair of goals, in one table with `dataset`, named rc_%04d_q_%04d."""
-    parts = [replace_two(base, first, second, starts, g, key, seed).withColumn("dataset", F.lit(f"rc_{round(g[0] * 10000):04d}_q_{round(g[1] * 10000):04d}")) for g in goals]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """replace_two() for each pair of goals, in one table with `dataset`, named rc_%04d_q_%04d. Rows are ranked once for all goals."""
+    parts = Parts({"base": base, "first": first, "second": second}, key, seed)
+    return parts.cut({f"rc_{round(a * 10000):04d}_q_{round(b * 10000):04d}": _two(starts, (a, b)) for a, b in goals})
 
 
 def rejected_until(make, accept: Column, n: int, key: str, size: int, rounds: int = 20) -> DataFrame:

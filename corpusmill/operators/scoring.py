@@ -10,34 +10,44 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
 
-def bigrams(words: DataFrame, stream: str = "pos") -> DataFrame:
-    """stream, tok_pos, prev and token of each word but the first of its stream."""
-    w = Window.partitionBy(stream).orderBy("word_no")
-    rows = words.select(stream, F.col("word_no").alias("tok_pos"), F.lag("word").over(w).alias("prev"), F.col("word").alias("token"))
-    return rows.where(F.col("prev").isNotNull())
+
+def bigrams(texts: DataFrame, stream: str = "pos", words: str = "words") -> DataFrame:
+    """stream, tok_pos, prev and token of each word but the first of its text, whose words stand in one array."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    both = F.arrays_zip(F.slice(words, F.lit(1), n).alias("prev"), F.slice(words, F.lit(2), n).alias("token"))
+    return texts.select(stream, F.posexplode(both).alias("_i", "_p")).select(stream, (F.col("_i") + 1).alias("tok_pos"), "_p.prev", "_p.token")
 
 
 class CountScorer:
     """log P(token | prev) = log((n(prev, token) + k) / (n(prev) + k V)) from a table of prev and token.
 
-    prev may be any context word: the one before for a bigram, the filler for a skip-bigram.
+    prev may be any context word: the one before for a bigram, the filler for a skip-bigram. The pair counts are stored once, with their context's.
     """
 
     def __init__(self, pairs: DataFrame, k: float = 1.0):
         self.k = k
-        self.pairs = pairs.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n_pair"))
+        self.pairs = stored(pairs.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n_pair")), "pair-counts")
         self.prevs = self.pairs.groupBy("prev").agg(F.sum("n_pair").alias("n_prev"))
         self.size = self.pairs.agg(F.greatest(F.count_distinct("token"), F.lit(1)).alias("n_vocab"))
 
-    def score(self, rows: DataFrame) -> DataFrame:
-        """rows (with prev and token) and logp."""
-        known = rows.join(self.pairs, ["prev", "token"], "left").join(self.prevs, "prev", "left").join(F.broadcast(self.size))
+    def _scored(self, pairs: DataFrame) -> DataFrame:
+        known = pairs.join(self.prevs, "prev", "left").join(F.broadcast(self.size))  # one row
         p = (F.coalesce("n_pair", F.lit(0)) + self.k) / (F.coalesce("n_prev", F.lit(0)) + self.k * F.col("n_vocab"))
-        return known.withColumn("logp", F.ln(p)).drop("n_pair", "n_prev", "n_vocab")
+        return known.select(*pairs.columns, F.ln(p).alias("logp")).drop("n_pair")
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """rows (with prev and token) and logp. Contexts are joined to the different pairs; the rows see one join, on the pair."""
+        asked = rows.select("prev", "token").distinct().join(self.pairs, ["prev", "token"], "left")
+        return rows.join(self._scored(asked), ["prev", "token"])
+
+    def score_counted(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """keys, prev, token, n (how often the pair stands there) and logp: equal rows are counted before they are joined."""
+        return self.score(rows.groupBy(*keys, "prev", "token").agg(F.count(F.lit(1)).alias("n")))
 
 
 class UnigramScorer:

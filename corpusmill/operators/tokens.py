@@ -1,4 +1,7 @@
-"""Token streams: spans, segments, blocks, lanes and targets."""
+"""Token streams: spans, segments, blocks, lanes and targets.
+
+Words of a line or document stay in one row as long as that goes: blocks are put together from slices of their arrays, not from single tokens.
+"""
 
 from __future__ import annotations
 
@@ -8,13 +11,16 @@ from pyspark.sql import functions as F
 from .order import running_sum
 
 
-def word_spans(corpus: DataFrame, length: Column | None = None) -> DataFrame:
-    """pos, word_no, word, start, end: half-open spans in units of length (characters and one separator by default)."""
-    rows = corpus.select("pos", F.posexplode("words").alias("word_no", "word"))
+def word_spans(corpus: DataFrame, length: Column | None = None, key: str = "pos") -> DataFrame:
+    """key, word_no, word, start, end: half-open spans in units of length (characters and one separator by default).
+
+    Rows are dealt out by key before their words are, so that no word is shuffled.
+    """
+    rows = corpus.repartition(key).select(key, F.posexplode("words").alias("word_no", "word"))
     size = F.length("word") + 1 if length is None else length
-    here = Window.partitionBy("pos").orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
+    here = Window.partitionBy(key).orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(size).over(here), F.lit(0))
-    return rows.select("pos", "word_no", "word", start.alias("start"), (start + F.length("word")).alias("end"))
+    return rows.select(key, "word_no", "word", start.alias("start"), (start + F.length("word")).alias("end"))
 
 
 def segments(tokens: DataFrame, stream: str, order: list[str], is_end: Column) -> DataFrame:
@@ -23,35 +29,51 @@ def segments(tokens: DataFrame, stream: str, order: list[str], is_end: Column) -
     return tokens.withColumn("segment", F.coalesce(F.sum(is_end.cast("int")).over(before), F.lit(0)))
 
 
+def placed(rows: DataFrame, tokens: str = "words") -> DataFrame:
+    """pos, the tokens as words, at (how many tokens of the stream lie before) and n_stream (tokens in all) of the stream that the rows make in order of pos."""
+    sized = rows.select("pos", F.col(tokens).alias("words"), F.size(tokens).cast("long").alias("_n"))
+    return running_sum(sized, "pos", "_n", "at", total="n_stream").drop("_n")
+
+
 def positions(rows: DataFrame, tokens: str = "words") -> DataFrame:
     """g, pos, token_no, token and n_stream (tokens in all) of the stream that the rows' token arrays make in order of pos."""
-    sized = running_sum(rows.withColumn("_n", F.size(tokens)), "pos", "_n", "_before", total="n_stream")
-    return sized.select("pos", "_before", "n_stream", F.posexplode(tokens).alias("token_no", "token")).select((F.col("_before") + F.col("token_no")).alias("g"), "pos", "token_no", "token", "n_stream")
+    flat = placed(rows, tokens).select("pos", "at", "n_stream", F.posexplode("words").alias("token_no", "token"))
+    return flat.select((F.col("at") + F.col("token_no")).alias("g"), "pos", "token_no", "token", "n_stream")
 
 
-def blocks(stream: DataFrame, size: int, keep_rest: bool = False) -> DataFrame:
-    """stream with block_id; what doesn't fill a block is dropped unless keep_rest."""
-    out = stream.withColumn("block_id", F.floor(F.col("g") / size).cast("long"))
-    return out if keep_rest else out.where(F.col("block_id") < F.floor(F.col("n_stream") / size))
+def slices(stream: DataFrame, size: int, keep_rest: bool = False) -> DataFrame:
+    """block_id, at (in the stream), pos and tokens: what each row of placed() has of each block of size tokens.
 
+    What doesn't fill a block is dropped unless keep_rest.
+    """
+    n = F.size("words")
+    ends = F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + n - 1) / size))
+    each = stream.where(n > 0).select("pos", "at", "words", "n_stream", F.explode(ends).alias("block_id"))
+    first = F.greatest(F.col("block_id") * size - F.col("at"), F.lit(0))
+    last = F.least((F.col("block_id") + 1) * size - F.col("at"), n.cast("long"))
+    cut = F.slice("words", (first + 1).cast("int"), (last - first).cast("int"))
+    rows = each.select("block_id", (F.col("at") + first).alias("at"), "pos", cut.alias("tokens"), "n_stream")
+    return (rows if keep_rest else rows.where(F.col("block_id") < F.floor(F.col("n_stream") / size))).drop("n_stream")
 
-def packed(stream: DataFrame, size: int, masked: str | None = None) -> DataFrame:
-    """block_id, input_ids and labels (null where the token is masked) of each full block."""
-    rows = blocks(stream, size).groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("g", "token"))).alias("_t"))
-    ids = F.transform("_t", lambda t: t["token"])
-    labels = ids if masked is None else F.transform(ids, lambda t: F.when(t != masked, t))
-    return rows.select("block_id", ids.alias("input_ids"), labels.alias("labels"))
+
+def packed(stream: DataFrame, size: int, masked: str | int | None = None, mask: str | int | None = None, keep_rest: bool = False) -> DataFrame:
+    """block_id, n_rows, input_ids and labels of each full block; in labels mask (null by default) stands where the token is masked."""
+    rows = slices(stream, size, keep_rest).groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("at", "tokens"))).alias("_s"))
+    ids = F.flatten(F.transform("_s", lambda s: s["tokens"]))
+    labels = ids if masked is None else F.transform(ids, lambda t: F.when(t != masked, t).otherwise(F.lit(mask)))
+    return rows.select("block_id", F.size("_s").cast("long").alias("n_rows"), ids.alias("input_ids"), labels.alias("labels"))
 
 
 def packed_in_batches(rows: DataFrame, size: int, batch_rows: int = 1000, tokens: str = "words") -> DataFrame:
-    """Blocks as they come out if each batch of rows (in order of pos, row numbers in row_no) is packed by itself and its rest dropped."""
+    """Blocks as they come out if each batch of rows (in order of pos, row numbers in row_no) is packed by itself and its rest dropped: batch, block, tokens.
+
+    A batch is a bounded number of rows, put together as one array.
+    """
     batch = F.floor(F.col("row_no") / batch_rows)
-    sized = rows.select(batch.alias("batch"), "row_no", tokens, F.size(tokens).alias("_n"))
-    before = Window.partitionBy("batch").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy("batch")
-    flat = sized.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_total", F.sum("_n").over(total))
-    out = flat.select("batch", "_before", "_total", F.posexplode(tokens).alias("token_no", "token")).withColumn("g", F.col("_before") + F.col("token_no"))
-    return out.select("batch", F.floor(F.col("g") / size).alias("block"), "g", "token", "_total").where(F.col("block") < F.floor(F.col("_total") / size)).drop("_total")
+    whole = rows.groupBy(batch.alias("batch")).agg(F.array_sort(F.collect_list(F.struct("row_no", F.col(tokens).alias("t")))).alias("_r"))
+    flat = whole.select("batch", F.flatten(F.transform("_r", lambda r: r["t"])).alias("t")).where(F.size("t") >= size)
+    numbers = F.sequence(F.lit(0), F.floor(F.size("t") / size).cast("int") - 1)
+    return flat.select("batch", "t", F.explode(numbers).alias("block")).select("batch", "block", F.slice("t", F.col("block") * size + 1, F.lit(size)).alias("tokens"))
 
 
 def lanes(stream: DataFrame, n_lanes: int) -> DataFrame:
@@ -61,9 +83,17 @@ def lanes(stream: DataFrame, n_lanes: int) -> DataFrame:
     return rows.select("g", "token", F.floor(F.col("g") / F.col("_len")).alias("lane"), (F.col("g") % F.col("_len")).alias("t"))
 
 
-def targets(stream: DataFrame, within: str = "block_id") -> DataFrame:
-    """stream with target, the next token of the block (null at its end)."""
-    return stream.withColumn("target", F.lead("token").over(Window.partitionBy(within).orderBy("g")))
+def pairs(words: Column | str, last: bool = False) -> Column:
+    """(token, target) of each element of an array and the one after it; with last also the last one, whose target is null."""
+    words = F.col(words) if isinstance(words, str) else words
+    n = F.size(words)
+    left = words if last else F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0)))
+    return F.arrays_zip(left.alias("token"), F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))).alias("target"))
+
+
+def targets(blocks: DataFrame, tokens: str = "input_ids") -> DataFrame:
+    """block_id, token and target, the next token of the block (null at its end), of packed() blocks."""
+    return blocks.select("block_id", F.inline(pairs(tokens, last=True)))
 
 
 def chunks(words: Column, n: int) -> Column:

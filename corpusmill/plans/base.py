@@ -10,7 +10,7 @@ from ..operators import corpus
 
 #: White space at both ends and inside, as DuckDB's patterns have it.
 STRIP = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
-SQL_LINES = """lines AS (SELECT doc_id, doc_id * 1048576 + i - 1 AS pos, s AS text FROM
+SQL_LINES = """lines AS (SELECT doc_id, CAST(doc_id AS HUGEINT) * 4294967296 + i - 1 AS pos, s AS text FROM
   (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))"""
 SQL_BARE = SQL_LINES + ", bare AS (SELECT * FROM (SELECT doc_id, pos, " + STRIP.format("text") + " AS text FROM lines) WHERE text <> '')"
 SQL_DOC_WORDS = r"""dw AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS words FROM documents)"""
@@ -26,10 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents over as many partitions as there are cores at least: a table of fewer splits is dealt out, as splitting texts takes long."""
-    docs = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.select("doc_id", "text").repartition(cores, "doc_id")
+    """The documents, dealt out: the reader may cut a table into a few large splits, and splitting texts takes long."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +43,11 @@ def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select(F.col("doc_id").alias("pos"), "doc_id", T.words("text").alias("words"))
 
 
+def shown(df: DataFrame, *columns: str) -> DataFrame:
+    """df with positions (pos, or the columns) as text: they are decimals of up to 38 digits."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns or ("pos",)})
+
+
 def number(df: DataFrame, *columns: str) -> DataFrame:
     """df with the columns as long."""
     return df.withColumns({c: F.col(c).cast("long") for c in columns})

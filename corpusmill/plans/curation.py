@@ -7,25 +7,25 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import corpus, sampling, tokens
-from .base import SQL_BARE, SQL_DOC_WORDS, SQL_LINES, SQL_STREAM, STRIP, bare, doc_words, lines, number, table
+from .base import SQL_BARE, SQL_DOC_WORDS, SQL_LINES, SQL_STREAM, STRIP, bare, doc_words, lines, number, shown, table
 from .catalog import query
 
 W = f"WITH {SQL_BARE} "
 
 
-@query(W + "SELECT pos, text FROM bare")
+@query(W + "SELECT CAST(pos AS VARCHAR) AS pos, text FROM bare")
 def lines_nonempty(spark: SparkSession, d: str) -> DataFrame:
-    return bare(spark, d).select("pos", "text")
+    return shown(bare(spark, d).select("pos", "text"))
 
 
-@query(f"WITH {SQL_LINES} SELECT pos, text FROM lines WHERE " + STRIP.format("text") + " <> ''")
+@query(f"WITH {SQL_LINES} SELECT CAST(pos AS VARCHAR) AS pos, text FROM lines WHERE " + STRIP.format("text") + " <> ''")
 def lines_unstripped(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.nonempty(lines(spark, d), keep_spaces=True).select("pos", "text")
+    return shown(corpus.nonempty(lines(spark, d), keep_spaces=True).select("pos", "text"))
 
 
-@query(W + "SELECT text, min(pos) AS pos, count(*) AS copies FROM bare GROUP BY text")
+@query(W + "SELECT text, CAST(min(pos) AS VARCHAR) AS pos, count(*) AS copies FROM bare GROUP BY text")
 def dedupe_first_occurrence(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.first_occurrences(bare(spark, d))
+    return shown(corpus.first_occurrences(bare(spark, d)))
 
 
 @query(W + "SELECT count(*) AS n_lines, count(DISTINCT text) AS n_unique, count(*) - count(DISTINCT text) AS n_removed FROM bare")
@@ -53,26 +53,26 @@ _CAP1 = "upper(substr(t, 1, 1)) || substr(t, 2)"
 @query(
     W
     + f""", m AS (SELECT pos, {_MARKED} AS t FROM bare), s AS (SELECT pos, t, {STRIP.format("t")} AS b FROM m)
-SELECT pos, CASE WHEN ends_with(replace(replace(b, '<unk>', ''), '<eos>', '<|endoftext|>'), '<|endoftext|>') THEN replace(replace(b, '<unk>', ''), '<eos>', '<|endoftext|>')
+SELECT CAST(pos AS VARCHAR) AS pos, CASE WHEN ends_with(replace(replace(b, '<unk>', ''), '<eos>', '<|endoftext|>'), '<|endoftext|>') THEN replace(replace(b, '<unk>', ''), '<eos>', '<|endoftext|>')
   ELSE replace(replace(b, '<unk>', ''), '<eos>', '<|endoftext|>') || ' <|endoftext|>' END AS preprocessed,
   CASE WHEN ends_with(replace(b, '<unk>', '[MISSING]'), '<|endoftext|>') THEN replace(b, '<unk>', '[MISSING]') ELSE replace(b, '<unk>', '[MISSING]') || '<|endoftext|>' END AS before_tokens,
   CASE WHEN ends_with(b, '.') THEN upper(substr(b, 1, 1)) || substr(b, 2) ELSE upper(substr(b, 1, 1)) || substr(b, 2) || '.' END || ' <eos>' AS formatted FROM s"""
 )
 def preprocess_sentence(spark: SparkSession, d: str) -> DataFrame:
     rows = bare(spark, d).select("pos", _marked().alias("t"))
-    return rows.select("pos", T.preprocess("t").alias("preprocessed"), T.before_tokens("t").alias("before_tokens"), T.format_eos("t").alias("formatted"))
+    return shown(rows).select("pos", T.preprocess("t").alias("preprocessed"), T.before_tokens("t").alias("before_tokens"), T.format_eos("t").alias("formatted"))
 
 
 @query(
     f"""WITH {SQL_LINES}, w AS (SELECT pos, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM lines)
-SELECT pos, upper(substr(s, 1, 1)) || lower(substr(s, 2)) AS capitalized, upper(substr(s, 1, 1)) || substr(s, 2) AS first_upper, s AS squeezed,
+SELECT CAST(pos AS VARCHAR) AS pos, upper(substr(s, 1, 1)) || lower(substr(s, 2)) AS capitalized, upper(substr(s, 1, 1)) || substr(s, 2) AS first_upper, s AS squeezed,
   lower(regexp_replace(ws[1], '^[.,?!;:"''()\\[\\]{{}}]+|[.,?!;:"''()\\[\\]{{}}]+$', '', 'g')) AS word_both,
   lower(regexp_replace(ws[-1], '[.,!?;:]+$', '')) AS word_right
 FROM (SELECT *, regexp_replace({STRIP.format("text")}, '[\\s\\p{{Z}}]+', ' ', 'g') AS s FROM w)"""
 )
 def capitalize_normalize(spark: SparkSession, d: str) -> DataFrame:
     s = T.squeeze("text")
-    return lines(spark, d).select(
+    return shown(lines(spark, d)).select(
         "pos", T.capitalize(s).alias("capitalized"), T.capitalize_first(s).alias("first_upper"), s.alias("squeezed"),
         T.normalize_word(T.first_word("text")).alias("word_both"), T.normalize_word_right(T.last_word("text")).alias("word_right"),
     )
@@ -96,9 +96,9 @@ def _bench_lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("text"))
 
 
-@query(f"WITH {SQL_LINES}, {_BENCH} SELECT text, min(pos) AS pos FROM lines WHERE text NOT IN (SELECT text FROM bench) GROUP BY text")
+@query(f"WITH {SQL_LINES}, {_BENCH} SELECT text, CAST(min(pos) AS VARCHAR) AS pos FROM lines WHERE text NOT IN (SELECT text FROM bench) GROUP BY text")
 def holdout_antijoin_exact(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.hold_out(lines(spark, d), _bench_lines(spark, d), exact=True)
+    return shown(corpus.hold_out(lines(spark, d), _bench_lines(spark, d), exact=True))
 
 
 @query(
@@ -106,16 +106,16 @@ def holdout_antijoin_exact(spark: SparkSession, d: str) -> DataFrame:
     + STRIP.format("replace(text, '<|endoftext|>', '')")
     + " AS key FROM lines), b AS (SELECT DISTINCT "
     + STRIP.format("replace(text || ' <|endoftext|>', '<|endoftext|>', '')")
-    + " AS key FROM bench) SELECT min_by(text, pos) AS text, min(pos) AS pos FROM k WHERE key NOT IN (SELECT key FROM b) GROUP BY key"
+    + " AS key FROM bench) SELECT min_by(text, pos) AS text, CAST(min(pos) AS VARCHAR) AS pos FROM k WHERE key NOT IN (SELECT key FROM b) GROUP BY key"
 )
 def holdout_antijoin_normalized(spark: SparkSession, d: str) -> DataFrame:
     train = _bench_lines(spark, d).withColumn("text", F.concat("text", F.lit(" " + T.END)))
-    return corpus.hold_out(lines(spark, d), train)
+    return shown(corpus.hold_out(lines(spark, d), train))
 
 
 _VOCAB = r"""w AS (SELECT pos, i, word FROM (SELECT pos, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM
   (SELECT pos, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM lines))),
-v AS (SELECT word, CAST(row_number() OVER (ORDER BY min(pos * 1048576 + i)) - 1 AS BIGINT) AS idx, count(*) AS freq FROM w GROUP BY word)"""
+v AS (SELECT word, CAST(row_number() OVER (ORDER BY min(pos * 2147483648 + i)) - 1 AS BIGINT) AS idx, count(*) AS freq FROM w GROUP BY word)"""
 
 
 @query(f"WITH {SQL_LINES}, {_VOCAB} SELECT word, idx, freq FROM v")
@@ -153,28 +153,28 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
   SELECT """
     + STRIP.format("s")
     + """ FROM (SELECT unnest(string_split(text, chr(10))) AS s FROM benchmark))),
-s AS (SELECT * FROM h ORDER BY md5('42|' || pos), pos LIMIT 5000),
+s AS (SELECT * FROM h WHERE CAST('0x' || substr(md5('42|' || pos), 1, 13) AS BIGINT) / 4503599627370496.0 < 0.5),
 w AS (SELECT pos, unnest(ws) AS token, generate_subscripts(ws, 1) AS i FROM (SELECT pos, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM s)),
 g AS (SELECT pos, row_number() OVER (ORDER BY pos, i) - 1 AS g FROM w)
 SELECT g // 1024 AS block_id, count(*) AS n_tokens, count(DISTINCT pos) AS n_lines FROM g WHERE g // 1024 < (SELECT count(*) // 1024 FROM g) GROUP BY 1"""
 )
 def curate_and_pack(spark: SparkSession, d: str) -> DataFrame:
-    """Lines without repeats and without benchmark lines, a sample of them, packed into blocks of 1024 words."""
+    """Lines without repeats and without benchmark lines, half of them by hash, packed into blocks of 1024 words."""
     once = corpus.first_occurrences(bare(spark, d)).select("text", "pos")
     held = corpus.hold_out(once, _bench_lines(spark, d))
-    some = sampling.sample(held, 5000, "pos", 42).select("pos", T.words("text").alias("words"))
-    rows = tokens.blocks(tokens.positions(some), 1024)
-    return rows.groupBy("block_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_distinct("pos").alias("n_lines"))
+    some = held.where(sampling.uniform("pos", 42) < 0.5).select("pos", T.words("text").alias("words"))
+    rows = tokens.slices(tokens.placed(some), 1024)
+    return rows.groupBy("block_id").agg(F.sum(F.size("tokens")).alias("n_tokens"), F.count(F.lit(1)).alias("n_lines"))
 
 
 @query(
     f"WITH {SQL_BARE}, w AS (SELECT pos, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM bare), e AS (SELECT pos, generate_subscripts(ws, 1) AS i, unnest(ws) AS word FROM w) "
-    "SELECT pos, CAST(i - 1 AS BIGINT) AS word_no, word, CAST(coalesce(sum(length(word) + 1) OVER p, 0) AS BIGINT) AS start, CAST(coalesce(sum(length(word) + 1) OVER p, 0) + length(word) AS BIGINT) AS \"end\" "
+    "SELECT CAST(pos AS VARCHAR) AS pos, CAST(i - 1 AS BIGINT) AS word_no, word, CAST(coalesce(sum(length(word) + 1) OVER p, 0) AS BIGINT) AS start, CAST(coalesce(sum(length(word) + 1) OVER p, 0) + length(word) AS BIGINT) AS \"end\" "
     "FROM e WINDOW p AS (PARTITION BY pos ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 )
 def word_spans(spark: SparkSession, d: str) -> DataFrame:
     rows = bare(spark, d).select("pos", T.words("text").alias("words"))
-    return number(tokens.word_spans(rows), "word_no", "start", "end")
+    return shown(number(tokens.word_spans(rows), "word_no", "start", "end"))
 
 
 @query(
@@ -194,11 +194,8 @@ def eos_segments(spark: SparkSession, d: str) -> DataFrame:
     "WHERE g // 1024 < (SELECT count(*) // 1024 FROM stream) GROUP BY 1"
 )
 def pack_blocks(spark: SparkSession, d: str) -> DataFrame:
-    rows = tokens.blocks(tokens.positions(doc_words(spark, d)), 1024)
-    inside = rows.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("g", "token", "pos"))).alias("t"))
-    digest = F.md5(F.array_join(F.transform("t", lambda t: t["token"]), " "))
-    docs = F.size(F.array_distinct(F.transform("t", lambda t: t["pos"])))
-    return inside.select("block_id", F.size("t").cast("long").alias("n_tokens"), docs.cast("long").alias("n_docs"), digest.alias("digest"))
+    rows = tokens.packed(tokens.placed(doc_words(spark, d)), 1024)
+    return rows.select("block_id", F.size("input_ids").cast("long").alias("n_tokens"), F.col("n_rows").alias("n_docs"), F.md5(F.array_join("input_ids", " ")).alias("digest"))
 
 
 @query(
@@ -206,7 +203,7 @@ def pack_blocks(spark: SparkSession, d: str) -> DataFrame:
     "WHERE g // 512 < (SELECT count(*) // 512 FROM stream) GROUP BY 1"
 )
 def pack_mask_labels(spark: SparkSession, d: str) -> DataFrame:
-    got = tokens.packed(tokens.positions(doc_words(spark, d)), 512, masked="the")
+    got = tokens.packed(tokens.placed(doc_words(spark, d)), 512, masked="the")
     return got.select("block_id", F.size(F.filter("labels", lambda t: t.isNotNull())).cast("long").alias("n_labels"), F.size("input_ids").cast("long").alias("n_ids"))
 
 
@@ -217,7 +214,7 @@ def pack_mask_labels(spark: SparkSession, d: str) -> DataFrame:
 def pack_blocks_by_batch(spark: SparkSession, d: str) -> DataFrame:
     rows = sampling.numbered(doc_words(spark, d), "pos", "row_no")
     got = tokens.packed_in_batches(rows, 256, batch_rows=100)
-    return number(got.groupBy("batch").agg(F.count_distinct("block").alias("n_blocks")), "batch")
+    return number(got.groupBy("batch").agg(F.count(F.lit(1)).alias("n_blocks")), "batch")
 
 
 @query(
@@ -233,7 +230,7 @@ def batchify_lanes(spark: SparkSession, d: str) -> DataFrame:
     "SELECT token, target, count(*) AS n FROM b GROUP BY token, target"
 )
 def shift_targets(spark: SparkSession, d: str) -> DataFrame:
-    rows = tokens.targets(tokens.blocks(tokens.positions(doc_words(spark, d)), 1024, keep_rest=True))
+    rows = tokens.targets(tokens.packed(tokens.placed(doc_words(spark, d)), 1024, keep_rest=True))
     return rows.groupBy("token", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -254,8 +251,8 @@ def histogram_bins(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     W
-    + r"""SELECT pos, CASE WHEN b <> '' THEN b ELSE text END AS before_question, CASE WHEN p <> '' THEN regexp_replace(p, '\s+$', '') ELSE text END AS through_phrase
+    + r"""SELECT CAST(pos AS VARCHAR) AS pos, CASE WHEN b <> '' THEN b ELSE text END AS before_question, CASE WHEN p <> '' THEN regexp_replace(p, '\s+$', '') ELSE text END AS through_phrase
 FROM (SELECT pos, text, CASE WHEN contains(text, '?') THEN regexp_replace(regexp_extract(text, '(?s)^(.*)\?', 1), '\s+$', '') ELSE '' END AS b, regexp_extract(text, '(?is)^(.*?\b(?:that the|that|the)\b)', 1) AS p FROM bare)"""
 )
 def context_cuts(spark: SparkSession, d: str) -> DataFrame:
-    return bare(spark, d).select("pos", T.before_question("text").alias("before_question"), T.through_phrase("text", ["the", "that", "that the"]).alias("through_phrase"))
+    return shown(bare(spark, d)).select("pos", T.before_question("text").alias("before_question"), T.through_phrase("text", ["the", "that", "that the"]).alias("through_phrase"))

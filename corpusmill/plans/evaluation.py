@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions import text as T
-from ..operators import corpus, evaluate, factorial, scoring
+from ..operators import corpus, evaluate, factorial, scoring, tokens
+from ..sources.tables import stored
 from .base import SQL_DOC_WORDS, documents, number, table
 from .catalog import query
 
@@ -59,25 +60,49 @@ def centered_by_item(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(factorial.centred(_items(spark, d)), "y_centred").select("item", "filler", "gap", "y_centred")
 
 
-_MODEL = f"""WITH {_ITEMS}, {_WIDE}, f AS (SELECT *, (wh_gap + wh_no_gap + no_wh_gap + no_wh_no_gap) / 4 AS m FROM wide WHERE {_FULL}),
+def _model(items: str) -> str:
+    """SQL of the mixed model up to r, its estimates and variances."""
+    return f"""WITH {items}, {_WIDE}, f AS (SELECT *, (wh_gap + wh_no_gap + no_wh_gap + no_wh_no_gap) / 4 AS m FROM wide WHERE {_FULL}),
 a AS (SELECT count(*) AS n, avg(wh_gap) AS c11, avg(wh_no_gap) AS c10, avg(no_wh_gap) AS c01, avg(no_wh_no_gap) AS c00 FROM f),
 g AS (SELECT *, (c11 + c10 + c01 + c00) / 4 AS g FROM a),
 s AS (SELECT sum(pow(wh_gap - m - (c11 - g), 2) + pow(wh_no_gap - m - (c10 - g), 2) + pow(no_wh_gap - m - (c01 - g), 2) + pow(no_wh_no_gap - m - (c00 - g), 2)) AS ss_w, 4 * sum(pow(m - g, 2)) AS ss_b FROM f, g),
 v AS (SELECT *, ss_w / (3 * (n - 1)) AS ms_w, ss_b / (n - 1) AS ms_b, (ss_w + ss_b) / (4 * n - 4) AS pooled FROM g, s),
 r AS (SELECT n AS n_items, (SELECT count(*) FROM wide) - n AS n_dropped, g AS b_0, (c11 + c10 - c01 - c00) / 2 AS b_filler, (c11 + c01 - c10 - c00) / 2 AS b_gap, c11 - c10 - c01 + c00 AS b_interaction,
-  sqrt(CASE WHEN ms_b > ms_w THEN ms_b ELSE pooled END / (4 * n)) AS se_0, CASE WHEN ms_b > ms_w THEN ms_w ELSE pooled END AS sigma2 FROM v)
-SELECT n_items, n_dropped, round(b_0, 6) AS b_0, round(b_filler, 6) AS b_filler, round(b_gap, 6) AS b_gap, round(b_interaction, 6) AS b_interaction, round(se_0, 6) AS se_0, round(sqrt(sigma2 / n_items), 6) AS se_main,
+  sqrt(CASE WHEN ms_b > ms_w THEN ms_b ELSE pooled END / (4 * n)) AS se_0, CASE WHEN ms_b > ms_w THEN ms_w ELSE pooled END AS sigma2 FROM v)"""
+
+
+_ROUNDED = """SELECT n_items, n_dropped, round(b_0, 6) AS b_0, round(b_filler, 6) AS b_filler, round(b_gap, 6) AS b_gap, round(b_interaction, 6) AS b_interaction, round(se_0, 6) AS se_0, round(sqrt(sigma2 / n_items), 6) AS se_main,
   round(sqrt(4 * sigma2 / n_items), 6) AS se_interaction, round(sigma2, 6) AS sigma2, round(b_interaction / sqrt(4 * sigma2 / n_items), 6) AS z_interaction,
   round(-b_interaction - 1.959963984540054 * sqrt(4 * sigma2 / n_items), 6) AS licensing_low, round(-b_interaction + 1.959963984540054 * sqrt(4 * sigma2 / n_items), 6) AS licensing_high FROM r"""
 
 
-@query(_MODEL)
+@query(_model(_ITEMS) + " " + _ROUNDED)
 def lme_closed_form(spark: SparkSession, d: str) -> DataFrame:
     got = _rounded(factorial.mixed_model(_items(spark, d)), "b_0", "b_filler", "b_gap", "b_interaction", "se_0", "se_main", "se_interaction", "sigma2", "z_interaction", "licensing_low", "licensing_high")
     return got.select("n_items", "n_dropped", "b_0", "b_filler", "b_gap", "b_interaction", "se_0", "se_main", "se_interaction", "sigma2", "z_interaction", "licensing_low", "licensing_high")
 
 
-@query()
+#: ln of 1 * 3 * .. * (2 k + 1), for the normal distribution; ln of the coefficients of the t distribution's finite series for even and odd degrees of freedom.
+_NORMAL = "nf AS MATERIALIZED (SELECT k, sum(ln(2 * k + 1)) OVER (ORDER BY k) AS d FROM range(300) t(k))"
+_SERIES = "tf AS MATERIALIZED (SELECT j, sum(CASE WHEN j > 0 THEN ln((2 * j - 1) / (2.0 * j)) ELSE 0 END) OVER (ORDER BY j) AS la, sum(CASE WHEN j > 0 THEN ln(2.0 * j / (2 * j + 1)) ELSE 0 END) OVER (ORDER BY j) AS lb FROM range(20000) t(j))"
+
+
+def _z_two_sided(z: str) -> str:
+    return f"greatest(0, 1 - 2 * exp(-pow({z}, 2) / 2) / sqrt(2 * pi()) * (SELECT sum(exp((2 * k + 1) * ln(greatest(abs({z}), 1e-300)) - d)) FROM nf))"
+
+
+def _t_two_sided(t: str, nu: str) -> str:
+    c, s = f"({nu} / ({nu} + pow({t}, 2)))", f"(abs({t}) / sqrt({nu} + pow({t}, 2)))"
+    even = f"1 - {s} * (SELECT sum(exp(la + j * ln({c}))) FROM tf WHERE j <= ({nu} - 2) // 2)"
+    odd = f"1 - 2 / pi() * (atan(abs({t}) / sqrt({nu})) + {s} * sqrt({c}) * coalesce((SELECT sum(exp(lb + j * ln({c}))) FROM tf WHERE j <= ({nu} - 3) // 2), 0))"
+    return f"greatest(0, CASE WHEN {nu} % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+@query(
+    _model(_ITEMS)
+    + f", z AS (SELECT n_items, b_filler / sqrt(sigma2 / n_items) AS zf, b_gap / sqrt(sigma2 / n_items) AS zg, b_interaction / sqrt(4 * sigma2 / n_items) AS zi FROM r), {_NORMAL} "
+    f"SELECT n_items, round({_z_two_sided('zf')}, 6) AS p_filler, round({_z_two_sided('zg')}, 6) AS p_gap, round({_z_two_sided('zi')}, 6) AS p_interaction FROM z"
+)
 def lme_p_values(spark: SparkSession, d: str) -> DataFrame:
     got = factorial.mixed_model(_items(spark, d))
     return got.select("n_items", *(F.round(stats.z_p_value(f"z_{x}"), 6).alias(f"p_{x}") for x in ("filler", "gap", "interaction")))
@@ -88,7 +113,14 @@ def within_item_se(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(factorial.within_item_interval(_items(spark, d)).select("n", "mean", "se"), "mean", "se")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_ITEMS}, {_WIDE}, m AS (SELECT count(*) AS n, avg({_I}) AS mean, stddev_samp({_I}) / sqrt(count(*)) AS se FROM wide WHERE {_FULL}), {_SERIES}, "
+    "co AS (SELECT n - 1 AS nu, CASE WHEN (n - 1) % 2 = 0 THEN (SELECT list(la ORDER BY j) FROM tf WHERE j <= (n - 3) // 2) ELSE (SELECT list(lb ORDER BY j) FROM tf WHERE j <= (n - 4) // 2) END AS l FROM m), "
+    "bis(i, low, high) AS (SELECT 0, 0.0::DOUBLE, 1000.0::DOUBLE UNION ALL SELECT i + 1, CASE WHEN p > 0.05 THEN mid ELSE low END, CASE WHEN p > 0.05 THEN high ELSE mid END FROM "
+    "(SELECT i, low, high, mid, CASE WHEN nu % 2 = 0 THEN 1 - s * total ELSE 1 - 2 / pi() * (atan(mid / sqrt(nu)) + s * sqrt(c) * coalesce(total, 0)) END AS p FROM "
+    "(SELECT *, list_sum(list_transform(l, lambda x, j: exp(x + (j - 1) * ln(c)))) AS total FROM (SELECT *, nu / (nu + mid * mid) AS c, mid / sqrt(nu + mid * mid) AS s FROM (SELECT i, low, high, (low + high) / 2 AS mid, nu, l FROM bis, co WHERE i < 80))))), "
+    "t AS (SELECT (low + high) / 2 AS q FROM bis WHERE i = 80) SELECT n, round(mean, 6) AS mean, round(se, 6) AS se, round(mean - q * se, 6) AS low, round(mean + q * se, 6) AS high FROM m, t"
+)
 def masson_loftus_ci(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(factorial.within_item_interval(_items(spark, d)), "mean", "se", "low", "high")
 
@@ -104,8 +136,7 @@ scored AS (SELECT b.doc_id, b.tok_pos, b.token, ln((n_pair + 0.1::DOUBLE) / (n_p
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    words = documents(spark, d).select("doc_id", F.posexplode(T.words("text")).alias("word_no", "word"))
-    rows = scoring.bigrams(words, "doc_id")
+    rows = stored(scoring.bigrams(documents(spark, d).select("doc_id", T.words("text").alias("words")), "doc_id"), "bigrams")
     return scoring.CountScorer(rows, k=0.1).score(rows)
 
 
@@ -116,8 +147,12 @@ def sentence_logprob(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_BIGRAM} SELECT lang, round(exp(-sum(logp) / count(*)), 6) AS perplexity, round(exp(avg(logp)), 6) AS geo_mean, count(*) AS n_tokens FROM scored JOIN documents USING (doc_id) GROUP BY lang")
 def perplexity_by_source(spark: SparkSession, d: str) -> DataFrame:
-    rows = _scored(spark, d).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    return _rounded(rows.groupBy("lang").agg(scoring.perplexity().alias("perplexity"), scoring.geometric_mean().alias("geo_mean"), F.count(F.lit(1)).alias("n_tokens")), "perplexity", "geo_mean")
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text").repartition("doc_id")
+    rows = stored(scoring.bigrams(docs.select("lang", T.words("text").alias("words")), "lang"), "bigrams")
+    counted = scoring.CountScorer(rows, k=0.1).score_counted(rows, ["lang"])
+    n = F.sum("n")
+    mean = F.sum(F.col("n") * F.col("logp")) / n
+    return _rounded(counted.groupBy("lang").agg(F.exp(-mean).alias("perplexity"), F.exp(mean).alias("geo_mean"), n.alias("n_tokens")), "perplexity", "geo_mean")
 
 
 @query(
@@ -130,12 +165,12 @@ def ppl_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""WITH w AS (SELECT conv_id * 1024 + turn AS item, role AS cond, unnest(ws) AS token, generate_subscripts(ws, 1) - 1 AS i FROM (SELECT conv_id, role, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM conversations)),
+    r"""WITH w AS (SELECT CAST(conv_id AS HUGEINT) * 4294967296 + turn AS item, role AS cond, unnest(ws) AS token, generate_subscripts(ws, 1) - 1 AS i FROM (SELECT conv_id, role, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM conversations)),
 t AS (SELECT *, count(*) OVER (PARTITION BY item, cond) AS length FROM w)
 SELECT cond, length, i AS tok_pos, count(*) AS n, round(avg(length(token)), 6) AS mean, round(stddev_pop(length(token)), 6) AS std, min_by(token, item) AS token FROM t GROUP BY cond, length, i"""
 )
 def token_position_profile(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1024 + F.col("turn")).alias("item"), F.col("role").alias("cond"), F.posexplode(T.words("text")).alias("tok_pos", "token"))
+    rows = table(spark, d, "conversations").select(corpus.pair("conv_id", "turn").alias("item"), F.col("role").alias("cond"), F.posexplode(T.words("text")).alias("tok_pos", "token"))
     got = factorial.token_profile(rows.withColumn("surprisal", F.length("token").cast("double")))
     return number(_rounded(got, "mean", "std"), "tok_pos")
 
@@ -178,8 +213,7 @@ def cloze_argmax(spark: SparkSession, d: str) -> DataFrame:
 _DIMS = """WITH p AS (SELECT vec_id // 2 AS pair_id, max(CASE WHEN vec_id % 2 = 0 THEN embedding END) AS src, max(CASE WHEN vec_id % 2 = 1 THEN embedding END) AS orc FROM embeddings GROUP BY 1),
 e AS (SELECT pair_id, unnest(src) AS s, unnest(orc) AS o, generate_subscripts(src, 1) - 1 AS flat_idx FROM p WHERE src IS NOT NULL AND orc IS NOT NULL),
 t AS (SELECT flat_idx, count(*) AS n, avg(CAST(o AS DOUBLE) - CAST(s AS DOUBLE)) AS mean_delta, stddev_samp(CAST(o AS DOUBLE) - CAST(s AS DOUBLE)) AS sd FROM e GROUP BY flat_idx),
-r AS (SELECT flat_idx, flat_idx // 16 AS layer, flat_idx % 16 AS dim, n, mean_delta, mean_delta / (sd / sqrt(n)) AS t_stat, mean_delta / sd AS cohens_d FROM t)
-"""
+r AS (SELECT flat_idx, flat_idx // 16 AS layer, flat_idx % 16 AS dim, n, mean_delta, mean_delta / (sd / sqrt(n)) AS t_stat, mean_delta / sd AS cohens_d FROM t)"""
 
 
 def _paired(spark: SparkSession, d: str) -> DataFrame:
@@ -188,17 +222,20 @@ def _paired(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.paired_t(rows.dropna(), width=16)
 
 
-@query(_DIMS + "SELECT flat_idx, layer, dim, n, round(mean_delta, 6) AS mean_delta, round(t_stat, 6) AS t_stat, round(cohens_d, 6) AS cohens_d FROM r")
+@query(_DIMS + " SELECT flat_idx, layer, dim, n, round(mean_delta, 6) AS mean_delta, round(t_stat, 6) AS t_stat, round(cohens_d, 6) AS cohens_d FROM r")
 def paired_ttest_dims(spark: SparkSession, d: str) -> DataFrame:
     return number(_rounded(_paired(spark, d), "mean_delta", "t_stat", "cohens_d"), "flat_idx", "layer", "dim")
 
 
-@query()
+@query(
+    _DIMS
+    + f", {_SERIES}, o AS (SELECT flat_idx, {_t_two_sided('t_stat', '(n - 1)')} AS p FROM r) SELECT flat_idx, round(p, 6) AS p_value, round(least(1, p * (SELECT count(*) FROM o)), 6) AS p_value_bonf FROM o"
+)
 def paired_ttest_p_values(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(evaluate.with_p_values(_paired(spark, d)), "p_value", "p_value_bonf").select("flat_idx", "p_value", "p_value_bonf")
 
 
-@query(_DIMS + "SELECT flat_idx, round(t_stat, 6) AS t_stat FROM r QUALIFY row_number() OVER (ORDER BY t_stat DESC, flat_idx) <= greatest(1, ceil(0.05 * (SELECT count(*) FROM r)))")
+@query(_DIMS + " SELECT flat_idx, round(t_stat, 6) AS t_stat FROM r QUALIFY row_number() OVER (ORDER BY t_stat DESC, flat_idx) <= greatest(1, ceil(0.05 * (SELECT count(*) FROM r)))")
 def top_pct_dims(spark: SparkSession, d: str) -> DataFrame:
     return number(_rounded(evaluate.top_percent(_paired(spark, d), "t_stat", 5, "flat_idx"), "t_stat"), "flat_idx").select("flat_idx", "t_stat")
 
@@ -308,8 +345,8 @@ n AS (SELECT doc_id, i, word, lead(word) OVER (PARTITION BY doc_id ORDER BY i) A
 SELECT CASE WHEN regexp_matches(lower(word), '(ed|ing)$') THEN 'verb' ELSE 'noun' END AS kind, count(*) AS n, count(DISTINCT next) AS n_next FROM n WHERE regexp_matches(lower(word), '(ed|ing|tion|ment|ness|ity|er|or|ist|ship|age)$') GROUP BY 1"""
 )
 def verb_roi_next(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").select("doc_id", F.posexplode(T.words("text")).alias("i", "word"))
-    rows = words.withColumn("next", F.lead("word").over(Window.partitionBy("doc_id").orderBy("i"))).where(T.ends_like("word", T.VERB_ENDINGS + T.NOUN_ENDINGS))
+    pairs = documents(spark, d).select(F.inline(tokens.pairs(T.words("text"), last=True))).select(F.col("token").alias("word"), F.col("target").alias("next"))
+    rows = pairs.where(T.ends_like("word", T.VERB_ENDINGS + T.NOUN_ENDINGS))
     kind = F.when(T.ends_like("word", T.VERB_ENDINGS), "verb").otherwise("noun")
     return rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("next").alias("n_next"))
 
@@ -321,10 +358,10 @@ _SPANS = r"""t AS (SELECT doc_id, word, i, coalesce(sum(length(word) + 1) OVER (
 @query(f"WITH {_SPANS}, a AS (SELECT doc_id, n_chars // 3 AS a_start, n_chars // 3 + 5 AS a_end FROM documents) SELECT a.doc_id, min(i) AS token_no, count(*) AS n_tokens FROM a JOIN t ON t.doc_id = a.doc_id AND s < a_end AND s + length(word) > a_start GROUP BY a.doc_id")
 def anchor_overlap_join(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    tokens = evaluate.char_spans(docs.select("doc_id", T.words("text").alias("words")), "doc_id")
+    spans = evaluate.char_spans(docs.select("doc_id", T.words("text").alias("words")), "doc_id")
     third = F.floor(F.col("n_chars") / 3)
     anchors = docs.select("doc_id", third.alias("a_start"), (third + 5).alias("a_end"))
-    return number(evaluate.overlaps(anchors, tokens, "doc_id"), "token_no")
+    return number(evaluate.overlaps(anchors, spans, "doc_id"), "token_no")
 
 
 @query(

@@ -12,7 +12,7 @@ from ..operators import generate as G
 from . import generation as gen
 from .base import SQL_BARE, bare, number, table
 from .catalog import query
-from .evaluation import _rounded
+from .evaluation import _model, _rounded
 
 _QUADS = gen._question_quads("iv")
 _TRAIN = (
@@ -46,17 +46,32 @@ def filler_gap_surprisal(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(rows, "surprisal", "surprisal_bits")
 
 
-@query()
+_QUAD_ITEMS = (
+    f"quads AS ({_QUADS}), {_TRAIN}, tw AS (SELECT list_filter(string_split(regexp_replace(sentence, '([.?])$', ' \\1'), ' '), lambda x: x <> '') AS ws FROM train), "
+    "sp AS (SELECT ws[1] AS prev, unnest(ws[2:]) AS token FROM tw), pc AS (SELECT prev, token, count(*) AS n_pair FROM sp GROUP BY prev, token), qc AS (SELECT prev, sum(n_pair) AS n_prev FROM pc GROUP BY prev), vc AS (SELECT count(DISTINCT token) AS n FROM pc), "
+    "items AS (SELECT quadruplet_id AS item, filler, gap, -ln((coalesce(n_pair, 0) + 0.5::DOUBLE) / (coalesce(n_prev, 0) + 0.5::DOUBLE * vc.n)) AS y FROM quads LEFT JOIN pc ON pc.prev = filler_word AND pc.token = post_gap_text LEFT JOIN qc ON qc.prev = filler_word, vc)"
+)
+_ESTIMATES = ["b_0", "b_filler", "b_gap", "b_interaction", "se_0", "se_main", "se_interaction", "sigma2", "z_filler", "z_gap", "z_interaction", "licensing", "licensing_low", "licensing_high"]
+_REACH = "1.959963984540054 * sqrt(4 * sigma2 / n_items)"
+
+
+@query(
+    _model(_QUAD_ITEMS)
+    + ", e AS (SELECT *, sqrt(sigma2 / n_items) AS se_main, sqrt(4 * sigma2 / n_items) AS se_interaction, b_filler / sqrt(sigma2 / n_items) AS z_filler, b_gap / sqrt(sigma2 / n_items) AS z_gap, b_interaction / sqrt(4 * sigma2 / n_items) AS z_interaction, "
+    f"-b_interaction AS licensing, -b_interaction - {_REACH} AS licensing_low, -b_interaction + {_REACH} AS licensing_high FROM r) SELECT n_items, n_dropped, "
+    + ", ".join(f"round({c}, 6) AS {c}" for c in _ESTIMATES)
+    + " FROM e"
+)
 def filler_gap_model(spark: SparkSession, d: str) -> DataFrame:
     """The mixed model over the scored quadruplets."""
-    return factorial.mixed_model(_scored_quads(spark))
+    return _rounded(factorial.mixed_model(_scored_quads(spark)), *_ESTIMATES).select("n_items", "n_dropped", *_ESTIMATES)
 
 
 _TAIL = "list_filter(string_split({}, ' '), lambda x: x <> '')[-4:]"
 
 
 @query(
-    f"WITH quads AS ({gen._clause_quads('iv')}), b AS (SELECT * FROM quads WHERE filler = 0 AND gap = 1), s AS (SELECT * FROM quads WHERE filler = 1 AND gap = 1) "
+    f"WITH quads AS MATERIALIZED ({gen._clause_quads('iv')}), b AS (SELECT * FROM quads WHERE filler = 0 AND gap = 1), s AS (SELECT * FROM quads WHERE filler = 1 AND gap = 1) "
     "SELECT b.quadruplet_id, ['relativizer', 'the', 'noun', 'verb'][i] AS position_label, b.sentence AS base_text, s.sentence AS source_text, string_split(b.post_gap_text, ' ')[1] AS yb, string_split(s.post_gap_text, ' ')[1] AS ys, "
     f"({_TAIL.format('b.pre_gap_text')})[i] AS base_anchor, ({_TAIL.format('s.pre_gap_text')})[i] AS source_anchor FROM b JOIN s USING (quadruplet_id), (SELECT unnest([1, 2, 3, 4]) AS i)"
 )
@@ -125,11 +140,11 @@ def baseline_difference(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(experiments.less_baseline(rows, docs.agg(F.avg("n_chars").alias("mean")), "mean"), "mean", "delta_mean")
 
 
-@query("SELECT item_id AS pos, length(b.text) AS n_left, length(d.text) AS n_right FROM benchmark b JOIN documents d ON d.doc_id = item_id")
+@query("SELECT doc_id AS pos, length(text) AS n_left, n_chars AS n_right FROM documents")
 def aligned_by_position(spark: SparkSession, d: str) -> DataFrame:
-    left = table(spark, d, "benchmark").select(F.col("item_id").alias("pos"), F.length("text").cast("long").alias("n_left"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.length("text").cast("long").alias("n_right"))
-    return experiments.aligned(left, docs.join(left.select("pos"), "pos", "left_semi"))
+    docs = table(spark, d, "documents")
+    left = docs.select(F.col("doc_id").alias("pos"), F.length("text").cast("long").alias("n_left"))
+    return experiments.aligned(left, docs.select(F.col("doc_id").alias("pos"), F.col("n_chars").alias("n_right")))
 
 
 @query("SELECT i AS step, round(greatest(1.0::DOUBLE * pow(0.97::DOUBLE, i), 0.2), 6) AS temperature FROM range(200) t(i)")
@@ -183,7 +198,7 @@ def suffix_lexicons(spark: SparkSession, d: str) -> DataFrame:
 def context_candidate_masses(spark: SparkSession, d: str) -> DataFrame:
     """Probability masses of noun phrases, verb phrases and the question mark after the contexts of the quadruplets."""
     quads = G.factorial_clauses(spark, "iv")
-    words = quads.select((F.col("quadruplet_id") * 4 + F.col("filler") * 2 + F.col("gap")).alias("pos"), F.posexplode(T.words(F.regexp_replace("sentence", "[.]$", ""))).alias("word_no", "word"))
+    words = quads.select((F.col("quadruplet_id") * 4 + F.col("filler") * 2 + F.col("gap")).alias("pos"), T.words(F.regexp_replace("sentence", "[.]$", "")).alias("words"))
     contexts = quads.select(F.col("pre_gap_text").alias("item_id"), F.col("pre_gap_text").alias("text")).distinct()
     got = evaluate.candidate_masses(contexts, G.candidates(spark, "clause", "iv"), scoring.CountScorer(scoring.bigrams(words), k=0.5))
     return got.withColumn("mean_mass", F.round("mean_mass", 9))

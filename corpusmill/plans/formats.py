@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import mixture
 from ..sources import readers, writers
+from ..sources.tables import new_folder as _folder
+from ..sources.tables import stored
 from ..streaming import packing
 from .base import SQL_BARE, bare, table
 from .catalog import query
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusmill-")
-    return f"{base.rstrip('/')}/corpusmill/{uuid.uuid4().hex}-{name}"
-
-
 @query(f"WITH {SQL_BARE} SELECT text, count(*) AS n FROM bare GROUP BY text")
 def io_text_lines(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark, "text")
@@ -61,15 +56,15 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.from_json("props", "k BIGINT")["k"].alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_STREAM = r"""WITH t AS (SELECT lang AS source, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS token FROM documents)
-SELECT source, count(*) // 256 AS n_blocks, CAST(count(*) // 256 * 256 AS BIGINT) AS n_tokens FROM t GROUP BY source"""
+_STREAM = r"""WITH t AS (SELECT lang AS source, doc_id % 8 AS shard, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS token FROM documents),
+s AS (SELECT source, count(*) // 256 AS n FROM t GROUP BY source, shard) SELECT source, sum(n)::BIGINT AS n_blocks, CAST(sum(n) * 256 AS BIGINT) AS n_tokens FROM s GROUP BY source HAVING sum(n) > 0"""
 
 
 @query(_STREAM)
 def stream_pack_blocks(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "documents").schema
     docs = spark.readStream.schema(schema).parquet(f"{d}/documents.parquet*").select(F.col("lang").alias("source"), F.col("doc_id").alias("pos"), "text")
-    got = packing.run_to_end(packing.packed(docs, 256), _folder(spark, "blocks"), _folder(spark, "checkpoint"))
+    got = packing.run_to_end(packing.packed(docs, 256, shards=8), _folder(spark, "blocks"), _folder(spark, "checkpoint"))
     return got.groupBy("source").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(F.size("tokens")).alias("n_tokens"))
 
 
@@ -86,6 +81,51 @@ def stream_poll_files(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event"))
 
 
+_U = "CAST('0x' || substr(md5('23|' || event_id), 1, 13) AS BIGINT) / 4503599627370496.0"
+
+
+@query(
+    f"""WITH e AS (SELECT event_id, CASE WHEN {_U} < 0.5 THEN 'en' WHEN {_U} < 0.8 THEN 'fr' ELSE 'de' END AS source FROM events), k AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY event_id) - 1 AS k FROM e),
+t AS (SELECT lang AS source, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS token FROM documents), n AS (SELECT source, count(*) // 128 AS n FROM t GROUP BY source)
+SELECT source, k % n AS source_block, count(*) AS n FROM k JOIN n USING (source) GROUP BY ALL"""
+)
+def stream_weighted_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Ticks of a stream draw sources by weight; each takes its source's next block, from the first again after the last."""
+    weights = {"en": 5.0, "fr": 3.0, "de": 2.0}
+    docs = table(spark, d, "documents").where(F.col("lang").isin(*weights)).select(F.col("lang").alias("source"), F.col("doc_id").alias("pos"), T.words("text").alias("words"))
+    blocks = stored(mixture.source_blocks(docs, 128), "source-blocks")
+    ticks = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    stream = packing.drawn_items(packing.draws_in_order(ticks, weights, 23, at="event_id"), blocks)
+    got = packing.run_to_end(stream.select("source", F.col("at").alias("source_block"), F.size("tokens").alias("n_tokens")), _folder(spark, "draws"), _folder(spark, "checkpoint"))
+    return got.where("n_tokens = 128").groupBy("source", "source_block").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""WITH p AS (SELECT conv_id, turn, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS sentence FROM conversations) SELECT conv_id, turn, count(*) AS n, sum(length(sentence))::BIGINT AS n_chars FROM p GROUP BY ALL""")
+def stream_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of texts as a stream of sentences."""
+    turns = spark.readStream.schema(table(spark, d, "conversations").schema).parquet(f"{d}/conversations.parquet*")
+    rows = turns.select("conv_id", "turn", F.explode(T.sentences("text")).alias("sentence"))
+    got = packing.run_to_end(rows, _folder(spark, "sentences"), _folder(spark, "checkpoint"))
+    return got.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("sentence")).alias("n_chars"))
+
+
+@query("SELECT doc_id % 4 AS part, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY 1")
+def stream_until_producer_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Polls while a producer writes part after part; each row is handled once, the last ones after the producer has ended."""
+    source, out, checkpoint = _folder(spark, "produced"), _folder(spark, "handled"), _folder(spark, "checkpoint")
+    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 4).alias("part"))
+    made = iter(range(4))
+
+    def produce() -> bool:
+        k = next(made, None)
+        if k is not None:
+            docs.where(F.col("part") == k).write.mode("append").parquet(source)
+        return k is None or k == 3
+
+    packing.poll_until(spark, lambda: spark.readStream.schema(docs.schema).parquet(source), checkpoint, lambda batch, _: writers.append_new(batch, out, ["doc_id"]) and None, produce)
+    return spark.read.parquet(out).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
+
+
 @query(r"SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '\s+', '|', 'g'), '|'), lambda x: x), lambda x: x <> '')[1] AS first_part, len(list_filter(string_split(regexp_replace(text, '\s+', '|', 'g'), '|'), lambda x: x <> ''))::BIGINT AS n_parts FROM documents")
 def split_multi_values(spark: SparkSession, d: str) -> DataFrame:
     parts = T.split_multi(F.regexp_replace("text", r"\s+", "|"))

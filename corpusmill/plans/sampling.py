@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import corpus, mixture, sampling, tokens
-from .base import SQL_BARE, SQL_DOC_WORDS, bare, doc_words, number, table
+from .base import SQL_BARE, SQL_DOC_WORDS, bare, doc_words, number, shown, table
 from .catalog import query
 
 
@@ -97,21 +97,21 @@ def _r(name: str) -> str:
 @query(
     _PARTS
     + f""", q AS (SELECT greatest(0, least(CAST(round_even((0.3 - 0.2) * (SELECT count(*) FROM base) + 0.3 * 400, 0) AS BIGINT), (SELECT count(*) FROM one), 400)) AS k)
-SELECT pos, 'base' AS origin FROM base UNION ALL SELECT r.pos, 'target' FROM {_r("one")} r, q WHERE r.k < q.k UNION ALL SELECT r.pos, 'filler' FROM {_r("fill")} r, q WHERE r.k < 400 - q.k"""
+SELECT CAST(pos AS VARCHAR) AS pos, origin FROM (SELECT pos, 'base' AS origin FROM base UNION ALL SELECT r.pos, 'target' FROM {_r("one")} r, q WHERE r.k < q.k UNION ALL SELECT r.pos, 'filler' FROM {_r("fill")} r, q WHERE r.k < 400 - q.k)"""
 )
 def augment_additive(spark: SparkSession, d: str) -> DataFrame:
     base, one, _, fill = _parts(spark, d)
-    return sampling.augment(base, one, fill, 400, 0.2, 0.3, "pos", 11)
+    return shown(sampling.augment(base, one, fill, 400, 0.2, 0.3, "pos", 11))
 
 
 @query(
     _PARTS
     + f""", n AS (SELECT count(*) AS n FROM base), q AS (SELECT n, CAST(trunc(CAST(n AS DOUBLE) * (CAST(0.22 AS DOUBLE) - CAST(0.2 AS DOUBLE)) / (1 - CAST(0.2 AS DOUBLE))) AS BIGINT) AS a FROM n)
-SELECT r.pos, 'base' AS origin FROM {_r("base")} r, q WHERE r.k < n - a UNION ALL SELECT r.pos, 'target' FROM {_r("one")} r, q WHERE r.k < a"""
+SELECT CAST(pos AS VARCHAR) AS pos, origin FROM (SELECT r.pos, 'base' AS origin FROM {_r("base")} r, q WHERE r.k < n - a UNION ALL SELECT r.pos, 'target' FROM {_r("one")} r, q WHERE r.k < a)"""
 )
 def replace_exact_n(spark: SparkSession, d: str) -> DataFrame:
     base, one, _, _ = _parts(spark, d)
-    return sampling.replace_exact(base, one, 0.2, 0.22, "pos", 11)
+    return shown(sampling.replace_exact(base, one, 0.2, 0.22, "pos", 11))
 
 
 def _two(t1: float, t2: float, columns: str = "") -> str:
@@ -125,10 +125,10 @@ def _two(t1: float, t2: float, columns: str = "") -> str:
     )
 
 
-@query(_PARTS + ", n AS (SELECT count(*) AS n FROM base) " + _two(0.05, 0.02))
+@query(_PARTS + ", n AS (SELECT count(*) AS n FROM base) SELECT CAST(pos AS VARCHAR) AS pos, origin FROM (" + _two(0.05, 0.02) + ")")
 def replace_two_structures(spark: SparkSession, d: str) -> DataFrame:
     base, one, two, _ = _parts(spark, d)
-    return sampling.replace_two(base, one, two, (0.2, 0.07), (0.05, 0.02), "pos", 11)
+    return shown(sampling.replace_two(base, one, two, (0.2, 0.07), (0.05, 0.02), "pos", 11))
 
 
 _GOALS = [(0.02, 0.01), (0.05, 0.01), (0.02, 0.03)]
@@ -136,14 +136,14 @@ _GOALS = [(0.02, 0.01), (0.05, 0.01), (0.02, 0.03)]
 
 @query(
     _PARTS
-    + ", n AS (SELECT count(*) AS n FROM base) SELECT dataset, origin, count(*) AS n, min(pos) AS least, max(pos) AS most FROM ("
+    + ", n AS (SELECT count(*) AS n FROM base) SELECT dataset, origin, count(*) AS n, CAST(min(pos) AS VARCHAR) AS least, CAST(max(pos) AS VARCHAR) AS most FROM ("
     + " UNION ALL ".join(_two(a, b, f", 'rc_{round(a * 10000):04d}_q_{round(b * 10000):04d}' AS dataset") for a, b in _GOALS)
     + ") GROUP BY dataset, origin"
 )
 def frequency_grid(spark: SparkSession, d: str) -> DataFrame:
     base, one, two, _ = _parts(spark, d)
     rows = sampling.frequency_grid(base, one, two, (0.2, 0.07), _GOALS, "pos", 11)
-    return rows.groupBy("dataset", "origin").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("least"), F.max("pos").alias("most"))
+    return shown(rows.groupBy("dataset", "origin").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("least"), F.max("pos").alias("most")), "least", "most")
 
 
 @query(
@@ -188,6 +188,20 @@ def mixture_per_document(spark: SparkSession, d: str) -> DataFrame:
     return mixture.per_document(docs, _WEIGHTS, n_docs=400, seed=17).select("doc_no", "source", F.col("pos").alias("doc_id"))
 
 
+@query(
+    f"""WITH {SQL_DOC_WORDS}, draws AS (SELECT doc_no, {_BLOCK_SOURCE} AS source FROM (SELECT b AS doc_no, {_U.format(19, "b")} AS u FROM range(300) t(b))),
+docs AS (SELECT lang AS source, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS at, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+m AS (SELECT doc_no, doc_id FROM (SELECT doc_no, source, row_number() OVER (PARTITION BY source ORDER BY doc_no) - 1 AS k FROM draws) d JOIN docs ON docs.source = d.source AND docs.at = d.k % docs.n),
+s AS (SELECT row_number() OVER (ORDER BY doc_no, i) - 1 AS g, token FROM (SELECT doc_no, unnest(words) AS token, generate_subscripts(words, 1) AS i FROM m JOIN dw USING (doc_id)))
+SELECT g // 256 AS block_id, md5(string_agg(token, ' ' ORDER BY g)) AS digest FROM s WHERE g // 256 < (SELECT count(*) // 256 FROM s) GROUP BY 1"""
+)
+def mixture_shared_buffer(spark: SparkSession, d: str) -> DataFrame:
+    """Documents drawn by weight, all packed into blocks through one buffer."""
+    docs = table(spark, d, "documents").select(F.col("lang").alias("source"), F.col("doc_id").alias("pos"), T.words("text").alias("words"))
+    got = mixture.per_document(docs, _WEIGHTS, n_docs=300, seed=19).select(F.col("doc_no").alias("pos"), "words")
+    return tokens.packed(tokens.placed(got), 256).select("block_id", F.md5(F.array_join("input_ids", " ")).alias("digest"))
+
+
 @query("SELECT doc_id, doc_id % 8 AS shard FROM documents")
 def shard_modulo(spark: SparkSession, d: str) -> DataFrame:
     return mixture.sharded(table(spark, d, "documents").select("doc_id"), "doc_id", 8)

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import struct
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import strip
+from ..operators.order import numbered
 from ..schemas import SCHEMAS
 
 
@@ -49,9 +53,9 @@ def csv_typed(spark: SparkSession, path: str | list[str], schema: str | StructTy
     return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=True)
 
 
-def with_file_name(spark: SparkSession, path: str, reader: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """What the reader gives, with file_name."""
-    return reader(spark, path).select("*", F.col("_metadata.file_name").alias("file_name"))
+def with_file_name(spark: SparkSession, path: str | list[str], reader: Callable[[SparkSession, str | list[str]], DataFrame]) -> DataFrame:
+    """What the reader gives, with file_name and folder, the name of the folder that the file is in."""
+    return reader(spark, path).select("*", F.col("_metadata.file_name").alias("file_name"), F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1).alias("folder"))
 
 
 def cloze_examples(spark: SparkSession, path: str) -> DataFrame:
@@ -67,8 +71,8 @@ def json_lines(spark: SparkSession, path: str, schema: str | StructType | None =
 
 def paradigms(spark: SparkSession, path: str) -> DataFrame:
     """Sentence pairs of JSON lines files with the attributes of each file's first record, and the record's place in the file."""
-    rows = spark.read.schema(SCHEMAS["pairs"]).json(path).select("*", F.col("_metadata.file_path").alias("_file"))
-    rows = rows.withColumn("item", F.monotonically_increasing_id())
+    rows = spark.read.schema(SCHEMAS["pairs"]).json(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
+    rows = rows.withColumn("item", F.col("_at") * (1 << 12) + F.monotonically_increasing_id() % (1 << 33))  # rises along the file, however it is split
     first = rows.groupBy("_file").agg(*(F.min_by(c, "item").alias(f"_{c}") for c in ("UID", "field", "linguistics_term")))
     joined = rows.drop("UID", "field", "linguistics_term").join(first, "_file")
     return joined.select(F.col("_UID").alias("UID"), F.col("_field").alias("field"), F.col("_linguistics_term").alias("linguistics_term"), "pairID", "sentence_good", "sentence_bad", "item")
@@ -88,15 +92,18 @@ def run_metrics(spark: SparkSession, pattern: str, schema: str = "train_loss DOU
 def yaml_documents(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     """path and config, by schema, of YAML files; a file that can't be parsed has an empty config."""
 
-    @F.udf("string")
-    def as_json(content: bytes) -> str:
+    @F.pandas_udf("string")
+    def as_json(contents: pd.Series) -> pd.Series:
         import yaml
 
-        try:
-            got = yaml.safe_load(content.decode())
-        except (yaml.YAMLError, UnicodeDecodeError):
-            got = {}
-        return json.dumps(got if isinstance(got, dict) else {}, default=str)
+        def one(content: bytes) -> str:
+            try:
+                got = yaml.safe_load(content.decode())
+            except (yaml.YAMLError, UnicodeDecodeError):
+                got = {}
+            return json.dumps(got if isinstance(got, dict) else {}, default=str)
+
+        return contents.map(one)
 
     files = spark.read.format("binaryFile").load(pattern)
     return files.select("path", F.from_json(as_json("content"), schema).alias("config"))
@@ -113,9 +120,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     """config and out_dir of a tab-separated manifest, numbered from 1; its header starts with #."""
     rows = text_lines(spark, path).where(~F.col("text").startswith("#") & (strip("text") != ""))
     parts = rows.select("pos", F.split("text", "\t").alias("p")).select("pos", F.col("p")[0].alias("config"), F.try_element_at("p", F.lit(2)).alias("out_dir"))
-    from pyspark.sql import Window
-
-    return parts.select(F.row_number().over(Window.orderBy("pos")).alias("line"), "config", "out_dir")
+    return numbered(parts, "pos", "_n").select((F.col("_n") + 1).alias("line"), "config", "out_dir")
 
 
 def step_of(path: Column | str) -> Column:
@@ -129,9 +134,10 @@ def epoch_and_batch(path: Column | str, missing_batch: int = 10_000) -> tuple[Co
     return F.regexp_extract(c, r"epoch_(\d+)", 1).try_cast("long"), F.coalesce(F.regexp_extract(c, r"batch_(\d+)", 1).try_cast("long"), F.lit(missing_batch))
 
 
-def checkpoints(spark: SparkSession, paths: list[str]) -> DataFrame:
+def checkpoints(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
     """path and step of the paths that end in a step, in order of steps; an error if there are none."""
-    rows = spark.createDataFrame([(p,) for p in paths], "path string").withColumn("step", step_of("path")).where("step is not null")
+    listed = paths if isinstance(paths, DataFrame) else spark.createDataFrame([(p,) for p in paths], "path string")
+    rows = listed.select("path").withColumn("step", step_of("path")).where("step is not null")
     if rows.isEmpty():
         raise ValueError("no checkpoints")
     return rows.orderBy("step")
@@ -143,27 +149,62 @@ def model_folders(files: DataFrame, marks: list[str]) -> DataFrame:
     return rows.groupBy("folder").agg(F.bool_or(F.col("name").isin(*marks)).alias("marked")).where("marked").select("folder")
 
 
-def scalar_events(spark: SparkSession, pattern: str) -> DataFrame:
-    """run, tag, step, value of TensorBoard event files; no rows where the library for them is missing."""
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of each field of a protocol buffer: integers, or the bytes of 32 and 64 bit numbers, texts and messages."""
+
+    def varint(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at, value, shift = at + 1, value | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return value, at
+
+    at = 0
+    while at < len(raw):
+        key, at = varint(at)
+        kind = key & 7
+        if kind == 0:
+            value, at = varint(at)
+        else:
+            size = {1: 8, 5: 4}.get(kind)
+            if size is None:
+                size, at = varint(at)
+            value, at = raw[at : at + size], at + size
+        yield key >> 3, value
+
+
+def events_of(content: bytes) -> list[tuple[str, int, float]]:
+    """tag, step and value of the scalars in an event file: records of length, checksum, message, checksum. A record cut off at the end doesn't count."""
+    out, at = [], 0
+    while at + 12 <= len(content):
+        (n,) = struct.unpack_from("<Q", content, at)
+        message, at = content[at + 12 : at + 12 + n], at + 16 + n
+        if len(message) < n:
+            break
+        step, summaries = 0, []
+        for number, value in _fields(message):
+            if number == 2:
+                step = value
+            elif number == 5:
+                summaries.append(value)
+        for summary in summaries:
+            for number, value in _fields(summary):
+                if number == 1:
+                    got = dict(_fields(value))
+                    if 1 in got and 2 in got:
+                        out.append((got[1].decode(), step, struct.unpack("<f", got[2])[0]))
+    return out
 
-    def read(frames):
-        import pandas as pd
 
-        try:
-            from tensorboard.compat.proto.event_pb2 import Event
-        except ImportError:
-            return
-        import struct
+def scalar_events(spark: SparkSession, pattern: str) -> DataFrame:
+    """run (the file's folder), tag, step and value of the scalars in event files."""
 
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for path, content in zip(f.path, f.content, strict=True):
-                out, at = [], 0
-                while at + 12 <= len(content):
-                    (n,) = struct.unpack_from("<Q", content, at)
-                    event = Event.FromString(content[at + 12 : at + 12 + n])
-                    out += [(path.rsplit("/", 2)[-2], v.tag, event.step, float(v.simple_value)) for v in event.summary.value]
-                    at += 16 + n
-                yield pd.DataFrame(out, columns=["run", "tag", "step", "value"])
+                rows = [(path.rsplit("/", 2)[-2], *e) for e in events_of(bytes(content))]
+                yield pd.DataFrame(rows, columns=["run", "tag", "step", "value"])
 
     files = spark.read.format("binaryFile").load(pattern).select("path", "content")
     return files.mapInPandas(read, SCHEMAS["scalars"])

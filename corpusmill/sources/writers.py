@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import stored
+
 
 def text(df: DataFrame, path: str, column: str = "text", order: str | None = None, mode: str = "error") -> None:
     """One line per row, in order of a column if one is named."""
@@ -34,13 +37,14 @@ def routed(df: DataFrame, path: str, by: str, mode: str = "error") -> None:
     df.write.mode(mode).partitionBy(by).parquet(path)
 
 
-def chunks(df: DataFrame, path: str, rows: int, mode: str = "error") -> None:
-    """Parquet files of at most so many rows."""
+def chunks(df: DataFrame, path: str, rows: int | None = None, row_bytes: int = 4 * 1024, size: int = 64 << 20, mode: str = "error") -> None:
+    """Parquet files of at most so many rows, or of as many blocks of row_bytes as make size bytes (64 MB)."""
+    rows = rows or max(1, size // row_bytes)
     df.write.mode(mode).option("maxRecordsPerFile", rows).parquet(path)
 
 
 def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> int:
-    """Appends the rows whose keys the table at path lacks, and says how many; doing it twice changes nothing."""
+    """Appends the rows whose keys the table at path lacks, and says how many; doing it twice changes nothing. The new rows are settled in a stored table first."""
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
@@ -48,13 +52,10 @@ def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> int:
     if there:
         old = spark.read.schema(df.schema).parquet(path).select(*keys)
         rows = rows.join(old, list(keys), "left_anti").select(df.columns)
-    rows = rows.persist()
-    try:
-        n = rows.count()
-        if n or not there:
-            rows.write.mode("append").parquet(path)
-    finally:
-        rows.unpersist()
+    rows = stored(rows, "new-rows")
+    n = rows.count()
+    if n or not there:
+        rows.write.mode("append").parquet(path)
     return n
 
 
@@ -71,6 +72,29 @@ def manifest(rows: DataFrame, path: str, config: str = "config", out_dir: str =
     header.unionByName(body).orderBy("_at").coalesce(1).select("text").write.mode(mode).text(path)  # a line per run
 
 
+def event_file(spark: SparkSession, path: str, scalars: Sequence[tuple[str, int, float]]) -> None:
+    """An event file of tag, step and value, written by the driver: run results are small. Checksums are left zero."""
+
+    def field(number: int, kind: int, body: bytes) -> bytes:
+        return varint(number << 3 | kind) + (varint(len(body)) if kind == 2 else b"") + body
+
+    def varint(n: int) -> bytes:
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    content = b""
+    for tag, step, value in scalars:
+        scalar = field(1, 2, tag.encode()) + field(2, 5, struct.pack("<f", value))
+        message = field(2, 0, varint(step)) + field(5, 2, field(1, 2, scalar))
+        content += struct.pack("<Q", len(message)) + bytes(4) + message + bytes(4)
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = file.getFileSystem(spark._jsc.hadoopConfiguration()).create(file)
+    out.write(bytearray(content))
+    out.close()
+
+
 def arrays(df: DataFrame, path: str, mode: str = "error") -> None:
     """Summary arrays and scalars as one Parquet table."""
     df.write.mode(mode).parquet(path)

@@ -1,9 +1,10 @@
-"""Streams of documents packed into blocks, and polls for new rows."""
+"""Streams of documents packed into blocks, weighted draws in order, and polls for new rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,43 +15,69 @@ from ..operators.mixture import drawn
 from ..operators.sampling import uniform
 
 
-def packed(docs: DataFrame, size: int) -> DataFrame:
-    """source, block_no and tokens of the full blocks that each source's words make as documents come in.
+def packed(docs: DataFrame, size: int, shards: int = 1) -> DataFrame:
+    """source, shard, block_no and tokens of the full blocks that each source's words make as documents come in.
 
-    docs is a stream with source, pos and text. The state of a source is the words that don't fill a block yet and the next
-    block's number; the checkpoint keeps it over restarts. Documents of a batch follow each other in order of pos.
+    docs is a stream with source, pos and text; a source's documents go to shards by pos, each of which fills blocks of its own, so that
+    a large source isn't one task. The state of a shard is the words that don't fill a block yet and the next
+    block's number; the checkpoint keeps it over restarts. Documents are taken as they come, those of one Arrow batch in order of pos, and
+    blocks are given out batch by batch, so that a task never holds more than one.
     """
 
     def fill(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rest, number = state.get if state.exists else ([], 0)
-        rest, out = list(rest), []
-        rows = pd.concat(list(frames)).sort_values("pos", kind="stable")
-        for words in rows["words"]:
-            rest.extend(words)
-            full = len(rest) // size
-            for i in range(full):
-                out.append((key[0], number, rest[i * size : (i + 1) * size]))
-                number += 1
-            rest = rest[full * size :]
+        rest = list(rest)
+        for frame in frames:
+            out = []
+            for words in frame.sort_values("pos", kind="stable")["words"]:
+                rest.extend(words)
+                full = len(rest) // size
+                for i in range(full):
+                    out.append((*key, number, rest[i * size : (i + 1) * size]))
+                    number += 1
+                rest = rest[full * size :]
+            yield pd.DataFrame(out, columns=["source", "shard", "block_no", "tokens"])
         state.update((rest, number))
-        yield pd.DataFrame(out, columns=["source", "block_no", "tokens"])
 
-    rows = docs.select("source", "pos", T.words("text").alias("words"))
-    return rows.groupBy("source").applyInPandasWithState(
-        fill, "source string, block_no long, tokens array<string>", "rest array<string>, number long", "append", GroupStateTimeout.NoTimeout
+    rows = docs.select("source", F.pmod(F.col("pos"), F.lit(shards)).cast("long").alias("shard"), "pos", T.words("text").alias("words"))
+    return rows.groupBy("source", "shard").applyInPandasWithState(
+        fill, "source string, shard long, block_no long, tokens array<string>", "rest array<string>, number long", "append", GroupStateTimeout.NoTimeout
     )
 
 
-def endless(spark: SparkSession, docs: DataFrame, weights: dict[str, float], seed: int, rows_per_second: int = 100) -> DataFrame:
-    """An endless stream of documents: each tick draws a source by weight and takes its next document, starting again at its end.
+def draws_in_order(ticks: DataFrame, weights: dict[str, float], seed: int, at: str = "pos") -> DataFrame:
+    """pos, source and k: each tick of a stream draws a source by weight, and k numbers the draws of a source from 0.
 
-    docs has source, at (number from 0 in its source), n (documents of the source) and text; it is joined as a static table.
+    The state of a source is how often it has been drawn. Only ticks go through it; ticks of one Arrow batch are numbered in order of pos.
     """
+
+    def number(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (n,) = state.get if state.exists else (0,)
+        for frame in frames:
+            pos = np.sort(frame["pos"].to_numpy())
+            yield pd.DataFrame({"pos": pos, "source": key[0], "k": np.arange(n, n + len(pos))})
+            n += len(pos)
+        state.update((int(n),))
+
+    rows = ticks.select(F.col(at).alias("pos")).withColumn("source", drawn(uniform("pos", seed), weights))
+    return rows.groupBy("source").applyInPandasWithState(number, "pos long, source string, k long", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def drawn_items(draws: DataFrame, items: DataFrame, at: str = "at", n: str = "n") -> DataFrame:
+    """The item that each draw takes: the next one of its source, the first again after the last.
+
+    items is a static table with source, at (from 0 in its source), n (items of the source) and anything else: documents, or
+    packed blocks, whose draws give words in proportion to the weights.
+    """
+    sizes = items.select("source", F.col(n).alias("_n")).distinct()
+    placed = draws.join(F.broadcast(sizes), "source").withColumn(at, F.col("k") % F.col("_n")).drop("_n")  # a row for each source
+    return placed.join(items.drop(n), ["source", at])
+
+
+def endless(spark: SparkSession, items: DataFrame, weights: dict[str, float], seed: int, rows_per_second: int = 100) -> DataFrame:
+    """An endless stream of items: each tick draws a source by weight and takes its next item, starting again at its end. items as in drawn_items()."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load().select(F.col("value").alias("pos"))
-    draws = ticks.withColumn("source", drawn(uniform("pos", seed), weights))
-    sizes = docs.select("source", "n").distinct()
-    placed = draws.join(F.broadcast(sizes), "source").withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "pos"), F.col("n")))  # a row for each source
-    return placed.join(docs.select("source", "at", "text"), ["source", "at"]).select("source", "pos", "text")
+    return drawn_items(draws_in_order(ticks, weights, seed), items)
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -62,3 +89,13 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 def poll(spark: SparkSession, source: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
     """Hands each batch of rows that is new since the last call to handle, once; a batch is repeated only if handle failed."""
     source.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def poll_until(spark: SparkSession, source: Callable[[], DataFrame], checkpoint: str, handle: Callable[[DataFrame, int], None], ended: Callable[[], bool], rounds: int = 1000) -> int:
+    """Polls until the producer has ended and nothing new is left; how many polls it took. An error if it hasn't ended after rounds."""
+    for k in range(1, rounds + 1):
+        over = ended()  # asked before the poll: what comes in until then is taken
+        poll(spark, source(), checkpoint, handle)
+        if over:
+            return k
+    raise TimeoutError(f"the producer has not ended after {rounds} polls")

@@ -141,10 +141,11 @@ def test_blocks_conserve_tokens(spark):
     stream = tokens.positions(rows)
     n = stream.count()
     assert [r["g"] for r in stream.orderBy("g").collect()] == list(range(n))
-    got = tokens.packed(stream, 16, masked="7").collect()
+    placed = tokens.placed(rows)
+    got = tokens.packed(placed, 16, masked="7").collect()
     assert len(got) == n // 16 and all(len(r["input_ids"]) == 16 for r in got)
     assert all((i == "7") == (x is None) for r in got for i, x in zip(r["input_ids"], r["labels"]))
-    assert tokens.packed(stream, n + 1).count() == 0 and tokens.packed(stream, n).count() == 1
+    assert tokens.packed(placed, n + 1).count() == 0 and tokens.packed(placed, n).count() == 1
     lanes = tokens.lanes(stream, 3).groupBy("lane").count().collect()
     assert {r["count"] for r in lanes} == {n // 3}
 
@@ -194,8 +195,8 @@ def test_distributions():
 
 
 def test_scorers(spark):
-    words = spark.createDataFrame([(0, i, w) for i, w in enumerate("a b a b a c".split())], "pos long, word_no int, word string")
-    pairs = scoring.bigrams(words)
+    texts = spark.createDataFrame([(0, "a b a b a c".split()), (1, []), (2, ["a"])], "pos long, words array<string>")
+    pairs = scoring.bigrams(texts)
     scorer = scoring.CountScorer(pairs, k=0.5)
     got = {(r["prev"], r["token"]): r["logp"] for r in scorer.score(spark.createDataFrame([("a", "b"), ("a", "z"), ("q", "b")], "prev string, token string")).collect()}
     assert got[("a", "b")] == pytest.approx(math.log(2.5 / (3 + 1.5))) and got[("a", "z")] == pytest.approx(math.log(0.5 / 4.5)) and got[("q", "b")] == pytest.approx(math.log(0.5 / 1.5))
@@ -235,6 +236,53 @@ def test_streams_resume(spark, tmp_path):
     assert sorted(r["block_no"] for r in out().collect()) == [0, 1, 2]  # 60 words: the rest of the first run is kept
 
 
+def test_draws_go_on_in_order(spark, tmp_path):
+    """Over two runs of a stream and two cycles each source gives its items in order."""
+    from corpusmill.streaming import packing
+
+    items = spark.createDataFrame([("a", i, 5) for i in range(5)] + [("b", i, 3) for i in range(3)], "source string, at long, n long").withColumn("text", F.concat("source", "at"))
+    for part, (low, high) in enumerate(((0, 12), (12, 30))):
+        spark.range(low, high).coalesce(1).write.parquet(str(tmp_path / "in" / str(part)))
+        ticks = spark.readStream.schema("id long").parquet(str(tmp_path / "in" / "*"))
+        stream = packing.drawn_items(packing.draws_in_order(ticks, {"a": 2, "b": 1}, 3, at="id"), items)
+        got = packing.run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    for source, n in (("a", 5), ("b", 3)):
+        mine = got.where(F.col("source") == source).orderBy("pos").collect()
+        assert [r["k"] for r in mine] == list(range(len(mine))) and [r["at"] for r in mine] == [k % n for k in range(len(mine))]
+        assert len(mine) > 2 * n or source == "b"
+    with pytest.raises(TimeoutError):
+        packing.poll_until(spark, lambda: spark.readStream.schema("id long").parquet(str(tmp_path / "in" / "*")), str(tmp_path / "c2"), lambda b, i: None, lambda: False, rounds=2)
+
+
+def test_lines_beyond_a_million(spark):
+    """A document of more lines than 2^20: positions stay apart from the next document's."""
+    n = (1 << 20) + 5
+    docs = spark.range(2).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, F.array_join(F.array_repeat(F.lit("x"), n), "\n")).otherwise("y").alias("text"))
+    got = corpus.lines(docs)
+    assert got.select("pos").distinct().count() == n + 1
+    assert got.where("doc_id = 0").agg(F.max("pos").alias("m")).first()["m"] < got.where("doc_id = 1").first()["pos"]
+
+
+def test_quantiles_by_rank(spark):
+    import numpy as np
+
+    values = [float(x) for x in np.random.default_rng(2).integers(0, 30, 301)] + [1e9]
+    rows = spark.createDataFrame([("g", v) for v in values] + [("h", 4.0), ("n", None)], "k string, v double")
+    got = {r["k"]: r for r in order.quantiles(rows, "v", {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.95, "e": 1.0}, "k").collect()}
+    assert [got["g"][c] for c in "abcde"] == pytest.approx(list(np.quantile(values, [0, 0.25, 0.5, 0.95, 1]))) and got["h"]["c"] == 4.0 and "n" not in got
+
+
+def test_event_files(spark, tmp_path):
+    from corpusmill.sources import readers, writers
+
+    scalars = [("loss", 1, 0.5), ("loss", 300, 0.25), ("accuracy", 300, 1.0)]
+    writers.event_file(spark, f"file://{tmp_path}/r1/events.1", scalars)
+    got = readers.scalar_events(spark, f"{tmp_path}/*/events*").collect()
+    assert sorted(map(tuple, got)) == sorted(("r1", *s) for s in scalars)
+    content = (tmp_path / "r1" / "events.1").read_bytes()
+    assert readers.events_of(content[:-5]) == scalars[:2] and readers.events_of(b"") == []
+
+
 def test_experiments(spark):
     from corpusmill.operators import experiments
 
@@ -244,8 +292,8 @@ def test_experiments(spark):
     assert experiments.intervention_pairs(quads.where("not (quadruplet_id = 3 and filler = 0 and gap = 1)")).where("quadruplet_id = 3").count() == 0
     corpora = spark.range(5).selectExpr("id as pos", "id * 2 as a")
     assert experiments.aligned(corpora, corpora.withColumnRenamed("a", "b")).count() == 5
-    with pytest.raises(ValueError):
-        experiments.aligned(corpora, corpora.where("pos < 4").withColumnRenamed("a", "b"))
+    with pytest.raises(Exception, match="no partner at position 4"):
+        experiments.aligned(corpora, corpora.where("pos < 4").withColumnRenamed("a", "b")).collect()
     rows = spark.createDataFrame([(1, "the cat sat", "cat"), (2, "no match", "cat"), (3, "c.t a c.t", "c.t")], "id long, text string, anchor string")
     got = {r["id"]: r["token_no"] for r in experiments.anchor_tokens(rows.where("id < 3"), "id", "text", "anchor").collect()}
     assert got == {1: 1, 2: None}

@@ -58,7 +58,7 @@ def test_yaml(spark, tmp_path):
 def test_manifest(spark, tmp_path):
     rows = spark.createDataFrame([(2, "c2", "o2"), (1, "c1", "o1")], "exp int, config string, out_dir string")
     writers.manifest(rows, str(tmp_path / "m"))
-    got = readers.manifest(spark, str(tmp_path / "m")).collect()
+    got = readers.manifest(spark, str(tmp_path / "m")).orderBy("line").collect()
     assert [(r["line"], r["config"], r["out_dir"]) for r in got] == [(1, "c1", "o1"), (2, "c2", "o2")]
     assert writers.yaml_text(rows, ["exp", "config"]).where("exp = 1").first()["yaml"] == "exp: 1\nconfig: c1\n"
 
