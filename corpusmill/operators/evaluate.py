@@ -215,17 +215,16 @@ def candidate_masses(contexts: DataFrame, candidates: DataFrame, scorer: scoring
     """slot, n_items and mean_mass: the mean over contexts of the mean over a slot's candidates of their geometric mean probability.
 
     contexts has item_id and text, candidates slot and cand. A candidate's first word is scored after the context's
-    last one, the others after the one before.
+    last one, the others after the one before. So candidates are paired with the different last words only, and contexts that share one are counted.
     """
-    last = contexts.select("item_id", T.last_word("text").alias("last"))
-    rows = last.crossJoin(F.broadcast(candidates.select("slot", "cand", T.words("cand").alias("ws"))))  # candidate lists are fixed
-    rows = rows.select("item_id", "slot", "cand", "last", "ws", F.posexplode("ws").alias("tok_pos", "token"))
+    lasts = stored(contexts.select(T.last_word("text").alias("last")).groupBy("last").agg(F.count(F.lit(1)).alias("n")), "last-words")
+    listed = candidates.agg(F.collect_list(F.struct("slot", "cand", T.words("cand").alias("ws"))).alias("_c"))  # one row: the candidates are a fixed list
+    rows = lasts.select("last").crossJoin(F.broadcast(listed)).select("last", F.inline("_c"))
+    rows = rows.select("slot", "cand", "last", "ws", F.posexplode("ws").alias("tok_pos", "token"))
     rows = rows.withColumn("prev", F.when(F.col("tok_pos") == 0, F.col("last")).otherwise(F.try_element_at("ws", F.col("tok_pos"))))
-    distinct = rows.select("prev", "token").distinct()  # each pair is scored once
-    scored = rows.join(scorer.score(distinct), ["prev", "token"])
-    per_cand = scored.groupBy("slot", "item_id", "cand").agg(scoring.geometric_mean().alias("p"))
-    per_item = per_cand.groupBy("slot", "item_id").agg(F.avg("p").alias("p"))
-    return per_item.groupBy("slot").agg(F.count(F.lit(1)).alias("n_items"), F.avg("p").alias("mean_mass"))
+    per_cand = scorer.score(rows).groupBy("slot", "last", "cand").agg(scoring.geometric_mean().alias("p"))
+    per_last = per_cand.groupBy("slot", "last").agg(F.avg("p").alias("p")).join(lasts, "last")
+    return per_last.groupBy("slot").agg(F.sum("n").alias("n_items"), (F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("mean_mass"))
 
 
 #: Evaluators by name: functions of a table of scores and keys that give keys and value.

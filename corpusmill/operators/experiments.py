@@ -53,7 +53,7 @@ def dimensions(**catalogues: DataFrame) -> DataFrame:
     out = None
     for name, rows in catalogues.items():
         named = rows.select(*(F.col(c).alias(f"{name}_{c}") for c in rows.columns))
-        out = named if out is None else out.crossJoin(F.broadcast(named))  # catalogues: a row per checkpoint, data set or layer
+        out = named if out is None else out.crossJoin(named)  # catalogues: a row per checkpoint, data set or layer; the planner knows their size
     if out is None:
         raise ValueError("no catalogue")
     return out

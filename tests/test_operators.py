@@ -272,6 +272,43 @@ def test_quantiles_by_rank(spark):
     assert [got["g"][c] for c in "abcde"] == pytest.approx(list(np.quantile(values, [0, 0.25, 0.5, 0.95, 1]))) and got["h"]["c"] == 4.0 and "n" not in got
 
 
+def test_masses(spark):
+    """Phrase masses and the evaluators over them, by hand on a small table of counts."""
+    from corpusmill.operators import masses
+
+    texts = spark.createDataFrame([(0, "the boy that the girl sees is here".split()), (1, "the girl sees the boy".split())], "pos long, words array<string>")
+    scorer = scoring.CountScorer(scoring.bigrams(texts), k=1.0)
+    n_vocab = 7  # boy that the girl sees is here
+    p = lambda pair, prev: (pair + 1) / (prev + n_vocab)
+    got = {(r["last"], r["phrase"]): r["mass"] for r in masses.phrase_masses(spark.createDataFrame([("sees", "the boy"), ("sees", "is")], "last string, phrase string"), scorer).collect()}
+    assert got[("sees", "the boy")] == pytest.approx(math.sqrt(p(1, 2) * p(2, 4))) and got[("sees", "is")] == pytest.approx(p(1, 2))
+    sentences = spark.createDataFrame([("The boy that the girl sees is here.",), ("The boy sees.",), ("No verb here.",)], "sentence string")
+    row = masses.moved_embedded_vocabulary(sentences, ["sees"], ["boy", "girl"], ["boy", "girl", "cat"], scorer).first()
+    g = lambda noun: math.sqrt(p(1, 2) * p(2, 4)) if noun != "cat" else math.sqrt(p(1, 2) * p(0, 4))
+    assert row["roi_count"] == 2 and row["target_mass"] == pytest.approx(g("boy")) and row["embedded_mass"] == pytest.approx(g("girl"))
+    assert row["vocab_mass"] == pytest.approx((g("cat") + (g("girl") + g("cat")) / 2) / 2)
+    files = spark.createDataFrame([("c", "a.csv", 1.0), ("c", "a.csv", 3.0), ("c", "b.csv", 5.0)], "ckpt string, file string, np double")
+    got = masses.masses_by_file(files, ["ckpt"], {"orc": "a.csv", "wh": "b.csv"}, ["np"]).first()
+    assert (got["orc_np"], got["wh_np"]) == (2.0, 5.0)
+    with pytest.raises(ValueError, match="no evaluator"):
+        evaluate.run("nothing", files, ["ckpt"])
+
+
+def test_tokenizers_and_catalogues(spark):
+    from corpusmill.operators import experiments, tokenizers
+
+    texts = spark.createDataFrame([(1, " it's  12\n"), (2, ""), (3, None)], "id long, text string")
+    got = tokenizers.tokens(texts, "id").collect()
+    assert [(r["token_no"], r["token"], r["start"], r["end"]) for r in got] == [(0, "it's", 1, 5), (1, "12", 7, 9)]
+    parts = tokenizers.tokens(texts, "id", encode=tokenizers.by_pattern(r"\w+")).collect()
+    assert [r["token"] for r in parts] == ["it", "s", "12"]
+    assert [(r["task"], r["model"], r["evaluation"]) for r in experiments.tasks(spark, ["a", "b"], ["x", "y"]).orderBy("task").collect()] == [(0, "a", "x"), (1, "a", "y"), (2, "b", "x"), (3, "b", "y")]
+    shares = experiments.mixtures(spark, {"r": (1.0, 0.0, 3.0)}, ("c4", "orc", "wh")).collect()
+    assert [(r["source"], r["share"]) for r in shares] == [("c4", 0.25), ("wh", 0.75)]
+    paths = spark.createDataFrame([("r", 200), ("r", 1000), ("s", 5)], "run string, step long")
+    assert {(r["run"], r["step"]): r["keep"] for r in experiments.superseded(paths).collect()} == {("r", 200): False, ("r", 1000): True, ("s", 5): True}
+
+
 def test_event_files(spark, tmp_path):
     from corpusmill.sources import readers, writers
 
