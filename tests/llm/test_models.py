@@ -65,6 +65,180 @@ def test_language_accuracy(spark):
     assert (held.lang == held.lang_pred).mean() > 0.98
 
 
+_M = (1 << 64) - 1
+
+
+def brute_language(rows):
+    """lang_pred and score of each row by plain dictionaries and one word at a time, learned from the rows that aren't held out."""
+    import re
+    import unicodedata
+    import zlib
+    from collections import Counter
+
+    def words(text):
+        out, word = [], ""
+        for ch in (text or "").lower() + " ":
+            letter = re.fullmatch(r"[^\W\d_]", ch)
+            if letter or word and unicodedata.category(ch)[0] == "M":
+                word += ch
+            elif word:
+                out.append(word)
+                word = ""
+        return out
+
+    def script(ch):
+        found = "other"
+        for name, low, high in language_id.SCRIPTS:
+            if low <= ord(ch) <= high:
+                found = name
+        return found
+
+    def grams(word):
+        points = [32, *map(ord, word), 32]
+        return [((((a * 0x100000001B3 + b) & _M) * 0x100000001B3 + c) & _M) * 0x9E3779B97F4A7C15 % (1 << 64) >> 48 for a, b, c in zip(points, points[1:], points[2:])]
+
+    langs = sorted({lang for i, lang, _ in rows if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2})
+    counts, scripts = {lang: Counter() for lang in langs}, {lang: Counter() for lang in langs}
+    for i, lang, text in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            for w in words(text):
+                counts[lang].update(grams(w))
+                scripts[lang][script(w[0])] += 1
+    total = {lang: sum(c.values()) + language_id.SMOOTH * language_id.BUCKETS for lang, c in counts.items()}
+    memo = {}
+
+    def scored(word):
+        if word not in memo:
+            score = {lang: float(np.float32(sum(np.log((counts[lang][g] + language_id.SMOOTH) / total[lang]) for g in grams(word)))) for lang in langs}
+            may = {lang for lang in langs if scripts[lang][script(word[0])] > 0.01 * max(1, sum(scripts[lang].values()))} or set(langs)
+            memo[word] = {lang: v if lang in may else min(score.values()) - 1000 for lang, v in score.items()}
+        return memo[word]
+
+    out = []
+    for _, _, text in rows:
+        held, path = words(text), []
+        for w in held:
+            score = scored(w)
+            if not path:
+                path.append({lang: (score[lang], None) for lang in langs})
+                continue
+            last = path[-1]
+            top = max(langs, key=lambda k: last[k][0])
+            path.append({lang: (score[lang] + max(last[lang][0], last[top][0] - language_id.SWITCH), lang if last[lang][0] >= last[top][0] - language_id.SWITCH else top) for lang in langs})
+        letters = Counter()
+        state = max(langs, key=lambda k: path[-1][k][0]) if path else None
+        for w, step in zip(reversed(held), reversed(path)):
+            letters[state] += sum(map(str.isalpha, w))
+            state = step[state][1]
+        n = sum(letters.values())
+        best = min(letters, key=lambda k: (-letters[k], k)) if n else None
+        out.append((best or "und", letters[best] / n if n else 0.0))
+    return out
+
+
+def test_language_query_by_brute_force(spark, sf):
+    """Every document of the table: one word at a time, without blocks, memo or array operations."""
+    docs = pd.read_parquet(f"{sf}/documents.parquet")
+    docs = docs[docs.text.isna() | (docs.text.str.len() < 20_000)]
+    frame = spark.createDataFrame(docs[["doc_id", "lang", "text"]])
+    got = language_id.predicted(frame, language_id.fit(frame.where(~language_id.held_out()))).toPandas().set_index("doc_id")
+    want = brute_language(list(zip(docs.doc_id.tolist(), docs.lang.tolist(), docs.text.tolist())))
+    for i, (lang, score) in zip(docs.doc_id, want):
+        assert got.lang_pred[i] == lang and got.score[i] == pytest.approx(score, abs=1e-9)
+
+
+def test_words_keep_their_marks():
+    assert language_id._WORD.findall("हिन्दी में été a1b x\u0301y l'a") == ["हिन्दी", "में", "été", "a", "b", "x\u0301y", "l", "a"]
+
+
+def brute_features(text):
+    """Row of each feature with how often it stands in the text, one n-gram at a time."""
+    from collections import Counter
+
+    def bucket(h):
+        return h * 0x9E3779B97F4A7C15 % (1 << 64) >> (64 - quality.BITS)
+
+    def hashed(word):
+        total = 0
+        for place, ch in enumerate(word, 1):
+            mixed = (ord(ch) * 0x9E3779B97F4A7C15 & _M) ^ (place * 0x94D049BB133111EB & _M)
+            mixed = (mixed ^ mixed >> 29) * 0xBF58476D1CE4E5B9 & _M
+            total = total + (mixed ^ mixed >> 32) & _M
+        return (total * 0xBF58476D1CE4E5B9 + len(word) + 1) & _M
+
+    rows, words = Counter(), text.split()
+    for w in words:
+        marked = "\n" + w + "\n"
+        for n in quality.GRAMS:
+            for i in range(len(marked) - n + 1):
+                h = ord(marked[i])
+                for ch in marked[i + 1 : i + n]:
+                    h = h * 0x100000001B3 + ord(ch) & _M
+                rows[bucket(h + n & _M)] += 1
+        rows[bucket(hashed(w) ^ 0x5555)] += 1
+    for a, b in zip(words, words[1:]):
+        rows[0 if a == b else bucket((hashed(a) * 0x100000001B3 & _M) ^ (hashed(b) * 0x9E3779B97F4A7C15 & _M))] += 1
+    return rows
+
+
+def test_quality_by_brute_force(spark):
+    """Training and scores by a naive trainer: dictionaries of features, one vector row at a time."""
+    rng = np.random.default_rng(4)
+    pools = {1: ["house", "tree", "river", "été"], 0: ["$$$", "win!!", "free", "click"]}
+    rows = [(i, int(i % 4 > 0), " ".join(rng.choice(pools[int(i % 4 > 0)] + ["the"], 8))) for i in range(24)] + [(24, 1, ""), (25, 0, None)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, y, _ in rows], "doc_id long, quality int")
+    model = quality.fit(docs, labels, rows=6)
+    got = {r["doc_id"]: r["score"] for r in quality.scored(docs, model).collect()}
+
+    n = {y: sum(r[1] == y for r in rows) for y in (0, 1)}
+    order = [r[0] for r in docs.select("doc_id", quality.by_hash("doc_id", "quality-fit").alias("h")).orderBy("h", "doc_id").collect()]
+    chosen = {y: [i for i in order if rows[i][1] == y][:6] for y in (0, 1)}
+    sample = sorted(chosen[0] + chosen[1])
+    feats = []
+    for i in sample:
+        f = brute_features(rows[i][2] or "")
+        total = sum(f.values())
+        feats.append([(k, float(np.float16(v / total))) for k, v in sorted(f.items())])
+    draw = np.random.default_rng(quality.SEED)
+    vectors = draw.uniform(-1 / quality.DIM, 1 / quality.DIM, (1 << quality.BITS, quality.DIM)).astype(np.float32).astype(float)
+    weights, offset = np.zeros((2, quality.DIM)), np.zeros(2)
+    epochs = max(quality.EPOCHS, -(-quality.STEPS // len(sample)))
+    step, steps = 0, epochs * len(sample)
+    for _ in range(epochs):
+        for d in draw.permutation(len(sample)):
+            rate = quality.RATE * (1 - step / steps)
+            step += 1
+            mean = np.zeros(quality.DIM)
+            for k, share in feats[d]:
+                mean += share * vectors[k]
+            z = weights @ mean + offset
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            error = p - np.eye(2)[rows[sample[d]][1]]
+            down = error @ weights
+            weights -= rate * np.outer(error, mean)
+            offset -= 0.1 * rate * error
+            for k, share in feats[d]:
+                vectors[k] -= rate * share * down * quality.SPEED
+    shift = np.log((n[1] / len(chosen[1])) / (n[0] / len(chosen[0])))
+    for i, _, text in rows:
+        f = brute_features(text or "")
+        z = offset[1] - offset[0] + shift
+        if f:
+            z += sum(v * (vectors[k] @ (weights[1] - weights[0])) for k, v in f.items()) / sum(f.values())
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=2e-3)
+
+
+def test_scores_are_calibrated(spark):
+    """The mean score of held-out labelled documents is near their share of label 1, though the classes are sampled alike."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    known = docs.join(labels.where("quality is not null"), "doc_id")
+    model = quality.fit(docs, labels.where(~quality.held_out()), rows=300)
+    got = quality.scored(known.where(quality.held_out()).select("doc_id", "text"), model).join(labels, "doc_id").toPandas()
+    assert abs(got.score.mean() - got.quality.mean()) < 0.05 and (got.predicted == got.quality).mean() > 0.98
+
+
 def test_word_features():
     words = ["the", "then", "t", "été", "a|b", "🙂x"]
     rows, whose, hashes = quality.word_features(words)

@@ -27,6 +27,155 @@ def test_layout(page, text):
     assert html_text.visible_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><td rowspan=2>aaa<td>b<tr><td>c</table>", "aaa  b\n     c"), ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
+        ("<table><tr><td>a<td rowspan=2>b<td>c<tr><td>d<td>e</table>", "a  b  c\nd     e"), ("<table><tbody><tr><td rowspan=9>a<tbody><tr><td>b</table>", "a\nb"),
+        ("<details><summary>s</summary>no</details>a", "s\na"), ("<details open><summary>s</summary>b</details>", "s\nb"), ("<details>no</details>a", "a"),
+        ("<dialog>no</dialog>a<dialog open>b</dialog>", "a\nb"), ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b></div>", "yes"), ("<p style='visibility: hidden'>no<p>a", "a"),
+        ("<ul style='visibility:hidden'><li>no<li style='visibility:visible'>b</ul>", "- b"), ("<span style='visibility:collapse'>no</span>a", "a"),
+    ],
+)
+def test_visibility_and_spans(page, text):
+    assert html_text.visible_text(page) == text
+
+
+def _random_page(rng, depth=0):
+    """A tree of tuples (tag, children) and words."""
+    out = []
+    for _ in range(rng.integers(1, 4)):
+        kind = rng.choice(["word", "word", "b", "br", "div", "p", "ul", "ol", "hidden", "script"] if depth < 3 else ["word", "b", "br"])
+        if kind == "word":
+            out.append(" " + rng.choice(["one", "two", "three", "four"]) + " ")
+        elif kind in ("br", "script"):
+            out.append((kind, []))
+        elif kind in ("ul", "ol"):
+            out.append((kind, [("li", _random_page(rng, depth + 1)) for _ in range(rng.integers(1, 3))]))
+        else:
+            out.append((kind, _random_page(rng, depth + 1)))
+    return out
+
+
+def _html(node, rng):
+    if isinstance(node, str):
+        return node
+    tag, children = node
+    inside = "".join(_html(c, rng) for c in children)
+    if tag == "br":
+        return "<br>"
+    if tag == "script":
+        return "<script>if (a < b) '<p>no'</script>"
+    if tag == "hidden":
+        return f"<div style='display:none'>{inside}</div>"
+    if tag == "li" and rng.random() < 0.5:
+        return f"<li>{inside}"  # its end tag is implied
+    return f"<{tag}>{inside}</{tag}>"
+
+
+def _brute_lines(children):
+    """The lines of a tree by plain recursion: GAP stands for a blank line between blocks, None for the end of a line."""
+    events = []
+
+    def walk(nodes, parent):
+        for node in nodes:
+            if isinstance(node, str):
+                events.append(node)
+                continue
+            tag, inner = node
+            if tag == "br":
+                events.append("BR")
+            elif tag in ("hidden", "script"):
+                continue
+            elif tag == "b":
+                walk(inner, tag)
+            elif tag in ("ul", "ol"):
+                gap = parent != "li"
+                lines = []
+                for k, (_, item) in enumerate(inner, 1):
+                    mark = "- " if tag == "ul" else f"{k}. "
+                    first, *rest = _brute_lines_of(item, "li") or [""]
+                    lines += [(mark + first).rstrip()] + [" " * len(mark) + x if x else "" for x in rest]
+                events.extend([("END", gap), ("WHOLE", lines), ("END", gap)])
+            else:
+                gap = tag == "p"
+                events.append(("END", gap))
+                walk(inner, tag)
+                events.append(("END", gap))
+
+    def lines_of():
+        lines, line, gap = [], None, False
+
+        def begin():
+            nonlocal gap
+            if gap and lines and lines[-1] != "":
+                lines.append("")
+            gap = False
+
+        for e in events:
+            if isinstance(e, tuple) and e[0] == "END":
+                if line is not None:
+                    lines.append(" ".join(line))
+                line = None
+                gap = gap or e[1]
+            elif isinstance(e, tuple):
+                if e[1]:
+                    begin()
+                    lines.extend(e[1])
+            elif e == "BR":
+                if line is not None:
+                    lines.append(" ".join(line))
+                    line = None
+                elif lines:
+                    begin()
+                    lines.append("")
+            else:
+                if line is None:
+                    begin()
+                    line = []
+                line.append(e.strip())
+        if line is not None:
+            lines.append(" ".join(line))
+        return lines
+
+    return walk, lines_of
+
+
+def _brute_lines_of(children, parent):
+    walk, lines_of = _brute_lines(children)
+    walk(children, parent)
+    lines = lines_of()
+    while lines and not lines[-1].strip():
+        lines.pop()
+    while lines and not lines[0].strip():
+        lines.pop(0)
+    return lines
+
+
+def test_layout_by_brute_force():
+    """Random pages against a plain recursive renderer of their trees."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        page = _random_page(rng)
+        if any(isinstance(n, tuple) and n[0] == "p" and _has_block(n[1]) for n in _walk(page)):
+            continue  # a block ends a paragraph
+        text = "".join(_html(n, rng) for n in page)
+        assert html_text.visible_text(text) == "\n".join(x.rstrip() for x in _brute_lines_of(page, "body")), text
+
+
+def _walk(nodes):
+    for n in nodes:
+        yield n
+        if isinstance(n, tuple):
+            yield from _walk(n[1])
+
+
+def _has_block(nodes):
+    return any(isinstance(n, tuple) and n[0] in ("div", "p", "ul", "ol", "hidden") for n in _walk(nodes))
+
+
 def test_extraction_operator(spark):
     rows = spark.createDataFrame([(1, "<p>a<p>b", "t"), (2, None, "t"), (2, None, "t"), (None, "x", "t"), (3, "<i>long</i> " * 20_000, "t")], "page_id long, html string, text string")
     got = html_text.extracted(rows)

@@ -70,7 +70,9 @@ def test_odd_rows_go_through(spark, odd_docs, no_docs, sf):
         assert "sequence_id" in docs.columns
 
 
-@pytest.mark.parametrize("name", ["op1_exact_dedup", "op5_simhash", "op8_packing"])
+@pytest.mark.parametrize(
+    "name", ["op1_exact_dedup", "op2_language_id", "op3_token_counts", "op4_html_text", "op5_simhash", "op6_warc", "op7_top_k", "op8_packing", "op9_byte_bpe", "op10_quality", "pipeline"]
+)
 def test_queries_over_empty_tables(spark, sf, tmp_path, name):
     import __spark_entry__
 

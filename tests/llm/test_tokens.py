@@ -97,6 +97,16 @@ def test_packing_ids_of_any_text(vocabulary, text):
     assert ids.of(text).tolist() == exact.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_ids_of_every_character(vocabulary):
+    """The class of characters that goes to the rank library, one code point at a time and beside letters, digits and spaces."""
+    exact, ids = vocabulary
+    inside = [chr(c) for c in range(0x20D0) if not packing._OTHER.search(chr(c))]
+    assert len(inside) > 600
+    for ch in inside:
+        for text in (ch, f"a{ch}b", f"1{ch}2", f" {ch} ", f"{ch}{ch}", f"\n{ch}'s"):
+            assert ids.of(text).tolist() == exact.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_piece_lengths():
     for n in [1, 2, 3, 5, 2047, 2048, 2049, 10_000]:
         got = packing.piece_lengths(n)
