@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -169,9 +171,15 @@ _slot: dict = {}
 
 
 def remembered(key: tuple, make: Callable[[], _T]) -> _T:
-    """The Python worker's one memo: what make() gave for the key; another key's memo goes, so that they don't add up."""
+    """The Python worker's one memo: what make() gave for the key; another key's memo goes and its memory is given back, so that they don't add up."""
     if key not in _slot:
-        _slot.clear()
+        if _slot:
+            _slot.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
         _slot[key] = make()
     return _slot[key]
 

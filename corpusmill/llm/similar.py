@@ -7,15 +7,15 @@ A text is the set of its 5-word shingles. Pairs are proposed by
 * min-hash bands: two texts of similarity s share a band's key with probability s^ROWS, and one of the BANDS with
   1 - (1 - s^ROWS)^BANDS: at 0.8 all but 3 pairs of a million meet.
 
-The sets of a key are compared in two rounds, so that a large group of copies isn't compared
-pair by pair: first each set with the smallest of its key, then those of a key that the
-first round left in different components, by their min-hash sketches, in chunks of bounded size; only pairs of similar sketches go on to
-the shingles. A pair that isn't compared is in one component already.
+The sets are compared in two rounds, so that a large group of copies isn't compared
+pair by pair: first each set with the smallest one that it shares a key with, then those of a key that the
+first round left in different components, inside the tasks that have the key's sets, in chunks of bounded size: pairs whose min-hash
+sketches are similar are held to their shingles, and only links come out. A pair that isn't compared is in one component already.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,43 +71,48 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, node (the set's id), n (its size), fp (fingerprint), keys and sketch of each row of docs that has an id."""
+    """doc_id, text_hash, node (the set's id), n (its size), fp (fingerprint) and keys of each row of docs that has an id."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches):
-            node, fp, n, keys, drawn = [], [], [], [], []
+            node, fp, n, keys = [], [], [], []
             for text in texts:
                 every = shingle_hashes(text, WORDS)
                 found = np.unique(every)
-                least = sketch(found)
                 node.append(set_id(found))
                 fp.append(majority(every))
                 n.append(len(found))
-                keys.append(band_keys(least).view(np.int64))
-                drawn.append(least.astype("<u4").tobytes())
+                keys.append(band_keys(sketch(found)).view(np.int64))
             long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), long(node), pa.array(n, pa.int32()), long(fp), pa.array(keys, pa.list_(pa.int64())), pa.array(drawn, pa.binary())],
-                ["doc_id", "text_hash", "node", "n", "fp", "keys", "sketch"],
+                [batch.column(0), batch.column(1), long(node), pa.array(n, pa.int32()), long(fp), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "node", "n", "fp", "keys"],
             )
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    return spread(rows, "doc_id").mapInArrow(sign, f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, node long, n int, fp long, keys array<long>, sketch binary")
+    return spread(rows, "doc_id").mapInArrow(sign, f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, node long, n int, fp long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node and shingles of the rows whose doc_id and text_hash are in ids; a screen keeps most other texts from being moved."""
+    """node, shingles and sketch of the rows whose doc_id and text_hash are in ids; a screen keeps most other texts from being moved."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches):
             sets = [shingles(t) for t in texts]
             node = np.array([set_id(s) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+            drawn = pa.array([sketch(s).astype("<u4").tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), drawn], ["node", "shingles", "sketch"])
 
     maybe = screen(ids.select(F.xxhash64("doc_id", "text_hash")))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     chosen = rows.where(maybe(F.xxhash64("doc_id", "text_hash"))).join(ids.hint("merge"), ["doc_id", "text_hash"], "left_semi").select("text")
-    return chosen.mapInArrow(make, "node long, shingles array<long>").dropDuplicates(["node"])
+    return chosen.mapInArrow(make, "node long, shingles array<long>, sketch binary").dropDuplicates(["node"])
+
+
+def _sets(nodes: DataFrame, asked: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, shingles and sketch of the nodes in asked."""
+    ids = stored(nodes.join(asked.hint("merge"), "node", "left_semi").select("example.*"), "similar-asked")
+    return stored(sets_of(docs, ids, id_col, text_col), "similar-sets")
 
 
 def _fits(a: str, b: str) -> F.Column:
@@ -123,9 +128,9 @@ def met(nodes: DataFrame, total: int) -> DataFrame:
 
 
 def first_pairs(rows: DataFrame) -> DataFrame:
-    """u, v: each set with the smallest one of each of its keys."""
+    """u, v: each set with the smallest of the sets that are the smallest of one of its keys."""
     led = rows.where((F.col("node") != F.col("lead.node")) & _fits("n", "lead.n"))
-    return led.select(F.col("lead.node").alias("u"), F.col("node").alias("v"))
+    return led.groupBy(F.col("node").alias("v")).agg(F.min("lead.node").alias("u")).select("u", "v")
 
 
 def print_pairs(nodes: DataFrame, total: int) -> DataFrame:
@@ -138,56 +143,74 @@ def print_pairs(nodes: DataFrame, total: int) -> DataFrame:
     return linked.unionByName(alike.select(F.col("lead").alias("u"), F.col("node").alias("v")))
 
 
-def _similar_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """u, v of the rows (grp, chunk, cross, node, root, sketch), sorted by group, that have similar sketches and different roots; across chunks if cross."""
-    held: list[np.ndarray] = []
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles have the least similarity."""
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return same * LEAST[1] >= (len(a) + len(b) - same) * LEAST[0]
+
 
-    def pairs(grp, chunk, cross, node, root, drawn) -> Iterator[pa.RecordBatch]:
-        at, step, n = np.arange(len(grp)), 1, len(grp)
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links u, v among the rows (grp, chunk, cross, node, root, sketch, shingles), sorted by group, that have different roots; across chunks if cross.
+
+    Rows that a link has put together aren't compared any more.
+    """
+    held: list = []
+
+    def close(grp, chunk, cross, node, root, drawn, sets) -> Iterator[pa.RecordBatch]:
+        n, at, step, label, out = len(grp), np.arange(len(grp)), 1, root.copy(), []
+        size = np.fromiter((len(x) for x in sets), np.int64, n)
         while len(at):
             at = at[at + step < n]
             at = at[grp[at] == grp[at + step]]
             to = at + step
-            asked = at[(root[at] != root[to]) & (~cross[at] | (chunk[at] != chunk[to]))]
+            fits = np.minimum(size[at], size[to]) * LEAST[1] >= np.maximum(size[at], size[to]) * LEAST[0]
+            asked = at[fits & (label[at] != label[to]) & (~cross[at] | (chunk[at] != chunk[to]))]
             for part in np.array_split(asked, max(1, -(-len(asked) // 4096))):
-                near = part[(drawn[part] == drawn[part + step]).mean(axis=1) >= SKETCH]
-                if len(near):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[near]), pa.array(node[near + step])], ["u", "v"])
+                for i in part[(drawn[part] == drawn[part + step]).mean(axis=1) >= SKETCH].tolist():
+                    j = i + step
+                    if label[i] != label[j] and alike(sets[i], sets[j]):
+                        first, last = np.searchsorted(grp, grp[i]), np.searchsorted(grp, grp[i], side="right")
+                        here = label[first:last]
+                        here[here == label[j]] = label[i]
+                        out.append((node[i], node[j]))
             step += 1
+        if out:
+            u, v = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     for batch in batches:
         now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
         now.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), "<u4").reshape(-1, BANDS * ROWS))
-        held = [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)] if held else now
+        column = batch.column(6)
+        flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.diff(column.offsets.to_numpy()))
+        sets = np.split(flat, ends[:-1])
+        held = [np.concatenate([a, b]) for a, b in zip(held[:6], now, strict=True)] + [held[6] + sets] if held else [*now, sets]
         cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-        yield from pairs(*(x[:cut] for x in held))
-        held = [x[cut:] for x in held]
+        if cut:
+            yield from close(*(x[:cut] for x in held))
+            held = [x[cut:] for x in held]
     if held:
-        yield from pairs(*held)
+        yield from close(*held)
 
 
-def other_pairs(rows: DataFrame, roots: DataFrame, drawn: DataFrame, total: int) -> DataFrame:
-    """u, v: the other pairs of each key that have different roots as yet and similar sketches (drawn: node, sketch)."""
+def other_links(rows: DataFrame, roots: DataFrame, drawn: Callable[[DataFrame], DataFrame], total: int) -> DataFrame:
+    """u, v: links among the sets of each key that have different roots as yet (drawn gives node, sketch and shingles of a table of nodes); the same components as all of them."""
     rooted = rows.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = stored(rooted.where("node <> lead.node").select("key", "node", "root"), "similar-rooted-keys")
+    rooted = stored(rooted.select("key", "node", "root"), "similar-rooted-keys")
     keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
     keys = stored(keys.select("key", "size", F.ceil(F.col("size") / CHUNK).alias("chunks")), "similar-mixed-keys")
-    mixed = joined_hot(rooted, keys, ["key"], "size", total * BANDS).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    mixed = stored(mixed, "similar-mixed")
-    mine = stored(drawn.join(mixed.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "similar-sketches")
+    mixed = stored(joined_hot(rooted, keys, ["key"], "size", total * BANDS).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))), "similar-mixed")
     each = mixed.select("key", "node", "root", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
     each = each.select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("grp"), "chunk", (F.col("chunk") != F.col("other")).alias("cross"), "node", "root")
-    full = each.join(mine.hint("merge"), "node").select("grp", "chunk", "cross", "node", "root", "sketch")
-    return full.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(_similar_sketches, "u long, v long").distinct()
+    full = each.join(drawn(mixed.select("node").distinct()).hint("merge"), "node").select("grp", "chunk", "cross", "node", "root", "sketch", "shingles")
+    return full.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(_links, "u long, v long").distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (u, v) whose shingles are similar enough. A set with many pairs goes to several places, so that none gets all of them."""
     counts = stored(pairs.groupBy("u").agg(F.count(F.lit(1)).alias("size")).withColumn("copies", F.ceil(F.col("size") / SALT)), "similar-counts")
     total = counts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    ids = stored(nodes.join(asked.hint("merge"), "node", "left_semi").select("example.*"), "similar-asked")
-    sets = stored(sets_of(docs, ids, id_col, text_col), "similar-sets")
+    sets = _sets(nodes, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), docs, id_col, text_col)
     salted = joined_hot(pairs, counts, ["u"], "size", total).withColumn("salt", F.pmod(F.xxhash64("v"), F.col("copies")))
     right = salted.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")).hint("merge"), "v")
     spread_u = counts.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"))
@@ -212,8 +235,8 @@ def without_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = met(nodes, total)
     first = stored(first_pairs(keyed).unionByName(print_pairs(nodes, total)).distinct(), "similar-first")
     links = stored(verified(first, nodes, docs, id_col, text_col), "similar-links")
-    other = stored(other_pairs(keyed, components(links), rows.select("node", "sketch"), total), "similar-other")
-    roots = components(links.unionByName(verified(other, nodes, docs, id_col, text_col)))
+    other = stored(other_links(keyed, components(links), lambda asked: _sets(nodes, asked, docs, id_col, text_col), total), "similar-other")
+    roots = components(links.unionByName(other))
     rooted = nodes.select("node", "size", F.col("example.doc_id").alias("least")).join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = stored(rooted, "similar-rooted")
     kept = stored(rooted.groupBy("root").agg(F.min("least").alias("kept"), F.count(F.lit(1)).alias("n_root")), "similar-kept")
