@@ -229,6 +229,17 @@ def test_quality_by_brute_force(spark):
         assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=2e-3)
 
 
+def test_labels_with_other_columns(spark, odd_docs):
+    """Columns of labels and documents whose names clash with those that are read or made change nothing."""
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (7, 1, 0), (9, 0, 0), (None, 1, 1), (3, None, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
+    plain = quality.scored(odd_docs.select("doc_id", "text"), quality.fit(odd_docs.select("doc_id", "text"), labels))
+    wide = labels.selectExpr("*", "'x' as text", "1 as _id", "0 as _label", "2 as _hash", "'r' as rows")
+    docs = odd_docs.selectExpr("*", "3 as _id", "4 as _label", "5 as quality", "6 as shares")
+    got = quality.scored(docs, quality.fit(docs, wide))
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
+
+
 def test_scores_are_calibrated(spark):
     """The mean score of held-out labelled documents is near their share of label 1, though the classes are sampled alike."""
     sf = "/root/testdata/sf0.1"
