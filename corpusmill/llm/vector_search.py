@@ -25,7 +25,7 @@ from .common import stored, table
 SCALE = 256
 TOP = 5
 EVERY = 50
-#: Bytes of a block of candidates and of a block of queries, about.
+#: Bytes of a block of candidates and of a block of queries, at most about.
 CANDIDATES, QUERIES = 16 << 20, 4 << 20
 _LONG = (1 << 63) - 1
 
@@ -148,7 +148,8 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = TOP, scale: int = SCA
     rows = stored(quantised(vectors, scale, id_col, vector_col), "vectors")
     size = F.sum(8 * F.col("size").cast("long") + 32)
     held, asked = rows.agg(F.coalesce(size, F.lit(0)), F.coalesce(F.sum(F.when(is_query, 8 * F.col("size").cast("long") + 32)), F.lit(0))).first()
-    parts, asks = max(1, -(-held // CANDIDATES)), max(1, -(-asked // QUERIES))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts, asks = max(cores, -(-held // CANDIDATES)), max(1, -(-asked // QUERIES))  # few candidates are still dealt to all cores
     block = F.xxhash64("row")
     cells = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     here = rows.select("row", "vec_id", "q", "large", F.pmod(block, F.lit(parts)).cast("long").alias("part"), cells(asks).alias("ask"))
