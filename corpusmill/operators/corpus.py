@@ -36,7 +36,10 @@ def hold_out(candidates: DataFrame, train: DataFrame, exact: bool = False) -> Da
 
     Texts are compared stripped and without the end mark, as training lines may carry it; exact compares them as they are.
     """
-    key: Column = F.col("text") if exact else T.strip(F.replace(F.col("text"), F.lit(T.END), F.lit("")))
+    key: Column = T.strip(F.replace(F.col("text"), F.lit(T.END), F.lit("")))
+    if exact:
+        left = candidates.join(train.select("text").distinct(), "text", "left_anti")
+        return left.groupBy("text").agg(F.min("pos").alias("pos"))
     mine = candidates.withColumn("_key", key)
     theirs = train.select(key.alias("_key")).distinct()
     left = mine.join(theirs, "_key", "left_anti")

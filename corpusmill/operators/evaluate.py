@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions.text import number_after
 from ..sources.tables import stored
 from . import scoring
-from .order import numbered, quantiles
+from .order import numbered, quantiles, quantiles_of_counts
 from .tokens import word_spans
 
 
@@ -67,10 +67,15 @@ def top_percent(rows: DataFrame, by: str, percent: float, tie: str) -> DataFrame
 
 def rollup_summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean and median by the columns, with 'ALL' rows for each prefix of them. Medians are found by rank."""
+    counts = rows.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     levels = F.array(*(F.struct(*(F.col(c).cast("string").alias(c) if i < k else F.lit("ALL").alias(c) for i, c in enumerate(by)), F.lit(k).alias("_level")) for k in range(len(by) + 1)))
-    each = stored(rows.select(F.explode(levels).alias("_g"), F.col(value).cast("double").alias("_value")).withColumn("_group", F.to_json("_g", {"ignoreNullFields": "false"})), "rollup")
-    got = each.groupBy("_group").agg(F.first("_g").alias("_g"), F.count(F.lit(1)).alias("n"), F.avg("_value").alias("mean"))
-    return got.join(quantiles(each, "_value", {"median": 0.5}, "_group"), "_group", "left").select(*(F.col(f"_g.{c}").alias(c) for c in by), "n", "mean", "median")
+    each = counts.select(F.explode(levels).alias("_g"), "_v", "_n").groupBy("_g", "_v").agg(F.sum("_n").alias("_n"))
+    each = stored(each.withColumn("_group", F.to_json("_g", {"ignoreNullFields": "false"})), "rollup")
+    n = F.sum("_n")
+    some = F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")))
+    got = each.groupBy("_group").agg(F.first("_g").alias("_g"), n.alias("n"), (F.sum(F.col("_v") * F.col("_n")) / some).alias("mean"))
+    middle = quantiles_of_counts(each.where("_v is not null").select("_group", "_v", "_n"), {"median": 0.5}, "_group")
+    return got.join(middle, "_group", "left").select(*(F.col(f"_g.{c}").alias(c) for c in by), "n", "mean", "median")
 
 
 def distribution(rows: DataFrame, value: str) -> DataFrame:

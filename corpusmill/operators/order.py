@@ -19,6 +19,8 @@ from pyspark.sql.types import LongType
 from ..sources.tables import stored
 
 _IN_PART = (1 << 33) - 1
+#: Rows of sizes that are broadcast at most; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 @F.pandas_udf(LongType())
@@ -49,8 +51,9 @@ def _with_base(rows: DataFrame, size: Column, here: str, by: str | None, total:
     columns = [(before - F.col("_first")).alias("_base")]
     if total:
         columns.append(F.sum("_t").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(total))
-    table = sizes.select(*apart, "_part", *columns)
-    return rows.join(table if by else F.broadcast(table), [*apart, "_part"])  # without by a row for each range
+    table = stored(sizes.select(*apart, "_part", *columns), "order-sizes")
+    small = not by or table.count() <= BROADCAST_ROWS  # without by a row for each range
+    return rows.join(F.broadcast(table) if small else table, [*apart, "_part"])
 
 
 def numbered(df: DataFrame, key: str, name: str, ties: tuple[str, ...] = (), ranges: int | None = None, total: str | None = None, by: str | None = None) -> DataFrame:
@@ -76,7 +79,11 @@ def quantiles(rows: DataFrame, value: str, shares: dict[str, float], by: str) ->
     Equal values are counted first; the running sum of the counts finds the two values around each quantile, so that no group's values
     come together anywhere.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return quantiles_of_counts(rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")), shares, by)
+
+
+def quantiles_of_counts(counts: DataFrame, shares: dict[str, float], by: str) -> DataFrame:
+    """quantiles() from a row for each by and value, _v, that says how often it stands there, _n."""
     placed = running_sum(counts, "_v", "_n", "_before", total="_all", by=by)
     at = {name: F.lit(float(share)) * (F.col("_all") - 1) for name, share in shares.items()}
     holds = lambda place: (place >= F.col("_before")) & (place < F.col("_before") + F.col("_n"))

@@ -29,9 +29,11 @@ class CountScorer:
     prev may be any context word: the one before for a bigram, the filler for a skip-bigram. The pair counts are stored once, with their context's.
     """
 
-    def __init__(self, pairs: DataFrame, k: float = 1.0):
+    def __init__(self, pairs: DataFrame, k: float = 1.0, n: str | None = None):
+        """n names the column that says how often a pair stands there, if equal pairs are counted already."""
         self.k = k
-        self.pairs = stored(pairs.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n_pair")), "pair-counts")
+        times = F.count(F.lit(1)) if n is None else F.sum(n)
+        self.pairs = stored(pairs.groupBy("prev", "token").agg(times.alias("n_pair")), "pair-counts")
         self.prevs = self.pairs.groupBy("prev").agg(F.sum("n_pair").alias("n_prev"))
         self.size = self.pairs.agg(F.greatest(F.count_distinct("token"), F.lit(1)).alias("n_vocab"))
 
@@ -45,9 +47,9 @@ class CountScorer:
         asked = rows.select("prev", "token").distinct().join(self.pairs, ["prev", "token"], "left")
         return rows.join(self._scored(asked), ["prev", "token"])
 
-    def score_counted(self, rows: DataFrame, keys: list[str]) -> DataFrame:
-        """keys, prev, token, n (how often the pair stands there) and logp: equal rows are counted before they are joined."""
-        return self.score(rows.groupBy(*keys, "prev", "token").agg(F.count(F.lit(1)).alias("n")))
+    def score_seen(self, rows: DataFrame) -> DataFrame:
+        """score() of rows whose pairs were all counted, like those that the scorer was made from; others are left out."""
+        return rows.join(self._scored(self.pairs), ["prev", "token"])
 
 
 class UnigramScorer:

@@ -30,9 +30,13 @@ def segments(tokens: DataFrame, stream: str, order: list[str], is_end: Column) -
 
 
 def placed(rows: DataFrame, tokens: str = "words") -> DataFrame:
-    """pos, the tokens as words, at (how many tokens of the stream lie before) and n_stream (tokens in all) of the stream that the rows make in order of pos."""
-    sized = rows.select("pos", F.col(tokens).alias("words"), F.size(tokens).cast("long").alias("_n"))
-    return running_sum(sized, "pos", "_n", "at", total="n_stream").drop("_n")
+    """pos, the tokens as words, at (how many tokens of the stream lie before) and n_stream (tokens in all) of the stream that the rows make in order of pos, which tells them apart.
+
+    Only pos and the number of tokens go through the order; the token arrays are joined to that once.
+    """
+    whole = rows.select("pos", F.col(tokens).alias("words"))
+    at = running_sum(whole.select("pos", F.size("words").cast("long").alias("_n")), "pos", "_n", "at", total="n_stream")
+    return whole.join(at.drop("_n"), "pos")
 
 
 def positions(rows: DataFrame, tokens: str = "words") -> DataFrame:

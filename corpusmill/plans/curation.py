@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import corpus, sampling, tokens
+from ..sources.tables import stored
 from .base import SQL_BARE, SQL_DOC_WORDS, SQL_LINES, SQL_STREAM, STRIP, bare, doc_words, lines, number, shown, table
 from .catalog import query
 
@@ -160,9 +161,8 @@ SELECT g // 1024 AS block_id, count(*) AS n_tokens, count(DISTINCT pos) AS n_lin
 )
 def curate_and_pack(spark: SparkSession, d: str) -> DataFrame:
     """Lines without repeats and without benchmark lines, half of them by hash, packed into blocks of 1024 words."""
-    once = corpus.first_occurrences(bare(spark, d)).select("text", "pos")
-    held = corpus.hold_out(once, _bench_lines(spark, d))
-    some = held.where(sampling.uniform("pos", 42) < 0.5).select("pos", T.words("text").alias("words"))
+    held = corpus.hold_out(bare(spark, d), _bench_lines(spark, d).withColumn("text", T.strip("text")), exact=True)
+    some = stored(held.where(sampling.uniform("pos", 42) < 0.5).select("pos", "text"), "curated").select("pos", T.words("text").alias("words"))
     rows = tokens.slices(tokens.placed(some), 1024)
     return rows.groupBy("block_id").agg(F.sum(F.size("tokens")).alias("n_tokens"), F.count(F.lit(1)).alias("n_lines"))
 

@@ -136,8 +136,8 @@ scored AS (SELECT b.doc_id, b.tok_pos, b.token, ln((n_pair + 0.1::DOUBLE) / (n_p
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    rows = stored(scoring.bigrams(documents(spark, d).select("doc_id", T.words("text").alias("words")), "doc_id"), "bigrams")
-    return scoring.CountScorer(rows, k=0.1).score(rows)
+    rows = scoring.bigrams(documents(spark, d).select("doc_id", T.words("text").alias("words")), "doc_id")
+    return scoring.CountScorer(rows, k=0.1).score_seen(rows)
 
 
 @query(f"WITH {_BIGRAM} SELECT doc_id, round(sum(logp), 6) AS logprob, count(*) AS n_tokens FROM scored GROUP BY doc_id")
@@ -148,8 +148,8 @@ def sentence_logprob(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_BIGRAM} SELECT lang, round(exp(-sum(logp) / count(*)), 6) AS perplexity, round(exp(avg(logp)), 6) AS geo_mean, count(*) AS n_tokens FROM scored JOIN documents USING (doc_id) GROUP BY lang")
 def perplexity_by_source(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", "text").repartition("doc_id")
-    rows = stored(scoring.bigrams(docs.select("lang", T.words("text").alias("words")), "lang"), "bigrams")
-    counted = scoring.CountScorer(rows, k=0.1).score_counted(rows, ["lang"])
+    rows = stored(scoring.bigrams(docs.select("lang", T.words("text").alias("words")), "lang").groupBy("lang", "prev", "token").agg(F.count(F.lit(1)).alias("n")), "bigram-counts")
+    counted = scoring.CountScorer(rows, k=0.1, n="n").score_seen(rows)
     n = F.sum("n")
     mean = F.sum(F.col("n") * F.col("logp")) / n
     return _rounded(counted.groupBy("lang").agg(F.exp(-mean).alias("perplexity"), F.exp(mean).alias("geo_mean"), n.alias("n_tokens")), "perplexity", "geo_mean")

@@ -185,10 +185,10 @@ _PAIRS_IN_BLOCKS = "bp AS (SELECT token AS prev, lead(token) OVER (PARTITION BY
 def perplexity_by_checkpoint(spark: SparkSession, d: str) -> DataFrame:
     """Perplexity of the token stream, in blocks with their shifted targets, under scorers of three smoothings."""
     blocks = tokens.packed(tokens.placed(doc_words(spark, d)), 1024, keep_rest=True)
-    pairs = stored(tokens.targets(blocks).where("target is not null").select(F.lit(0).alias("one"), F.col("token").alias("prev"), F.col("target").alias("token")), "block-pairs")
+    pairs = stored(tokens.targets(blocks).where("target is not null").groupBy(F.col("token").alias("prev"), F.col("target").alias("token")).agg(F.count(F.lit(1)).alias("n")), "block-pairs")
     out = None
     for k in _RATES:
-        rows = scoring.CountScorer(pairs, k).score_counted(pairs, ["one"])
+        rows = scoring.CountScorer(pairs, k, n="n").score_seen(pairs)
         one = rows.agg(F.exp(-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("ppl"), F.sum("n").alias("n_tokens")).select(F.lit(f"k={k}").alias("checkpoint"), "ppl", "n_tokens")
         out = one if out is None else out.unionByName(one)
     return _rounded(out, "ppl")
