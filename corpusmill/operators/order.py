@@ -51,9 +51,11 @@ def _with_base(rows: DataFrame, size: Column, here: str, by: str | None, total:
     columns = [(before - F.col("_first")).alias("_base")]
     if total:
         columns.append(F.sum("_t").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(total))
-    table = stored(sizes.select(*apart, "_part", *columns), "order-sizes")
-    small = not by or table.count() <= BROADCAST_ROWS  # without by a row for each range
-    return rows.join(F.broadcast(table) if small else table, [*apart, "_part"])
+    table = sizes.select(*apart, "_part", *columns)
+    if not by:
+        return rows.join(F.broadcast(table), "_part")  # a row for each range
+    table = stored(table, "order-sizes")
+    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, [*apart, "_part"])
 
 
 def numbered(df: DataFrame, key: str, name: str, ties: tuple[str, ...] = (), ranges: int | None = None, total: str | None = None, by: str | None = None) -> DataFrame:
