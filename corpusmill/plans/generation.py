@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..functions import text as T
 from ..operators import generate as G
-from .base import number
+from .base import number, table
 from .catalog import query
 
 
@@ -24,8 +25,7 @@ def _rows(names: tuple[str, ...], rows: list[tuple]) -> str:
 
 
 def _nouns(names: tuple[str, str], words: list[str]) -> str:
-    irregular = {"child": "children", "man": "men", "woman": "women"}
-    return _rows(names, [(w if not p else irregular.get(w, w + "s"), p) for w in words for p in (0, 1)])
+    return _rows(names, [(w if not p else T.IRREGULAR.get(w, w + "s"), p) for w in words for p in (0, 1)])
 
 
 def _join(*parts: str) -> str:
@@ -188,9 +188,6 @@ def search_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, 'exp-' || lpad(doc_id::VARCHAR, 3, '0') AS name, replace('lr' || (doc_id % 7) || '.5_wd0.01', '.', 'p') AS encoded FROM documents")
 def run_names(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions import text as T
-    from .base import table
-
     k = F.col("doc_id")
     return table(spark, d, "documents").select(
         k, F.concat(F.lit("exp-"), F.lpad(k.cast("string"), 3, "0")).alias("name"), T.encode_name(F.concat(F.lit("lr"), (k % 7).cast("string"), F.lit(".5_wd0.01"))).alias("encoded")
