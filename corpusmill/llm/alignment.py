@@ -19,16 +19,16 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .common import blocks, remembered, spread, stored, table
 from .packing import RANKS, VOCABULARY, Ids
 from .token_count import MODEL
 
-#: Bytes of text and tokens that are aligned at a time; one text is never parted.
-BLOCK = 2_000_000
+#: Bytes of text that are aligned at a time; one text is never parted.
+BLOCK = 1_000_000
 
 
 class Tokens:
@@ -90,8 +90,19 @@ def overlaps(a_size: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, np.nda
     return a[at], b[at]
 
 
+def _packed(ids: list[np.ndarray]) -> tuple[pa.Array, bytes]:
+    """How many ids each row has, and all of them, byte by byte and compressed."""
+    flat = np.concatenate([*ids, np.zeros(0, np.int32)]).astype("<u4")
+    return pa.array([len(x) for x in ids], pa.int32()), zstandard.ZstdCompressor(level=1).compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _loose(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return planes.reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
 def tokenised(docs: DataFrame, paths: tuple[str, str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the ids of A and B, a_ids and b_ids, of each row of docs.
+    """The ids of A and B of all rows of docs, block by block: doc_ids, a_size and b_size by row of the block, a_ids and b_ids packed. unpacked() has a row for each row of docs.
 
     paths are of A's vocabulary, the same as ranks, and B's model, on every executor. A text that is null, empty or not what both sides'
     bytes spell has no ids. Rows that repeat are rows of their own, a null doc_id is passed on, other columns are not read, an empty table gives
@@ -102,60 +113,63 @@ def tokenised(docs: DataFrame, paths: tuple[str, str, str], id_col: str = "doc_i
         both = remembered(("alignment", *paths), lambda: Tokenizers(*paths))
         for batch, texts in blocks(batches, size=BLOCK):
             got = [both.of(t) for t in texts]
-            lists = [pa.array([g[side] for g in got], pa.list_(pa.int32())) for side in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "a_ids", "b_ids"])
+            (a_size, a_ids), (b_size, b_ids) = (_packed([g[side] for g in got]) for side in (0, 1))
+            whole = lambda column: pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), pa.concat_arrays([column]))
+            yield pa.RecordBatch.from_arrays([whole(batch.column(0)), whole(a_size), whole(b_size), pa.array([a_ids], pa.binary()), pa.array([b_ids], pa.binary())], _BLOCKS)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return spread(rows, "doc_id").mapInArrow(encode, f"doc_id {dict(rows.dtypes)['doc_id']}, a_ids array<int>, b_ids array<int>")
+    return spread(rows, "doc_id").mapInArrow(encode, f"doc_ids array<{dict(rows.dtypes)['doc_id']}>, a_size array<int>, b_size array<int>, a_ids binary, b_ids binary")
+
+
+_BLOCKS = ["doc_ids", "a_size", "b_size", "a_ids", "b_ids"]
 
 
-class _Part:
-    """Some rows of tokenised(), aligned as one: ids of A and B, the tokens that end at each cut, and each row's part of all that."""
+class _Block:
+    """A row of tokenised(), aligned as one: ids of A and B, the tokens that end at each cut, and each document's part of all that."""
 
-    def __init__(self, batch: pa.RecordBatch, both: Tokens):
-        column = lambda name: batch.column(batch.schema.get_field_index(name))
-        self.a, self.b = (column(n).flatten().to_numpy(zero_copy_only=False) for n in ("a_ids", "b_ids"))
+    def __init__(self, batch: pa.RecordBatch, row: int, both: Tokens):
+        at = lambda name: batch.column(batch.schema.get_field_index(name))[row]
+        self.doc_ids = at("doc_ids").values
+        self.a, self.b = _loose(at("a_ids").as_py()), _loose(at("b_ids").as_py())
         self.sizes = both.a_size[self.a], both.b_size[self.b]
         self.a_end, self.b_end = cuts(*self.sizes)
-        ends = lambda name: np.append(0, np.cumsum(column(name).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
-        self.a_at, self.b_at = ends("a_ids"), ends("b_ids")
-        self.cut_at = np.searchsorted(self.a_end, self.a_at)  # a row's end is a cut, as both sides end there
+        self.a_at, self.b_at = (np.append(0, np.cumsum(at(name).values.to_numpy(zero_copy_only=False), dtype=np.int64)) for name in ("a_size", "b_size"))
+        self.cut_at = np.searchsorted(self.a_end, self.a_at)  # a document's end is a cut, as both sides end there
 
     def pairs(self) -> np.ndarray:
         """The links as numbers: A's id, then 32 bits for B's."""
-        return self.a[self.a_end].astype(np.int64) << 32 | self.b[self.b_end]
+        return self.a[self.a_end] << 32 | self.b[self.b_end]
 
 
-def _parts(batches: Iterator[pa.RecordBatch], both: Tokens) -> Iterator[tuple[pa.RecordBatch, _Part]]:
-    """Rows of tokenised(), some BLOCK of tokens at a time."""
+def _blocks(batches: Iterator[pa.RecordBatch], both: Tokens) -> Iterator[_Block]:
     for batch in batches:
-        size = batch.column(batch.schema.get_field_index("a_ids")).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).cumsum()
-        at = 0
-        while at < len(size):
-            before = int(size[at - 1]) if at else 0
-            end = max(at + 1, int(np.searchsorted(size, before + BLOCK // 4, side="right")))
-            yield (part := batch.slice(at, end - at)), _Part(part, both)
-            at = end
+        for row in range(batch.num_rows):
+            yield _Block(batch, row, both)
 
 
-def aligned(tokens: DataFrame, paths: tuple[str, str, str]) -> DataFrame:
-    """tokens (see tokenised()) with a_ends and b_ends, the numbers of the tokens that end each group, and a_over and b_over, those of each overlap, all from 0 in the row."""
+def _kind(tokens: DataFrame) -> str:
+    return tokens.schema["doc_ids"].dataType.elementType.simpleString()
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = tokens_of(paths)
-        for batch, part in _parts(batches, both):
-            a, b = overlaps(*part.sizes)
-            over_at = np.searchsorted(a, part.a_at)
-            lists = []
-            for numbers, row, at in ((part.a_end, part.a_at, part.cut_at), (part.b_end, part.b_at, part.cut_at), (a, part.a_at, over_at), (b, part.b_at, over_at)):
-                inside = numbers - np.repeat(row[:-1], np.diff(at))
-                lists.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(inside, pa.int32())))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names)
 
-    extra = [StructField(name, ArrayType(IntegerType())) for name in ("a_ends", "b_ends", "a_over", "b_over")]
-    schema = StructType([*tokens.schema.fields, *extra])
-    names = schema.names
-    return tokens.mapInArrow(align, schema)
+def unpacked(tokens: DataFrame, paths: tuple[str, str, str], with_alignment: bool = False) -> DataFrame:
+    """doc_id, a_ids and b_ids of each document of tokenised().
+
+    with_alignment adds a_ends and b_ends, the numbers of the tokens that end each group, and a_over and b_over, those of each overlap, all from 0 in the document.
+    """
+    names = ["a_ids", "b_ids", *(["a_ends", "b_ends", "a_over", "b_over"] if with_alignment else [])]
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, tokens_of(paths)):
+            lists = [(block.a, None, block.a_at), (block.b, None, block.b_at)]
+            if with_alignment:
+                a, b = overlaps(*block.sizes)
+                over_at = np.searchsorted(a, block.a_at)
+                lists += [(block.a_end, block.a_at, block.cut_at), (block.b_end, block.b_at, block.cut_at), (a, block.a_at, over_at), (b, block.b_at, over_at)]
+            inside = [numbers if first is None else numbers - np.repeat(first[:-1], np.diff(at)) for numbers, first, at in lists]
+            columns = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.int32())) for x, (_, _, at) in zip(inside, lists, strict=True)]
+            yield pa.RecordBatch.from_arrays([block.doc_ids, *columns], ["doc_id", *names])
+
+    return tokens.mapInArrow(unpack, f"doc_id {_kind(tokens)}, " + ", ".join(f"{n} array<int>" for n in names))
 
 
 def link_counts(tokens: DataFrame, paths: tuple[str, str, str]) -> DataFrame:
@@ -163,8 +177,8 @@ def link_counts(tokens: DataFrame, paths: tuple[str, str, str]) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()  # pair_bound() entries at most
-        for _, part in _parts(batches, tokens_of(paths)):
-            pair, n = np.unique(part.pairs(), return_counts=True)
+        for block in _blocks(batches, tokens_of(paths)):
+            pair, n = np.unique(block.pairs(), return_counts=True)
             total.update(dict(zip(pair.tolist(), n.tolist(), strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["pair", "n"])
 
@@ -179,10 +193,10 @@ def best_links(counts: DataFrame) -> DataFrame:
 
 
 def alignment_digests(tokens: DataFrame, paths: tuple[str, str, str]) -> DataFrame:
-    """For each row of tokens (see tokenised()): doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
+    """For each document of tokens (see tokenised()): doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     n_best are the links of which no other pair of the same id of B has a higher count over all tokens, count_sum is the sum of the counts of all
-    links. The hash is of the groups' ids, `a1,a2|b1;a3|b2`; a row without tokens has '' and zeros. tokens is read twice, so it should be a stored table.
+    links. The hash is of the groups' ids, `a1,a2|b1;a3|b2`; a document without tokens has '' and zeros. tokens is read twice, so it should be a stored table.
     """
     table = best_links(link_counts(tokens, paths)).toArrow()
     bound = Tokens(*paths[1:]).pair_bound()
@@ -195,24 +209,25 @@ def alignment_digests(tokens: DataFrame, paths: tuple[str, str, str]) -> DataFra
         both = tokens_of(paths)
         pair, count, best = known.value
         spell = [str(i) for i in range(max(len(both.a_size), len(both.b_size)))].__getitem__
-        for batch, part in _parts(batches, both):
-            at = np.searchsorted(pair, part.pairs())
-            sums = [np.append(0, np.cumsum(x[at]))[part.cut_at] for x in (best, count)] if len(at) else [np.zeros(len(part.cut_at), np.int64)] * 2
-            a, b = list(map(spell, part.a.tolist())), list(map(spell, part.b.tolist()))
-            a_end, b_end = (part.a_end + 1).tolist(), (part.b_end + 1).tolist()
-            i = j = 0
-            groups = []
-            for k, l in zip(a_end, b_end, strict=True):
-                groups.append((a[i] if k == i + 1 else ",".join(a[i:k])) + "|" + (b[j] if l == j + 1 else ",".join(b[j:l])))
-                i, j = k, l
-            hashes = [hashlib.sha256(";".join(groups[x:y]).encode()).hexdigest() if y > x else "" for x, y in zip(part.cut_at.tolist(), part.cut_at[1:].tolist())]
-            n = np.diff(part.cut_at)
-            numbers = [np.diff(part.a_at), np.diff(part.b_at), n, n, np.diff(sums[0]), np.diff(sums[1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in numbers), pa.array(hashes, pa.string())], names)
+        for block in _blocks(batches, both):
+            at = np.searchsorted(pair, block.pairs())
+            sums = [np.append(0, np.cumsum(x[at], dtype=np.int64))[block.cut_at] for x in (best, count)]
+            n = np.diff(block.cut_at)
+            numbers = [np.diff(block.a_at), np.diff(block.b_at), n, n, np.diff(sums[0]), np.diff(sums[1])]
+            hashes = []
+            for d in range(len(n)):
+                a, b = (list(map(spell, ids[at[d] : at[d + 1]].tolist())) for ids, at in ((block.a, block.a_at), (block.b, block.b_at)))
+                i = j = 0
+                groups = []
+                mine = slice(block.cut_at[d], block.cut_at[d + 1])
+                for k, m in zip((block.a_end[mine] + (1 - block.a_at[d])).tolist(), (block.b_end[mine] + (1 - block.b_at[d])).tolist(), strict=True):
+                    groups.append((a[i] if k == i + 1 else ",".join(a[i:k])) + "|" + (b[j] if m == j + 1 else ",".join(b[j:m])))
+                    i, j = k, m
+                hashes.append(hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else "")
+            yield pa.RecordBatch.from_arrays([block.doc_ids, *(pa.array(x, pa.int64()) for x in numbers), pa.array(hashes, pa.string())], names)
 
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    kind = dict(tokens.dtypes)["doc_id"]
-    return tokens.select("doc_id", "a_ids", "b_ids").mapInArrow(digest, f"doc_id {kind}, {', '.join(f'{n} long' for n in names[1:-1])}, groups_sha256 string")
+    return tokens.mapInArrow(digest, f"doc_id {_kind(tokens)}, {', '.join(f'{n} long' for n in names[1:-1])}, groups_sha256 string")
 
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,12 +173,14 @@ def test_alignment_of_the_table(spark, sf, libraries):
 def test_aligned_gives_cuts_and_overlaps(spark):
     tokens = alignment.tokenised(spark.createDataFrame([(1, "unbelievable things, ¿no?"), (2, None), (3, "on")], "doc_id long, text string").coalesce(1), PATHS)
     both = alignment.Tokens(*PATHS[1:])
-    for r in alignment.aligned(tokens, PATHS).collect():
+    for r in alignment.unpacked(tokens, PATHS, with_alignment=True).collect():
         a, b = (np.cumsum([len(of[i]) for i in ids]).tolist() for of, ids in ((both.a_bytes, r.a_ids), (both.b_bytes, r.b_ids)))
         assert [a[i] for i in r.a_ends] == [b[i] for i in r.b_ends] == sorted(set(a) & set(b))
         spans = lambda ends: list(zip([0, *ends], ends))
         shared = [(i, j) for i, x in enumerate(spans(a)) for j, y in enumerate(spans(b)) if max(x[0], y[0]) < min(x[1], y[1])]
         assert list(zip(r.a_over, r.b_over, strict=True)) == sorted(shared)
+    plain = sorted(alignment.unpacked(tokens, PATHS).collect())
+    assert [(r.doc_id, len(r.a_ids) > 0, len(r.b_ids) > 0) for r in plain] == [(1, True, True), (2, False, False), (3, True, True)]
 
 
 def test_alignment_of_nothing(spark, no_docs):
