@@ -67,9 +67,10 @@ class Tokenizers(Tokens):
         if not text:
             return nothing, nothing
         spaced = " " + text
-        raw, a, b = spaced.encode(), self.a.of(spaced).astype(np.int32), np.array(self.b.encode(text, num_threads=1), np.int32)
-        same = all(b"".join(map(of.__getitem__, ids.tolist())) == raw for of, ids in ((self.a_bytes, a), (self.b_bytes, b)))
-        return (a, b) if same else (nothing, nothing)
+        raw, a, b = spaced.encode(), self.a.of(spaced).astype(np.int32), self.b.encode(text, num_threads=1)
+        # A's tokens spell what its pattern matches, so their bytes differ only if some are missing; B's model may change characters.
+        same = int(self.a_size[a].sum()) == len(raw) and b"".join(map(self.b_bytes.__getitem__, b)) == raw
+        return (a, np.array(b, np.int32)) if same else (nothing, nothing)
 
 
 def tokens_of(paths: tuple[str, str, str]) -> Tokens:
@@ -208,22 +209,22 @@ def alignment_digests(tokens: DataFrame, paths: tuple[str, str, str]) -> DataFra
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokens_of(paths)
         pair, count, best = known.value
-        spell = [str(i) for i in range(max(len(both.a_size), len(both.b_size)))].__getitem__
+        # An id is spelled with what follows it: a comma, or where its group goes on or ends, a bar or a semicolon.
+        a_text, b_text = (np.array([f"{i}{after}" for after in "," + end for i in range(n)], object) for end, n in (("|", len(both.a_size)), (";", len(both.b_size))))
         for block in _blocks(batches, both):
             at = np.searchsorted(pair, block.pairs())
             sums = [np.append(0, np.cumsum(x[at], dtype=np.int64))[block.cut_at] for x in (best, count)]
             n = np.diff(block.cut_at)
             numbers = [np.diff(block.a_at), np.diff(block.b_at), n, n, np.diff(sums[0]), np.diff(sums[1])]
-            hashes = []
-            for d in range(len(n)):
-                a, b = (list(map(spell, ids[at[d] : at[d + 1]].tolist())) for ids, at in ((block.a, block.a_at), (block.b, block.b_at)))
-                i = j = 0
-                groups = []
-                mine = slice(block.cut_at[d], block.cut_at[d + 1])
-                for k, m in zip((block.a_end[mine] + (1 - block.a_at[d])).tolist(), (block.b_end[mine] + (1 - block.b_at[d])).tolist(), strict=True):
-                    groups.append((a[i] if k == i + 1 else ",".join(a[i:k])) + "|" + (b[j] if m == j + 1 else ",".join(b[j:m])))
-                    i, j = k, m
-                hashes.append(hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else "")
+            # A's tokens of a group stand before B's: a token's place is its number and how many of the other side lie before it.
+            a_last, b_last = np.zeros(len(block.a), np.int64), np.zeros(len(block.b), np.int64)
+            a_last[block.a_end] = b_last[block.b_end] = 1
+            a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+            written = np.empty(len(block.a) + len(block.b), object)
+            written[np.arange(len(block.a)) + np.append(0, block.b_end + 1)[a_group]] = a_text[block.a + a_last * len(both.a_size)]
+            written[np.arange(len(block.b)) + (block.a_end + 1)[b_group]] = b_text[block.b + b_last * len(both.b_size)]
+            starts = (block.a_at + block.b_at).tolist()
+            hashes = [hashlib.sha256("".join(written[i:j].tolist())[:-1].encode()).hexdigest() if j > i else "" for i, j in zip(starts, starts[1:])]
             yield pa.RecordBatch.from_arrays([block.doc_ids, *(pa.array(x, pa.int64()) for x in numbers), pa.array(hashes, pa.string())], names)
 
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
