@@ -72,6 +72,11 @@ def coverage(words: DataFrame, vocab: DataFrame) -> DataFrame:
     return seen.agg(F.count(F.lit(1)).alias("n_words"), F.count("_in").alias("ok"), F.count_if(F.col("_in").isNull()).alias("bad"))
 
 
+def missing(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """word and n of the words that the vocabulary (word) lacks: the list behind coverage()'s count."""
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(vocab.select("word").distinct(), "word", "left_anti")
+
+
 def structure_frequency(corpus: DataFrame, marked: Column) -> Column:
     """Aggregate: percentage of rows that are marked, 0 without rows."""
     return F.coalesce(100 * F.avg(marked.cast("double")), F.lit(0.0))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evaluate, factorial, generate, scoring, tokenizers
 from ..operators.order import numbered
-from ..sources import readers, writers
+from ..sources import events, readers, writers
+from ..sources.files import opened
 from ..sources.tables import new_folder, stored
 from ..streaming import packing
 from . import generation as gen
@@ -126,15 +127,40 @@ def manifest_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'run-' || event_type AS run, 'tag' || (user_id % 3) AS tag, user_id % 40 AS step, round(CAST(count(*) AS DOUBLE), 6) AS value FROM events GROUP BY ALL")
 def event_files(spark: SparkSession, d: str) -> DataFrame:
-    """Scalars written to event files, a run for each type of event, and read back."""
+    """Scalars written to event files by tasks, a folder for each type of event, and read back with their checksums."""
     path = new_folder(spark, "events")
-    rows = table(spark, d, "events").groupBy("event_type", (F.col("user_id") % 3).alias("tag"), (F.col("user_id") % 40).alias("step")).agg(F.count(F.lit(1)).alias("value"))
-    runs: dict[str, list] = {}
-    for r in rows.collect():  # 120 rows for each type of event at most
-        runs.setdefault(r["event_type"], []).append((f"tag{r['tag']}", r["step"], float(r["value"])))
-    for run, scalars in runs.items():
-        writers.event_file(spark, f"{path}/run-{run}/events.out.tfevents.1", scalars)
-    return readers.scalar_events(spark, f"{path}/*/events*")
+    tag, step = F.concat(F.lit("tag"), (F.col("user_id") % 3).cast("string")), F.col("user_id") % 40
+    rows = table(spark, d, "events").groupBy(F.concat(F.lit("run-"), "event_type").alias("run"), tag.alias("tag"), step.alias("step")).agg(F.count(F.lit(1)).alias("value"))
+    events.write(rows.withColumn("time", F.lit(0.0)), path)
+    got = events.read(spark, f"{path}/*/events*")
+    return got.where("damaged_bytes is null").select("run", "tag", "step", F.round("value", 6).alias("value"))
+
+
+@query(
+    """WITH e AS (SELECT event_type AS run, user_id AS step, CAST(max(event_id) AS DOUBLE) AS value FROM events GROUP BY event_type, user_id),
+r AS (SELECT run, count(*) AS n, max(step) AS last FROM e GROUP BY run) SELECT run, n - 1 AS n_scalars, n - 1 AS n_steps, 1 AS n_damaged_files, (SELECT max(step) FROM e WHERE e.run = r.run AND step < r.last) AS last_step FROM r"""
+)
+def damaged_event_files(spark: SparkSession, d: str) -> DataFrame:
+    """The last record of each file is damaged: it doesn't count, the file is reported, all before it is there."""
+    path, broken = new_folder(spark, "events"), new_folder(spark, "broken")
+    rows = table(spark, d, "events").groupBy(F.col("event_type").alias("run"), F.col("user_id").alias("step")).agg(F.max("event_id").alias("value"))
+    events.write(rows.select("run", F.lit("loss").alias("tag"), "step", F.lit(1.5).alias("time"), "value"), path)
+
+    def damage(frames):
+        for f in frames:
+            for path, content in zip(f["path"], f["content"], strict=True):
+                run, name = path.rsplit("/", 2)[-2:]
+                system, inside = opened(f"{broken}/{run}/{name}")
+                system.create_dir(inside.rsplit("/", 1)[0], recursive=True)
+                content = bytearray(content)
+                content[-6] ^= 1
+                with system.open_output_stream(inside) as out:
+                    out.write(bytes(content))
+                yield f[["path"]].head(1)
+
+    spark.read.format("binaryFile").load(f"{path}/*/events*").mapInPandas(damage, "path string").count()
+    got = events.read(spark, f"{broken}/*/events*").groupBy("run").agg(F.count("value").alias("n_scalars"), F.count_distinct("step").alias("n_steps"), F.count("damaged_bytes").alias("n_damaged_files"), F.max("step").alias("last_step"))
+    return got
 
 
 @query("SELECT CASE doc_id % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'train' ELSE 'validation' END AS split, count(*) AS n, sum(length(source))::BIGINT AS n_chars FROM documents GROUP BY 1")

@@ -149,7 +149,7 @@ def model_folders(files: DataFrame, marks: list[str]) -> DataFrame:
     return rows.groupBy("folder").agg(F.bool_or(F.col("name").isin(*marks)).alias("marked")).where("marked").select("folder")
 
 
-def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+def fields_of(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
     """Number and value of each field of a protocol buffer: integers, or the bytes of 32 and 64 bit numbers, texts and messages."""
 
     def varint(at: int) -> tuple[int, int]:
@@ -174,42 +174,6 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
-def events_of(content: bytes) -> list[tuple[str, int, float]]:
-    """tag, step and value of the scalars in an event file: records of length, checksum, message, checksum. A record cut off at the end doesn't count."""
-    out, at = [], 0
-    while at + 12 <= len(content):
-        (n,) = struct.unpack_from("<Q", content, at)
-        message, at = content[at + 12 : at + 12 + n], at + 16 + n
-        if len(message) < n:
-            break
-        step, summaries = 0, []
-        for number, value in _fields(message):
-            if number == 2:
-                step = value
-            elif number == 5:
-                summaries.append(value)
-        for summary in summaries:
-            for number, value in _fields(summary):
-                if number == 1:
-                    got = dict(_fields(value))
-                    if 1 in got and 2 in got:
-                        out.append((got[1].decode(), step, struct.unpack("<f", got[2])[0]))
-    return out
-
-
-def scalar_events(spark: SparkSession, pattern: str) -> DataFrame:
-    """run (the file's folder), tag, step and value of the scalars in event files."""
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for path, content in zip(f.path, f.content, strict=True):
-                rows = [(path.rsplit("/", 2)[-2], *e) for e in events_of(bytes(content))]
-                yield pd.DataFrame(rows, columns=["run", "tag", "step", "value"])
-
-    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
-    return files.mapInPandas(read, SCHEMAS["scalars"])
-
-
 def token_cache(texts: DataFrame, cached: DataFrame, compute: Column) -> DataFrame:
     """texts with key (sha1) and tokens, from the cache where it has them, else computed."""
     keyed = texts.withColumn("key", F.sha1("text"))

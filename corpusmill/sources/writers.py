@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,29 +71,6 @@ def manifest(rows: DataFrame, path: str, config: str = "config", out_dir: str =
     header.unionByName(body).orderBy("_at").coalesce(1).select("text").write.mode(mode).text(path)  # a line per run
 
 
-def event_file(spark: SparkSession, path: str, scalars: Sequence[tuple[str, int, float]]) -> None:
-    """An event file of tag, step and value, written by the driver: run results are small. Checksums are left zero."""
-
-    def field(number: int, kind: int, body: bytes) -> bytes:
-        return varint(number << 3 | kind) + (varint(len(body)) if kind == 2 else b"") + body
-
-    def varint(n: int) -> bytes:
-        out = b""
-        while n > 127:
-            out, n = out + bytes([n & 127 | 128]), n >> 7
-        return out + bytes([n])
-
-    content = b""
-    for tag, step, value in scalars:
-        scalar = field(1, 2, tag.encode()) + field(2, 5, struct.pack("<f", value))
-        message = field(2, 0, varint(step)) + field(5, 2, field(1, 2, scalar))
-        content += struct.pack("<Q", len(message)) + bytes(4) + message + bytes(4)
-    file = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = file.getFileSystem(spark._jsc.hadoopConfiguration()).create(file)
-    out.write(bytearray(content))
-    out.close()
-
-
 def arrays(df: DataFrame, path: str, mode: str = "error") -> None:
     """Summary arrays and scalars as one Parquet table."""
     df.write.mode(mode).parquet(path)

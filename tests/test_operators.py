@@ -309,17 +309,6 @@ def test_tokenizers_and_catalogues(spark):
     assert {(r["run"], r["step"]): r["keep"] for r in experiments.superseded(paths).collect()} == {("r", 200): False, ("r", 1000): True, ("s", 5): True}
 
 
-def test_event_files(spark, tmp_path):
-    from corpusmill.sources import readers, writers
-
-    scalars = [("loss", 1, 0.5), ("loss", 300, 0.25), ("accuracy", 300, 1.0)]
-    writers.event_file(spark, f"file://{tmp_path}/r1/events.1", scalars)
-    got = readers.scalar_events(spark, f"{tmp_path}/*/events*").collect()
-    assert sorted(map(tuple, got)) == sorted(("r1", *s) for s in scalars)
-    content = (tmp_path / "r1" / "events.1").read_bytes()
-    assert readers.events_of(content[:-5]) == scalars[:2] and readers.events_of(b"") == []
-
-
 def test_experiments(spark):
     from corpusmill.operators import experiments
 
