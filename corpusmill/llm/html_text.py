@@ -8,10 +8,12 @@ paragraphs, items of lists behind their marks, cells of tables in aligned column
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
-from collections import Counter
-from collections.abc import Generator, Iterator
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+from collections.abc import Generator, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import blocks, spread, table
 
-_TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'](?=[^\"']*>))*)(?:>|\Z)|[^<]+|<", re.S
-)
+#: What starts with <! or <? and isn't a tag: comments, declarations, instructions.
+_ASIDE = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)", re.S)
+_TAG, _NAME_END, _SPECIAL = re.compile(r"<(/?)[a-zA-Z]"), re.compile(r"[\s/>]"), re.compile("[>\"']")
+#: Characters from the left up to which lines are indented and columns aligned; what would stand further right follows two spaces apart.
+WIDE = 1000
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
@@ -36,6 +40,7 @@ BLOCK = frozenset(
 )
 SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 menu ol p pre table ul".split())
 CLOSES_P = BLOCK - frozenset("body html dd dt li legend caption tr".split())
+_OF_TABLES = frozenset("table tr thead tbody tfoot td th body html".split())
 #: A start tag of the first kind ends an open element of the second, unless one of the third lies between.
 IMPLIED = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])),
@@ -99,19 +104,64 @@ def _shown(node: Node) -> list[Node | str]:
     return [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
 
 
+class _Tags:
+    """Where the tags of a page end, found in one pass over its quotes and angle brackets, however they are mixed up.
+
+    A tag ends at the first > outside of quoted values, or with the page. A quote that nothing closes, or behind which no tag would end, is a character like any other if a > comes before the next quote.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.name_end = text, -1
+        self.at = [m.start() for m in _SPECIAL.finditer(text)]
+        self.ends = [len(text)] * (len(self.at) + 1)  # by special character from where a tag's end is looked for; -1: nowhere
+        following = {'"': -1, "'": -1}
+        for k in range(len(self.at) - 1, -1, -1):
+            c = text[self.at[k]]
+            if c == ">":
+                self.ends[k] = self.at[k] + 1
+                continue
+            closing, following[c] = following[c], k
+            end = self.ends[closing + 1] if closing >= 0 else -1
+            if end < 0 and k + 1 < len(self.at) and text[self.at[k + 1]] == ">":
+                end = self.at[k + 1] + 1
+            self.ends[k] = end
+
+    def match(self, at: int) -> tuple[str, str, str, int] | None:
+        """Of the tag at a <: a slash or nothing, name, attributes, and its end; None if it isn't a tag. Asked for at rising places."""
+        m = _TAG.match(self.text, at)
+        if m is None:
+            return None
+        name = m.end() - 1
+        if self.name_end < name:
+            found = _NAME_END.search(self.text, name)
+            self.name_end = found.start() if found else len(self.text)
+        end = self.ends[bisect_left(self.at, self.name_end)]
+        if end < 0:
+            return None
+        inside = end - 1 if self.text[end - 1] == ">" and end > self.name_end else end
+        return m[1], self.text[name : self.name_end], self.text[self.name_end : inside], end
+
+
 def tree(text: str) -> Node:
     """The element tree of a page, with implied end tags; whatever is still open at the end is closed."""
     root = Node("html")
-    stack, opened, at = [root], Counter(), 0
-    match = _TOKEN.match
+    stack, opened, at, tags = [root], defaultdict(list), 0, _Tags(text)  # opened: by tag the places of open elements in the stack
     while at < len(text):
-        m = match(text, at)
-        at = m.end()
-        end, tag, attributes = m.groups()
-        if tag is None:
-            if (part := m[0])[:1] != "<" or part == "<":
-                stack[-1].children.append(" " if stack[-1].veiled else part)
+        if text[at] != "<":
+            end_at = text.find("<", at)
+            end_at = len(text) if end_at < 0 else end_at
+            stack[-1].children.append(" " if stack[-1].veiled else text[at:end_at])
+            at = end_at
+            continue
+        if aside := _ASIDE.match(text, at):
+            at = aside.end()
             continue
+        found = tags.match(at)
+        if found is None:
+            stack[-1].children.append(" " if stack[-1].veiled else "<")
+            at += 1
+            continue
+        end, tag, attributes, at = found
         tag = tag.lower()
         if end:
             _close(stack, opened, tag)
@@ -133,47 +183,90 @@ def tree(text: str) -> Node:
                 node.children.append(text[at : close.start() if close else len(text)])
             at = close.end() if close else len(text)
         elif tag not in VOID:
+            opened[tag].append(len(stack))
             stack.append(node)
-            opened[tag] += 1
     return root
 
 
-def _pop(stack: list[Node], opened: Counter, at: int) -> None:
-    opened.subtract(node.tag for node in stack[at:])
+Opened = dict[str, list[int]]
+
+
+def _pop(stack: list[Node], opened: Opened, at: int) -> None:
+    for node in stack[at:]:
+        opened[node.tag].pop()
     del stack[at:]
 
 
-def _close(stack: list[Node], opened: Counter, tag: str) -> None:
-    """Ends the innermost open element of that tag with all inside it; a stray end tag does nothing, but </p> and </br>."""
-    for i in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
-        if stack[i].tag == tag:
-            _pop(stack, opened, i)
-            return
-        if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "thead", "tbody", "tfoot", "td", "th", "body", "html"):
-            break
-    if tag in ("p", "br"):
+def _innermost(opened: Opened, tags: Iterable[str]) -> int:
+    """The place of the innermost open element of the tags, 0 if there is none."""
+    return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
+
+def _close(stack: list[Node], opened: Opened, tag: str) -> None:
+    """Ends the innermost open element of that tag with all inside it; a stray end tag does nothing, but </p> and </br>. Only tags of tables end what lies around a cell."""
+    at = _innermost(opened, [tag])
+    if at and (tag in _OF_TABLES or at > _innermost(opened, ("td", "th", "table"))):
+        _pop(stack, opened, at)
+    elif tag in ("p", "br"):
         stack[-1].children.append(Node(tag))
 
 
-def _close_open(stack: list[Node], opened: Counter, ends: frozenset, stops: frozenset) -> None:
+def _close_open(stack: list[Node], opened: Opened, ends: frozenset, stops: frozenset) -> None:
     """Ends the outermost open element of ends that no element of stops lies above."""
-    if not any(opened[tag] > 0 for tag in ends):
+    if not any(opened.get(tag) for tag in ends):
         return
-    found = 0
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in stops:
-            break
-        if stack[i].tag in ends:
-            found = i
-    if found:
-        _pop(stack, opened, found)
+    stop = _innermost(opened, stops)
+    places = [places[k] for tag in ends if (places := opened.get(tag)) and (k := bisect_right(places, stop)) < len(places)]
+    if places:
+        _pop(stack, opened, min(places))
+
+
+class _Shifted:
+    """Lines that stand further right, none of the first and last ones blank: they are written only when the page is."""
+
+    __slots__ = ("by", "lines", "width")
+
+    def __init__(self, by: int, lines: list):
+        self.by, self.lines, self.width = by, lines, by + _width(lines)
+
+
+def _width(lines: list) -> int:
+    return max((len(x) if isinstance(x, str) else x.width for x in lines), default=0)
+
+
+def _flat(lines: list) -> list[str]:
+    """The lines written out, indented up to WIDE."""
+    got, stack = [], [(0, iter(lines))]
+    while stack:
+        by, rest = stack[-1]
+        for x in rest:
+            if isinstance(x, str):
+                got.append(" " * by + x if x else "")
+            else:
+                stack.append((min(WIDE, by + x.by), iter(x.lines)))
+                break
+        else:
+            stack.pop()
+    return got
+
+
+def _first(lines: list) -> tuple[str, list]:
+    """The first line, written out, and the others."""
+    by, above = 0, []
+    while lines and not isinstance(lines[0], str):
+        above.append((lines[0].by, lines[1:]))
+        by, lines = by + lines[0].by, lines[0].lines
+    first, rest = (" " * min(WIDE, by) + lines[0], lines[1:]) if lines else ("", [])
+    for shift, others in reversed(above):
+        rest = ([_Shifted(shift, rest)] if rest else []) + others
+    return first, rest
 
 
 class _Lines:
     """Lines under construction: white space collapses, blank lines around blocks merge."""
 
     def __init__(self) -> None:
-        self.lines: list[str] = []
+        self.lines: list[str | _Shifted] = []
         self.line: list[str] = []
         self.space = self.open = False
         self.gap = False
@@ -271,7 +364,7 @@ def _render(node: Node, out: _Lines, pre: bool = False) -> Generator:
         elif tag in ("blockquote", "dd"):
             out.end(gap=tag in SPACED)
             inner = yield _lines_of(child)
-            out.whole(["  " + x if x else "" for x in inner])
+            out.whole([_Shifted(2, inner)] if inner else [])
             out.end(gap=tag in SPACED)
         elif tag in BLOCK:
             out.end(gap=tag in SPACED)
@@ -286,7 +379,7 @@ def _render(node: Node, out: _Lines, pre: bool = False) -> Generator:
 
 
 def lines_of(node: Node, pre: bool = False) -> list[str]:
-    return _run(_lines_of(node, pre))
+    return _flat(_run(_lines_of(node, pre)))
 
 
 def _lines_of(node: Node, pre: bool = False) -> Generator:
@@ -294,11 +387,11 @@ def _lines_of(node: Node, pre: bool = False) -> Generator:
     yield _render(node, out, pre)
     out.end()
     lines = out.lines
-    while lines and not lines[-1].strip():
+    blank = lambda x: isinstance(x, str) and not x.strip()
+    while lines and blank(lines[-1]):
         lines.pop()
-    while lines and not lines[0].strip():
-        lines.pop(0)
-    return lines
+    first = next((i for i, x in enumerate(lines) if not blank(x)), 0)
+    return lines[first:] if first else lines
 
 
 def _list(node: Node) -> Generator:
@@ -327,9 +420,10 @@ def _list(node: Node) -> Generator:
                 if not lines:
                     continue
                 mark = " " * len(mark)
-            first, *rest = lines or [""]
+            first, rest = _first(lines)
             got.append((mark + first).rstrip())
-            got += [" " * len(mark) + x if x else "" for x in rest]
+            if rest:
+                got.append(_Shifted(len(mark), rest))
         else:
             loose.children.append(child)
     return got
@@ -353,6 +447,69 @@ def _span(cell: Node, name: str = "colspan", most: int = 1000) -> int:
     return most if name == "rowspan" and int(value) == 0 else min(most, max(1, int(value)))
 
 
+class _Reach:
+    """The columns that cells of earlier rows reach into, as runs with room between them.
+
+    As long as no two cells reach into a column, a run grows and is parted where a cell's reach begins and ends; else the runs are put together anew in each row.
+    """
+
+    def __init__(self) -> None:
+        self.row, self.apart = -1, True
+        self.alive: list[tuple[int, int, int]] = []  # a heap: last row, first column, column behind
+        self.new: list[tuple[int, int, int]] = []
+        self.starts: list[int] = []
+        self.stops: list[int] = []
+
+    def next_row(self) -> None:
+        """What cells of the rows before reach into from here on."""
+        self.row += 1
+        while self.alive and self.alive[0][0] < self.row:
+            _, start, stop = heapq.heappop(self.alive)
+            if self.apart:
+                self._part(start, stop)
+        new, self.new = self.new, []
+        for cell in new:
+            heapq.heappush(self.alive, cell)
+            if self.apart:
+                self.apart = self._join(*cell[1:])
+        if not self.apart:
+            self.starts, self.stops = [], []
+            for _, start, stop in sorted(self.alive, key=lambda x: x[1:]):
+                if self.stops and start <= self.stops[-1]:
+                    self.stops[-1] = max(self.stops[-1], stop)
+                else:
+                    self.starts.append(start)
+                    self.stops.append(stop)
+
+    def _part(self, start: int, stop: int) -> None:
+        """Takes the columns, which lie in one run, out of it."""
+        k = bisect_right(self.starts, start) - 1
+        rest = [(a, b) for a, b in ((self.starts[k], start), (stop, self.stops[k])) if a < b]
+        self.starts[k : k + 1], self.stops[k : k + 1] = [a for a, _ in rest], [b for _, b in rest]
+
+    def _join(self, start: int, stop: int) -> bool:
+        """Adds columns; False if some are in a run already."""
+        k = bisect_right(self.starts, start)
+        if k and self.stops[k - 1] > start or k < len(self.starts) and self.starts[k] < stop:
+            return False
+        first = k - 1 if k and self.stops[k - 1] == start else k
+        last = k + 1 if k < len(self.starts) and self.starts[k] == stop else k
+        a, b = self.starts[first] if first < k else start, self.stops[k] if last > k else stop
+        self.starts[first:last], self.stops[first:last] = [a], [b]
+        return True
+
+    def add(self, start: int, stop: int, rows: int) -> None:
+        """A cell of this row that takes so many rows."""
+        self.new.append((self.row + rows - 1, start, stop))
+
+    def free(self, at: int) -> int:
+        """The first column from at on that no earlier row reaches into."""
+        k = bisect_left(self.stops, at + 1)
+        while k < len(self.starts) and self.starts[k] <= at:
+            at, k = self.stops[k], k + 1
+        return at
+
+
 def _table(node: Node) -> Generator:
     """The caption and what stands outside of rows, then the rows, their cells in columns two spaces apart."""
     loose = Node("div")
@@ -363,42 +520,46 @@ def _table(node: Node) -> Generator:
             loose.children += [c for c in child.children if not child.hidden and (isinstance(c, str) or c.tag != "tr")]
     grid: list[list[tuple[int, list[str]]]] = []
     width: dict[int, int] = {}
-    taken: dict[int, int] = {}  # by column the rows that cells of earlier rows still reach into
-    part: Node | None = None
+    reach, part = _Reach(), None
     for above, row in _rows(node):
         if above is not part:  # cells don't reach out of a head, body or foot
-            taken, part = {}, above
-        at, cells, outside, lower = 0, [], Node("div"), {c: n - 1 for c, n in taken.items() if n > 1}
+            reach, part = _Reach(), above
+        at, cells, outside = 0, [], Node("div")
+        reach.next_row()
         for cell in row.children:
             if isinstance(cell, Node) and cell.tag in ("td", "th"):
                 if not cell.hidden:
                     lines, span, rows = (yield _lines_of(cell)), _span(cell), _span(cell, "rowspan", 65_534)
-                    while at in taken:
-                        at += 1
+                    at = reach.free(at)
                     if rows > 1:
-                        lower |= dict.fromkeys(range(at, at + span), rows - 1)
+                        reach.add(at, at + span, rows)
                     cells.append((at, lines))
                     if span == 1:
-                        width[at] = max(width.get(at, 0), max(map(len, lines), default=0))
+                        width[at] = max(width.get(at, 0), _width(lines))
                     at += span
             else:
                 outside.children.append(cell)
-        taken = lower
         if lines := (yield _lines_of(outside)):
             cells.append((at, lines))
         if any(lines for _, lines in cells):
             grid.append(cells)
-    columns = max((cells[-1][0] for cells in grid if cells), default=0) + 1
-    starts = [0]
-    for i in range(columns):
-        starts.append(starts[-1] + (width.get(i, 0) + 2 if i in width else 0))
+    columns = sorted(width)
+    ends = [0]
+    for c in columns:
+        ends.append(ends[-1] + width[c] + 2)
+    start = lambda at: min(WIDE, ends[bisect_left(columns, at)])
     got = yield _lines_of(loose)
     for cells in grid:
+        full = [(at, lines) for at, lines in cells if lines]
+        if len(full) == 1:  # nothing stands beside it
+            got.append(_Shifted(start(full[0][0]), full[0][1]))
+            continue
+        cells = [(at, _flat(lines)) for at, lines in full]
         for k in range(max((len(lines) for _, lines in cells), default=0)):
             line = ""
             for at, lines in cells:
                 if k < len(lines) and lines[k]:
-                    line = line.ljust(starts[at]) if len(line) <= starts[at] else line + "  "
+                    line = line.ljust(start(at)) if len(line) <= start(at) else line + "  "
                     line += lines[k]
             got.append(line.rstrip())
     return got
@@ -412,7 +573,8 @@ def visible_text(page: str) -> str:
 def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """page_id, text and n_lines of each row of pages.
 
-    Null, empty and wholly hidden pages have an empty text and no lines. Columns other than the two named ones
+    Null, empty and wholly hidden pages have an empty text and no lines. Malformed pages take time about in proportion to their length.
+    Rules of style sheets are not looked at, only attributes; columns are aligned by code points. Columns other than the two named ones
     are not read; repeated rows are rendered each by itself, an empty table gives no rows.
     """
 
