@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 import numpy as np
 import pandas as pd
 import pyarrow.compute as pc
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import opened  # noqa: F401  (for the tasks that open files of the shared folder)
+from ..sources.tables import new_folder, shared_folder, stored  # noqa: F401
+
 #: Bytes of text that a Python worker handles as one block.
 BLOCK_CHARS = 8_000_000
 #: Distinct words that a worker remembers from block to block.
@@ -29,42 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without it gets a folder of its own; on a cluster it is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        there = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if there.isEmpty():
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusmill-"))
-            there = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = there.get()
-    return base.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/corpusmill/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
-
-
 def drop_stored(spark: SparkSession) -> None:
     """Deletes all tables and archives that this application has stored; results that still read them must be written before."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/corpusmill/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder and read again: it outlives executors and cuts the lineage."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def opened(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system and path of a file in the shared folder, for tasks that read or write files themselves."""
-    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """df over as many partitions as there are cores at least: a table that the reader cuts into fewer splits is dealt out anew. No row hangs on it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
