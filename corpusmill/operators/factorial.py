@@ -106,8 +106,11 @@ def within_item_interval(rows: DataFrame, item: str = "item", y: str = "y", leve
 
 
 def token_profile(rows: DataFrame, value: str = "surprisal") -> DataFrame:
-    """Mean and population deviation by condition, length of the item and position, with the token of the first item there."""
-    length = rows.withColumn("length", F.count(F.lit(1)).over(Window.partitionBy("item", "cond")))
+    """Mean and population deviation by condition, length of the item and position, with the token of the first item there.
+
+    rows may say in length how many tokens their item has; else they are counted.
+    """
+    length = rows if "length" in rows.columns else rows.withColumn("length", F.count(F.lit(1)).over(Window.partitionBy("item", "cond")))
     return length.groupBy("cond", "length", "tok_pos").agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min_by("token", "item").alias("token")
     )

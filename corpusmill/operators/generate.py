@@ -163,9 +163,9 @@ def _quads(rows: DataFrame, number: Column, pre: tuple[Column, Column], post: tu
     return rows.select(F.concat("pre_gap_text", space, tail).alias("sentence"), "quadruplet_id", "filler", "gap", "pre_gap_text", "post_gap_text", "filler_word")
 
 
-def factorial_clauses(spark: SparkSession, vocab: str = "iv") -> DataFrame:
-    """Quadruplets of relative clause or prepositional phrase, with gap or object."""
-    v = L.FACTORIAL_CLAUSE[vocab]
+def factorial_clauses(spark: SparkSession, vocab: str | dict = "iv") -> DataFrame:
+    """Quadruplets of relative clause or prepositional phrase, with gap or object. vocab names a vocabulary or is one: n1, n2, tails, and five objects for each verb."""
+    v = L.FACTORIAL_CLAUSE[vocab] if isinstance(vocab, str) else vocab
     objects = [(i, verb, k, o) for i, (verb, os) in enumerate(v["objects"].items()) for k, o in enumerate(os)]
     rows = product(
         spark,
@@ -179,9 +179,9 @@ def factorial_clauses(spark: SparkSession, vocab: str = "iv") -> DataFrame:
     return _quads(rows, number, pre, (F.col("tail"), F.col("object")), (F.lit("that"), F.col("prep")), " ", ".")
 
 
-def factorial_questions(spark: SparkSession, vocab: str = "iv") -> DataFrame:
-    """Quadruplets of `What` or another first word, with gap or object."""
-    v = L.FACTORIAL_QUESTION[vocab]
+def factorial_questions(spark: SparkSession, vocab: str | dict = "iv") -> DataFrame:
+    """Quadruplets of `What` or another first word, with gap or object. vocab names a vocabulary or is one: nouns, and five objects for each verb."""
+    v = L.FACTORIAL_QUESTION[vocab] if isinstance(vocab, str) else vocab
     objects = [(i, verb, k, o) for i, (verb, os) in enumerate(v["objects"].items()) for k, o in enumerate(os)]
     rows = product(spark, {"a": records(_numbered(v["nouns"]), ("i1", "noun")), "b": records(objects, ("i2", "verb", "i4", "object")), "c": records(_numbered(L.NO_FILLERS), ("i3", "first"))})
     number = ((F.col("i1") * len(v["objects"]) + F.col("i2")) * len(L.NO_FILLERS) + F.col("i3")) * 5 + F.col("i4")
@@ -189,10 +189,12 @@ def factorial_questions(spark: SparkSession, vocab: str = "iv") -> DataFrame:
     return _quads(rows, number, pre, (F.lit("?"), F.col("object")), (F.lit("What"), F.col("first")), "", "?")
 
 
-def transitivity(spark: SparkSession) -> DataFrame:
+def transitivity(
+    spark: SparkSession, n1: Sequence[str] = L.ANIMATE_1, n2: Sequence[str] = L.ANIMATE_2, transitive: Sequence[str] = L.TRANSITIVE, intransitive: Sequence[str] = L.INTRANSITIVE, tails: Sequence[str] = L.TAILS
+) -> DataFrame:
     """Relative clauses with a verb that takes an object or one that doesn't."""
-    verbs = [(v, "transitive") for v in L.TRANSITIVE] + [(v, "intransitive") for v in L.INTRANSITIVE]
-    rows = product(spark, {"n1": options(L.ANIMATE_1), "n2": options(L.ANIMATE_2), "v": records(verbs, ("verb", "verb_type")), "rel": options(["that", "who", ""]), "tail": options(L.TAILS)})
+    verbs = [(v, "transitive") for v in transitive] + [(v, "intransitive") for v in intransitive]
+    rows = product(spark, {"n1": options(n1), "n2": options(n2), "v": records(verbs, ("verb", "verb_type")), "rel": options(["that", "who", ""]), "tail": options(tails)})
     core = sentence(F.lit("The"), "n1", "rel", F.lit("the"), "n2", "verb")
     return rows.where("n1 <> n2").select(
         stop(F.concat_ws(" ", core, "tail")).alias("sentence"), core.alias("pre_gap_text"), F.concat(F.lit("the "), "n1").alias("moved_np"), "verb", "verb_type",
@@ -216,9 +218,9 @@ def distractors(spark: SparkSession) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def candidates(spark: SparkSession, kind: str = "clause", vocab: str = "iv") -> DataFrame:
-    """The candidate continuations of a context: slot (np, vp, q) and cand."""
-    v = (L.CANDIDATES_CLAUSE if kind == "clause" else L.CANDIDATES_QUESTION)[vocab]
+def candidates(spark: SparkSession, kind: str = "clause", vocab: str | dict = "iv") -> DataFrame:
+    """The candidate continuations of a context: slot (np, vp, q) and cand. vocab names a vocabulary or is one: adjectives, nouns, and tails (clause) or forms of verbs."""
+    v = (L.CANDIDATES_CLAUSE if kind == "clause" else L.CANDIDATES_QUESTION)[vocab] if isinstance(vocab, str) else vocab
     np_ = product(spark, {"adj": options(["", *v["adjectives"]]), "n": nouns(v["nouns"], "noun", "plural")})
     np_ = np_.select(F.lit("np").alias("slot"), F.concat_ws(" ", F.lit("the"), F.nullif(F.col("adj"), F.lit("")), "noun").alias("cand"))
     tails = v["tails"] if kind == "clause" else [f for b, p, i in v["verbs"] for f in (b, p, i, f"did {b}", f"does {b}", f"do {b}", f"is {i}", f"are {i}")]

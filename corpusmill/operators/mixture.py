@@ -39,11 +39,11 @@ def _draws(df: DataFrame, n: int, name: str, weights: dict[str, float], seed: in
     return numbered(rows, name, "_k", by="source")
 
 
-def _streams(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """source, pos, words, at and n_stream, the documents' places in their sources' streams of words; and each source's full blocks, _blocks. Only numbers of words are ordered."""
+def _places(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """source, pos, _n (words), at and n_stream, the documents' places in their sources' streams of words; and each source's full blocks, _blocks. Only numbers of words are ordered."""
     sized = docs.select("source", "pos", F.size("words").cast("long").alias("_n"))
-    at = stored(running_sum(sized, "pos", "_n", "at", by="source", total="n_stream").drop("_n"), "source-streams")
-    return docs.select("source", "pos", "words").join(at, ["source", "pos"]), at.groupBy("source").agg(F.floor(F.max("n_stream") / size).alias("_blocks"))
+    at = stored(running_sum(sized, "pos", "_n", "at", by="source", total="n_stream"), "source-streams")
+    return at, at.groupBy("source").agg(F.floor(F.max("n_stream") / size).alias("_blocks"))
 
 
 def _slices(streams: DataFrame, size: int) -> DataFrame:
@@ -52,8 +52,8 @@ def _slices(streams: DataFrame, size: int) -> DataFrame:
 
 def source_blocks(docs: DataFrame, size: int) -> DataFrame:
     """source, at (the block's number), n (full blocks of the source) and tokens of the blocks that each source's words make in order of pos."""
-    flat, sizes = _streams(docs, size)
-    sizes = sizes.withColumnRenamed("_blocks", "n")
+    at, sizes = _places(docs, size)
+    flat, sizes = docs.select("source", "pos", "words").join(at.drop("_n"), ["source", "pos"]), sizes.withColumnRenamed("_blocks", "n")
     whole = _slices(flat, size).groupBy("source", "source_block").agg(F.array_sort(F.collect_list(F.struct("at", "tokens"))).alias("_s"))  # size tokens
     rows = whole.select("source", F.col("source_block").alias("at"), F.flatten(F.transform("_s", lambda s: s["tokens"])).alias("tokens"))
     return rows.join(F.broadcast(sizes), "source")  # a row for each source
@@ -66,10 +66,14 @@ def per_block(docs: DataFrame, weights: dict[str, float], n_blocks: int, size: i
     runs out starts again. Gives block_no, source, source_block, g and token.
     """
     sources = [name for name, _ in normalized(weights)]
-    flat, sizes = _streams(docs.where(F.col("source").isin(sources)), size)
-    cut = _slices(flat, size)
+    mine = docs.where(F.col("source").isin(sources))
+    at, sizes = _places(mine, size)
     draws = _draws(docs, n_blocks, "block_no", weights, seed).join(F.broadcast(sizes), "source")  # a row for each source
-    draws = draws.where("_blocks > 0").select("block_no", "source", (F.col("_k") % F.col("_blocks")).alias("source_block"))
+    draws = stored(draws.where("_blocks > 0").select("block_no", "source", (F.col("_k") % F.col("_blocks")).alias("source_block")), "drawn-blocks")
+    # Which documents reach into drawn blocks is found from numbers; only their words are cut.
+    reached = at.where("_n > 0").select("*", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("_n") - 1) / size))).alias("source_block"))
+    asked = reached.join(draws.select("source", "source_block").distinct(), ["source", "source_block"], "left_semi").select("source", "pos", "at", "n_stream").distinct()
+    cut = _slices(mine.select("source", "pos", "words").join(asked, ["source", "pos"]), size)
     rows = cut.join(draws, ["source", "source_block"])
     return rows.select("block_no", "source", "source_block", "at", F.posexplode("tokens").alias("_i", "token")).select("block_no", "source", "source_block", (F.col("at") + F.col("_i")).alias("g"), "token")
 

@@ -98,8 +98,3 @@ def pairs(words: Column | str, last: bool = False) -> Column:
 def targets(blocks: DataFrame, tokens: str = "input_ids") -> DataFrame:
     """block_id, token and target, the next token of the block (null at its end), of packed() blocks."""
     return blocks.select("block_id", F.inline(pairs(tokens, last=True)))
-
-
-def chunks(words: Column, n: int) -> Column:
-    """The last n elements of an array (all, if fewer)."""
-    return F.when(F.size(words) <= n, words).otherwise(F.slice(words, -n, n))

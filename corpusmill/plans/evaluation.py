@@ -170,7 +170,8 @@ t AS (SELECT *, count(*) OVER (PARTITION BY item, cond) AS length FROM w)
 SELECT cond, length, i AS tok_pos, count(*) AS n, round(avg(length(token)), 6) AS mean, round(stddev_pop(length(token)), 6) AS std, min_by(token, item) AS token FROM t GROUP BY cond, length, i"""
 )
 def token_position_profile(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").select(corpus.pair("conv_id", "turn").alias("item"), F.col("role").alias("cond"), F.posexplode(T.words("text")).alias("tok_pos", "token"))
+    rows = table(spark, d, "conversations").select(corpus.pair("conv_id", "turn").alias("item"), F.col("role").alias("cond"), T.words("text").alias("words"))
+    rows = rows.select("item", "cond", F.size("words").cast("long").alias("length"), F.posexplode("words").alias("tok_pos", "token"))
     got = factorial.token_profile(rows.withColumn("surprisal", F.length("token").cast("double")))
     return number(_rounded(got, "mean", "std"), "tok_pos")
 

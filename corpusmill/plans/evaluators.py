@@ -126,12 +126,12 @@ def noun_and_verb_masses(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_BIGRAM}, f AS (SELECT doc_id, exp(sum(logp)) AS chain, count(*) AS n FROM scored WHERE tok_pos <= 3 GROUP BY doc_id) SELECT doc_id, round(ln(chain), 6) AS chain_log, n FROM f"
+    f"WITH {_BIGRAM}, f AS (SELECT doc_id, (tok_pos - 1) // 3 AS cand, exp(sum(logp)) AS chain, count(*) AS n FROM scored GROUP BY ALL) SELECT doc_id, round(avg(ln(chain)), 6) AS chain_log, count(*) AS n_cands, sum(n)::BIGINT AS n FROM f GROUP BY doc_id"
 )
 def chain_probabilities(spark: SparkSession, d: str) -> DataFrame:
-    """The product of the first three words' probabilities, as its logarithm."""
-    rows = _scored(spark, d).where("tok_pos <= 3").groupBy("doc_id").agg(scoring.chain_probability().alias("chain"), F.count(F.lit(1)).alias("n"))
-    return rows.select("doc_id", F.round(F.ln("chain"), 6).alias("chain_log"), "n")
+    """Whole texts as candidates of three words: the product of each one's probabilities, and the mean of their logarithms for each text."""
+    cands = _scored(spark, d).groupBy("doc_id", F.floor((F.col("tok_pos") - 1) / 3).alias("cand")).agg(scoring.chain_probability().alias("chain"), F.count(F.lit(1)).alias("n"))
+    return cands.groupBy("doc_id").agg(F.round(F.avg(F.ln("chain")), 6).alias("chain_log"), F.count(F.lit(1)).alias("n_cands"), F.sum("n").alias("n"))
 
 
 @query(

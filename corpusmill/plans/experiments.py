@@ -71,9 +71,11 @@ _TAIL = "list_filter(string_split({}, ' '), lambda x: x <> '')[-4:]"
 
 
 @query(
-    f"WITH quads AS MATERIALIZED ({gen._clause_quads('iv')}), b AS (SELECT * FROM quads WHERE filler = 0 AND gap = 1), s AS (SELECT * FROM quads WHERE filler = 1 AND gap = 1) "
-    "SELECT b.quadruplet_id, ['relativizer', 'the', 'noun', 'verb'][i] AS position_label, b.sentence AS base_text, s.sentence AS source_text, string_split(b.post_gap_text, ' ')[1] AS yb, string_split(s.post_gap_text, ' ')[1] AS ys, "
-    f"({_TAIL.format('b.pre_gap_text')})[i] AS base_anchor, ({_TAIL.format('s.pre_gap_text')})[i] AS source_anchor FROM b JOIN s USING (quadruplet_id), (SELECT unnest([1, 2, 3, 4]) AS i)"
+    f"WITH quads AS ({gen._clause_quads('iv')}), one AS (SELECT quadruplet_id, "
+    + ", ".join(f"any_value({c}) FILTER (filler = {k}) AS {s}_{c}" for k, s in ((0, "base"), (1, "source")) for c in ("sentence", "pre_gap_text", "post_gap_text"))
+    + " FROM quads WHERE gap = 1 GROUP BY quadruplet_id) "
+    "SELECT quadruplet_id, ['relativizer', 'the', 'noun', 'verb'][i] AS position_label, base_sentence AS base_text, source_sentence AS source_text, string_split(base_post_gap_text, ' ')[1] AS yb, string_split(source_post_gap_text, ' ')[1] AS ys, "
+    f"({_TAIL.format('base_pre_gap_text')})[i] AS base_anchor, ({_TAIL.format('source_pre_gap_text')})[i] AS source_anchor FROM one, (SELECT unnest([1, 2, 3, 4]) AS i)"
 )
 def pair_rows_by_quadruplet(spark: SparkSession, d: str) -> DataFrame:
     return experiments.intervention_pairs(G.factorial_clauses(spark, "iv"))

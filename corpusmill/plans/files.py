@@ -21,7 +21,7 @@ from .catalog import query
 def csv_all_strings(spark: SparkSession, d: str) -> DataFrame:
     path = new_folder(spark, "csv")
     writers.csv(table(spark, d, "labels"), path, ["doc_id", "quality", "toxic"])
-    return readers.csv_strings(spark, path)
+    return readers.csv_strings(spark, path, line_ends=False)
 
 
 @query("SELECT CASE WHEN n_regionkey % 2 = 0 THEN 'even' ELSE 'odd' END AS folder, n_name, true AS named FROM nation")
@@ -29,7 +29,7 @@ def csv_with_file_name(spark: SparkSession, d: str) -> DataFrame:
     path = new_folder(spark, "glob")
     for k, name in enumerate(("even", "odd")):
         writers.csv(table(spark, d, "nation").where(f"n_regionkey % 2 = {k}"), f"{path}/{name}", ["n_name"])
-    rows = readers.with_file_name(spark, f"{path}/*/*.csv", readers.csv_strings)
+    rows = readers.with_file_name(spark, f"{path}/*/*.csv", lambda s, p: readers.csv_strings(s, p, line_ends=False))
     return rows.select("folder", "n_name", F.col("file_name").endswith(".csv").alias("named"))
 
 
@@ -38,13 +38,13 @@ b AS (SELECT user_id, 'c' || (user_id % 3) AS category, cand, target, row_number
 
 
 def _cloze(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Examples read from nested JSON documents, one for each twentieth user, and scores of their candidates."""
+    """Examples read from nested JSON documents, fifty users in each, and scores of their candidates."""
     path = new_folder(spark, "cloze")
     rows = table(spark, d, "events").groupBy("user_id", F.col("event_type").alias("cand")).agg((F.count(F.lit(1)) % 2).cast("double").alias("target"), F.max("value").alias("logp"))
     rows = stored(rows, "cloze-rows")
     each = rows.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("cand", "target")))).alias("target_scores"))
     example = F.struct(F.col("user_id").cast("string").alias("input"), "target_scores", F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("comment"))
-    docs = each.groupBy((F.col("user_id") % 20).alias("doc")).agg(F.collect_list(example).alias("examples")).repartition("doc")  # a twentieth of the users: a small fixture
+    docs = each.groupBy(F.floor(F.col("user_id") / 50).alias("doc")).agg(F.collect_list(example).alias("examples")).repartition("doc")  # fifty examples
     docs.write.partitionBy("doc").json(path)
     examples = readers.cloze_examples(spark, f"{path}/*/*.json").select(F.col("input").alias("item"), F.col("comment").alias("category"), "target_scores")
     return examples, rows.select(F.col("user_id").cast("string").alias("item"), "cand", "logp")
@@ -67,17 +67,17 @@ def cloze_lost(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT role, min_by('u' || conv_id, conv_id * 1000000 + turn) AS uid FROM conversations GROUP BY role)
-SELECT uid AS "UID", 'f-' || role AS field, role AS linguistics_term, conv_id || '-' || turn AS "pairID", length(text) AS n_good FROM conversations JOIN f USING (role)"""
+    """WITH c AS (SELECT *, conv_id // 20 AS part FROM conversations), f AS (SELECT role, part, min_by('u' || conv_id, conv_id * 1000000 + turn) AS uid FROM c GROUP BY role, part)
+SELECT uid AS "UID", 'f-' || role AS field, role AS linguistics_term, conv_id || '-' || turn AS "pairID", length(text) AS n_good FROM c JOIN f USING (role, part)"""
 )
 def paradigms_jsonl(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of JSON lines files with the attributes of each file's first record."""
     path = new_folder(spark, "paradigms")
     rows = table(spark, d, "conversations").select(
-        F.col("role").alias("folder"), "conv_id", "turn", F.concat(F.lit("u"), "conv_id").alias("UID"), F.concat(F.lit("f-"), "role").alias("field"), F.col("role").alias("linguistics_term"),
+        F.concat_ws("-", "role", F.floor(F.col("conv_id") / 20)).alias("folder"), "conv_id", "turn", F.concat(F.lit("u"), "conv_id").alias("UID"), F.concat(F.lit("f-"), "role").alias("field"), F.col("role").alias("linguistics_term"),
         F.concat_ws("-", "conv_id", "turn").alias("pairID"), F.col("text").alias("sentence_good"), F.lit("x").alias("sentence_bad"),
     )
-    rows.repartition(1).sortWithinPartitions("folder", "conv_id", "turn").drop("conv_id", "turn").write.partitionBy("folder").json(path)  # one file for each paradigm is the format
+    rows.repartition("folder").sortWithinPartitions("folder", "conv_id", "turn").drop("conv_id", "turn").write.partitionBy("folder").json(path)  # one file for each paradigm is the format
     return readers.paradigms(spark, f"{path}/*/*.json").select("UID", "field", "linguistics_term", "pairID", F.length("sentence_good").cast("long").alias("n_good"))
 
 

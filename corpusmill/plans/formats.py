@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import mixture
-from ..sources import readers, writers
+from ..sources import readers, stores, writers
 from ..sources.tables import new_folder as _folder
 from ..sources.tables import stored
 from ..streaming import packing
@@ -73,8 +73,8 @@ def stream_poll_files(spark: SparkSession, d: str) -> DataFrame:
     path, checkpoint = _folder(spark, "polled"), _folder(spark, "checkpoint")
     schema = table(spark, d, "events").schema
 
-    def handle(batch: DataFrame, _: int) -> None:
-        writers.append_new(batch.select("event_id", "user_id"), path, ["event_id"])
+    def handle(batch: DataFrame, number: int) -> None:
+        stores.batch_once(batch.select("event_id", "user_id"), path, number)
 
     for _ in range(2):  # the second poll finds nothing new
         packing.poll(spark, spark.readStream.schema(schema).parquet(f"{d}/events.parquet*"), checkpoint, handle)
@@ -122,7 +122,7 @@ def stream_until_producer_ends(spark: SparkSession, d: str) -> DataFrame:
             docs.where(F.col("part") == k).write.mode("append").parquet(source)
         return k is None or k == 3
 
-    packing.poll_until(spark, lambda: spark.readStream.schema(docs.schema).parquet(source), checkpoint, lambda batch, _: writers.append_new(batch, out, ["doc_id"]) and None, produce)
+    packing.poll_until(spark, lambda: spark.readStream.schema(docs.schema).parquet(source), checkpoint, lambda batch, number: stores.batch_once(batch, out, number), produce)
     return spark.read.parquet(out).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
 
 

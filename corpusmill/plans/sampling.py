@@ -168,28 +168,28 @@ _BLOCK_SOURCE = "CASE WHEN u < 0.5 THEN 'en' WHEN u < 0.8 THEN 'fr' ELSE 'de' EN
     f"""WITH {SQL_DOC_WORDS}, s AS (SELECT lang AS source, row_number() OVER (PARTITION BY lang ORDER BY doc_id, i) - 1 AS g, token FROM
   (SELECT doc_id, lang, unnest(words) AS token, generate_subscripts(words, 1) AS i FROM dw JOIN documents USING (doc_id) WHERE lang <> 'es')),
 n AS (SELECT source, count(*) // 128 AS n_blocks FROM s GROUP BY source),
-draws AS (SELECT block_no, {_BLOCK_SOURCE} AS source FROM (SELECT b AS block_no, {_U.format(13, "b")} AS u FROM range(300) t(b))),
+draws AS (SELECT block_no, {_BLOCK_SOURCE} AS source FROM (SELECT b AS block_no, {_U.format(13, "b")} AS u FROM (SELECT unnest(range((SELECT count(*) * 3 // 10 FROM documents))) AS b))),
 o AS (SELECT block_no, d.source, (row_number() OVER (PARTITION BY d.source ORDER BY block_no) - 1) % n_blocks AS source_block FROM draws d JOIN n USING (source))
 SELECT block_no, o.source, source_block, min(token) AS least, max(token) AS most FROM o JOIN s ON s.source = o.source AND s.g // 128 = source_block GROUP BY block_no, o.source, source_block"""
 )
 def mixture_per_block(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("lang").alias("source"), F.col("doc_id").alias("pos"), T.words("text").alias("words"))
-    got = mixture.per_block(docs, _WEIGHTS, n_blocks=300, size=128, seed=13)
+    got = mixture.per_block(docs, _WEIGHTS, n_blocks=docs.count() * 3 // 10, size=128, seed=13)
     return got.groupBy("block_no", "source", "source_block").agg(F.min("token").alias("least"), F.max("token").alias("most"))
 
 
 @query(
-    f"""WITH draws AS (SELECT doc_no, {_BLOCK_SOURCE} AS source FROM (SELECT b AS doc_no, {_U.format(17, "b")} AS u FROM range(400) t(b))),
+    f"""WITH draws AS (SELECT doc_no, {_BLOCK_SOURCE} AS source FROM (SELECT b AS doc_no, {_U.format(17, "b")} AS u FROM (SELECT unnest(range((SELECT count(*) * 2 // 5 FROM documents))) AS b))),
 docs AS (SELECT lang AS source, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS at, count(*) OVER (PARTITION BY lang) AS n FROM documents)
 SELECT doc_no, d.source, doc_id FROM (SELECT doc_no, source, row_number() OVER (PARTITION BY source ORDER BY doc_no) - 1 AS k FROM draws) d JOIN docs ON docs.source = d.source AND docs.at = d.k % docs.n"""
 )
 def mixture_per_document(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("lang").alias("source"), F.col("doc_id").alias("pos"))
-    return mixture.per_document(docs, _WEIGHTS, n_docs=400, seed=17).select("doc_no", "source", F.col("pos").alias("doc_id"))
+    return mixture.per_document(docs, _WEIGHTS, n_docs=docs.count() * 2 // 5, seed=17).select("doc_no", "source", F.col("pos").alias("doc_id"))
 
 
 @query(
-    f"""WITH {SQL_DOC_WORDS}, draws AS (SELECT doc_no, {_BLOCK_SOURCE} AS source FROM (SELECT b AS doc_no, {_U.format(19, "b")} AS u FROM range(300) t(b))),
+    f"""WITH {SQL_DOC_WORDS}, draws AS (SELECT doc_no, {_BLOCK_SOURCE} AS source FROM (SELECT b AS doc_no, {_U.format(19, "b")} AS u FROM (SELECT unnest(range((SELECT count(*) * 3 // 10 FROM documents))) AS b))),
 docs AS (SELECT lang AS source, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS at, count(*) OVER (PARTITION BY lang) AS n FROM documents),
 m AS (SELECT doc_no, doc_id FROM (SELECT doc_no, source, row_number() OVER (PARTITION BY source ORDER BY doc_no) - 1 AS k FROM draws) d JOIN docs ON docs.source = d.source AND docs.at = d.k % docs.n),
 s AS (SELECT row_number() OVER (ORDER BY doc_no, i) - 1 AS g, token FROM (SELECT doc_no, unnest(words) AS token, generate_subscripts(words, 1) AS i FROM m JOIN dw USING (doc_id)))
@@ -198,7 +198,7 @@ SELECT g // 256 AS block_id, md5(string_agg(token, ' ' ORDER BY g)) AS digest FR
 def mixture_shared_buffer(spark: SparkSession, d: str) -> DataFrame:
     """Documents drawn by weight, all packed into blocks through one buffer."""
     docs = table(spark, d, "documents").select(F.col("lang").alias("source"), F.col("doc_id").alias("pos"), T.words("text").alias("words"))
-    got = mixture.per_document(docs, _WEIGHTS, n_docs=300, seed=19).select(F.col("doc_no").alias("pos"), "words")
+    got = mixture.per_document(docs, _WEIGHTS, n_docs=docs.count() * 3 // 10, seed=19).select(F.col("doc_no").alias("pos"), "words")
     return tokens.packed(tokens.placed(got), 256).select("block_id", F.md5(F.array_join("input_ids", " ")).alias("digest"))
 
 
@@ -207,7 +207,7 @@ def shard_modulo(spark: SparkSession, d: str) -> DataFrame:
     return mixture.sharded(table(spark, d, "documents").select("doc_id"), "doc_id", 8)
 
 
-@query("SELECT t.n AS seq, doc_id FROM range(2500) t(n) JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS c FROM documents) ON k = t.n % c")
+@query("SELECT t.n AS seq, doc_id FROM (SELECT unnest(range((SELECT count(*) * 5 // 2 FROM documents))) AS n) t JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS c FROM documents) ON k = t.n % c")
 def cycled_source(spark: SparkSession, d: str) -> DataFrame:
-    rows = sampling.numbered(table(spark, d, "documents").select("doc_id"), "doc_id", "at")
-    return mixture.cycled(rows, "at", 2500).select("seq", "doc_id")
+    docs = table(spark, d, "documents").select("doc_id")
+    return mixture.cycled(sampling.numbered(docs, "doc_id", "at"), "at", docs.count() * 5 // 2).select("seq", "doc_id")

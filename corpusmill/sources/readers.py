@@ -42,15 +42,15 @@ def split_files(spark: SparkSession, files: dict[str, str]) -> DataFrame:
     return out
 
 
-def csv_strings(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A CSV file with header, all columns strings; quotes inside quotes are doubled and line ends may stand in them."""
-    return spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=True)
+def csv_strings(spark: SparkSession, path: str | list[str], line_ends: bool = True) -> DataFrame:
+    """A CSV file with header, all columns strings; quotes inside quotes are doubled. Line ends may stand in quotes, so that one task reads a whole file; without line_ends as many do as it has splits."""
+    return spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=line_ends)
 
 
-def csv_typed(spark: SparkSession, path: str | list[str], schema: str | StructType) -> DataFrame:
-    """A CSV file with header by schema, which may name one of schemas.py."""
+def csv_typed(spark: SparkSession, path: str | list[str], schema: str | StructType, line_ends: bool = True) -> DataFrame:
+    """A CSV file with header by schema, which may name one of schemas.py; line_ends as in csv_strings()."""
     schema = SCHEMAS.get(schema, schema) if isinstance(schema, str) else schema
-    return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=True)
+    return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=line_ends)
 
 
 def with_file_name(spark: SparkSession, path: str | list[str], reader: Callable[[SparkSession, str | list[str]], DataFrame]) -> DataFrame:
