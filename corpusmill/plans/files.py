@@ -112,6 +112,23 @@ def yaml_files(spark: SparkSession, d: str) -> DataFrame:
     return readers.yaml_documents(spark, f"{_yaml_folder(spark, d)}/*/*.txt", "out_dir STRING, key INT").select("config.*")
 
 
+@query(
+    "SELECT r_name AS out_dir, list_sort(list(n_name)) AS files, count(*) AS n, CASE WHEN r_regionkey % 2 = 0 THEN r_regionkey / 4 END AS weight, min(n_nationkey) AS first FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name, r_regionkey"
+)
+def nested_yaml_files(spark: SparkSession, d: str) -> DataFrame:
+    """Configurations with lists, maps and settings inside of settings, written and read back."""
+    path = new_folder(spark, "yaml")
+    nations = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list("n_name")).alias("names"), F.count(F.lit(1)).alias("n"), F.min("n_nationkey").alias("first"))
+    rows = table(spark, d, "region").join(nations, "r_regionkey")
+    weight = F.when(F.col("r_regionkey") % 2 == 0, F.col("r_regionkey") / 4)
+    rows = rows.select(
+        F.col("r_regionkey").alias("key"), F.col("r_name").alias("out_dir"), F.struct(F.col("names").alias("files"), F.create_map(F.lit("n"), F.col("n")).alias("counts"), F.struct(weight.alias("weight")).alias("mixture")).alias("data"), "first"
+    )
+    writers.yaml_text(rows, ["out_dir", "data", "first"]).select("key", F.col("yaml").alias("text")).repartition("key").write.partitionBy("key").text(path)
+    got = readers.yaml_documents(spark, f"{path}/*/*.txt", "out_dir STRING, first BIGINT, data STRUCT<files: ARRAY<STRING>, counts: MAP<STRING, BIGINT>, mixture: STRUCT<weight: DOUBLE>>").select("config.*")
+    return got.select("out_dir", F.col("data.files").alias("files"), F.col("data.counts")["n"].alias("n"), F.col("data.mixture.weight").alias("weight"), "first")
+
+
 @query("SELECT CASE WHEN n_nationkey = 3 THEN '[1' ELSE n_name END AS out_dir FROM nation")
 def yaml_key_by_pattern(spark: SparkSession, d: str) -> DataFrame:
     return readers.yaml_key(spark, f"{_yaml_folder(spark, d)}/*/*.txt", "out_dir").select("out_dir")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import density, mixed
+from ..operators import ablation, density, evaluate, mixed, sampling
+from ..sources.tables import stored
 from .base import table
 from .catalog import query
 
@@ -109,3 +110,27 @@ def density_overlap(spark: SparkSession, d: str) -> DataFrame:
     """How far the densities of other languages lie over that of one."""
     got = density.overlap(density.gaussian(table(spark, d, "documents"), "n_chars", "lang"), "lang", [("en", x) for x in ("de", "en", "es", "fr")])
     return got.withColumn("overlap", F.round("overlap", 6))
+
+
+@query(
+    """WITH p AS (SELECT vec_id // 2 AS pair_id, max(CASE WHEN vec_id % 2 = 0 THEN embedding END) AS src, max(CASE WHEN vec_id % 2 = 1 THEN embedding END) AS orc FROM embeddings GROUP BY 1),
+e AS (SELECT unnest(src) AS s, unnest(orc) AS o, generate_subscripts(src, 1) - 1 AS unit FROM p WHERE src IS NOT NULL AND orc IS NOT NULL),
+t AS (SELECT unit, avg(CAST(o AS DOUBLE) - CAST(s AS DOUBLE)) / (stddev_samp(CAST(o AS DOUBLE) - CAST(s AS DOUBLE)) / sqrt(count(*))) AS t FROM e GROUP BY unit),
+k AS (SELECT greatest(1, ceil(0.1 * count(*)))::BIGINT AS k FROM t), top AS (SELECT 'selective' AS condition, unit FROM t QUALIFY row_number() OVER (ORDER BY t DESC, unit) <= (SELECT k FROM k)
+UNION ALL SELECT 'random', unit FROM t QUALIFY row_number() OVER (ORDER BY md5('5|' || unit), unit) <= (SELECT k FROM k)),
+x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS unit FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL), c AS (SELECT label AS near, unit, avg(x) AS m FROM x GROUP BY label, unit),
+f AS (SELECT condition, vec_id, label, near, sum(pow(CASE WHEN top.unit IS NULL THEN x ELSE 0 END - m, 2)) AS far FROM (SELECT unnest(['', 'selective', 'random']) AS condition) JOIN x ON true JOIN c USING (unit) LEFT JOIN top USING (condition, unit) GROUP BY condition, vec_id, label, near),
+n AS (SELECT condition, vec_id, label, arg_min(near, (far, near)) AS near FROM f GROUP BY condition, vec_id, label), a AS (SELECT condition, count(*) AS n, avg(CASE WHEN near = label THEN 1.0 ELSE 0 END) AS accuracy FROM n GROUP BY condition)
+SELECT condition, n, round(accuracy, 6) AS accuracy, round(accuracy - (SELECT accuracy FROM a WHERE condition = ''), 6) AS delta_accuracy FROM a"""
+)
+def unit_ablation(spark: SparkSession, d: str) -> DataFrame:
+    """The units that tell pairs apart most are silenced, and as many by chance: how much worse labels are told apart."""
+    vectors = table(spark, d, "embeddings")
+    side = lambda k: F.max(F.when(F.col("vec_id") % 2 == k, F.col("embedding")))
+    pairs = vectors.groupBy(F.floor(F.col("vec_id") / 2)).agg(side(0).alias("src"), side(1).alias("orc")).where("src is not null and orc is not null")
+    tests = stored(evaluate.paired_t(pairs, 16).select("flat_idx", "t_stat"), "unit-tests")
+    chosen = evaluate.top_percent(tests, "t_stat", 10, "flat_idx").select("flat_idx")
+    units = [r[0] for r in chosen.collect()]  # a tenth of a vector's units
+    chance = [r[0] for r in tests.orderBy(sampling.draw("flat_idx", 5), "flat_idx").limit(len(units)).select("flat_idx").collect()]
+    got = ablation.scored(vectors, {"selective": units, "random": chance})
+    return got.select("condition", "n", F.round("accuracy", 6).alias("accuracy"), F.round("delta_accuracy", 6).alias("delta_accuracy"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,10 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, d: str, samples: int | None = None) -> DataFrame:
+    return _in_parts(spark, d, lambda stream: mixture.packed_mixture(stream, _WEIGHTS, _SIZE, _SEED, _SHARDS, samples, together=16), _SHARDS)
+
+
+def _in_parts(spark: SparkSession, d: str, packed: Callable[[DataFrame], DataFrame], shards: int) -> DataFrame:
     """The blocks of documents that come in some parts, each a run of a stream that is stopped after it, then the end."""
     folder, out, checkpoint = new_folder(spark, "arriving"), new_folder(spark, "mixture"), new_folder(spark, "checkpoint")
     docs = _documents(spark, d)
@@ -38,10 +44,10 @@ def _mixed(spark: SparkSession, d: str, samples: int | None = None) -> DataFrame
             step = bounds // _PARTS + 1
             rows = docs.where((F.col("pos") >= part * step) & (F.col("pos") < (part + 1) * step))
         else:
-            rows = mixture.ends(spark, list(_WEIGHTS), _SHARDS)
+            rows = mixture.ends(spark, list(_WEIGHTS), shards)
         rows.write.mode("append").parquet(folder)
         stream = spark.readStream.schema(docs.schema).parquet(folder)
-        blocks = mixture.run(mixture.packed_mixture(stream, _WEIGHTS, _SIZE, _SEED, _SHARDS, samples, together=16), out, checkpoint)
+        blocks = mixture.run(packed(stream), out, checkpoint)
     return blocks
 
 
@@ -64,6 +70,23 @@ def stream_mixture_to_cap(spark: SparkSession, d: str) -> DataFrame:
     return got.select("block_no", "source", "source_block", F.sha2(F.concat_ws(" ", "tokens"), 256).alias("words"))
 
 
+_SHARED = 3
+_US = f"CAST('0x' || substr(md5('{_SEED}-' || shard || '|' || b), 1, 13) AS BIGINT) / 4503599627370496.0"
+
+
+@query(
+    rf"""WITH w AS (SELECT lang AS source, doc_id % {_SHARED} AS shard, doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws, row_number() OVER (PARTITION BY lang, doc_id % {_SHARED} ORDER BY doc_id) - 1 AS k FROM documents WHERE lang IN ('en', 'fr', 'de') AND text IS NOT NULL),
+b AS (SELECT shard, b, CASE WHEN {_US} < 0.5 THEN 'en' WHEN {_US} < 0.8 THEN 'fr' ELSE 'de' END AS source FROM (SELECT unnest(range({_SHARED})) AS shard), (SELECT unnest(range((SELECT count(*) * 20 FROM documents))) AS b)),
+o AS (SELECT w.shard, b, ws FROM w JOIN (SELECT *, row_number() OVER (PARTITION BY shard, source ORDER BY b) - 1 AS k FROM b) d USING (shard, source, k)),
+t AS (SELECT shard, token, row_number() OVER (PARTITION BY shard ORDER BY b, i) - 1 AS g FROM (SELECT shard, b, unnest(ws) AS token, generate_subscripts(ws, 1) AS i FROM o))
+SELECT shard::INT AS shard, g // {_SIZE} AS block_no, count(*) AS n_tokens, sha256(string_agg(token, ' ' ORDER BY g)) AS words FROM t GROUP BY shard, g // {_SIZE}"""
+)
+def stream_shared_buffer(spark: SparkSession, d: str) -> DataFrame:
+    """Documents drawn by weight through one buffer for all sources, over restarts and to the end."""
+    got = _in_parts(spark, d, lambda stream: mixture.packed_shared(stream, _WEIGHTS, _SIZE, _SEED, _SHARED, together=16), _SHARED)
+    return got.select("shard", "block_no", F.size("tokens").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", "tokens"), 256).alias("words"))
+
+
 _WORDS = 60
 
 

@@ -59,8 +59,10 @@ def append_new(df: DataFrame, path: str, keys: Sequence[str]) -> int:
 
 
 def yaml_text(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """rows with yaml, the fields as a flat YAML document."""
-    lines = [F.concat(F.lit(f"{f}: "), F.coalesce(F.col(f).cast("string"), F.lit("null"))) for f in fields]
+    """rows with yaml, the fields as a YAML document; structs, arrays and maps stand in flow style, nested as they are."""
+    nested = {f.name for f in rows.schema if f.dataType.typeName() in ("struct", "array", "map")}
+    text = lambda f: F.to_json(f, {"ignoreNullFields": "false"}) if f in nested else F.col(f).cast("string")
+    lines = [F.concat(F.lit(f"{f}: "), F.coalesce(text(f), F.lit("null"))) for f in fields]
     return rows.withColumn("yaml", F.concat(F.concat_ws("\n", *lines), F.lit("\n")))
 
 

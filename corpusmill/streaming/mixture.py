@@ -143,6 +143,104 @@ def packed_mixture(
     return rows.groupBy("source", "shard").transformWithStateInPandas(processor, SCHEMA, "append", "None")
 
 
+class SharedPacking(StatefulProcessor):
+    """The blocks of one shard, whose sources share one buffer: each draw takes a document of a source.
+
+    A source's k-th document in the shard belongs to the k-th draw of the source. A document goes on to the buffer when no document of an earlier
+    draw can come any more; until then it waits.
+    """
+
+    def __init__(self, weights: dict[str, float], size: int, seed: int | str, samples: int | None, together: int, tokenise: Callable[[list[str]], list[list[str]]], rest: bool):
+        self.weights, self.size, self.seed, self.samples, self.together, self.tokenise, self.with_rest = weights, size, seed, samples, together, tokenise, rest
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.words = handle.getValueState("words", "words array<string>, blocks long")
+        self.texts = handle.getListState("texts", "text string")
+        self.waiting = handle.getListState("waiting", "number long, text string")
+        self.sources = handle.getMapState("sources", "source string", "number long, ended boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        (shard,) = key
+        draws = Draws(self.weights, f"{self.seed}-{shard}", 1)
+        frame = pd.concat(list(rows)).sort_values("pos", kind="stable", na_position="last")
+        # By source the number of its next draw, found when it is needed, and whether it has ended.
+        next_ = {name: (-1, False) for name, _ in draws.ends}
+        for (name,), (number, ended) in self.sources.iterator():
+            next_[name] = (number, bool(ended))
+        number_of = lambda name: draws.after(next_[name][0] + 1, 0, name, 0)[0]
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        for source, text, last in zip(frame["source"], frame["text"], frame["ended"], strict=True):
+            before, ended = next_[source]
+            if ended:
+                continue
+            if last:
+                next_[source] = (before, True)
+            elif text is not None:
+                number = number_of(source)
+                next_[source] = (number, False)
+                waiting.append((number, text))
+        open_ = [number_of(name) for name, (_, ended) in next_.items() if not ended]
+        frontier = min(open_, default=None)
+        waiting.sort()
+        ready = [t for n, t in waiting if frontier is None or n < frontier]
+        waiting = waiting[len(ready) :]
+
+        words, blocks = self.words.get() if self.words.exists() else ([], 0)
+        words, out = list(words), []
+        texts = [t for (t,) in self.texts.get()] if self.texts.exists() else []
+        texts += ready
+        whole = len(texts) if frontier is None else len(texts) // self.together * self.together
+        for at in range(0, whole, self.together):
+            for tokens in self.tokenise(texts[at : min(at + self.together, whole)]):
+                words.extend(tokens)
+            full = len(words) // self.size * self.size
+            out += [words[i : i + self.size] for i in range(0, full, self.size)]
+            words = words[full:]
+        if frontier is None and self.with_rest and words:
+            out.append(words)
+            words = []
+        if self.samples is not None:
+            out = out[: max(0, self.samples - blocks)]
+        for name, (number, ended) in next_.items():
+            self.sources.updateValue((name,), (number, ended))
+        for state, held in ((self.texts, [(t,) for t in texts[whole:]]), (self.waiting, waiting)):
+            if held:
+                state.put(held)
+            else:
+                state.clear()
+        self.words.update((words, blocks + len(out)))
+        if out:
+            yield pd.DataFrame([(shard, blocks + i, tokens) for i, tokens in enumerate(out)], columns=["shard", "block_no", "tokens"])
+
+    def close(self) -> None:
+        pass
+
+
+def packed_shared(
+    docs: DataFrame,
+    weights: dict[str, float],
+    size: int,
+    seed: int | str,
+    shards: int = 1,
+    samples: int | None = None,
+    together: int = 512,
+    tokenise: Callable[[list[str]], list[list[str]]] = split_words,
+    rest: bool = True,
+) -> DataFrame:
+    """shard, block_no and tokens of blocks of size tokens through one buffer for all sources: documents are drawn by weight, one after the other, and packed without regard to their source.
+
+    docs as in packed_mixture(). Each shard draws for itself, as a worker with a seed of its own. What comes out doesn't hang on how the documents are divided into triggers, so long as a shard's documents of a source come in order of pos:
+    one waits in the state until every source's documents of earlier draws are there or the source has ended. A source that has ended isn't drawn any more. samples bounds the blocks of each shard.
+    """
+    names = [name for name, _ in normalized(weights)]
+    shard = F.pmod(F.col("pos"), F.lit(shards)).cast("int")
+    if "shard" in docs.columns:
+        shard = F.coalesce(F.col("shard"), shard).cast("int")
+    rows = docs.where(F.col("source").isin(names)).select(shard.alias("shard"), "source", "pos", "text", F.coalesce("ended", F.lit(False)).alias("ended"))
+    processor = SharedPacking(weights, size, seed, samples, together, tokenise, rest)
+    return rows.groupBy("shard").transformWithStateInPandas(processor, "shard int, block_no long, tokens array<string>", "append", "None")
+
+
 def ends(spark: SparkSession, sources: list[str], shards: int) -> DataFrame:
     """A row with ended for each shard of each source, to come after its last document: source, shard, pos, text and ended."""
     rows = [(s, k, None, None, True) for s in sources for k in range(shards)]

@@ -109,3 +109,20 @@ def test_density_of_nothing(spark):
     assert density.gaussian(spark.createDataFrame([("a", None)], "g string, v double"), "v", "g").count() == 0
     with pytest.raises(ValueError):
         density.gaussian(spark.createDataFrame([("a", 1.0)], "g string, v double"), "v", "g", points=1)
+
+
+def test_ablation_against_numpy(spark):
+    from corpusmill.operators import ablation
+
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 3, (rng.normal(size=6) + [3 * (i % 3), 0, 0, 0, 0, 1]).tolist()) for i in range(90)] + [(90, None, [1.0] * 6), (91, 1, None)]
+    got = {r.condition: r for r in ablation.scored(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), {"first": [0], "last": [4, 5]}).collect()}
+    x, y = np.array([r[2] for r in rows[:90]]), np.array([r[1] for r in rows[:90]])
+    centres = np.array([x[y == k].mean(axis=0) for k in range(3)])
+    for name, units in (("", []), ("first", [0]), ("last", [4, 5])):
+        z = x.copy()
+        z[:, units] = 0
+        accuracy = (((z[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1) == y).mean()
+        assert got[name].n == 90 and got[name].accuracy == pytest.approx(accuracy)
+        assert got[name].delta_accuracy == pytest.approx(accuracy - got[""].accuracy)
+    assert got["first"].delta_accuracy < -0.3

@@ -94,3 +94,33 @@ def test_generator_goes_on(spark):
     assert counts == [4, 6, 6, 6]
     assert rows == list(enumerate(["the cat sees", "the dog sees", "the owl sees", "a cat sees", "a dog sees", "a owl sees"]))
     assert generator.sentences(spark.range(2).select(F.col("id").alias("number")), slots).count() == 2
+
+
+@pytest.mark.parametrize(("samples", "rest"), [(None, True), (6, False)])
+def test_shared_buffer_hangs_on_order_only(spark, samples, rest):
+    """Two ways to divide the documents into triggers give the blocks of the whole; what waits for slower sources isn't lost."""
+    rng = random.Random(8)
+    docs = [(rng.choice(["a", "a", "a", "b"]), pos, rng.choice([None, "", " ".join(f"w{pos}-{i}" for i in range(rng.randint(1, 25)))])) for pos in range(50)]
+    want = []
+    for shard in range(2):
+        draws, words, numbered = mixture.Draws(WEIGHTS, f"3-{shard}", 1), [], []
+        for source in ("a", "b"):
+            number = -1
+            for _, pos, text in (d for d in docs if d[0] == source and d[1] % 2 == shard and d[2] is not None):
+                number = draws.after(number + 1, 0, source, 0)[0]
+                numbered.append((number, text))
+        for _, text in sorted(numbered):
+            words += text.split()
+        blocks = [words[i : i + 8] for i in range(0, len(words), 8)]
+        blocks = [b for b in blocks if rest or len(b) == 8][:samples]
+        want += [(shard, i, b) for i, b in enumerate(blocks)]
+    for cuts in ([50], [7, 30, 31, 50]):
+        folder, out, checkpoint = (new_folder(spark, n) for n in ("in", "out", "checkpoint"))
+        begin = 0
+        for cut in [*cuts, None]:
+            rows = mixture.ends(spark, ["a", "b"], 2) if cut is None else spark.createDataFrame([(s, None, p, t, False) for s, p, t in docs[begin:cut]], SCHEMA)
+            begin = cut
+            rows.coalesce(1).write.mode("append").parquet(folder)
+            stream = spark.readStream.schema(SCHEMA).parquet(folder)
+            got = mixture.run(mixture.packed_shared(stream, WEIGHTS, 8, 3, 2, samples, together=4, rest=rest), out, checkpoint)
+        assert sorted((r.shard, r.block_no, r.tokens) for r in got.collect()) == want
