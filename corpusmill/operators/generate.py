@@ -8,6 +8,7 @@ of the product is made by explode inside each task, without a join.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -202,12 +203,16 @@ def transitivity(
     )
 
 
-def distractors(spark: SparkSession) -> DataFrame:
+#: Moved nouns, objects that fit each verb, relativisers, whether the nouns are animate, whether the verbs expect that.
+MISFITS = ((L.ANIMATE_1, L.INANIMATE_OBJECTS, ["that", "who"], "animate", "no"), (L.INANIMATE_1, L.ANIMATE_OBJECTS, ["that"], "inanimate", "yes"))
+
+
+def distractors(spark: SparkSession, misfits: Sequence[tuple] = MISFITS, n2: Sequence[str] = L.ANIMATE_2, tails: Sequence[str] = L.TAILS) -> DataFrame:
     """Relative clauses whose verb doesn't fit the moved noun, with the objects that would."""
     parts = []
-    for n1, objects, rels, animacy, expects in ((L.ANIMATE_1, L.INANIMATE_OBJECTS, ["that", "who"], "animate", "no"), (L.INANIMATE_1, L.ANIMATE_OBJECTS, ["that"], "inanimate", "yes")):
+    for n1, objects, rels, animacy, expects in misfits:
         verbs = [(v, "|".join(f"the {o}" for o in os)) for v, os in objects.items()]
-        rows = product(spark, {"n1": options(n1), "n2": options(L.ANIMATE_2), "v": records(verbs, ("verb", "plausible_objects")), "rel": options(rels), "tail": options(L.TAILS)})
+        rows = product(spark, {"n1": options(n1), "n2": options(n2), "v": records(verbs, ("verb", "plausible_objects")), "rel": options(rels), "tail": options(tails)})
         core = sentence(F.lit("The"), "n1", "rel", F.lit("the"), "n2", "verb")
         parts.append(
             rows.where("n1 <> n2").select(
@@ -215,7 +220,7 @@ def distractors(spark: SparkSession) -> DataFrame:
                 F.lit(animacy).alias("moved_np_animacy"), F.lit(expects).alias("verb_expects_animate"),
             )
         )
-    return parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def candidates(spark: SparkSession, kind: str = "clause", vocab: str | dict = "iv") -> DataFrame:

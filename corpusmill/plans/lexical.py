@@ -9,7 +9,7 @@ from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import evaluate, experiments, factorial, masses, mixed, scoring
 from ..operators import generate as G
-from ..operators.order import numbered
+from ..operators.order import numbered, quantiles
 from ..sources.tables import stored
 from .base import table
 from .catalog import query
@@ -218,3 +218,90 @@ def grid_of_sources(spark: SparkSession, d: str) -> DataFrame:
     """A run for each source, language and rate, numbered."""
     values = lambda c: [r[0] for r in table(spark, d, "documents").where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).collect()]  # noqa: E731  (axes of a grid)
     return G.grid(spark, {"source": values("source"), "lang": values("lang"), "lr": [0.1, 0.01]}).withColumn("exp", F.col("exp").cast("long"))
+
+
+@query(
+    f"WITH {_BASE}, {_QUADS}, ones AS (SELECT DISTINCT item % 3 AS checkpoint, item, filler, gap, y FROM items WHERE gap = 1) "
+    "SELECT checkpoint, round(avg(exp(-y)) FILTER (WHERE filler = 1) - avg(exp(-y)) FILTER (WHERE filler = 0), 9) AS difference FROM ones GROUP BY checkpoint"
+)
+def mass_difference_of_words(spark: SparkSession, d: str) -> DataFrame:
+    """Mean mass of what follows the gap with a filler less that without, for each third of the items."""
+    p = F.exp(-F.col("y"))
+    side = lambda f: F.avg(F.when(F.col("filler") == f, p))
+    rows = _scored_quads(spark, d).where("gap = 1").groupBy((F.col("item") % 3).alias("checkpoint")).agg((side(1) - side(0)).alias("difference"))
+    return rows.withColumn("difference", F.round("difference", 9))
+
+
+_CHOICES = 4
+
+
+@query(
+    rf"""WITH {_BASE}, t AS (SELECT conv_id, turn, role, conv_id % {_CHOICES} AS gold, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')[-1] AS last FROM conversations),
+s AS (SELECT last, word, k, round(ln(sqrt({_prob("last", "'the'")} * {_prob("'the'", "word")})), 9) AS lp FROM (SELECT DISTINCT last FROM t WHERE last IS NOT NULL), nouns WHERE k < {_CHOICES}),
+b AS (SELECT last, k FROM s QUALIFY row_number() OVER (PARTITION BY last ORDER BY lp DESC, word) = 1), r AS (SELECT role, CASE WHEN gold = k THEN 1 ELSE 0 END AS ok FROM t JOIN b USING (last))
+SELECT coalesce(role, 'ALL') AS category, count(*) AS n, sum(ok)::BIGINT AS n_correct, round(avg(ok), 6) AS accuracy FROM r GROUP BY ROLLUP(role)"""
+)
+def cloze_of_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Which of four noun phrases goes on best after each turn, by the geometric mean of their words."""
+    w = _Words(spark, d)
+    turns = stored(
+        table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("item"), F.col("role").alias("category"), (F.col("conv_id") % _CHOICES).alias("gold"), T.last_word(F.lower("text")).alias("last")).where("last is not null"), "cloze-turns"
+    )
+    phrases = [f"the {n}" for n in w.nouns[:_CHOICES]]
+    cases = turns.select("last").distinct().select("last", F.explode(G.options(phrases)).alias("phrase"))
+    scored = turns.select("item", "last").join(masses.phrase_masses(cases, w.scorer()), "last").select("item", F.col("phrase").alias("cand"), F.round(F.ln("mass"), 9).alias("logp"))
+    scores = F.map_from_entries(F.array_sort(F.array(*(F.struct(F.lit(p).alias("key"), (F.col("gold") == k).cast("double").alias("value")) for k, p in enumerate(phrases)))))
+    got = evaluate.cloze_accuracy(turns.select("item", "category", scores.alias("target_scores")), scored)
+    return got.withColumn("accuracy", F.round("accuracy", 6))
+
+
+_MISFIT = f"""dd AS (SELECT 'The ' || a.word || ' ' || rel || ' the ' || b.word || ' ' || vb.word AS core, o.word AS tail, vb.word AS verb, a.word AS moved FROM nouns a, nouns b, verbs vb, (SELECT unnest(['that', 'who']) AS rel), others o
+  WHERE a.k < 3 AND b.k >= 2 AND vb.k < 3 AND a.word <> b.word)"""
+
+
+@query(
+    f"WITH {_BASE}, {_MISFIT}, ct AS (SELECT word AS token, count(*) AS n FROM (SELECT unnest(ws) AS word FROM dw) GROUP BY word), t AS (SELECT sum(n) AS n_all, count(*) AS n_vocab FROM ct), "
+    "e AS (SELECT core, tail, verb, moved, word AS object FROM dd, nouns WHERE k BETWEEN 3 AND 5), "
+    "r AS (SELECT core, tail, verb, any_value((coalesce(m.n, 0) + 1.0::DOUBLE) / (n_all + n_vocab + 1)) AS p_moved, avg((coalesce(k.n, 0) + 1.0::DOUBLE) / (n_all + n_vocab + 1)) AS p_objects FROM e LEFT JOIN ct m ON m.token = moved LEFT JOIN ct k ON k.token = object, t GROUP BY core, tail, verb) "
+    "SELECT coalesce(verb, 'ALL') AS verb, count(*) AS n, round(avg(p_moved), 9) AS moved_mean, round(avg(p_objects), 9) AS objects_mean, round(median(p_moved - p_objects), 9) AS difference_median FROM r GROUP BY ROLLUP(verb)"
+)
+def distractor_mass_of_words(spark: SparkSession, d: str) -> DataFrame:
+    """Mass of the moved noun against the mean of objects that would fit, by verb and over all."""
+    w = _Words(spark, d)
+    rows = G.distractors(spark, [(w.nouns[:3], {v: w.nouns[3:6] for v in w.verbs[:3]}, ["that", "who"], "animate", "no")], w.n2, w.others)
+    scorer = scoring.UnigramScorer(w.words.select(F.explode("words").alias("token")), k=1.0)
+    items = rows.select("sentence", T.last_word("pre_gap_text").alias("verb"), T.last_word("moved_np").alias("moved"), F.transform(T.split_multi("plausible_objects"), lambda o: T.last_word(o)).alias("objects"))
+    words = items.select("moved").union(items.select(F.explode("objects"))).distinct().withColumnRenamed("moved", "token")
+    masses_ = scorer.score(words).select("token", F.exp("logp").alias("p"))
+    each = items.select("sentence", "verb", "moved", F.explode("objects").alias("object"))
+    full = each.join(masses_.select(F.col("token").alias("moved"), F.col("p").alias("a")), "moved").join(masses_.select(F.col("token").alias("object"), F.col("p").alias("b")), "object")
+    per = stored(full.groupBy("sentence", "verb").agg(F.first("a").alias("a"), F.avg("b").alias("b")), "distractor-masses")
+    means = per.rollup("verb").agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("moved_mean"), F.avg("b").alias("objects_mean"), F.grouping("verb").alias("_all"))
+    means = means.select(F.when(F.col("_all") == 1, "ALL").otherwise(F.col("verb")).alias("verb"), "n", "moved_mean", "objects_mean")
+    levels = per.select(F.explode(F.array("verb", F.lit("ALL"))).alias("verb"), (F.col("a") - F.col("b")).alias("difference"))
+    return _nine(means.join(quantiles(levels, "difference", {"difference_median": 0.5}, "verb"), "verb"), "verb", "n")
+
+
+@query(
+    f"WITH {_BASE}, f AS (SELECT CASE WHEN filler = 1 AND gap = 1 THEN 'wh_gap' WHEN filler = 1 THEN 'wh_no_gap' WHEN gap = 1 THEN 'no_wh_gap' ELSE 'no_wh_no_gap' END AS cell, CASE WHEN gap = 1 THEN o.word ELSE ob.word END AS post, "
+    f"((((a.k * 2 + b.k - 4) * {OTHERS} + o.k) * {_NP} + prep.k) * 15 + verbs.k * 5 + ob.k) % 3 = 0 AS empty "
+    f"FROM nouns a, nouns b, others o, (VALUES {_PREP}) AS prep(p, k), verbs, nouns ob, (VALUES (1, 1), (0, 1), (1, 0), (0, 0)) AS f(filler, gap) WHERE a.k < 3 AND b.k BETWEEN 4 AND 5 AND verbs.k < 3 AND ob.k < 5) "
+    "SELECT cell, post || CASE WHEN empty THEN '.' ELSE '' END AS filled, count(*) AS n FROM f GROUP BY ALL"
+)
+def filled_gaps_of_words(spark: SparkSession, d: str) -> DataFrame:
+    """Condition labels, and what follows the gap from the sentence where it is empty."""
+    w = _Words(spark, d)
+    quads = G.factorial_clauses(spark, {"n1": w.nouns[:3], "n2": w.nouns[4:6], "tails": w.others, "objects": {v: w.nouns[:5] for v in w.verbs[:3]}})
+    post = F.when(F.col("quadruplet_id") % 3 == 0, "").otherwise(F.col("post_gap_text"))
+    rows = quads.select(factorial.cell_name().alias("cell"), factorial.post_gap(post, F.col("sentence"), F.col("pre_gap_text")).alias("filled"))
+    return rows.groupBy("cell", "filled").agg(F.count(F.lit(1)).alias("n"))
+
+
+_IRREGULAR = "CASE word " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in T.IRREGULAR.items()) + " ELSE word || 's' END"
+
+
+@query(rf"WITH w AS (SELECT DISTINCT lower(unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))) AS word FROM conversations) SELECT word, {_IRREGULAR} AS plural, CASE WHEN word LIKE '%s' THEN word || 'es' ELSE word || 's' END AS third FROM w")
+def regular_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Plurals and third persons of the words of the conversations."""
+    words = table(spark, d, "conversations").select(F.explode(T.words("text")).alias("w")).select(F.lower("w").alias("word")).distinct()
+    return words.select("word", T.pluralize("word").alias("plural"), T.third_person("word").alias("third"))
