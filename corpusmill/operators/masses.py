@@ -17,7 +17,7 @@ from ..sources.tables import stored
 from . import scoring
 from .evaluate import rollup_summary
 from .generate import options
-from .order import quantiles
+from .order import quantiles_of_counts
 
 
 def phrase_masses(rows: DataFrame, scorer: scoring.CountScorer) -> DataFrame:
@@ -34,10 +34,12 @@ def sites(sentences: DataFrame, verbs: Sequence[str], column: str = "sentence")
 
 
 def _means(rows: DataFrame, columns: dict[str, str], name: str) -> DataFrame:
-    """One row: mean of each column under its new name, median under it with _median, nulls left out; name is of one group."""
-    out = rows.agg(F.count(F.lit(1)).alias("roi_count"), *(F.avg(c).alias(n) for c, n in columns.items())).withColumn("_one", F.lit(0))
+    """One row: mean of each column under its new name, median under it with _median, nulls left out; a row stands for n alike, name is of one group."""
+    mean = lambda c: F.sum(F.col("n") * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), F.col("n")))
+    out = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("roi_count"), *(mean(c).alias(n) for c, n in columns.items())).withColumn("_one", F.lit(0))
     for c, n in columns.items():
-        cut = quantiles(rows.select(F.lit(0).alias("_one"), F.col(c).alias("_v")), "_v", {f"{n}_median": 0.5}, "_one")
+        counts = rows.where(F.col(c).isNotNull()).groupBy(F.lit(0).alias("_one"), F.col(c).cast("double").alias("_v")).agg(F.sum("n").alias("_n"))
+        cut = quantiles_of_counts(counts, {f"{n}_median": 0.5}, "_one")
         out = out.join(cut, "_one", "left")
     return out.withColumn("structure", F.lit(name)).drop("_one")
 
@@ -60,8 +62,7 @@ def moved_embedded_vocabulary(sentences: DataFrame, verbs: Sequence[str], nouns:
     full = rows.join(of("moved", "target"), ["last", "moved"]).join(of("embedded", "embedded_mass"), ["last", "embedded"], "left").join(every, "last")
     left = F.map_values(F.map_filter("_all", lambda k, _: (k != F.col("moved_head")) & ~F.coalesce(k == F.col("embedded_head"), F.lit(False))))
     full = full.withColumn("vocab", F.when(F.size(left) > 0, F.aggregate(left, F.lit(0.0), lambda a, x: a + x) / F.size(left))).where("vocab is not null")
-    each = full.select("target", "embedded_mass", "vocab", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("col")
-    got = _means(stored(each, "np-rows"), {"target": "target_mass", "embedded_mass": "embedded_mass", "vocab": "vocab_mass"}, "orc")
+    got = _means(stored(full.select("target", "embedded_mass", "vocab", "n"), "np-rows"), {"target": "target_mass", "embedded_mass": "embedded_mass", "vocab": "vocab_mass"}, "orc")
     return got.withColumns(
         {"target_minus_vocab": F.col("target_mass") - F.col("vocab_mass"), "target_minus_embedded": F.col("target_mass") - F.col("embedded_mass"), "embedded_minus_vocab": F.col("embedded_mass") - F.col("vocab_mass")}
     )
@@ -84,7 +85,7 @@ def target_and_comparator(contexts: DataFrame, comparators: Sequence[str], score
     mean = lambda words: sum((F.element_at("_m", F.lit(w)) for w in words), F.lit(0.0)) / len(words)
     own = lambda c: F.element_at(F.col("_m"), c)
     target, head = (mean(targets), mean([t.split()[-1] for t in targets])) if targets else (own(F.col("phrase")), own(T.last_word("phrase")))
-    each = rows.join(table, "last").select(target.alias("t"), head.alias("h"), own(F.lit("the")).alias("the"), mean(comparators).alias("c"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("col")
+    each = rows.join(table, "last").select(target.alias("t"), head.alias("h"), own(F.lit("the")).alias("the"), mean(comparators).alias("c"), "n")
     got = _means(stored(each, "target-rows"), {"t": "target_mass", "h": "target_head_mass", "the": "the_mass", "c": "comparator_mass"}, structure)
     return got.drop("the_mass_median").withColumn("target_minus_comparator", F.col("target_mass") - F.col("comparator_mass"))
 
