@@ -27,22 +27,26 @@ from .common import BLOCK_CHARS, Codes, blocks, opened, spread, stored
 #: Bytes of distinct words that are worked on at a time.
 WORK_BYTES = 1 << 20
 #: Buckets of words for each shuffle partition of the session.
-BUCKETS = 16
+BUCKETS = 4
 #: Bytes of text of a block, and documents that are compressed together.
 BLOCK, TOGETHER = 2 * BLOCK_CHARS, 256
+#: Buckets beyond which a block's text grows with them, up to eight times, so that a row of a block and bucket keeps its size.
+FULL = 2048
 
 
 def packed(parts: list[bytes]) -> bytes:
-    """Byte strings as one: their lengths, then all of them."""
+    """Byte strings as one: how many bytes a length takes, their number, their lengths, then all of them."""
     lengths = np.fromiter(map(len, parts), "<u4", len(parts))
-    return zstandard.ZstdCompressor(level=1).compress(len(parts).to_bytes(4, "little") + lengths.tobytes() + b"".join(parts))
+    wide = 4 if len(parts) and lengths.max() > 255 else 1
+    return zstandard.ZstdCompressor(level=3).compress(bytes([wide]) + len(parts).to_bytes(4, "little") + lengths.astype(f"<u{wide}").tobytes() + b"".join(parts))
 
 
 def unpacked(raw: bytes) -> list[bytes]:
     raw = zstandard.ZstdDecompressor().decompress(raw)
-    n = int.from_bytes(raw[:4], "little")
-    ends = (np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n).tolist()
-    return [raw[i:j] for i, j in zip([4 + 4 * n, *ends], ends)]
+    wide, n = raw[0], int.from_bytes(raw[1:5], "little")
+    first = 5 + wide * n
+    ends = (np.cumsum(np.frombuffer(raw, f"<u{wide}", n, 5), dtype=np.int64) + first).tolist()
+    return [raw[i:j] for i, j in zip([first, *ends], ends)]
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -100,11 +104,12 @@ def split_blocks(docs: DataFrame, splitter: Callable[[], Callable[[str], list[st
     their words, in order or, if counted, each once and how often. splitter() gives, on the executor, the function that splits a text.
     """
     buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block_bytes = BLOCK * min(8, max(1, buckets // FULL))  # an Arrow batch at most
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of, block = splitter(), TaskContext.get().partitionId() << 36
         names = ["block", "bucket", "words", "doc_ids", "n_bytes", "pressed"]
-        for batch, texts in blocks(batches, size=BLOCK):
+        for batch, texts in blocks(batches, size=block_bytes):
             codes, held, times = Codes(), [], []
             for text in texts:
                 held.append(codes.of(words_of(text)) if text else np.zeros(0, np.int32))
