@@ -58,7 +58,7 @@ def vocabulary(words: DataFrame) -> DataFrame:
     """
     at = (F.col("pos").cast("decimal(28,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("word_no").cast("decimal(10,0)")).cast("decimal(38,0)")
     seen = words.groupBy("word").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("freq"))
-    return numbered(seen, "at", "idx").select("word", "idx", "freq")
+    return numbered(seen, "at", "idx", settled=True).select("word", "idx", "freq")
 
 
 def encoded(words: DataFrame, vocab: DataFrame, unknown: int = -1) -> DataFrame:

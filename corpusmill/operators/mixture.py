@@ -36,7 +36,7 @@ def _draws(df: DataFrame, n: int, name: str, weights: dict[str, float], seed: in
     """n numbered draws of a source, and which one of its source each is."""
     rows = df.sparkSession.range(n).select(F.col("id").alias(name))
     rows = rows.withColumn("source", drawn(uniform(name, seed), weights))
-    return numbered(rows, name, "_k", by="source")
+    return numbered(rows, name, "_k", by="source", settled=True)
 
 
 def _places(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:

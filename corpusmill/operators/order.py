@@ -34,10 +34,10 @@ def _sum_before(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         total = int(ends[-1]) if len(ends) else total
 
 
-def _ranged(df: DataFrame, order: list[str], ranges: int | None, value: str | None) -> DataFrame:
+def _ranged(df: DataFrame, order: list[str], ranges: int | None, value: str | None, settled: bool) -> DataFrame:
     """df with _part, the number of the row's range, _at, its place there, and _run, the sum of value before it there."""
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = stored(df, "order-rows").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = (df if settled else stored(df, "order-rows")).repartitionByRange(n, *order).sortWithinPartitions(*order)
     rows = rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PART))})
     return stored(rows if value is None else rows.withColumn("_run", _sum_before(F.col(value).cast("long"))), "order-ranges")
 
@@ -58,19 +58,22 @@ def _with_base(rows: DataFrame, size: Column, here: str, by: str | None, total:
     return rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, [*apart, "_part"])
 
 
-def numbered(df: DataFrame, key: str, name: str, ties: tuple[str, ...] = (), ranges: int | None = None, total: str | None = None, by: str | None = None) -> DataFrame:
+def numbered(df: DataFrame, key: str, name: str, ties: tuple[str, ...] = (), ranges: int | None = None, total: str | None = None, by: str | None = None, settled: bool = False) -> DataFrame:
     """df with name, the running number from 0 in order of key, then ties; under total the number of rows.
 
-    With by, the rows of each of its values are numbered apart; a frequent value still lies in several ranges.
+    With by, the rows of each of its values are numbered apart; a frequent value still lies in several ranges. settled says that df is a stored table, an aggregate or as cheap
+    to work out: it is then read twice, to find the ranges and to deal its rows to them, instead of being written first.
     """
-    rows = _ranged(df, [*([by] if by else []), key, *ties], ranges, None)
+    rows = _ranged(df, [*([by] if by else []), key, *ties], ranges, None, settled)
     rows = _with_base(rows, F.count(F.lit(1)), "_at", by, total)
     return rows.withColumn(name, F.col("_base") + F.col("_at")).drop("_part", "_at", "_base")
 
 
-def running_sum(df: DataFrame, key: str, value: str, name: str, ties: tuple[str, ...] = (), ranges: int | None = None, total: str | None = None, by: str | None = None) -> DataFrame:
-    """df with name, the sum of value (integers) over all rows before the row in order of key, then ties; under total the whole sum. by as in numbered()."""
-    rows = _ranged(df, [*([by] if by else []), key, *ties], ranges, value)
+def running_sum(
+    df: DataFrame, key: str, value: str, name: str, ties: tuple[str, ...] = (), ranges: int | None = None, total: str | None = None, by: str | None = None, settled: bool = False
+) -> DataFrame:
+    """df with name, the sum of value (integers) over all rows before the row in order of key, then ties; under total the whole sum. by and settled as in numbered()."""
+    rows = _ranged(df, [*([by] if by else []), key, *ties], ranges, value, settled)
     rows = _with_base(rows, F.sum(value), "_run", by, total)
     return rows.withColumn(name, F.col("_base") + F.col("_run")).drop("_part", "_at", "_run", "_base")
 
@@ -86,7 +89,7 @@ def quantiles(rows: DataFrame, value: str, shares: dict[str, float], by: str) ->
 
 def quantiles_of_counts(counts: DataFrame, shares: dict[str, float], by: str) -> DataFrame:
     """quantiles() from a row for each by and value, _v, that says how often it stands there, _n."""
-    placed = running_sum(counts, "_v", "_n", "_before", total="_all", by=by)
+    placed = running_sum(counts, "_v", "_n", "_before", total="_all", by=by, settled=True)
     at = {name: F.lit(float(share)) * (F.col("_all") - 1) for name, share in shares.items()}
     holds = lambda place: (place >= F.col("_before")) & (place < F.col("_before") + F.col("_n"))
     sides = {}
