@@ -59,7 +59,7 @@ def test_run_and_registration(spark, sf):
     import __spark_entry__
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", q)[0] for q in __spark_entry__.queries() if re.match(r"op\d+_", q)}
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", q)[0] for q in __spark_entry__.queries() if re.match(r"op\d+_", q)}
     assert corpus_pipeline.run(spark, sf).count() > 0
 
 
@@ -71,7 +71,7 @@ def test_odd_rows_go_through(spark, odd_docs, no_docs, sf):
 
 
 @pytest.mark.parametrize(
-    "name", ["op1_exact_dedup", "op2_language_id", "op3_token_counts", "op4_html_text", "op5_simhash", "op6_warc", "op7_top_k", "op8_packing", "op9_byte_bpe", "op10_quality", "pipeline"]
+    "name", ["op1_exact_dedup", "op2_language_id", "op3_token_counts", "op4_html_text", "op5_simhash", "op6_warc", "op7_top_k", "op8_packing", "op9_byte_bpe", "op10_quality", "op11_vector_codes", "op12_token_alignment", "op13_target_mix", "pipeline"]
 )
 def test_queries_over_empty_tables(spark, sf, tmp_path, name):
     import __spark_entry__
