@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -174,8 +175,9 @@ def evaluated(spark: SparkSession, step: int, name: str, path: str) -> DataFrame
             raise ValueError(f"no evaluator {name}")
         got = REGISTRY[name](spark.read.parquet(path))
         return stored(got.select(*head, F.col("key").cast("string").alias("key"), F.col("value").cast("double").alias("value"), F.lit(None).cast("string").alias("error")), "evaluated")
-    except (PySparkException, ValueError) as e:
-        reason = str(e).splitlines()[0][:300] if str(e) else type(e).__name__
+    except (PySparkException, Py4JJavaError, ValueError) as e:
+        said = [line.lstrip(": ") for line in str(e).splitlines() if line.strip() and not line.startswith("An error occurred while calling")]
+        reason = said[0][:300] if said else type(e).__name__
         return spark.createDataFrame([(step, name, None, None, reason)], RESULTS)
 
 

@@ -11,7 +11,6 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,15 +75,14 @@ class Cutter:
         return got
 
 
-_cutters: dict[tuple, Cutter] = {}
+_held: list = []
 
 
-def _cutter(shared: Broadcast, mark: str, leading_space: bool) -> Cutter:
-    key = (shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else id(shared.value), mark, leading_space)
-    if key not in _cutters:
-        _cutters.clear()  # one vocabulary at a time
-        _cutters[key] = Cutter(shared.value, mark, leading_space)
-    return _cutters[key]
+def _cutter(entries: dict[str, int], mark: str, leading_space: bool) -> Cutter:
+    """The worker's one cutter: made anew for other entries than those that it holds."""
+    if not _held or _held[0] is not entries or _held[1:3] != [mark, leading_space]:
+        _held[:] = [entries, mark, leading_space, Cutter(entries, mark, leading_space)]
+    return _held[3]
 
 
 def tokens(texts: DataFrame, key: str, vocabulary: DataFrame, text: str = "text", mark: str = "▁", leading_space: bool = False, most: int = MOST) -> DataFrame:
@@ -99,7 +97,7 @@ def tokens(texts: DataFrame, key: str, vocabulary: DataFrame, text: str = "text"
 
     @F.pandas_udf("array<struct<token:string,id:int,start:int,end:int>>")
     def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cutter = _cutter(shared, mark, leading_space)
+        cutter = _cutter(shared.value, mark, leading_space)
         for part in parts:
             yield part.map(lambda t: None if t is None else [{"token": a, "id": b, "start": c, "end": d} for a, b, c, d in cutter(t)])
 
