@@ -15,6 +15,10 @@ from ..sources.tables import stored
 from .order import numbered
 
 
+#: Rows of a sample that one task sorts at most.
+TAKEN = 100_000
+
+
 def draw(key: Column | str, seed: int | str) -> Column:
     """The md5 of `seed|key`."""
     key = F.col(key) if isinstance(key, str) else key
@@ -43,9 +47,11 @@ def shuffled(df: DataFrame, key: str, seed: int | str) -> DataFrame:
 
 
 def sample(df: DataFrame, n: int, key: str, seed: int | str, short: str = "all") -> DataFrame:
-    """n rows without replacement. With too few rows: all of them, or an error for short="error"."""
+    """n rows without replacement. With too few rows: all of them, or an error for short="error". Up to TAKEN rows come together in one task; more are found by their place in order."""
     if short == "error" and (there := df.limit(n).count()) < n:
         raise ValueError(f"{n} rows wanted, {there} there")
+    if n > TAKEN:
+        return ranked(df, key, seed, "_place").where(F.col("_place") < n).drop("_place")
     return df.orderBy(draw(key, seed), key).limit(n)
 
 

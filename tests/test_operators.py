@@ -356,3 +356,14 @@ def test_cloze_and_lexicons(spark):
     paths = spark.createDataFrame([("r", "p1", 1), ("r", "p10", 10)], "run string, path string, step long")
     assert evaluate.latest(paths, ["run"]).first()["path"] == "p10"
     assert len(one(spark, T.utc_now())) == 20
+
+
+def test_large_samples_are_those_of_one_task(spark, monkeypatch):
+    from corpusmill.operators import sampling
+
+    rows = spark.range(300).withColumnRenamed("id", "k").repartition(5)
+    for n in (0, 7, 250, 400):
+        small = sorted(r["k"] for r in sampling.sample(rows, n, "k", 9).collect())
+        monkeypatch.setattr(sampling, "TAKEN", -1)
+        assert sorted(r["k"] for r in sampling.sample(rows, n, "k", 9).collect()) == small and len(small) == min(n, 300)
+        monkeypatch.undo()
