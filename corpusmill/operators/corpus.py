@@ -94,7 +94,7 @@ def lexicons(vocab: DataFrame) -> DataFrame:
 
     Without any noun, all words that are no verbs by seed or ending are nouns. An error if either kind stays empty.
     """
-    ws = vocab.select(F.lower("word").alias("word")).distinct()
+    ws = vocab.select(T.lower("word").alias("word")).distinct()
     seed, ended = F.col("word").isin(*T.VERB_SEEDS), T.ends_like("word", T.VERB_ENDINGS)
     nouns, verbs = ws.where(T.ends_like("word", T.NOUN_ENDINGS)), ws.where(seed | ended)
     if nouns.isEmpty():

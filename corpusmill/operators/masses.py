@@ -50,7 +50,7 @@ def moved_embedded_vocabulary(sentences: DataFrame, verbs: Sequence[str], nouns:
     Sentences without a verb or a moved phrase, or with no vocabulary left, don't count; one without an embedded phrase counts for the others.
     """
     ws = T.words("sentence")
-    rows = sites(sentences, verbs).select("sentence", "last", F.lower(T.moved_np(ws, nouns)).alias("moved"), F.lower(T.embedded_np(ws, nouns)).alias("embedded")).where("moved is not null")
+    rows = sites(sentences, verbs).select("sentence", "last", T.lower(T.moved_np(ws, nouns)).alias("moved"), T.lower(T.embedded_np(ws, nouns)).alias("embedded")).where("moved is not null")
     rows = rows.groupBy("last", "moved", "embedded").agg(F.count(F.lit(1)).alias("n"))  # equal cases are worked out once
     rows = stored(rows.withColumns({"moved_head": T.last_word("moved"), "embedded_head": T.last_word("embedded")}), "np-cases")
     noun = F.explode(options(list(vocabulary))).alias("noun")
@@ -110,7 +110,7 @@ def verb_sites(pairs: DataFrame, lexicon: DataFrame, scorer: scoring.CountScorer
     The masses after a word are sums over the lexicon of pair counts, worked out once for each different word.
     """
     verbs = lexicon.where("kind = 'verb'").select(F.col("word").alias("_verb"))
-    rows = pairs.where("target is not null").join(verbs, F.lower("token") == F.col("_verb")).groupBy(F.col("token").alias("prev"), F.col("target").alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    rows = pairs.where("target is not null").join(verbs, T.lower("token") == F.col("_verb")).groupBy(F.col("token").alias("prev"), F.col("target").alias("token")).agg(F.count(F.lit(1)).alias("n"))
     rows = stored(rows, "verb-sites")
     sizes = lexicon.agg(*(F.count_if(F.col("kind") == k).alias(f"_{k}s") for k in ("noun", "verb")))
     listed = scorer.pairs.join(lexicon, scorer.pairs["token"] == lexicon["word"])

@@ -290,7 +290,7 @@ _LONG = "CASE word " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in T.IRREGULAR
 )
 def word_forms(spark: SparkSession, d: str) -> DataFrame:
     """Plurals with irregular forms, replacements in order, phrases without their article."""
-    words = table(spark, d, "benchmark").select(F.explode(T.words("text")).alias("w")).select(F.lower("w").alias("word")).distinct()
+    words = table(spark, d, "benchmark").select(F.explode(T.words("text")).alias("w")).select(T.lower("w").alias("word")).distinct()
     return words.select("word", T.pluralize_long("word").alias("plural"), T.replace_in_order("word", [("ing", "ed"), ("the", "a")]).alias("replaced"), T.strip_article(F.concat(F.lit("The "), "word")).alias("bare"))
 
 

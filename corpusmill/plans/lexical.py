@@ -38,7 +38,7 @@ class _Words:
     """The documents' words in lower case, their scorer and the lists."""
 
     def __init__(self, spark: SparkSession, d: str):
-        self.words = stored(table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.transform(T.words("text"), F.lower).alias("words")), "lexical-words")
+        self.words = stored(table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.transform(T.words("text"), T.lower).alias("words")), "lexical-words")
         counts = self.words.select(F.explode("words").alias("word")).where(F.col("word").rlike("^[a-z][a-z]+$") & ~F.col("word").isin("the", "that", "who", "which")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         verb = F.col("word").rlike(_ENDS["verb"]) | F.col("word").isin(*T.VERB_SEEDS)
         kinds = stored(counts.withColumn("kind", F.when(verb, "verb").when(F.col("word").rlike(_ENDS["noun"]), "noun").otherwise("other")), "lexical-kinds")
@@ -132,7 +132,7 @@ e AS (SELECT slot, last, any_value(n) AS n, avg(g) AS g FROM s GROUP BY slot, la
 def candidate_masses_of_turns(spark: SparkSession, d: str) -> DataFrame:
     """Noun phrases, verbs and the question mark after each turn of the conversations."""
     w = _Words(spark, d)
-    turns = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("item_id"), F.lower("text").alias("text"))
+    turns = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("item_id"), T.lower("text").alias("text"))
     got = evaluate.candidate_masses(turns, G.candidates(spark, "clause", {"adjectives": [], "nouns": w.nouns, "tails": w.verbs}), w.scorer())
     return got.withColumn("mean_mass", F.round("mean_mass", 9))
 
@@ -245,7 +245,7 @@ def cloze_of_turns(spark: SparkSession, d: str) -> DataFrame:
     """Which of four noun phrases goes on best after each turn, by the geometric mean of their words."""
     w = _Words(spark, d)
     turns = stored(
-        table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("item"), F.col("role").alias("category"), (F.col("conv_id") % _CHOICES).alias("gold"), T.last_word(F.lower("text")).alias("last")).where("last is not null"), "cloze-turns"
+        table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("item"), F.col("role").alias("category"), (F.col("conv_id") % _CHOICES).alias("gold"), T.last_word(T.lower("text")).alias("last")).where("last is not null"), "cloze-turns"
     )
     phrases = [f"the {n}" for n in w.nouns[:_CHOICES]]
     cases = turns.select("last").distinct().select("last", F.explode(G.options(phrases)).alias("phrase"))
@@ -303,5 +303,5 @@ _IRREGULAR = "CASE word " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in T.IRRE
 @query(rf"WITH w AS (SELECT DISTINCT lower(unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))) AS word FROM conversations) SELECT word, {_IRREGULAR} AS plural, CASE WHEN word LIKE '%s' THEN word || 'es' ELSE word || 's' END AS third FROM w")
 def regular_forms(spark: SparkSession, d: str) -> DataFrame:
     """Plurals and third persons of the words of the conversations."""
-    words = table(spark, d, "conversations").select(F.explode(T.words("text")).alias("w")).select(F.lower("w").alias("word")).distinct()
+    words = table(spark, d, "conversations").select(F.explode(T.words("text")).alias("w")).select(T.lower("w").alias("word")).distinct()
     return words.select("word", T.pluralize("word").alias("plural"), T.third_person("word").alias("third"))
