@@ -2,7 +2,8 @@
 
 A word is what stands between white space. Behind a mark (for the space before it, as in many vocabularies) it is cut from left to right, each time
 at the longest entry of the vocabulary that fits; a character that no entry begins with is a token by itself, without an id. The entries lie in a trie
-that each worker makes once, and a worker remembers how it cut the words that it has seen.
+that each worker makes once, and a worker remembers how it cut the words that it has seen. Tokens leave a worker in batches of a fixed number of rows, a long
+text's in several.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 MOST = 1_000_000
 #: Words that a worker remembers.
 REMEMBERED = 200_000
+#: Tokens that a worker gives out at a time.
+TOGETHER = 1 << 15
 _WORD = re.compile(r"\S+")
 
 
@@ -30,21 +33,20 @@ class Trie:
             node = self.root
             for c in entry:
                 node = node.setdefault(c, {})
-            node[""] = number
+            node[""] = (entry, number)
 
     def cut(self, word: str) -> list[tuple[str, int | None]]:
         """The tokens of a word and their ids."""
         got, at = [], 0
         while at < len(word):
-            node, end, number = self.root, at + 1, None
+            node, found = self.root, None
             for i in range(at, len(word)):
                 node = node.get(word[i])
                 if node is None:
                     break
-                if "" in node:
-                    end, number = i + 1, node[""]
-            got.append((word[at:end], number))
-            at = end
+                found = node.get("", found)
+            got.append(found or (word[at], None))  # the entry's own tuple: what a worker remembers takes little room
+            at += len(got[-1][0])
         return got
 
 
@@ -59,7 +61,9 @@ class Cutter:
         self.seen: dict[str, list[tuple[str, int | None]]] = {}
 
     def __call__(self, text: str) -> list[tuple[str, int | None, int, int]]:
-        got = []
+        return list(self.each(text))
+
+    def each(self, text: str) -> Iterator[tuple[str, int | None, int, int]]:
         for m in _WORD.finditer(text):
             pieces = self.seen.get(m[0])
             if pieces is None:
@@ -70,9 +74,8 @@ class Cutter:
             at = m.start() - len(self.mark)  # where the mark would stand if it took up room
             for piece, number in pieces:
                 end = at + len(piece)
-                got.append((piece, number, max(at, m.start()) if at >= m.start() else first, max(end, m.start())))
+                yield piece, number, max(at, m.start()) if at >= m.start() else first, max(end, m.start())
                 at = end
-        return got
 
 
 _held: list = []
@@ -95,13 +98,29 @@ def tokens(texts: DataFrame, key: str, vocabulary: DataFrame, text: str = "text"
         raise ValueError(f"the vocabulary has more than {most} entries")
     shared = texts.sparkSession.sparkContext.broadcast(dict(zip(held.column("token").to_pylist(), held.column("id").to_pylist(), strict=True)))
 
-    @F.pandas_udf("array<struct<token:string,id:int,start:int,end:int>>")
-    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = _cutter(shared.value, mark, leading_space)
-        for part in parts:
-            yield part.map(lambda t: None if t is None else [{"token": a, "id": b, "start": c, "end": d} for a, b, c, d in cutter(t)])
-
-    return texts.select(key, F.posexplode(cut(F.col(text))).alias("token_no", "_t")).select(key, "token_no", "_t.*")
+        for batch in batches:
+            keys, held, rows, places = batch.column(0), batch.column(1), [], []
+
+            def given() -> pa.RecordBatch:
+                columns = list(zip(*rows, strict=True))
+                kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+                return pa.RecordBatch.from_arrays([keys.take(pa.array(places, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["key", "token_no", "token", "id", "start", "end"])
+
+            for i in range(len(held)):
+                for k, token in enumerate(cutter.each(held[i].as_py() or "")):
+                    rows.append((k, *token))
+                    places.append(i)
+                    if len(rows) == TOGETHER:
+                        yield given()
+                        rows, places = [], []
+            if rows:
+                yield given()
+
+    kind = dict(texts.dtypes)[key]
+    got = texts.select(key, text).mapInArrow(cut, f"key {kind}, token_no int, token string, id int, start int, end int")
+    return got.withColumnRenamed("key", key)
 
 
 def last_tokens(tokens: DataFrame, key: str, n: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -74,3 +75,18 @@ def test_anchors_and_windows_of_subwords(spark, vocabulary):
 def test_missing_words(spark):
     words = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "word string")
     assert sorted(map(tuple, corpus.missing(words, words.where("word <> 'b'")).collect())) == [("b", 2)]
+
+
+def test_tokens_leave_in_bounded_batches(spark, vocabulary, monkeypatch):
+    """A worker's batches hold a bounded number of tokens, however long the texts are."""
+    real, sizes = type(spark.range(0)).mapInArrow, []
+
+    def watched(self, cut, schema):
+        batch = pa.RecordBatch.from_pydict({"k": [1, 2], "text": ["the thing " * 40_000, "in"]})
+        sizes.extend(b.num_rows for b in cut(iter([batch])))
+        return real(self, cut, schema)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", watched)
+    texts = spark.createDataFrame([(1, "the")], "k long, text string")
+    assert [r.token for r in subwords.tokens(texts, "k", vocabulary).collect()] == ["▁the"]
+    assert sum(sizes) == 40_000 * 3 + 2 and max(sizes) <= 1 << 15
