@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.order import numbered
+from ..operators.order import numbered, running_sum
 from ..sources import generator
 from ..sources.tables import new_folder, stored
 from ..streaming import mixture, packing
@@ -33,16 +33,28 @@ def _mixed(spark: SparkSession, d: str, samples: int | None = None) -> DataFrame
     return _in_parts(spark, d, lambda stream: mixture.packed_mixture(stream, _WEIGHTS, _SIZE, _SEED, _SHARDS, samples, together=16), _SHARDS)
 
 
+#: Bytes of text of a part at most, but for its last text: a trigger's documents of a shard are in one task.
+_PART_BYTES = 512_000_000
+
+
+def _starts(docs: DataFrame, size: int = _PART_BYTES) -> list[int]:
+    """The pos that each part of docs starts with: some parts of alike bytes of text, none of more than size but for its last text."""
+    sizes = docs.where("pos is not null").groupBy("pos").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("_n"))
+    placed = running_sum(sizes, "pos", "_n", "_before", total="_all", settled=True)
+    part = F.floor(F.col("_before") / F.greatest(F.lit(1), F.least(F.lit(size), F.ceil(F.col("_all") / _PARTS))))
+    return sorted(r[0] for r in placed.groupBy(part).agg(F.min("pos")).select("min(pos)").collect())
+
+
 def _in_parts(spark: SparkSession, d: str, packed: Callable[[DataFrame], DataFrame], shards: int) -> DataFrame:
     """The blocks of documents that come in some parts, each a run of a stream that is stopped after it, then the end."""
     folder, out, checkpoint = new_folder(spark, "arriving"), new_folder(spark, "mixture"), new_folder(spark, "checkpoint")
     docs = _documents(spark, d)
-    bounds = docs.agg(F.max("pos")).first()[0] or 0
+    starts = _starts(docs)
     blocks = None
-    for part in range(_PARTS + 1):
-        if part < _PARTS:
-            step = bounds // _PARTS + 1
-            rows = docs.where((F.col("pos") >= part * step) & (F.col("pos") < (part + 1) * step))
+    for part in range(len(starts) + 1):
+        if part < len(starts):
+            rows = docs.where(F.col("pos") >= starts[part])
+            rows = rows if part + 1 == len(starts) else rows.where(F.col("pos") < starts[part + 1])
         else:
             rows = mixture.ends(spark, list(_WEIGHTS), shards)
         rows.write.mode("append").parquet(folder)

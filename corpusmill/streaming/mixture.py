@@ -9,6 +9,7 @@ k-th block, which is block k // shards of shard k % shards.
 from __future__ import annotations
 
 import hashlib
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,6 +21,8 @@ from ..operators.mixture import drawn, normalized
 from ..operators.order import numbered
 from ..operators.sampling import uniform
 
+#: Tokens that a task gives out at a time, and texts and characters of a chunk of a queue.
+TOGETHER, CHUNK_TEXTS, CHUNK_CHARS = 1 << 16, 64, 1 << 20
 SCHEMA = "block_no long, source string, source_block long, tokens array<string>"
 #: The state store that several state variables of a key need.
 _STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -99,6 +102,9 @@ class Packing(StatefulProcessor):
                 ended = not pack(ready) or bool(last)
                 if last and self.with_rest and words and len(words) < self.size:
                     give(words)
+                if len(out) * self.size >= TOGETHER:
+                    yield pd.DataFrame(out, columns=["block_no", "source", "source_block", "tokens"])
+                    out.clear()
                 if ended:
                     break
         if ended:
@@ -146,71 +152,117 @@ def packed_mixture(
 class SharedPacking(StatefulProcessor):
     """The blocks of one shard, whose sources share one buffer: each draw takes a document of a source.
 
-    A source's k-th document in the shard belongs to the k-th draw of the source. A document goes on to the buffer when no document of an earlier
-    draw can come any more; until then it waits.
+    A source's k-th document in the shard belongs to the k-th draw of the source. So a source's documents stand in a queue, and the draws are gone through in
+    order, as far as the one whose document isn't there yet. A queue lies in the state in chunks; one chunk of each is in memory.
     """
 
     def __init__(self, weights: dict[str, float], size: int, seed: int | str, samples: int | None, together: int, tokenise: Callable[[list[str]], list[list[str]]], rest: bool):
         self.weights, self.size, self.seed, self.samples, self.together, self.tokenise, self.with_rest = weights, size, seed, samples, together, tokenise, rest
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.words = handle.getValueState("words", "words array<string>, blocks long")
+        self.words = handle.getValueState("words", "words array<string>, blocks long, number long")
         self.texts = handle.getListState("texts", "text string")
-        self.waiting = handle.getListState("waiting", "number long, text string")
-        self.sources = handle.getMapState("sources", "source string", "number long, ended boolean")
+        self.queues = handle.getMapState("queues", "source string, chunk long", "texts array<string>")
+        self.sources = handle.getMapState("sources", "source string", "first long, next long, ended boolean")
+
+    def _chunks(self, texts: deque[str]) -> Iterator[list[str]]:
+        part, held = [], 0
+        for text in texts:
+            part.append(text)
+            held += len(text)
+            if len(part) == CHUNK_TEXTS or held >= CHUNK_CHARS:
+                yield part
+                part, held = [], 0
+        if part:
+            yield part
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         (shard,) = key
         draws = Draws(self.weights, f"{self.seed}-{shard}", 1)
         frame = pd.concat(list(rows)).sort_values("pos", kind="stable", na_position="last")
-        # By source the number of its next draw, found when it is needed, and whether it has ended.
-        next_ = {name: (-1, False) for name, _ in draws.ends}
-        for (name,), (number, ended) in self.sources.iterator():
-            next_[name] = (number, bool(ended))
-        number_of = lambda name: draws.after(next_[name][0] + 1, 0, name, 0)[0]
-        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        names = [name for name, _ in draws.ends]
+        # By source the first chunk of its queue in the state, the next one's number, and whether it has ended.
+        places = {name: [0, 0, False] for name in names}
+        for (name,), (first, next_, over) in self.sources.iterator():
+            places[name] = [first, next_, bool(over)]
+        head, new = {name: deque() for name in names}, {name: deque() for name in names}
         for source, text, last in zip(frame["source"], frame["text"], frame["ended"], strict=True):
-            before, ended = next_[source]
-            if ended:
+            if places[source][2]:
                 continue
             if last:
-                next_[source] = (before, True)
+                places[source][2] = True
             elif text is not None:
-                number = number_of(source)
-                next_[source] = (number, False)
-                waiting.append((number, text))
-        open_ = [number_of(name) for name, (_, ended) in next_.items() if not ended]
-        frontier = min(open_, default=None)
-        waiting.sort()
-        ready = [t for n, t in waiting if frontier is None or n < frontier]
-        waiting = waiting[len(ready) :]
-
-        words, blocks = self.words.get() if self.words.exists() else ([], 0)
+                new[source].append(text)
+        del frame
+
+        def take(name: str) -> str | None:
+            place = places[name]
+            if not head[name] and place[0] < place[1]:
+                at = (name, place[0])
+                head[name].extend(self.queues.getValue(at)[0])
+                self.queues.removeKey(at)
+                place[0] += 1
+            queue = head[name] or new[name]
+            return queue.popleft() if queue else None
+
+        left = lambda name: bool(head[name] or new[name] or places[name][0] < places[name][1])
+        words, blocks, number = self.words.get() if self.words.exists() else ([], 0, 0)
         words, out = list(words), []
         texts = [t for (t,) in self.texts.get()] if self.texts.exists() else []
-        texts += ready
-        whole = len(texts) if frontier is None else len(texts) // self.together * self.together
-        for at in range(0, whole, self.together):
-            for tokens in self.tokenise(texts[at : min(at + self.together, whole)]):
+
+        def pack(ready: list[str]) -> None:
+            nonlocal words
+            for tokens in self.tokenise(ready):
                 words.extend(tokens)
             full = len(words) // self.size * self.size
-            out += [words[i : i + self.size] for i in range(0, full, self.size)]
+            out.extend(words[i : i + self.size] for i in range(0, full, self.size))
             words = words[full:]
-        if frontier is None and self.with_rest and words:
-            out.append(words)
-            words = []
-        if self.samples is not None:
-            out = out[: max(0, self.samples - blocks)]
-        for name, (number, ended) in next_.items():
-            self.sources.updateValue((name,), (number, ended))
-        for state, held in ((self.texts, [(t,) for t in texts[whole:]]), (self.waiting, waiting)):
-            if held:
-                state.put(held)
-            else:
-                state.clear()
-        self.words.update((words, blocks + len(out)))
+
+        def given() -> pd.DataFrame:
+            nonlocal blocks
+            if self.samples is not None:
+                del out[max(0, self.samples - blocks) :]
+            got = pd.DataFrame([(shard, blocks + i, tokens) for i, tokens in enumerate(out)], columns=["shard", "block_no", "tokens"])
+            blocks += len(out)
+            out.clear()
+            return got
+
+        all_ended = all(over for _, _, over in places.values())
+        while not all_ended or any(map(left, names)):
+            name = draws.source(number)
+            text = take(name)
+            if text is None and not places[name][2]:
+                break
+            number += 1  # a source that has ended and has no document left isn't drawn
+            if text is not None:
+                texts.append(text)
+            if len(texts) >= self.together:
+                pack(texts)
+                texts = []
+                if len(out) * self.size >= TOGETHER:
+                    yield given()
+        else:
+            pack(texts)
+            texts = []
+            if self.with_rest and words:
+                out.append(words)
+                words = []
+        for name in names:
+            first, next_, over = places[name]
+            if head[name]:
+                first -= 1
+                self.queues.updateValue((name, first), (list(head[name]),))
+            for part in self._chunks(new[name]):
+                self.queues.updateValue((name, next_), (part,))
+                next_ += 1
+            self.sources.updateValue((name,), (first, next_, over))
+        if texts:
+            self.texts.put([(t,) for t in texts])
+        else:
+            self.texts.clear()
         if out:
-            yield pd.DataFrame([(shard, blocks + i, tokens) for i, tokens in enumerate(out)], columns=["shard", "block_no", "tokens"])
+            yield given()
+        self.words.update((words, blocks, number))
 
     def close(self) -> None:
         pass

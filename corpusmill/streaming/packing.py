@@ -15,13 +15,17 @@ from ..operators.mixture import drawn
 from ..operators.sampling import uniform
 
 
+#: Tokens that a task gives out at a time.
+TOGETHER = 1 << 16
+
+
 def packed(docs: DataFrame, size: int, shards: int = 1) -> DataFrame:
     """source, shard, block_no and tokens of the full blocks that each source's words make as documents come in.
 
     docs is a stream with source, pos and text; a source's documents go to shards by pos, each of which fills blocks of its own, so that
     a large source isn't one task. The state of a shard is the words that don't fill a block yet and the next
     block's number; the checkpoint keeps it over restarts. Documents are taken as they come, those of one Arrow batch in order of pos, and
-    blocks are given out batch by batch, so that a task never holds more than one.
+    blocks are given out as they fill: a task holds one batch's texts and the words of a few documents. Null texts have no words.
     """
 
     def fill(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -30,16 +34,19 @@ def packed(docs: DataFrame, size: int, shards: int = 1) -> DataFrame:
         for frame in frames:
             out = []
             for words in frame.sort_values("pos", kind="stable")["words"]:
-                rest.extend(words)
+                rest.extend(words.split(" ") if words else [])
                 full = len(rest) // size
                 for i in range(full):
                     out.append((*key, number, rest[i * size : (i + 1) * size]))
                     number += 1
                 rest = rest[full * size :]
+                if len(out) * size >= TOGETHER:
+                    yield pd.DataFrame(out, columns=["source", "shard", "block_no", "tokens"])
+                    out = []
             yield pd.DataFrame(out, columns=["source", "shard", "block_no", "tokens"])
         state.update((rest, number))
 
-    rows = docs.select("source", F.pmod(F.col("pos"), F.lit(shards)).cast("long").alias("shard"), "pos", T.words("text").alias("words"))
+    rows = docs.select("source", F.pmod(F.col("pos"), F.lit(shards)).cast("long").alias("shard"), "pos", F.array_join(T.words("text"), " ").alias("words"))
     return rows.groupBy("source", "shard").applyInPandasWithState(
         fill, "source string, shard long, block_no long, tokens array<string>", "rest array<string>, number long", "append", GroupStateTimeout.NoTimeout
     )
