@@ -44,7 +44,7 @@ def test_packed_blocks_leave_in_bounded_frames():
     packing = mixture.Packing(mixture.Draws({"en": 1.0}, 1, 1), 128, None, 16, mixture.split_words, True)
     packing.init(Handle())
     got = list(packing.handleInputRows(("en", 0), iter([_frame(2000)]), None))
-    assert sum(map(len, got)) == 2 * 1999 and max(map(len, got)) * 128 <= mixture.TOGETHER + 16 * 256
+    assert sum(map(len, got)) == 2 * 2000 and max(map(len, got)) * 128 <= mixture.TOGETHER + 16 * 256
 
 
 def test_shared_blocks_leave_in_bounded_frames_and_queues_in_chunks():
