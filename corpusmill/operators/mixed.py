@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..sources.tables import stored
 from .factorial import CELLS, valid
+from .order import BROADCAST_ROWS
 
 _PAIRS = [(a, b) for a in range(4) for b in range(a, 4)]
 #: What an effect takes of the four cells' means, in order of CELLS, with filler and gap coded -0.5 and 0.5.
@@ -34,12 +36,15 @@ def by_size(rows: DataFrame, item: str = "item", y: str = "y", by: tuple[str, ..
     if by:
         centres = full.groupBy(*by).agg(F.avg("_y").alias("_centre")).select(*(F.col(c).alias(f"_by_{c}") for c in by), "_centre")
         same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
-        full = full.join(centres, same).drop(*(f"_by_{c}" for c in by))
+        centres = stored(centres, "centres")
+        full = full.join(F.broadcast(centres) if centres.count() <= BROADCAST_ROWS else centres, same).drop(*(f"_by_{c}" for c in by))
     else:
         full = full.join(F.broadcast(full.agg(F.avg("_y").alias("_centre"))))  # one row
     full = full.withColumn("_y", F.col("_y") - F.col("_centre"))
     cell = lambda c: F.col("_cell") == c
     sums = [F.count_if(cell(c)).cast("double").alias(f"n{c}") for c in range(4)] + [F.sum(F.when(cell(c), F.col("_y")).otherwise(0.0)).alias(f"s{c}") for c in range(4)]
+    # Dealt out by item before they are summed: a task then holds the items of its part, which are fewer the more shuffle partitions there are.
+    full = full.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_item")
     items = full.groupBy(*by, "_centre", "_item").agg(*sums, F.sum(F.col("_y") * F.col("_y")).alias("yy"))
     n, s = sum((F.col(f"n{c}") for c in range(1, 4)), F.col("n0")), sum((F.col(f"s{c}") for c in range(1, 4)), F.col("s0"))
     return items.groupBy(*by, "_centre", n.alias("_size")).agg(

@@ -126,3 +126,11 @@ def test_ablation_against_numpy(spark):
         assert got[name].n == 90 and got[name].accuracy == pytest.approx(accuracy)
         assert got[name].delta_accuracy == pytest.approx(accuracy - got[""].accuracy)
     assert got["first"].delta_accuracy < -0.3
+
+
+def test_items_are_dealt_out_before_they_are_summed(spark):
+    """No task sums the items of a whole split: the one exchange of the values is by item, and the sums come after it."""
+    rows = spark.createDataFrame([("a", i % 50, i % 2, i // 2 % 2, float(i)) for i in range(400)], "grp string, item long, filler int, gap int, y double")
+    plan = mixed.by_size(rows, by=("grp",))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
