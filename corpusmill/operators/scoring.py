@@ -29,11 +29,19 @@ class CountScorer:
     prev may be any context word: the one before for a bigram, the filler for a skip-bigram. The pair counts are stored once, with their context's.
     """
 
-    def __init__(self, pairs: DataFrame, k: float = 1.0, n: str | None = None):
-        """n names the column that says how often a pair stands there, if equal pairs are counted already."""
+    def __init__(self, pairs: DataFrame, k: float = 1.0, n: str | None = None, by: str | None = None):
+        """n names the column that says how often a pair stands there, if equal pairs are counted already.
+
+        With by, equal pairs are counted for each of its values, and pairs keep these counts in _by, a list of at most as many entries as by has values.
+        """
         self.k = k
         times = F.count(F.lit(1)) if n is None else F.sum(n)
-        self.pairs = stored(pairs.groupBy("prev", "token").agg(times.alias("n_pair")), "pair-counts")
+        if by is None:
+            counts = pairs.groupBy("prev", "token").agg(times.alias("n_pair"))
+        else:
+            apart = pairs.groupBy("prev", "token", by).agg(times.alias("_n"))
+            counts = apart.groupBy("prev", "token").agg(F.sum("_n").alias("n_pair"), F.collect_list(F.struct(by, F.col("_n").alias("n"))).alias("_by"))
+        self.pairs = stored(counts, "pair-counts")
         self.prevs = self.pairs.groupBy("prev").agg(F.sum("n_pair").alias("n_prev"))
         self.size = self.pairs.agg(F.greatest(F.count_distinct("token"), F.lit(1)).alias("n_vocab"))
 
@@ -47,11 +55,20 @@ class CountScorer:
         asked = rows.select("prev", "token").distinct().join(self.pairs, ["prev", "token"], "left")
         return rows.join(self._scored(asked), ["prev", "token"])
 
+    def seen(self) -> DataFrame:
+        """prev, token, n_pair, n_prev and n_vocab of each counted pair, and what else its row has: all that its probability under any k is made of. One join, on the context."""
+        return self.pairs.join(self.prevs, "prev").join(F.broadcast(self.size))  # one row
+
     def score_seen(self, rows: DataFrame) -> DataFrame:
         """score() of rows whose pairs were all counted, like those that the scorer was made from; others are left out."""
         return rows.join(self._scored(self.pairs), ["prev", "token"])
 
 
+def pair_logp(k: float) -> Column:
+    """logp of a row of CountScorer.seen() under add-k."""
+    return F.ln((F.col("n_pair") + k) / (F.col("n_prev") + k * F.col("n_vocab")))
+
+
 class UnigramScorer:
     """log P(token) = log((n(token) + k) / (N + k (V + 1))); the one more is for tokens never seen."""
 

@@ -367,3 +367,14 @@ def test_large_samples_are_those_of_one_task(spark, monkeypatch):
         monkeypatch.setattr(sampling, "TAKEN", -1)
         assert sorted(r["k"] for r in sampling.sample(rows, n, "k", 9).collect()) == small and len(small) == min(n, 300)
         monkeypatch.undo()
+
+
+def test_counts_apart_by_a_column_and_rates_in_one_pass(spark):
+    from corpusmill.operators import scoring
+
+    rows = spark.createDataFrame([("x", "a", "b"), ("y", "a", "b"), ("x", "a", "b"), ("y", "a", "c")], "lang string, prev string, token string")
+    scorer = scoring.CountScorer(rows, k=0.5, by="lang")
+    got = {(r.prev, r.token): r for r in scorer.seen().withColumn("lp", scoring.pair_logp(0.5)).collect()}
+    assert sorted(tuple(x) for x in got["a", "b"]._by) == [("x", 2), ("y", 1)] and sorted(tuple(x) for x in got["a", "c"]._by) == [("y", 1)]
+    want = {(r.prev, r.token): r.logp for r in scoring.CountScorer(rows, k=0.5).score_seen(rows).collect()}
+    assert {k: round(r.lp, 12) for k, r in got.items()} == {k: round(v, 12) for k, v in want.items()}
