@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import stored
+from .blocks import valued
 
 
 def bigrams(texts: DataFrame, stream: str = "pos", words: str = "words") -> DataFrame:
@@ -69,6 +71,38 @@ def pair_logp(k: float) -> Column:
     return F.ln((F.col("n_pair") + k) / (F.col("n_prev") + k * F.col("n_vocab")))
 
 
+def text_logps(texts: DataFrame, k: float = 1.0, words: str = "words") -> DataFrame:
+    """texts' first column and logps: log P(word | word before) of each of its words but the first, in order, as CountScorer has it with add-k.
+
+    Every pair and its context are counted where their blocks' different items meet, and a text's values come back together: no row for each word is shuffled.
+    Texts of fewer than two words are left out; the words hold no white space.
+    """
+    n_vocab = texts.select(F.explode(F.array_distinct(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))))).alias("token")).distinct().count()
+
+    def items(text: str) -> list[str]:
+        ws = text.split(" ")
+        return [f"{a} {b}" for a, b in zip(ws, ws[1:])] + ws[:-1]
+
+    def value(times: np.ndarray) -> np.ndarray:
+        n = len(times) // 2
+        return np.log((times[:n] + k) / (times[n:] + k * n_vocab))
+
+    key = texts.columns[0]
+    joined = texts.where(F.size(words) > 1).select(key, F.array_join(words, " ").alias("text"))
+    return valued(joined, items, value).withColumnRenamed("values", "logps")
+
+
+def total(logps: Column | str) -> Column:
+    """The sum of an array of log-probabilities."""
+    return F.aggregate(logps, F.lit(0.0), lambda a, x: a + x)
+
+
+def chain_probabilities(logps: Column | str, size: int) -> Column:
+    """The products of the probabilities of each run of size words of an array."""
+    starts = F.sequence(F.lit(1), F.size(logps), F.lit(size))
+    return F.transform(starts, lambda i: F.exp(total(F.slice(logps, i, F.lit(size)))))
+
+
 class UnigramScorer:
     """log P(token) = log((n(token) + k) / (N + k (V + 1))); the one more is for tokens never seen."""
 
