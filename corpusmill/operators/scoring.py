@@ -71,6 +71,32 @@ def pair_logp(k: float) -> Column:
     return F.ln((F.col("n_pair") + k) / (F.col("n_prev") + k * F.col("n_vocab")))
 
 
+def word_counts(texts: DataFrame, words: str = "words") -> DataFrame:
+    """word, n, n_prev and n_token, stored: how often each word stands in the texts, before another word and after one. All in one pass."""
+    rows = texts.select(F.size(words).alias("_size"), F.posexplode(words).alias("_i", "word"))
+    counts = rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_i") < F.col("_size") - 1).alias("n_prev"), F.count_if(F.col("_i") > 0).alias("n_token"))
+    return stored(counts, "word-counts")
+
+
+class AskedScorer(CountScorer):
+    """CountScorer of the bigrams of texts for the pairs that a condition on prev and token holds for: only these are counted as pairs, contexts and vocabulary come from the words' counts.
+
+    Scores, pairs and score_seen() are those of a CountScorer of all bigrams; score() of a pair that the condition doesn't hold for is an error.
+    """
+
+    def __init__(self, texts: DataFrame, asked: Column, k: float = 1.0, words: str = "words", counts: DataFrame | None = None):
+        counts = word_counts(texts, words) if counts is None else counts
+        self.k, self.asked = k, asked
+        self.rows = bigrams(texts, texts.columns[0], words).where(asked)
+        self.pairs = stored(self.rows.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n_pair")), "pair-counts")
+        self.prevs = counts.where("n_prev > 0").select(F.col("word").alias("prev"), "n_prev")
+        self.size = counts.agg(F.greatest(F.count_if(F.col("n_token") > 0), F.lit(1)).alias("n_vocab"))
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        known = F.when(F.col("prev").isNull() | F.col("token").isNull() | self.asked, F.col("token")).otherwise(F.raise_error(F.lit("a pair that wasn't counted is asked for")))
+        return super().score(rows.withColumn("token", known))
+
+
 def text_logps(texts: DataFrame, k: float = 1.0, words: str = "words") -> DataFrame:
     """texts' first column and logps: log P(word | word before) of each of its words but the first, in order, as CountScorer has it with add-k.
 

@@ -38,3 +38,15 @@ def test_chains(spark):
 def test_no_row_for_each_word_is_shuffled(spark, sf):
     plan = evaluation.sentence_logprob(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(prev" not in plan and "SortMergeJoin" not in plan
+
+
+def test_asked_pairs_have_the_scores_of_all(spark):
+    texts = spark.createDataFrame([(0, "a b a b a c".split()), (1, []), (2, ["a"]), (3, None), (4, "c a d".split())], "pos long, words array<string>")
+    every, some = scoring.CountScorer(scoring.bigrams(texts), k=0.5), scoring.AskedScorer(texts, F.col("token").isin("b", "d", "z"), k=0.5)
+    rows = spark.createDataFrame([("a", "b"), ("a", "z"), ("q", "b"), (None, "b"), ("d", "b"), ("a", "d")], "prev string, token string")
+    found = lambda df: sorted((r.prev, r.token, round(r.logp, 12)) for r in df.collect())
+    assert found(some.score(rows)) == found(every.score(rows))
+    assert found(some.score_seen(some.rows)) == found(every.score_seen(scoring.bigrams(texts).where("token in ('b', 'd')")))
+    assert some.pairs.count() == 2  # not all four
+    with pytest.raises(Exception, match="wasn't counted"):
+        some.score(rows.withColumn("token", F.lit("c"))).collect()
