@@ -23,7 +23,7 @@ from .order import quantiles_of_counts
 def phrase_masses(rows: DataFrame, scorer: scoring.CountScorer) -> DataFrame:
     """The different (last, phrase) of rows with mass, the geometric mean of the phrase's words after last."""
     each = rows.select("last", "phrase").distinct().select("last", "phrase", F.posexplode(F.concat(F.array("last"), T.words("phrase"))).alias("_i", "_w"), T.words("phrase").alias("_ws"))
-    pairs = each.where(F.col("_i") < F.size("_ws")).select("last", "phrase", F.col("_w").alias("prev"), F.element_at("_ws", F.col("_i") + 1).alias("token"))
+    pairs = each.where(F.col("_i") < F.size("_ws")).select("last", "phrase", F.col("_w").alias("prev"), F.try_element_at("_ws", F.col("_i") + 1).alias("token"))
     return scorer.score(pairs).groupBy("last", "phrase").agg(scoring.geometric_mean().alias("mass"))
 
 

@@ -38,8 +38,9 @@ class _Words:
     """The documents' words in lower case, their scorer and the lists."""
 
     def __init__(self, spark: SparkSession, d: str):
-        self.words = stored(table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.transform(T.words("text"), T.lower).alias("words")), "lexical-words")
-        counts = self.words.select(F.explode("words").alias("word")).where(F.col("word").rlike("^[a-z][a-z]+$") & ~F.col("word").isin("the", "that", "who", "which")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        self.words = stored(table(spark, d, "documents").select(F.col("doc_id").alias("pos"), T.words(T.lower("text")).alias("words")), "lexical-words")
+        self.counts = scoring.word_counts(self.words)
+        counts = self.counts.where(F.col("word").rlike("^[a-z][a-z]+$") & ~F.col("word").isin("the", "that", "who", "which")).select("word", "n")
         verb = F.col("word").rlike(_ENDS["verb"]) | F.col("word").isin(*T.VERB_SEEDS)
         kinds = stored(counts.withColumn("kind", F.when(verb, "verb").when(F.col("word").rlike(_ENDS["noun"]), "noun").otherwise("other")), "lexical-kinds")
         first = lambda kind, n: [r["word"] for r in kinds.where(F.col("kind") == kind).orderBy(F.desc("n"), "word").limit(n).collect()]
@@ -47,8 +48,9 @@ class _Words:
         self.n1, self.n2, half = self.nouns[:6], self.nouns[2:], VERBS // 2
         self.transitive, self.intransitive = self.verbs[:half], self.verbs[half:]
 
-    def scorer(self) -> scoring.CountScorer:
-        return scoring.CountScorer(scoring.bigrams(self.words), k=_K)
+    def scorer(self, *more: str) -> scoring.CountScorer:
+        """Scores "the", the words of the lists and more after any word; other pairs aren't counted."""
+        return scoring.AskedScorer(self.words, F.col("token").isin("the", *self.nouns, *self.verbs, *self.others, *more), k=_K, counts=self.counts)
 
     def sentences(self, spark: SparkSession) -> DataFrame:
         return G.transitivity(spark, self.n1, self.n2, self.transitive, self.intransitive, self.others)
@@ -133,7 +135,9 @@ def candidate_masses_of_turns(spark: SparkSession, d: str) -> DataFrame:
     """Noun phrases, verbs and the question mark after each turn of the conversations."""
     w = _Words(spark, d)
     turns = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("item_id"), T.lower("text").alias("text"))
-    got = evaluate.candidate_masses(turns, G.candidates(spark, "clause", {"adjectives": [], "nouns": w.nouns, "tails": w.verbs}), w.scorer())
+    cands = G.candidates(spark, "clause", {"adjectives": [], "nouns": w.nouns, "tails": w.verbs})
+    asked = [r[0] for r in cands.select(F.explode(T.words("cand"))).distinct().collect()]  # the words of a fixed list
+    got = evaluate.candidate_masses(turns, cands, w.scorer(*asked))
     return got.withColumn("mean_mass", F.round("mean_mass", 9))
 
 
