@@ -105,12 +105,12 @@ def transitivity_masses(rows: DataFrame, scorer: scoring.CountScorer) -> DataFra
 
 
 def verb_sites(pairs: DataFrame, lexicon: DataFrame, scorer: scoring.CountScorer) -> DataFrame:
-    """One row: over the words in pairs (token, target) that are verbs of the lexicon (word, kind), how many, and the mean mass of nouns and of verbs after them, their difference, and the mean probability of the word that follows.
+    """One row: over the words in pairs (token, target and, if equal ones are counted already, n) that are verbs of the lexicon (word, kind), how many, and the mean mass of nouns and of verbs after them, their difference, and the mean probability of the word that follows.
 
     The masses after a word are sums over the lexicon of pair counts, worked out once for each different word.
     """
     verbs = lexicon.where("kind = 'verb'").select(F.col("word").alias("_verb"))
-    rows = pairs.where("target is not null").join(verbs, T.lower("token") == F.col("_verb")).groupBy(F.col("token").alias("prev"), F.col("target").alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    rows = pairs.where("target is not null").join(verbs, T.lower("token") == F.col("_verb")).groupBy(F.col("token").alias("prev"), F.col("target").alias("token")).agg((F.sum("n") if "n" in pairs.columns else F.count(F.lit(1))).alias("n"))
     rows = stored(rows, "verb-sites")
     sizes = lexicon.agg(*(F.count_if(F.col("kind") == k).alias(f"_{k}s") for k in ("noun", "verb")))
     listed = scorer.pairs.join(lexicon, scorer.pairs["token"] == lexicon["word"])
