@@ -87,14 +87,15 @@ def byte_chunks(df: DataFrame, path: str, order: str, size: int, row_bytes: Colu
     """
     half = max(1, size // 2)
     sized = df.withColumn("_bytes", F.coalesce(row_bytes.cast("long"), F.lit(0).cast("long")) + ROW)
-    placed = running_sum(sized, order, "_bytes", "_before")
+    placed = running_sum(sized, order, "_bytes", "_before", settled=True)
     # At most one row of over half of size starts in a half, as the last one there: chunks are runs of rows.
-    placed = stored(placed.withColumn("chunk", 2 * F.floor(F.col("_before") / half) + (F.col("_bytes") > half).cast("long")), "chunk-rows")
+    placed = placed.withColumn("chunk", 2 * F.floor(F.col("_before") / half) + (F.col("_bytes") > half).cast("long"))
     chunks = placed.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"), F.sum("_bytes").alias("bytes"))
     index = stored(running_sum(chunks, "chunk", "rows", "first_row").select("chunk", "first_row", "rows", "bytes"), "chunk-index")
     inside = Window.partitionBy("chunk").orderBy("_before", order)  # size / ROW rows at most
-    numbered = placed.join(index.select("chunk", "first_row"), "chunk").withColumn("row_no", F.col("first_row") + F.row_number().over(inside) - 1)
-    numbered.select("row_no", *df.columns, "chunk").repartition("chunk").sortWithinPartitions("chunk", "row_no").write.partitionBy("chunk").parquet(f"{path}/rows")
+    dealt = placed.repartition("chunk")  # once, for the join, the window and the files
+    numbered = dealt.join(index.select("chunk", "first_row"), "chunk").withColumn("row_no", F.col("first_row") + F.row_number().over(inside) - 1)
+    numbered.select("row_no", *df.columns, "chunk").sortWithinPartitions("chunk", "row_no").write.partitionBy("chunk").parquet(f"{path}/rows")
     index.coalesce(1).write.parquet(f"{path}/index")  # a row for each file
     return index
 

@@ -50,3 +50,18 @@ def test_asked_pairs_have_the_scores_of_all(spark):
     assert some.pairs.count() == 2  # not all four
     with pytest.raises(Exception, match="wasn't counted"):
         some.score(rows.withColumn("token", F.lit("c"))).collect()
+
+
+def test_byte_chunks_write_texts_twice_only(spark, tmp_path, monkeypatch):
+    from corpusmill.operators import order
+    from corpusmill.sources import stores
+
+    names, keep = [], order.stored
+    for module in (order, stores):
+        monkeypatch.setattr(module, "stored", lambda df, name: names.append(name) or keep(df, name))
+    docs = spark.range(200).selectExpr("id AS doc_id", "repeat('x', CAST(id % 50 AS int)) AS text").repartition(7)
+    index = stores.byte_chunks(docs, str(tmp_path / "c"), "doc_id", 300, F.octet_length("text"))
+    rows = spark.read.parquet(str(tmp_path / "c" / "rows"))
+    assert [r.doc_id for r in rows.orderBy("row_no").collect()] == list(range(200))
+    assert rows.select("chunk", F.input_file_name()).distinct().count() == index.count()
+    assert "chunk-rows" not in names and names.count("order-rows") == 1  # that of the index
