@@ -64,7 +64,7 @@ s AS (SELECT source, count(*) // 256 AS n FROM t GROUP BY source, shard) SELECT
 def stream_pack_blocks(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "documents").schema
     docs = spark.readStream.schema(schema).parquet(f"{d}/documents.parquet*").select(F.col("lang").alias("source"), F.col("doc_id").alias("pos"), "text")
-    got = packing.run_to_end(packing.packed(docs, 256, shards=8), _folder(spark, "blocks"), _folder(spark, "checkpoint"))
+    got = packing.run_to_end(packing.packed(docs, 256, shards=8), _folder(spark, "blocks"), _folder(spark, "checkpoint"), together=500)
     return got.groupBy("source").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(F.size("tokens")).alias("n_tokens"))
 
 

@@ -87,9 +87,15 @@ def endless(spark: SparkSession, items: DataFrame, weights: dict[str, float], se
     return drawn_items(draws_in_order(ticks, weights, seed), items)
 
 
-def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Takes all that there is through the stream into the Parquet table at path, and gives the table."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def run_to_end(stream: DataFrame, path: str, checkpoint: str, together: int | None = None) -> DataFrame:
+    """Takes all that there is through the stream into the Parquet table at path, and gives the table. together bounds the rows of an Arrow batch."""
+    conf, key = stream.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, before if together is None else str(together))
+    try:
+        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        conf.set(key, before)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
