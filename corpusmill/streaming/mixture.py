@@ -13,6 +13,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,14 +25,33 @@ from ..operators.sampling import uniform
 #: Tokens that a task gives out at a time, and texts and characters of a chunk of a queue.
 TOGETHER, CHUNK_TEXTS, CHUNK_CHARS = 1 << 16, 64, 1 << 20
 SCHEMA = "block_no long, source string, source_block long, tokens array<string>"
-#: The state store that several state variables of a key need.
-_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: The state store that several state variables of a key need, and rows and bytes that come to a task at a time.
+_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
 
 
 def split_words(texts: list[str]) -> list[list[str]]:
     return [t.split() for t in texts]
 
 
+def _waiting(rows: Iterator[pd.DataFrame]) -> list[tuple]:
+    """pos, source, compressed text and ended of a trigger's rows, the first by pos last, those without pos before all: what a task holds is less than the texts."""
+    pressed, held = zstandard.ZstdCompressor(level=1).compress, []
+    for frame in rows:
+        for pos, source, text, ended in zip(*(frame[c] for c in ("pos", "source", "text", "ended")), strict=True):
+            held.append((None if pd.isna(pos) else pos, source, None if text is None else pressed(text.encode()), bool(ended)))
+    held.sort(key=lambda row: (row[0] is None, row[0] or 0))
+    held.reverse()
+    return held
+
+
+def _text(pressed: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(pressed).decode()
+
+
 class Draws:
     """The draws that take a shard's blocks, in order."""
 
@@ -66,7 +86,7 @@ class Packing(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         source, shard = key
         number, k, ended = self.place.get() if self.place.exists() else (0, 0, False)
-        frame = pd.concat(list(rows)).sort_values("pos", kind="stable", na_position="last")
+        held = _waiting(rows)
         if ended:
             return
         words = list(self.words.get()[0]) if self.words.exists() else []
@@ -94,12 +114,13 @@ class Packing(StatefulProcessor):
             words = words[full:]
             return True
 
-        for text, last in zip(frame["text"], frame["ended"], strict=True):
+        while held:
+            _, _, text, last = held.pop()
             if text is not None:
-                texts.append(text)
+                texts.append(_text(text))
             if last or len(texts) >= self.together:
                 ready, texts = texts, []
-                ended = not pack(ready) or bool(last)
+                ended = not pack(ready) or last
                 if last and self.with_rest and words and len(words) < self.size:
                     give(words)
                 if len(out) * self.size >= TOGETHER:
@@ -138,7 +159,7 @@ def packed_mixture(
     """block_no (the draw that takes the block), source, source_block and tokens of the blocks of size tokens that a stream of documents fills.
 
     docs is a stream with source, pos, text and ended. Documents of sources without a weight are left out. A shard's documents are taken in order of pos
-    within a trigger, and trigger after trigger; a task holds what one trigger brings for a shard, which the source's options bound. together texts are
+    within a trigger, and trigger after trigger; a task holds what one trigger brings for a shard, compressed, which the source's options bound. together texts are
     tokenised at a time. A row with ended (see ends()) says that its shard has no more: what waits is tokenised, and with rest the
     words that don't fill a block are given as a last, shorter one, so that nothing is lost. With samples only the blocks of so many draws are given.
     """
@@ -165,9 +186,9 @@ class SharedPacking(StatefulProcessor):
         self.queues = handle.getMapState("queues", "source string, chunk long", "texts array<string>")
         self.sources = handle.getMapState("sources", "source string", "first long, next long, ended boolean")
 
-    def _chunks(self, texts: deque[str]) -> Iterator[list[str]]:
+    def _chunks(self, texts: deque[bytes]) -> Iterator[list[str]]:
         part, held = [], 0
-        for text in texts:
+        for text in map(_text, texts):
             part.append(text)
             held += len(text)
             if len(part) == CHUNK_TEXTS or held >= CHUNK_CHARS:
@@ -179,21 +200,21 @@ class SharedPacking(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         (shard,) = key
         draws = Draws(self.weights, f"{self.seed}-{shard}", 1)
-        frame = pd.concat(list(rows)).sort_values("pos", kind="stable", na_position="last")
+        held = _waiting(rows)
         names = [name for name, _ in draws.ends]
         # By source the first chunk of its queue in the state, the next one's number, and whether it has ended.
         places = {name: [0, 0, False] for name in names}
         for (name,), (first, next_, over) in self.sources.iterator():
             places[name] = [first, next_, bool(over)]
         head, new = {name: deque() for name in names}, {name: deque() for name in names}
-        for source, text, last in zip(frame["source"], frame["text"], frame["ended"], strict=True):
+        while held:
+            _, source, text, last = held.pop()
             if places[source][2]:
                 continue
             if last:
                 places[source][2] = True
             elif text is not None:
                 new[source].append(text)
-        del frame
 
         def take(name: str) -> str | None:
             place = places[name]
@@ -202,8 +223,9 @@ class SharedPacking(StatefulProcessor):
                 head[name].extend(self.queues.getValue(at)[0])
                 self.queues.removeKey(at)
                 place[0] += 1
-            queue = head[name] or new[name]
-            return queue.popleft() if queue else None
+            if head[name]:
+                return head[name].popleft()
+            return _text(new[name].popleft()) if new[name] else None
 
         left = lambda name: bool(head[name] or new[name] or places[name][0] < places[name][1])
         words, blocks, number = self.words.get() if self.words.exists() else ([], 0, 0)
@@ -302,12 +324,14 @@ def ends(spark: SparkSession, sources: list[str], shards: int) -> DataFrame:
 def run(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Takes all that there is through the stream into the Parquet table at path, and gives the table. A stream that is stopped goes on where it was."""
     conf = stream.sparkSession.conf
-    before = conf.get(_STORE[0])
-    conf.set(*_STORE)
+    before = {k: conf.get(k) for k in _CONF}
+    for k, v in _CONF.items():
+        conf.set(k, v)
     try:
         stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
-        conf.set(_STORE[0], before)
+        for k, v in before.items():
+            conf.set(k, v)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 

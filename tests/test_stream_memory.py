@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import pandas as pd
 
+from pyspark.sql.streaming.state import GroupStateTimeout
+
 from corpusmill.plans import streams
-from corpusmill.streaming import mixture
+from corpusmill.streaming import mixture, packing
 
 
 class Value:
@@ -62,3 +64,26 @@ def test_parts_follow_the_bytes(spark):
     assert streams._starts(docs) == [0, 34, 67]
     assert streams._starts(docs, 1000) == list(range(0, 100, 10))
     assert streams._starts(docs.limit(0)) == []
+
+
+def test_waiting_texts_are_compressed_and_in_order():
+    frame = _frame(2000)
+    frame.loc[5, ["pos", "text"]] = None
+    held = mixture._waiting(iter([frame[1000:], frame[:1000]]))
+    assert sum(len(text) for _, _, text, _ in held if text) < frame["text"].str.len().sum() / 4
+    assert [pos for pos, *_ in reversed(held)] == [*range(5), *range(6, 2000), None]
+    assert mixture._text(held[-1][2]) == frame["text"][0] and held[1][3] and held[0][2] is None
+
+
+def test_batches_of_a_stream_are_bounded(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).selectExpr("id", "0 AS k")
+
+    def sizes(key, frames, state):
+        yield from [pd.DataFrame({"n": [len(frame)]}) for frame in frames]
+
+    each = stream.groupBy("k").applyInPandasWithState(sizes, "n long", "n long", "append", GroupStateTimeout.NoTimeout)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = [r.n for r in packing.run_to_end(each, str(tmp_path / "out"), str(tmp_path / "checkpoint"), together=7).collect()]
+    assert sum(got) == 100 and max(got) <= 7
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
