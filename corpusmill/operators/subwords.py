@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: Entries of a vocabulary at most: it is broadcast.
 MOST = 1_000_000
-#: Words that a worker remembers.
-REMEMBERED = 200_000
+#: Words and characters of words that a worker remembers.
+REMEMBERED, REMEMBERED_CHARS = 200_000, 4 << 20
 #: Tokens that a worker gives out at a time.
 TOGETHER = 1 << 15
 _WORD = re.compile(r"\S+")
@@ -29,6 +29,7 @@ class Trie:
 
     def __init__(self, entries: dict[str, int]):
         self.root: dict = {}
+        self.unknown: dict[str, tuple[str, None]] = {}
         for entry, number in entries.items():
             node = self.root
             for c in entry:
@@ -45,7 +46,9 @@ class Trie:
                 if node is None:
                     break
                 found = node.get("", found)
-            got.append(found or (word[at], None))  # the entry's own tuple: what a worker remembers takes little room
+            if found is None:
+                found = self.unknown.get(word[at]) or self.unknown.setdefault(word[at], (word[at], None))
+            got.append(found)  # the entry's or character's own tuple: what a worker remembers takes little room
             at += len(got[-1][0])
         return got
 
@@ -59,6 +62,7 @@ class Cutter:
     def __init__(self, entries: dict[str, int], mark: str = "▁", leading_space: bool = False):
         self.trie, self.mark, self.leading_space = Trie(entries), mark, leading_space
         self.seen: dict[str, list[tuple[str, int | None]]] = {}
+        self.room = REMEMBERED_CHARS
 
     def __call__(self, text: str) -> list[tuple[str, int | None, int, int]]:
         return list(self.each(text))
@@ -68,8 +72,9 @@ class Cutter:
             pieces = self.seen.get(m[0])
             if pieces is None:
                 pieces = self.trie.cut(self.mark + m[0])
-                if len(self.seen) < REMEMBERED:
+                if len(self.seen) < REMEMBERED and len(m[0]) <= self.room:
                     self.seen[m[0]] = pieces
+                    self.room -= len(m[0])
             first = m.start() - (1 if self.leading_space and m.start() else 0)
             at = m.start() - len(self.mark)  # where the mark would stand if it took up room
             for piece, number in pieces:

@@ -90,3 +90,13 @@ def test_tokens_leave_in_bounded_batches(spark, vocabulary, monkeypatch):
     texts = spark.createDataFrame([(1, "the")], "k long, text string")
     assert [r.token for r in subwords.tokens(texts, "k", vocabulary).collect()] == ["▁the"]
     assert sum(sizes) == 40_000 * 3 + 2 and max(sizes) <= 1 << 15
+
+
+def test_what_a_worker_remembers_is_bounded(monkeypatch):
+    monkeypatch.setattr(subwords, "REMEMBERED_CHARS", 1000)
+    cutter = subwords.Cutter({"▁ab": 0, "ab": 1})
+    words = [f"{i}" * 300 for i in range(10)] + ["abq", "qab"]
+    assert [[p for p, *_ in cutter(w)] for w in words[-2:]] == [["▁ab", "q"], ["▁", "q", "ab"]]
+    assert sum(len(cutter(w)) for w in words[:10]) == 10 * 301
+    assert sum(map(len, cutter.seen)) <= 1000 and len(cutter.seen) == 5
+    assert cutter.seen["abq"][1] is cutter.seen["qab"][1]  # one tuple for each unknown character
