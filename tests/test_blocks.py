@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import blocks, scoring
-from corpusmill.plans import evaluation
+from corpusmill.plans import evaluation, evaluators
 
 TEXTS = [(1, "a b a b a c"), (2, ""), (3, None), (4, "a"), (None, "b a"), (5, "é b a b é​x ß"), (6, " ".join(f"w{i % 7} a" for i in range(400))), (5, "a b")]
 
@@ -65,3 +67,30 @@ def test_byte_chunks_write_texts_twice_only(spark, tmp_path, monkeypatch):
     assert [r.doc_id for r in rows.orderBy("row_no").collect()] == list(range(200))
     assert rows.select("chunk", F.input_file_name()).distinct().count() == index.count()
     assert "chunk-rows" not in names and names.count("order-rows") == 1  # that of the index
+
+
+def test_sums_of_a_bucket_leave_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(blocks, "TOGETHER", 3)
+    most = []
+
+    def unpacked(raw, keep=blocks._unpacked):
+        most.append(raw)
+        return keep(raw)
+
+    monkeypatch.setattr(blocks, "_unpacked", unpacked)
+    bucket, block = [0] * 10 + [1] * 4, [*range(10), *range(4)]
+    items = [blocks._packed([f"a{b % 3}", "é", f"b{b}"]) for b in block]
+    times = [blocks._pressed(np.array([2, 3, 4])) for _ in block]
+    rows = pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(block), pa.array(["f"] * 14), pa.array(items), pa.array(times)], ["bucket", "block", "file", "items", "times"])
+    first = blocks._summed(iter([rows[:5], rows[5:10], rows[10:]]))
+    got = next(first)
+    assert got.num_rows == 3 and len(most) == 10  # rows leave some at a time, unpacked as they came
+    got = [got, *first]
+    assert [b.num_rows for b in got] == [3, 3, 3, 1, 3, 1]
+    sums = [(k, n, blocks._loose(raw).tolist()) for b in got for k, n, raw in zip(*(b.column(c).to_pylist() for c in ("bucket", "block", "sums")))]
+    assert sums == [(0, b, [2 * (4 if b % 3 == 0 else 3), 30, 4]) for b in range(10)] + [(1, b, [4 if b % 3 == 0 else 2, 12, 4]) for b in range(4)]
+
+
+def test_no_row_for_each_word_of_chains_is_shuffled(spark, sf):
+    plan = evaluators.chain_probabilities(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(prev" not in plan and "SortMergeJoin" not in plan
