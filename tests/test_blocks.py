@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import blocks, scoring
-from corpusmill.plans import evaluation, evaluators
+from corpusmill.plans import evaluation, evaluators, lexical
 
 TEXTS = [(1, "a b a b a c"), (2, ""), (3, None), (4, "a"), (None, "b a"), (5, "é b a b é​x ß"), (6, " ".join(f"w{i % 7} a" for i in range(400))), (5, "a b")]
 
@@ -94,3 +94,9 @@ def test_sums_of_a_bucket_leave_in_bounded_batches(monkeypatch):
 def test_no_row_for_each_word_of_chains_is_shuffled(spark, sf):
     plan = evaluators.chain_probabilities(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(prev" not in plan and "SortMergeJoin" not in plan
+
+
+def test_lexical_queries_count_only_the_pairs_of_their_lists(spark, sf):
+    w = lexical._Words(spark, sf)
+    tokens = {r.token for r in w.scorer("x").pairs.select("token").distinct().collect()}
+    assert tokens and tokens <= {"the", "x", *w.nouns, *w.verbs, *w.others}
