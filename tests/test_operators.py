@@ -194,6 +194,22 @@ def test_distributions():
     assert stats.t_two_sided(0, 5) == pytest.approx(1) and math.isnan(stats.t_two_sided(1, 0))
 
 
+def test_p_values_of_many_degrees_are_the_whole_series():
+    import numpy as np
+
+    def series(t, df):  # even and odd degrees, every term of it
+        odd = df % 2
+        j = np.arange(1, (df - 2 - odd) // 2 + 1)
+        logs = np.concatenate([[0], np.cumsum(np.log((2 * j - 1 + odd) / (2 * j + odd)))])
+        c, s = df / (df + t * t), t / math.sqrt(df + t * t)
+        total = s * math.fsum(np.exp(logs + np.arange(len(logs)) * math.log(c)))
+        return 1 - 2 / math.pi * (math.atan(t / math.sqrt(df)) + total * math.sqrt(c)) if odd else 1 - total
+
+    for df in (25_640, 49_999, 51_282):  # the last two have more terms than the SQL's series
+        for t in (0, 1e-9, 1e-6, 1e-5, 1e-3, 0.1, 0.5, 2, 4):
+            assert stats.t_two_sided(t, df) == pytest.approx(series(t, df), abs=1e-9)
+
+
 def test_scorers(spark):
     texts = spark.createDataFrame([(0, "a b a b a c".split()), (1, []), (2, ["a"])], "pos long, words array<string>")
     pairs = scoring.bigrams(texts)
