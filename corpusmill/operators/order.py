@@ -34,12 +34,30 @@ def _sum_before(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         total = int(ends[-1]) if len(ends) else total
 
 
-def _ranged(df: DataFrame, order: list[str], ranges: int | None, value: str | None, settled: bool) -> DataFrame:
-    """df with _part, the number of the row's range, _at, its place there, and _run, the sum of value before it there."""
+def _filled(size: int):
+    """The number of each row's run in its partition, in the order of its rows: a run ends where the next value would bring its sum over size."""
+
+    @F.pandas_udf(LongType())
+    def number(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run, held = -1, 0
+        for part in values:
+            got = np.empty(len(part), np.int64)
+            for i, v in enumerate(part.fillna(0).astype(np.int64).tolist()):
+                if run < 0 or held + v > size:
+                    run, held = run + 1, 0
+                held += v
+                got[i] = run
+            yield pd.Series(got)
+
+    return number
+
+
+def _ranged(df: DataFrame, order: list[str], ranges: int | None, run: Column | None, settled: bool) -> DataFrame:
+    """df with _part, the number of the row's range, _at, its place there, and _run, worked out over the range's rows in their order."""
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = (df if settled else stored(df, "order-rows")).repartitionByRange(n, *order).sortWithinPartitions(*order)
     rows = rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PART))})
-    return stored(rows if value is None else rows.withColumn("_run", _sum_before(F.col(value).cast("long"))), "order-ranges")
+    return stored(rows if run is None else rows.withColumn("_run", run), "order-ranges")
 
 
 def _with_base(rows: DataFrame, size: Column, here: str, by: str | None, total: str | None) -> DataFrame:
@@ -73,11 +91,23 @@ def running_sum(
     df: DataFrame, key: str, value: str, name: str, ties: tuple[str, ...] = (), ranges: int | None = None, total: str | None = None, by: str | None = None, settled: bool = False
 ) -> DataFrame:
     """df with name, the sum of value (integers) over all rows before the row in order of key, then ties; under total the whole sum. by and settled as in numbered()."""
-    rows = _ranged(df, [*([by] if by else []), key, *ties], ranges, value, settled)
+    rows = _ranged(df, [*([by] if by else []), key, *ties], ranges, _sum_before(F.col(value).cast("long")), settled)
     rows = _with_base(rows, F.sum(value), "_run", by, total)
     return rows.withColumn(name, F.col("_base") + F.col("_run")).drop("_part", "_at", "_run", "_base")
 
 
+def filled(df: DataFrame, key: str, value: str, size: int, run: str, name: str, settled: bool = False) -> DataFrame:
+    """df with name, the running number from 0 in order of key, and run, the number from 0 of its run: runs of rows in that order whose values (integers) sum up to size at most, or that have
+    one row.
+
+    Each range is filled by itself, so the last run of each of the ranges may be short. settled as in numbered().
+    """
+    rows = _ranged(df, [key], None, _filled(size)(F.col(value).cast("long")), settled)
+    rows = _with_base(rows, F.count(F.lit(1)), "_at", None, None).withColumn(name, F.col("_base") + F.col("_at")).drop("_base")
+    rows = _with_base(rows, F.max("_run") + 1, "_run", None, None).withColumn(run, F.col("_base") + F.col("_run"))
+    return rows.drop("_part", "_at", "_run", "_base")
+
+
 def quantiles(rows: DataFrame, value: str, shares: dict[str, float], by: str) -> DataFrame:
     """by and, under each name of shares, the quantile of value of that share, between neighbours in proportion; nulls don't count.
 

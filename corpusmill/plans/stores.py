@@ -57,7 +57,7 @@ def chunks_by_bytes(spark: SparkSession, d: str) -> DataFrame:
     path = new_folder(spark, "byte-chunks")
     docs = table(spark, d, "documents").select("doc_id", "text")
     index = stores.byte_chunks(docs, path, "doc_id", _CHUNK, F.octet_length("text"))
-    held = spark.read.parquet(f"{path}/rows").groupBy("chunk", F.input_file_name().alias("file")).agg(F.sum(F.octet_length("text") + stores.ROW).alias("n"), F.count(F.lit(1)).alias("rows"))
+    held = stores.rows_there(spark, path).groupBy("chunk", "file").agg(F.sum(F.octet_length("text") + stores.ROW).alias("n"), F.count(F.lit(1)).alias("rows"))
     bounds = held.agg(F.bool_and((F.col("n") <= _CHUNK) | (F.col("rows") == 1)).alias("bounded"), F.count(F.lit(1)).alias("_files"))
     same = index.agg(F.count(F.lit(1)).alias("_chunks"))
     asked = spark.range(docs.count()).where("id % 7 = 3").select(F.col("id").alias("row_no"))

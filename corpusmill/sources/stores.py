@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from ..operators.order import running_sum
+from ..operators.order import filled, running_sum
+from . import files
 from .tables import stored
 
 #: Bytes that a row takes besides its own: its entry in a file.
 ROW = 8
+#: The name of a chunk's file, and an entry of the index when it is written.
+_FILE, _ENTRY = "part.parquet", pa.schema([("chunk", pa.int64()), ("rows", pa.int64()), ("bytes", pa.int64())])
+#: Bytes of rows read that leave a task together.
+_TOGETHER = 1 << 20
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """path with the store that Spark takes it to be in."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
 
 
 def _there(spark: SparkSession, path: str) -> bool:
@@ -78,28 +96,112 @@ def batch_once(batch: DataFrame, path: str, number: int) -> None:
     _overwrite(batch.withColumn("batch", F.lit(number).cast("long")), path, "batch")
 
 
+def _parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _written(root: str, columns: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes columns of rows in order of their chunk into a file for each chunk and gives chunk, rows and bytes. A file gets its name when it is whole, so a task that comes again replaces it."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = files.opened(root)
+        at, held = None, []
+
+        def put() -> dict:
+            table = pa.Table.from_batches(held)
+            folder = f"{top}/chunk={at}"
+            system.create_dir(folder, recursive=True)
+            name = f"{folder}/.{uuid.uuid4().hex}"
+            with system.open_output_stream(name) as out:
+                pq.write_table(table.select(columns), out, use_dictionary=False, write_statistics=["row_no"], store_schema=False)
+            system.move(name, f"{folder}/{_FILE}")
+            held.clear()
+            return {"chunk": at, "rows": table.num_rows, "bytes": pc.sum(table["_bytes"]).as_py()}
+
+        for batch in batches:
+            done, chunks = [], batch.column("chunk").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)] if len(chunks) else []
+            for start, end in pairwise(cuts):
+                if held and chunks[start] != at:
+                    done.append(put())
+                at = int(chunks[start])
+                held.append(batch.slice(start, end - start))
+            if done:
+                yield pa.RecordBatch.from_pylist(done, _ENTRY)
+        if held:
+            yield pa.RecordBatch.from_pylist([put()], _ENTRY)
+
+    return write
+
+
 def byte_chunks(df: DataFrame, path: str, order: str, size: int, row_bytes: Column) -> DataFrame:
     """Writes df in order to files of at most size bytes and gives their index: chunk, first_row, rows and bytes.
 
-    row_bytes are the bytes of a row (null counts as none); each takes ROW more. A row of more than half of size has a file of its own, and only such a file can be larger
-    than size, by a row that is. The others start in the same half of size bytes. Below path there are rows, a folder for each chunk with row_no
-    beside the columns, and index. Equal values of order stand in any order.
+    row_bytes are the bytes of a row (null counts as none); each takes ROW more. Only the file of a single row can be larger than size. Files are filled one after the other in each
+    range of order, so they are some size bytes each but the last ones of the ranges. Below path there are rows, a folder for each chunk with row_no
+    beside the columns, index, and columns, an empty table like rows. Equal values of order stand in any order.
+
+    Tasks write and open the files themselves, by files.opened(): Spark's writer and its listing of folders take many times longer for files this small.
     """
-    half = max(1, size // 2)
+    spark = df.sparkSession
     sized = df.withColumn("_bytes", F.coalesce(row_bytes.cast("long"), F.lit(0).cast("long")) + ROW)
-    placed = running_sum(sized, order, "_bytes", "_before", settled=True)
-    # At most one row of over half of size starts in a half, as the last one there: chunks are runs of rows.
-    placed = placed.withColumn("chunk", 2 * F.floor(F.col("_before") / half) + (F.col("_bytes") > half).cast("long"))
-    chunks = placed.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"), F.sum("_bytes").alias("bytes"))
-    index = stored(running_sum(chunks, "chunk", "rows", "first_row").select("chunk", "first_row", "rows", "bytes"), "chunk-index")
-    inside = Window.partitionBy("chunk").orderBy("_before", order)  # size / ROW rows at most
-    dealt = placed.repartition("chunk")  # once, for the join, the window and the files
-    numbered = dealt.join(index.select("chunk", "first_row"), "chunk").withColumn("row_no", F.col("first_row") + F.row_number().over(inside) - 1)
-    numbered.select("row_no", *df.columns, "chunk").sortWithinPartitions("chunk", "row_no").write.partitionBy("chunk").parquet(f"{path}/rows")
+    placed = filled(sized, order, "_bytes", size, "chunk", "row_no", settled=True)
+    columns = ["row_no", *df.columns]
+    dealt = placed.select("chunk", "_bytes", *columns).repartition(_parts(spark), "chunk").sortWithinPartitions("chunk", "row_no")
+    written = dealt.mapInArrow(_written(_qualified(spark, f"{path}/rows"), columns), "chunk long, rows long, bytes long")
+    index = stored(running_sum(written, "chunk", "rows", "first_row").select("chunk", "first_row", "rows", "bytes"), "chunk-index")
+    placed.select(*columns).limit(0).write.parquet(f"{path}/columns")
     index.coalesce(1).write.parquet(f"{path}/index")  # a row for each file
     return index
 
 
+def _opened(asked: DataFrame, path: str) -> DataFrame:
+    """The rows of all files in the folders of asked (chunk), with chunk and file; of row_nos, where it isn't null, only those. Tasks are those of asked, which should be dealt out."""
+    spark = asked.sparkSession
+    schema = spark.read.parquet(f"{path}/columns").schema
+    root, columns = _qualified(spark, f"{path}/rows"), schema.names
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = files.opened(root)
+        held, size = [], 0
+        for batch in batches:
+            for chunk, numbers in zip(batch.column("chunk").to_pylist(), batch.column("row_nos"), strict=True):
+                for info in system.get_file_info(pyarrow.fs.FileSelector(f"{top}/chunk={chunk}")):
+                    if info.base_name[0] in "._":
+                        continue
+                    with system.open_input_file(info.path) as file:
+                        table = pq.ParquetFile(file).read(use_threads=False).select(columns)
+                    if numbers.is_valid:
+                        table = table.filter(pc.is_in(table["row_no"], value_set=numbers.values))
+                    n = table.num_rows
+                    table = table.append_column("chunk", pa.array([chunk] * n, pa.int64())).append_column("file", pa.array([f"{root}/chunk={chunk}/{info.base_name}"] * n, pa.string()))
+                    held.append(table)
+                    size += table.nbytes
+                    if size > _TOGETHER:
+                        yield from pa.concat_tables(held).combine_chunks().to_batches()
+                        held, size = [], 0
+        if held:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+
+    return asked.select("chunk", "row_nos").mapInArrow(read, StructType([*schema, StructField("chunk", LongType()), StructField("file", StringType())]))
+
+
+def rows_there(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of byte_chunks() with chunk and file, of the folders and files that are there, whatever the index says."""
+    root = _qualified(spark, f"{path}/rows")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            system, top = files.opened(root)
+            found = system.get_file_info(pyarrow.fs.FileSelector(top, allow_not_found=True))
+            names = [i.base_name.removeprefix("chunk=") for i in found if i.base_name.startswith("chunk=")]
+            for at in range(0, len(names), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 10_000]).cast(pa.int64())], ["chunk"])
+
+    folders = spark.range(1).coalesce(1).mapInArrow(look, "chunk long")  # one folder's names
+    return _opened(folders.repartition(_parts(spark), "chunk").withColumn("row_nos", F.lit(None).cast("array<long>")), path)
+
+
 def rows_at(numbers: DataFrame, path: str) -> DataFrame:
     """The rows of byte_chunks() of the asked numbers (row_no, each once); numbers beyond the table give nothing. The index says which chunks are opened."""
     spark = numbers.sparkSession
@@ -110,5 +212,5 @@ def rows_at(numbers: DataFrame, path: str) -> DataFrame:
     counted = running_sum(starts.unionByName(asked), "_at", "_start", "_passed", ties=("_kind",))
     listed = running_sum(index.withColumn("_one", F.lit(1).cast("long")), "chunk", "_one", "_place")
     wanted = stored(counted.where("_kind = 1").join(listed, F.col("_passed") - 1 == F.col("_place")).select("row_no", "chunk"), "chunks-asked")
-    # The numbers asked for are few beside the table, and joined on the folders' column Spark opens only theirs.
-    return spark.read.parquet(f"{path}/rows").join(wanted, ["chunk", "row_no"])
+    dealt = wanted.repartition(_parts(spark), "chunk")  # few bytes, and much work: their number of partitions stays
+    return _opened(dealt.groupBy("chunk").agg(F.collect_list("row_no").alias("row_nos")), path).drop("file")  # size / ROW numbers at most

@@ -93,6 +93,56 @@ def test_chunks_of_bounded_bytes(spark, tmp_path, seed):
     assert sorted((r.row_no, r.id) for r in stores.rows_at(asked, path).collect()) == [(i, i) for i in (0, 3, 57, 119)]
 
 
+def test_chunks_are_full_and_opened_by_tasks(spark, tmp_path):
+    """No file more than the bytes and the ranges ask for, and no listing of the folders by Spark."""
+    path = f"file://{tmp_path}/chunks"
+    df = spark.range(1000).select("id", F.repeat(F.lit("x"), 100 - stores.ROW).alias("text")).repartition(5)
+    index = stores.byte_chunks(df, path, "id", 1000, F.octet_length("text"))
+    assert 100 <= index.count() <= 104  # four ranges
+    assert index.agg(F.max("bytes")).first()[0] == 1000
+    asked = spark.createDataFrame([(i,) for i in (0, 3, 577, 999, 1000)], "row_no long")
+    got = stores.rows_at(asked, path)
+    assert not any("/rows/" in f for f in got.inputFiles())
+    assert got.columns == ["row_no", "id", "text", "chunk"]
+    chunks = {r.row_no: r.chunk for r in got.collect()}
+    assert sorted(chunks) == [0, 3, 577, 999]
+    for folder in (tmp_path / "chunks" / "rows").iterdir():  # the files of other chunks aren't opened
+        if int(folder.name.removeprefix("chunk=")) not in chunks.values():
+            (folder / "part.parquet").write_bytes(b"none")
+    assert sorted((r.row_no, r.id) for r in stores.rows_at(asked, path).collect()) == [(i, i) for i in (0, 3, 577, 999)]
+
+
+def test_rows_there_are_those_of_the_folders(spark, tmp_path):
+    path = f"file://{tmp_path}/chunks"
+    df = spark.range(40).select("id", F.repeat(F.lit("x"), 92).alias("text"))
+    index = {r.chunk: r for r in stores.byte_chunks(df, path, "id", 500, F.octet_length("text")).collect()}
+    rows, last = tmp_path / "chunks" / "rows", max(index)
+    assert sorted(r.row_no for r in stores.rows_there(spark, path).collect()) == list(range(40))
+    (rows / f"chunk={last}").rename(rows / f"chunk={last + 7}")
+    (rows / "chunk=0" / "again.parquet").write_bytes((rows / "chunk=0" / "part.parquet").read_bytes())
+    (rows / "chunk=0" / ".cut").write_bytes(b"none")
+    got = stores.rows_there(spark, path).groupBy("chunk").agg(F.count_distinct("file").alias("files"), F.count("*").alias("rows")).collect()
+    assert {r.chunk: (r.files, r.rows) for r in got} == {(c + 7 if c == last else c): (1 + (c == 0), r.rows * (1 + (c == 0))) for c, r in index.items()}
+
+
+def test_chunks_of_no_rows(spark, tmp_path):
+    path = f"file://{tmp_path}/chunks"
+    df = spark.createDataFrame([], "id long, text string")
+    assert stores.byte_chunks(df, path, "id", 100, F.octet_length("text")).count() == 0
+    assert stores.rows_at(spark.range(3).toDF("row_no"), path).count() == 0 and stores.rows_there(spark, path).count() == 0
+
+
+def test_chunks_keep_types(spark, tmp_path):
+    path = f"file://{tmp_path}/chunks"
+    df = spark.range(60).selectExpr(
+        "id", "repeat('\u00e9', int(id % 40)) AS text", "timestamp_seconds(id) AS ts", "timestamp_ntz'2020-01-01 00:00:00' AS ntz", "date_add(date'2020-01-01', int(id)) AS day", "cast(id AS decimal(20,3)) AS dec",
+        "array(id, null) AS a", "struct(id AS x, 'q' AS y) AS s", "map('k', id) AS m", "cast(null AS string) AS none", "encode('x', 'utf-8') AS raw", "float(id) AS f",
+    )
+    stores.byte_chunks(df, path, "id", 300, F.octet_length("text"))
+    got = stores.rows_at(spark.range(60).toDF("row_no"), path).drop("row_no", "chunk")
+    assert got.dtypes == df.dtypes and sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
+
+
 def test_listing_of_a_tree(spark, tmp_path):
     for name in ("a/b/c/x.txt", "a/y.txt", "z.txt", "_hidden/q.txt", "a/.r", "empty/"):
         if name.endswith("/"):
